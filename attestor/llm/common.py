@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,22 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; only without it (tests) a folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="attestor-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: compressed, and read by column."""
+    path = f"{shared_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
     """Documents as (key long, doc_id, text): key orders as doc_id does and is unique to a document.
 
