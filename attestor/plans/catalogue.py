@@ -5,6 +5,675 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scope as S
+from ..functions import temporal as T
+from ..functions import text as X
+from ..operators import candidates as C
+from ..operators import claims as CL
+from ..operators import evidence as E
+from ..operators import export as EX
+from ..operators import metrics as M
+from ..operators import normalize as N
+from ..operators import packets as P
+from ..operators import parse as PA
+from ..operators import relations as R
+from ..operators import rerank as RR
+from ..operators import resolve as RE
+from ..sources import scan as SC
+from . import views as V
+from .views import CAND, CLAIM, FILES, LINES, MD, PROF, REL, RETRIEVED, SNAP, SRC, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2024-03-01"
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# --- scan ---------------------------------------------------------------------------------------------------------
+
+
+@query(sql(SRC, FILES, body="""
+SELECT f.path, 'src_' || substr(sha256(f.path), 1, 16) AS source_id, sha256(text) AS content_hash, regexp_extract(f.path, '\\.([^.]+)$', 1) AS format,
+  CASE WHEN f.path <> m.p THEN 'duplicate' WHEN f.path LIKE '%.txt' THEN 'parsed' ELSE 'unsupported' END AS state, CASE WHEN f.path <> m.p THEN m.p END AS duplicate_of
+FROM files f JOIN (SELECT sha256(text) AS h, min(path) AS p FROM files GROUP BY 1) m ON m.h = sha256(f.text)"""))
+def scan_states(spark, sf_dir):
+    f = SC.mark_duplicates(SC.inspect(V.files(spark, sf_dir), F.col("text")))
+    return f.select("path", "source_id", "content_hash", "format", "state", "duplicate_of")
+
+
+@query(sql(SRC, body="""
+SELECT path, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN strlen(text) > 3000 THEN 'error' ELSE 'parsed' END AS state FROM src"""))
+def inspect_file(spark, sf_dir):
+    return SC.inspect(V.sources(spark, sf_dir).select("path", "text"), F.col("text"), max_bytes=3000).select("path", "size_bytes", "state")
+
+
+@query(sql(SRC, SNAP, body="""
+SELECT n.path, CASE WHEN o.path IS NULL THEN 'added' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM snew n LEFT JOIN sold o USING (path)"""))
+def scan_changes(spark, sf_dir):
+    return SC.changes(V.snapshot(spark, sf_dir, "new"), V.snapshot(spark, sf_dir, "old")).select("path", "change")
+
+
+@query(sql(SRC, SNAP, body="SELECT path FROM sold WHERE path NOT IN (SELECT path FROM snew)"))
+def scan_removed(spark, sf_dir):
+    return SC.removed(V.snapshot(spark, sf_dir, "new"), V.snapshot(spark, sf_dir, "old"))
+
+
+@query(sql(SRC, SNAP, body="""
+SELECT count(*) AS total, count(*) FILTER (s = 'parsed') AS parsed, count(*) FILTER (s = 'duplicate') AS duplicates, count(*) FILTER (s = 'unsupported') AS unsupported,
+  count(*) FILTER (s = 'error') AS errors, count(*) FILTER (c = 'added') AS added, count(*) FILTER (c = 'changed') AS changed, count(*) FILTER (c = 'unchanged') AS unchanged,
+  CAST(sum(b) AS BIGINT) AS bytes_scanned, (SELECT count(*) FROM sold WHERE path NOT IN (SELECT path FROM snew)) AS removed
+FROM (SELECT CASE WHEN n.path <> min(n.path) OVER (PARTITION BY n.content_hash) THEN 'duplicate' ELSE 'parsed' END AS s, strlen(n.text) AS b,
+  CASE WHEN o.path IS NULL THEN 'added' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS c FROM snew n LEFT JOIN sold o USING (path))"""))
+def scan_summary(spark, sf_dir):
+    new, old = V.snapshot(spark, sf_dir, "new"), V.snapshot(spark, sf_dir, "old")
+    scanned = SC.changes(SC.mark_duplicates(SC.inspect(new.select("path", "text"), F.col("text"))), old)
+    return SC.summary(scanned, SC.removed(new, old))
+
+
+@query(sql(SRC, SNAP, body="""
+SELECT n.path, o.path IS NOT NULL AND o.content_hash = n.content_hash AND o.doc_id % 2 = 0 AS cache_hit FROM snew n LEFT JOIN sold o USING (path)"""))
+def parse_cache_join(spark, sf_dir):
+    old = V.snapshot(spark, sf_dir, "old").select("path", "content_hash", F.lit("parsed").alias("state"), F.when(F.col("doc_id") % 2 == 0, "p1").otherwise("p0").alias("parser_key"))
+    return SC.parse_cache(V.snapshot(spark, sf_dir, "new").withColumn("state", F.lit("parsed")), old, "p1").select("path", "cache_hit")
+
+
+@query(sql(SRC, SNAP, body="""
+SELECT coalesce(n.path, o.path) AS path, coalesce(n.content_hash, o.content_hash) AS content_hash, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'parsed' END AS state,
+  CASE WHEN n.path IS NULL THEN 'scan-1' ELSE 'scan-2' END AS last_seen_scan FROM snew n FULL JOIN sold o ON n.path = o.path"""))
+def catalog_upsert(spark, sf_dir):
+    old = V.snapshot(spark, sf_dir, "old").select("path", "content_hash", F.lit("parsed").alias("state"), F.lit("scan-1").alias("last_seen_scan"))
+    return SC.upsert(old, V.snapshot(spark, sf_dir, "new").select("path", "content_hash", F.lit("parsed").alias("state")), "scan-2")
+
+
+@query(sql(SRC, FILES, body="""
+, m AS (SELECT sha256(text) AS h, min(path) AS p FROM files GROUP BY 1)
+SELECT 'src_' || substr(sha256(p), 1, 16) AS source_id, string_agg(path, ',' ORDER BY path) AS aliases FROM files JOIN m ON m.h = sha256(text) WHERE path <> p GROUP BY p"""))
+def duplicate_aliases(spark, sf_dir):
+    f = SC.mark_duplicates(SC.inspect(V.files(spark, sf_dir), F.col("text")))
+    return SC.duplicate_aliases(f).select("source_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(sql(SRC, FILES, body="SELECT path FROM files WHERE (path LIKE 'src1%/en/%' OR path LIKE 'web/%') AND path NOT LIKE '%7.txt'"))
+def glob_filter(spark, sf_dir):
+    return SC.glob_filter(V.files(spark, sf_dir), ["src1*/en/**", "web/*"], ["**/*7.txt"]).select("path")
+
+
+# --- parse and evidence -------------------------------------------------------------------------------------------
+
+
+@query(sql(SRC, LINES, body="SELECT source_id, evidence_id, CAST(line_no AS BIGINT) AS line_start, CAST(line_no AS BIGINT) AS line_end, line AS text FROM lines"))
+def evidence_lines(spark, sf_dir):
+    return PA.evidence_lines(V.sources(spark, sf_dir))
+
+
+_MD_UNITS = """, units AS (
+SELECT doc_id, source_id, 'metadata' AS kind, 1 AS a, 5 AS b, '---' || chr(10) || 'document_id: D' || doc_id || chr(10) || 'status: ' || status || chr(10) || 'scope: {"products": ["' || lang || '", "all"], "organization": "' || source || '"}' || chr(10) || '---' AS text, '' AS hp FROM md
+UNION ALL SELECT doc_id, source_id, 'heading', 6, 6, '# Document ' || doc_id, 'Document ' || doc_id FROM md
+UNION ALL SELECT doc_id, source_id, 'paragraph', 8, 8, first, 'Document ' || doc_id FROM md WHERE trim(first) <> ''
+UNION ALL SELECT doc_id, source_id, 'heading', 10, 10, '## Tasks', 'Document ' || doc_id || ' > Tasks' FROM md
+UNION ALL SELECT doc_id, source_id, 'list', 11, 12, '- [ ] read' || CASE WHEN doc_id % 4 = 0 THEN ' 担当: A' ELSE '' END || chr(10) || '- [x] sign', 'Document ' || doc_id || ' > Tasks' FROM md
+UNION ALL SELECT doc_id, source_id, 'heading', 14, 14, '### Deep', 'Document ' || doc_id || ' > Tasks > Deep' FROM md
+UNION ALL SELECT doc_id, source_id, 'paragraph', 15, 15, 'last line', 'Document ' || doc_id || ' > Tasks > Deep' FROM md
+UNION ALL SELECT doc_id, source_id, 'heading', 16, 16, '# End', 'End' FROM md
+UNION ALL SELECT doc_id, source_id, 'paragraph', 17, 17, 'bye', 'End' FROM md)
+, unit AS (SELECT *, 'ev_' || substr(sha256(source_id || ':' || a || ':' || b || ':' || sha256(text)), 1, 16) AS evidence_id FROM units)"""
+
+
+@query(sql(SRC, MD, body=_MD_UNITS + "SELECT source_id, evidence_id, kind, CAST(a AS BIGINT) AS line_start, CAST(b AS BIGINT) AS line_end, text, hp AS heading_path FROM unit"))
+def parse_markdown(spark, sf_dir):
+    return PA.parse_markdown(V.markdown(spark, sf_dir)).withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+@query(sql(SRC, MD, body=_MD_UNITS + "SELECT source_id, 'Document ' || doc_id AS title FROM md"))
+def document_titles(spark, sf_dir):
+    return PA.titles(PA.parse_markdown(V.markdown(spark, sf_dir)))
+
+
+@query(sql(SRC, body=""", t AS (SELECT source_id, string_split(text, chr(10)) AS ls FROM src)
+, blocks AS (SELECT source_id, 1 AS a, 2 AS b, 'one' || chr(10) || ls[1] AS text FROM t UNION ALL SELECT source_id, 4, 4, 'two' FROM t UNION ALL SELECT source_id, 7, 8, 'three' || chr(10) || 'four' FROM t)
+SELECT source_id, 'ev_' || substr(sha256(source_id || ':' || a || ':' || b || ':' || sha256(text)), 1, 16) AS evidence_id, 'text' AS kind, CAST(a AS BIGINT) AS line_start, CAST(b AS BIGINT) AS line_end, text FROM blocks"""))
+def parse_blocks(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    text = F.concat(F.lit("one\n"), F.element_at(X.lines(F.col("text")), 1), F.lit("\n\ntwo\n \n\t\nthree\r\nfour\n"))
+    return PA.parse_text(s.select("source_id", "path", text.alias("text"))).drop("heading_path")
+
+
+@query(sql(SRC, MD, body="""SELECT source_id, 'D' || doc_id AS document_id, CASE status WHEN 'null' THEN NULL WHEN '''draft''' THEN 'draft' ELSE status END AS status,
+  CASE WHEN lang < 'all' THEN lang || ',all' ELSE 'all,' || lang END AS products, source AS entities FROM md"""))
+def front_matter_fields(spark, sf_dir):
+    m, t = V.markdown(spark, sf_dir), F.col("text")
+    scope = X.front_matter_scope(t)
+    return m.select("source_id", X.front_matter_value(t, "document_id").alias("document_id"), X.front_matter_value(t, "status").alias("status"), F.array_join(scope["products"], ",").alias("products"), F.array_join(scope["entities"], ",").alias("entities"))
+
+
+@query(sql(SRC, MD, body=_MD_UNITS + "SELECT evidence_id, CASE m.status WHEN 'null' THEN NULL WHEN '''draft''' THEN 'draft' ELSE m.status END AS lifecycle FROM unit u JOIN md m USING (source_id)"))
+def metadata_broadcast(spark, sf_dir):
+    return E.propagate_metadata(PA.parse_markdown(V.markdown(spark, sf_dir))).select("evidence_id", "lifecycle")
+
+
+@query(sql(SRC, FILES, body="""
+SELECT path, CASE WHEN path LIKE 'src1/%' THEN 'corporate_standard' WHEN path LIKE 'src1%' THEN 'record' WHEN path LIKE '%/en/%' THEN 'guidance' END AS authority, CASE WHEN path LIKE 'web/%' THEN 'draft' WHEN path LIKE 'src2%' THEN 'active' END AS lifecycle FROM files"""))
+def authority_hints(spark, sf_dir):
+    hints = [("**/en/*", "guidance", None), ("src2*", None, "active"), ("src1*", "record", None), ("src1/**", "corporate_standard", None), ("web/*", None, "draft")]
+    return E.authority_hints(V.files(spark, sf_dir).select("path"), hints)
+
+
+@query(sql(SRC, LINES, body=""", o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM lines)
+, b AS (SELECT source_id, n, unnest(range(0, CASE WHEN n <= 12 THEN 1 ELSE CAST(ceil((n - 12) / 10.0) AS BIGINT) + 1 END)) AS batch FROM (SELECT DISTINCT source_id, n FROM o))
+SELECT o.source_id, CAST(batch AS INTEGER) AS batch, evidence_id, CAST(i AS INTEGER) AS ordinal FROM o JOIN b ON o.source_id = b.source_id AND i >= batch * 10 AND i < batch * 10 + 12"""))
+def sliding_batches(spark, sf_dir):
+    return E.sliding_batches(PA.evidence_lines(V.sources(spark, sf_dir)))
+
+
+@query(sql(SRC, MD, body=_MD_UNITS + "SELECT source_id, evidence_id, 'Tasks' AS heading, '- [x] sign' AS line FROM unit WHERE kind = 'list' AND doc_id % 4 = 0"))
+def checklist_gaps(spark, sf_dir):
+    return E.checklist_gaps(PA.parse_markdown(V.markdown(spark, sf_dir)))
+
+
+_SIGNALS = " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in E.SIGNALS)
+
+
+@query(sql(SRC, LINES, body=f"""SELECT source_id, evidence_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, line_no) AS r FROM (SELECT *, 20 * ({_SIGNALS}) AS score FROM lines)) WHERE r <= 8"""))
+def profile_evidence_top8(spark, sf_dir):
+    u = PA.evidence_lines(V.sources(spark, sf_dir)).withColumn("kind", F.lit("text")).withColumn("heading_path", F.array().cast("array<string>"))
+    return E.top_evidence(u, E.profile_score(F.col("text"), F.col("kind"), F.col("heading_path")), 8).select("source_id", "evidence_id", "score", "rank")
+
+
+@query(sql(SRC, body="""SELECT doc_id, len(list_distinct(list_transform(range(1, CAST(length(t) - 6 AS BIGINT)), lambda i: substr(t, i, 8)))) AS n
+FROM (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM src) WHERE length(t) >= 8"""))
+def char_shingles(spark, sf_dir):
+    s = V.sources(spark, sf_dir).select("doc_id", F.size(X.shingles(F.col("text"))).alias("n"))
+    return s.filter("n > 0").withColumn("n", F.col("n").cast("long"))
+
+
+_PHRASE_ROWS = [(1, "「受付期限」は「短」と「外「内側の句」"), (2, "句なし"), (3, "「同じ語句」と「同じ語句」と「別の語句」"), (4, ""), (5, "「開いたまま")]
+
+
+@query("SELECT * FROM (VALUES (1, '受付期限,内側の句'), (2, ''), (3, '同じ語句,別の語句'), (4, ''), (5, '')) t(id, phrases)")
+def quoted_phrases(spark, sf_dir):
+    return spark.createDataFrame(_PHRASE_ROWS, "id int, text string").select("id", F.array_join(X.quoted_phrases(F.col("text")), ",").alias("phrases"))
+
+
+# --- claims -------------------------------------------------------------------------------------------------------
+
+
+@query(sql(CLAIM, body="""SELECT id, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'subject_required' END, CASE WHEN o_orderkey % 11 = 0 THEN 'confidence_out_of_range' END, CASE WHEN o_orderkey % 13 = 0 THEN 'valid_from_invalid' END,
+  CASE WHEN o_orderkey % 17 = 0 AND o_orderkey % 13 <> 0 THEN 'valid_range_reversed' END, CASE WHEN o_orderkey % 3 = 0 THEN 'evidence_unknown' END) AS reasons FROM claim"""))
+def claim_rejections(spark, sf_dir):
+    c, k = V.claims(spark, sf_dir), F.col("order_key")
+    bent = c.withColumns({"subject": F.when(k % 7 == 0, "  ").otherwise(F.col("subject")), "confidence": F.when(k % 11 == 0, F.lit(1.5)).otherwise(F.col("confidence")), "valid_from": F.when(k % 13 == 0, "soon").otherwise(F.col("valid_from")), "valid_to": F.when(k % 17 == 0, "1970-01-01").otherwise(F.col("valid_to"))})
+    known = c.filter("order_key % 3 <> 0").select(F.explode("evidence").alias("r")).select("r.source_id", "r.evidence_id")
+    return CL.rejections(bent, known).select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH g AS (SELECT o_custkey, min(o_orderpriority) AS lo, max(o_orderpriority) AS hi, min(o_orderstatus) AS slo, max(o_orderstatus) AS shi FROM orders GROUP BY 1)
+SELECT CAST(o_custkey AS VARCHAR) AS id, CASE WHEN lo = hi THEN lo END AS authority, CASE WHEN slo = shi THEN slo END AS status FROM g""")
+def claim_source_metadata(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders")
+    ref = F.struct(F.lit("s").alias("source_id"), F.col("o_orderkey").cast("string").alias("evidence_id"))
+    c = o.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.collect_list(ref).alias("evidence"))
+    e = o.select(F.lit("s").alias("source_id"), F.col("o_orderkey").cast("string").alias("evidence_id"), F.col("o_orderpriority").alias("authority"), F.col("o_orderstatus").alias("lifecycle"), F.lit(None).cast("string").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
+    return CL.evidence_metadata(c, e).select("id", "authority", "status")
+
+
+_PAIRS = """, pairs AS (SELECT a.id AS l_id, b.id AS r_id, a.object AS lo, b.object AS ro, a.valid_from AS lf, a.valid_to AS lt, b.valid_from AS rf, b.valid_to AS rt, a.authority AS la, b.authority AS ra, a.status AS ls, b.status AS rs
+  FROM claim a JOIN claim b ON a.o_custkey = b.o_custkey AND a.id < b.id AND a.object <> b.object)"""
+
+
+@query(sql(CLAIM, body=_PAIRS + "SELECT l_id, r_id, lo AS l_object, ro AS r_object FROM pairs"))
+def conflict_pairs(spark, sf_dir):
+    return CL.conflict_pairs(V.claims(spark, sf_dir)).select("l_id", "r_id", "l_object", "r_object")
+
+
+_RESOLVED = _PAIRS + f""", act AS (SELECT *, lf <= '{AS_OF}' AND lt >= '{AS_OF}' AS lact, rf <= '{AS_OF}' AND rt >= '{AS_OF}' AS ract, lt < rf OR rt < lf AS dis,
+  CASE ls WHEN 'approved' THEN 0 WHEN 'proposed' THEN 1 END AS lst, CASE rs WHEN 'approved' THEN 0 WHEN 'proposed' THEN 1 END AS rst,
+  nullif(list_position(['1-URGENT','2-HIGH','3-MEDIUM'], la), 0) AS lrk, nullif(list_position(['1-URGENT','2-HIGH','3-MEDIUM'], ra), 0) AS rrk FROM pairs)
+, res AS (SELECT 'cfl_' || substr(sha256(l_id || ':' || r_id), 1, 24) AS conflict_id, l_id, r_id,
+  CASE WHEN dis OR lact <> ract THEN 'temporal' WHEN lst <> rst THEN 'state' WHEN lrk <> rrk THEN 'authority' ELSE 'semantic' END AS kind,
+  CASE WHEN dis OR lact <> ract OR coalesce(lst <> rst, false) OR coalesce(lrk <> rrk, false) THEN 'resolved' ELSE 'unresolved' END AS status,
+  CASE WHEN lact <> ract THEN CASE WHEN lact THEN l_id ELSE r_id END WHEN dis THEN NULL WHEN lst <> rst THEN CASE WHEN lst < rst THEN l_id ELSE r_id END WHEN lrk <> rrk THEN CASE WHEN lrk < rrk THEN l_id ELSE r_id END END AS winner FROM act)"""
+_PRECEDENCE = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+@query(sql(CLAIM, body=_RESOLVED + "SELECT * FROM res"))
+def conflict_resolution(spark, sf_dir):
+    return CL.resolve_conflicts(CL.conflict_pairs(V.claims(spark, sf_dir)), AS_OF, _PRECEDENCE)
+
+
+@query(sql(CLAIM, body=_RESOLVED + "SELECT conflict_id AS id, 'CST-UNRESOLVED-CONFLICT' AS code, 'warning' AS severity, l_id || ',' || r_id AS target_ids FROM res WHERE status = 'unresolved'"))
+def unresolved_diagnostics(spark, sf_dir):
+    c = conflict_resolution(spark, sf_dir).filter("status = 'unresolved'")
+    return c.select(F.col("conflict_id").alias("id"), F.lit("CST-UNRESOLVED-CONFLICT").alias("code"), F.lit("warning").alias("severity"), F.concat_ws(",", "l_id", "r_id").alias("target_ids"))
+
+
+@query(sql(CLAIM, body=_RESOLVED + "SELECT CAST(0 AS BIGINT) AS errors, count(*) FILTER (status = 'unresolved') AS warnings, CAST(0 AS BIGINT) AS infos, CASE WHEN count(*) FILTER (status = 'unresolved') > 0 THEN 'failed' ELSE 'completed' END AS status FROM res"))
+def build_status(spark, sf_dir):
+    return CL.build_status(unresolved_diagnostics(spark, sf_dir), F.col("warnings"), allowed=False)
+
+
+_SCALARS = [(1, " 3 日 以内", "三日以内"), (2, "申請は10営業日以内とする", "10営業日以内"), (3, "2時間未満", "120分未満"), (4, "Yes", "yes "), (5, "五か月まで", "5か月まで"), (6, "期限なし", ""), (7, "7日間", "7日")]
+
+
+@query("""SELECT * FROM (VALUES (1, '3:日:以内', '3:日:以内', true), (2, '10:営業日:以内', '10:営業日:以内', true), (3, '2:時間:未満', '120:分:未満', false), (4, NULL, NULL, true), (5, '5:か月:まで', '5:か月:まで', true),
+(6, NULL, NULL, false), (7, NULL, NULL, false)) t(id, left_duration, right_duration, equivalent)""")
+def scalar_equivalence(spark, sf_dir):
+    d = spark.createDataFrame(_SCALARS, "id int, a string, b string")
+    return d.select("id", X.duration_constraint(F.col("a")).alias("left_duration"), X.duration_constraint(F.col("b")).alias("right_duration"), X.objects_equivalent(F.col("a"), F.col("b")).alias("equivalent"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, translate(regexp_replace(lower(p_name), '\\s+', '', 'g'), '一二', '12') AS norm FROM part")
+def scalar_normalize(spark, sf_dir):
+    return V.table(spark, sf_dir, "part").select("p_partkey", X.scalar_normalize(F.col("p_name")).alias("norm"))
+
+
+# --- predicates ---------------------------------------------------------------------------------------------------
+
+_NEXT = """, pair AS (SELECT p.source_id, n.source_id AS other, p.products AS pp, p.sites AS ps, n.products AS np, n.sites AS ns FROM prof p JOIN rel r USING (source_id) JOIN prof n ON n.source_id = r.target_id)"""
+
+
+def _scope_pairs(spark, sf_dir):
+    p = V.profiles(spark, sf_dir)
+    r = V.relations(spark, sf_dir).select("source_id", F.col("target_id").alias("other"))
+    return p.select("source_id", F.col("scope").alias("a")).join(r, "source_id").join(p.select(F.col("source_id").alias("other"), F.col("scope").alias("b")), "other")
+
+
+@query(sql(SRC, PROF, REL, body=_NEXT + """SELECT source_id, other, CASE WHEN (len(pp) > 0 AND len(np) > 0 AND NOT list_has_any(pp, np)) OR (len(ps) > 0 AND len(ns) > 0 AND NOT list_has_any(ps, ns)) THEN 'mismatch'
+  WHEN (len(pp) > 0 AND len(np) = 0) OR (len(ps) > 0 AND len(ns) = 0) THEN 'missing' ELSE 'match' END AS result,
+  concat_ws(',', CASE WHEN len(ps) > 0 AND len(ns) = 0 THEN 'sites' END, CASE WHEN len(pp) > 0 AND len(np) = 0 THEN 'products' END) AS missing FROM pair"""))
+def scope_match(spark, sf_dir):
+    return _scope_pairs(spark, sf_dir).select("source_id", "other", S.scope_match(F.col("a"), F.col("b")).alias("result"), F.array_join(S.scope_missing(F.col("a"), F.col("b")), ",").alias("missing"))
+
+
+@query(sql(SRC, PROF, REL, body=_NEXT + """, f AS (SELECT *, (len(np) = 0 OR (len(pp) > 0 AND list_has_all(np, pp))) AND (len(ns) = 0 OR (len(ps) > 0 AND list_has_all(ns, ps))) AS inside,
+  (len(np) = 0 AND len(pp) > 0) OR (len(ns) = 0 AND len(ps) > 0) AS smaller FROM pair)
+SELECT source_id, other, inside AND smaller AS refines, len(pp) = len(np) AND len(ps) = len(ns) AND list_has_all(np, pp) AND list_has_all(ns, ps) AS equivalent FROM f"""))
+def scope_refinement(spark, sf_dir):
+    return _scope_pairs(spark, sf_dir).select("source_id", "other", S.strict_refinement(F.col("a"), F.col("b")).alias("refines"), S.scopes_equivalent(F.col("a"), F.col("b")).alias("equivalent"))
+
+
+@query(sql(SRC, PROF, REL, body=_NEXT + """SELECT source_id, other, (len(pp) = 0 AND len(ps) = 0) OR ((list_has_any(pp, np) OR list_has_any(ps, ns)) AND NOT (len(pp) > 0 AND len(np) > 0 AND NOT list_has_any(pp, np)) AND NOT (len(ps) > 0 AND len(ns) > 0 AND NOT list_has_any(ps, ns))) AS compatible FROM pair"""))
+def scope_override(spark, sf_dir):
+    return _scope_pairs(spark, sf_dir).select("source_id", "other", S.compatible_for_override(F.col("a"), F.col("b")).alias("compatible"))
+
+
+@query(sql(SRC, PROF, body=f"""SELECT source_id, coalesce(try_strptime(valid_from, '%Y-%m-%d') <= TIMESTAMP '{AS_OF}', true) AND coalesce(try_strptime(valid_to, '%Y-%m-%d') >= TIMESTAMP '{AS_OF}', true) AS at_date, valid_from IS NULL AND valid_to IS NULL AS undated FROM prof"""))
+def effective_as_of(spark, sf_dir):
+    f, t = F.col("valid_from"), F.col("valid_to")
+    return V.profiles(spark, sf_dir).select("source_id", T.effective(f, t, F.lit(AS_OF)).alias("at_date"), T.effective(f, t, F.lit(None).cast("string")).alias("undated"))
+
+
+@query(sql(SRC, REL, body=f"""SELECT id, CASE WHEN valid_to = 'later' THEN false ELSE coalesce(valid_from <= '{AS_OF}', true) AND coalesce(valid_to >= '{AS_OF}', true) END AS active, valid_from IS NULL AND valid_to IS NULL AS undated FROM rel"""))
+def relation_active(spark, sf_dir):
+    f, t = F.col("valid_from"), F.col("valid_to")
+    return V.relations(spark, sf_dir).select("id", T.relation_active(f, t, F.lit(AS_OF)).alias("active"), T.relation_active(f, t, F.lit(None).cast("string")).alias("undated"))
+
+
+@query(sql(SRC, REL, body="SELECT id, kind NOT IN ('amends', 'order_of_precedence') OR sc IN ('c1', 'c2') OR tc IN ('c1', 'c2') AS requested, sc = tc AS overlap FROM rel"))
+def clause_requested(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    want = F.array(F.lit("c1"), F.lit("c2"))
+    return r.select("id", S.clause_requested(want, F.col("kind"), F.col("source_clauses"), F.col("target_clauses")).alias("requested"), S.clauses_overlap(F.col("source_clauses"), F.col("target_clauses")).alias("overlap"))
+
+
+# --- normalization and validation ---------------------------------------------------------------------------------
+
+_ALIASES = [(0, "products", "english", ["EN", "anglais"]), (1, "products", "german", ["DE"]), (2, "sites", "fr-site", ["fr"])]
+
+
+def _aliases(spark):
+    return spark.createDataFrame(_ALIASES, "ordinal int, dimension string, canonical string, aliases array<string>")
+
+
+@query(sql(SRC, PROF, body="""SELECT source_id, coalesce(CASE products[1] WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN '' ELSE products[1] END, '') AS products,
+  array_to_string(list_sort(list_concat(list_filter(sites, lambda s: s <> 'src0'), CASE WHEN products[1] = 'fr' THEN ['fr-site'] ELSE [] END)), ',') AS sites FROM prof"""))
+def normalize_scopes(spark, sf_dir):
+    out, _ = N.normalize_scopes(V.profiles(spark, sf_dir).select("source_id", "scope"), _aliases(spark), ["src0"])
+    return out.select("source_id", F.array_join("scope.products", ",").alias("products"), F.array_join("scope.sites", ",").alias("sites"))
+
+
+@query(sql(SRC, PROF, body="""SELECT source_id, 'scope.alias_normalized' AS code, 'products' AS dim, products[1] AS value FROM prof WHERE products[1] IN ('en', 'de', 'fr')
+UNION ALL SELECT source_id, 'scope.universal_value_normalized', 'sites', 'src0' FROM prof WHERE sites[1] = 'src0'"""))
+def scope_diagnostics(spark, sf_dir):
+    return N.normalize_scopes(V.profiles(spark, sf_dir).select("source_id", "scope"), _aliases(spark), ["src0"])[1]
+
+
+@query(sql(SRC, REL, body="SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'See Clause ' || sc ELSE ' ' || sc || ' ' END AS clause, CASE sc WHEN 'c1' THEN 'first' WHEN 'c2' THEN 'second' ELSE CASE WHEN doc_id % 2 = 0 THEN 'See Clause ' || sc ELSE sc END END AS canonical FROM rel"))
+def normalize_clauses(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    c = F.element_at("source_clauses", 1)
+    clauses = r.select("id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("See Clause "), c)).otherwise(F.concat(F.lit(" "), c, F.lit(" "))).alias("clause"))
+    return N.normalize_clauses(clauses, spark.createDataFrame([(0, "first", ["c1"]), (1, "second", ["C2"]), (2, "late", ["c1"])], "ordinal int, canonical string, aliases array<string>"))
+
+
+@query(sql(SRC, PROF, body="""SELECT source_id, 'profile.invalid_date' AS code FROM prof WHERE valid_from = 'soon' OR valid_to = '30 days' UNION SELECT source_id, 'profile.invalid_authority_rank' FROM prof WHERE authority_rank * 2 > 10
+UNION SELECT source_id, 'profile.duplicate_source_id' FROM prof WHERE doc_id % 40 = 0"""))
+def profile_diagnostics(spark, sf_dir):
+    p = V.profiles(spark, sf_dir).withColumn("authority_rank", F.col("authority_rank") * 2)
+    return N.profile_diagnostics(p.unionByName(p.filter("doc_id % 40 = 0")))
+
+
+@query(sql(SRC, PROF, REL, body="""SELECT id, 'relation.unknown_source' AS code FROM rel WHERE source_id NOT IN (SELECT source_id FROM prof) UNION SELECT id, 'relation.unknown_target' FROM rel WHERE doc_id % 31 <> 0 AND target_id NOT IN (SELECT source_id FROM prof)
+UNION SELECT id, 'relation.unknown_target' FROM rel WHERE doc_id % 31 = 0 AND source_id NOT IN (SELECT source_id FROM prof) UNION SELECT id, 'relation.self_loop' FROM rel WHERE doc_id % 31 = 0 UNION SELECT id, 'relation.amends_without_clauses' FROM rel WHERE kind = 'amends' AND doc_id % 2 = 0"""))
+def relation_diagnostics(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    k = F.col("doc_id")
+    bent = r.withColumn("target_id", F.when(k % 31 == 0, F.col("source_id")).otherwise(F.col("target_id"))).withColumn("source_clauses", F.when(k % 2 == 0, F.array().cast("array<string>")).otherwise(F.col("source_clauses")))
+    return N.relation_diagnostics(bent, V.profiles(spark, sf_dir))
+
+
+@query(sql(SRC, PROF, body="SELECT source_id, CASE WHEN doc_id % 2 = 0 THEN 'X' ELSE document_id END AS document_id, CASE WHEN doc_id % 2 = 0 THEN CAST(10 AS INTEGER) ELSE authority_rank END AS authority_rank, CASE WHEN doc_id % 2 = 0 THEN 'proposal' ELSE role END AS role FROM prof"))
+def profile_overlay(spark, sf_dir):
+    p = V.profiles(spark, sf_dir)
+    n = F.lit(None)
+    meta = p.filter("doc_id % 2 = 0").select("source_id", F.lit("X").alias("document_id"), n.cast("string").alias("revision"), F.lit("proposal").alias("role"), n.cast("string").alias("level"), F.lit(99).alias("authority_rank"), n.cast("boolean").alias("approved"), n.cast("string").alias("valid_from"), n.cast("string").alias("valid_to"), n.cast("boolean").alias("official_record"))
+    return N.overlay(p, meta).select("source_id", "document_id", "authority_rank", "role")
+
+
+# --- resolvers ----------------------------------------------------------------------------------------------------
+
+
+@query(sql(SRC, RETRIEVED, CAND, body="SELECT case_id, source_id, CASE WHEN row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, ordinal DESC) = 1 THEN 'canonical' ELSE 'reference' END AS disposition FROM cand"))
+def resolve_r0(spark, sf_dir):
+    return RE.resolve_r0(V.candidates(spark, sf_dir)).select("case_id", "source_id", "disposition")
+
+
+_JOINED = f""", j AS (SELECT c.case_id, c.ordinal, c.source_id, c.relevance, x.as_of, x.roles, p.source_id IS NOT NULL AS known, p.role, p.level, p.authority_rank, p.approved, p.valid_from, p.valid_to, p.official_record,
+  CASE WHEN (len(p.products) > 0 AND len(x.products) > 0 AND NOT list_has_any(p.products, x.products)) THEN 'mismatch' WHEN (len(p.products) > 0 AND len(x.products) = 0) OR len(p.sites) > 0 THEN 'missing' ELSE 'match' END AS m,
+  concat_ws(',', CASE WHEN len(p.sites) > 0 THEN 'sites' END, CASE WHEN len(p.products) > 0 AND len(x.products) = 0 THEN 'products' END) AS dims,
+  CASE WHEN x.as_of IS NULL THEN p.valid_from IS NULL AND p.valid_to IS NULL ELSE coalesce(try_strptime(p.valid_from, '%Y-%m-%d') <= TIMESTAMP '{AS_OF}', true) AND coalesce(try_strptime(p.valid_to, '%Y-%m-%d') >= TIMESTAMP '{AS_OF}', true) END AS eff
+  FROM cand c JOIN ctx x USING (case_id) LEFT JOIN prof p ON p.source_id = c.source_id)"""
+
+
+@query(sql(SRC, PROF, RETRIEVED, CAND, body=_JOINED + """, w AS (SELECT *, CASE WHEN NOT known THEN relevance ELSE relevance + authority_rank * CAST(0.05 AS DOUBLE) + CASE WHEN approved THEN CAST(0.25 AS DOUBLE) ELSE CAST(-0.6 AS DOUBLE) END + CASE WHEN level = 'mandatory' THEN CAST(0.15 AS DOUBLE) ELSE 0 END
+  + CASE m WHEN 'match' THEN CAST(0.3 AS DOUBLE) WHEN 'missing' THEN CAST(-0.1 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END + CASE WHEN eff THEN CAST(0.2 AS DOUBLE) ELSE CAST(-0.4 AS DOUBLE) END END AS s FROM j)
+SELECT case_id, source_id, CASE WHEN row_number() OVER (PARTITION BY case_id ORDER BY s DESC, ordinal DESC) = 1 THEN 'canonical' ELSE 'reference' END AS disposition, round(s, 6) AS score FROM w"""))
+def resolve_s1(spark, sf_dir):
+    return RE.resolve_s1(V.candidates(spark, sf_dir), V.contexts(spark, sf_dir), V.profiles(spark, sf_dir)).select("case_id", "source_id", "disposition", F.round("score", 6).alias("score"))
+
+
+_S2 = _JOINED + """, d AS (SELECT *, list_contains(roles, role) AS wants, CASE WHEN NOT known THEN 'unresolved' WHEN m = 'mismatch' THEN 'excluded' WHEN m = 'missing' THEN 'unresolved' WHEN NOT approved THEN 'excluded'
+  WHEN (valid_from IS NOT NULL OR valid_to IS NOT NULL) AND as_of IS NULL THEN 'unresolved' WHEN NOT eff THEN 'historical' WHEN role = 'record' THEN 'execution_record' WHEN NOT list_contains(roles, role) THEN 'reference' ELSE 'eligible' END AS x,
+  CASE WHEN NOT known THEN 'relation_invalid' WHEN m = 'mismatch' THEN 'scope_mismatch' WHEN m = 'missing' THEN 'scope_input_missing' WHEN NOT approved THEN 'scope_matched,not_approved'
+  WHEN (valid_from IS NOT NULL OR valid_to IS NOT NULL) AND as_of IS NULL THEN 'scope_matched,approved,scope_input_missing' WHEN NOT eff THEN 'scope_matched,approved,not_effective_at_requested_time'
+  ELSE 'scope_matched,approved,effective_at_requested_time,' || CASE WHEN list_contains(roles, role) THEN 'role_matched' ELSE 'role_separated' END END AS r,
+  CASE WHEN NOT known THEN 'document_profile' WHEN m = 'mismatch' THEN '' WHEN m = 'missing' THEN dims WHEN NOT approved THEN '' WHEN (valid_from IS NOT NULL OR valid_to IS NOT NULL) AND as_of IS NULL THEN 'as_of' ELSE '' END AS mi FROM j)
+, s2 AS (SELECT *, x = 'eligible' AND row_number() OVER (PARTITION BY case_id, role, x ORDER BY authority_rank DESC, relevance DESC, ordinal DESC) = 1 AS wins FROM d)"""
+
+
+@query(sql(SRC, PROF, RETRIEVED, CAND, body=_S2 + "SELECT case_id, source_id, CASE WHEN wins THEN 'canonical' WHEN x = 'eligible' THEN 'reference' ELSE x END AS disposition, r || CASE WHEN wins THEN ',higher_authority' ELSE '' END AS reasons, mi AS missing_inputs FROM s2"))
+def resolve_s2(spark, sf_dir):
+    d = RE.resolve_s2(V.candidates(spark, sf_dir), V.contexts(spark, sf_dir), V.profiles(spark, sf_dir))
+    return d.select("case_id", "source_id", "disposition", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing_inputs", ",").alias("missing_inputs"))
+
+
+@query()
+def resolve_s3(spark, sf_dir):
+    d = RE.resolve_s3(V.candidates(spark, sf_dir), V.contexts(spark, sf_dir), V.profiles(spark, sf_dir), V.relations(spark, sf_dir))
+    return d.select("case_id", "source_id", "disposition", F.array_join("reasons", ",").alias("reasons"), F.array_join("relation_path", ",").alias("relation_path"))
+
+
+# --- rerank -------------------------------------------------------------------------------------------------------
+
+_ROLE_SQL = """, role AS (SELECT DISTINCT vec_id, CASE WHEN p.doc_id IS NULL THEN NULL WHEN NOT approved THEN 'excluded' WHEN role IN ('normative', 'instruction') THEN 'governing' WHEN role IN ('record', 'analysis') THEN 'verifier' WHEN role = 'proposal' THEN 'contender' END AS role
+  FROM retrieved r LEFT JOIN prof p ON p.doc_id = r.vec_id)"""
+
+
+def _with_roles(spark, sf_dir):
+    p = V.profiles(spark, sf_dir)
+    role = F.when(~F.col("approved"), "excluded").when(F.col("role").isin("normative", "instruction"), "governing").when(F.col("role").isin("record", "analysis"), "verifier").when(F.col("role") == "proposal", "contender")
+    return V.retrieved(spark, sf_dir).join(p.select(F.col("doc_id").alias("vec_id"), role.alias("role")), "vec_id", "left")
+
+
+@query(sql(SRC, PROF, RETRIEVED, body=_ROLE_SQL + """, a AS (SELECT query_id, r.vec_id, rank, role, rank + CASE role WHEN 'governing' THEN -4 WHEN 'verifier' THEN -2 WHEN 'contender' THEN 2 WHEN 'excluded' THEN 6 ELSE 0 END AS adj FROM retrieved r JOIN role USING (vec_id))
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, role, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adj, rank) AS INTEGER) AS new_rank FROM a"""))
+def soft_rerank(spark, sf_dir):
+    """Flagship: which retrieved documents may govern, and in what order."""
+    return RR.soft_rerank(_with_roles(spark, sf_dir)).select("query_id", "vec_id", "rank", "role", "new_rank")
+
+
+@query(sql(SRC, REL, body=""", r AS (SELECT *, CASE WHEN kind IN ('approves', 'records_execution_of', 'evaluates') THEN ['verifier', 'governing'] WHEN kind = 'implements_decision' THEN ['governing', 'verifier'] WHEN position = 'dominates' THEN ['governing', 'excluded']
+  WHEN position = 'conditional' THEN ['governing', 'governing'] WHEN position = 'non_effective' THEN ['excluded', 'governing'] ELSE ['contender', 'contender'] END AS rr FROM rel)
+, m AS (SELECT source_id, rr[1] AS role FROM r UNION ALL SELECT target_id, rr[2] FROM r)
+SELECT source_id, ['excluded', 'contender', 'verifier', 'governing'][min(list_position(['excluded', 'contender', 'verifier', 'governing'], role))] AS role FROM m GROUP BY 1"""))
+def primary_role(spark, sf_dir):
+    none = spark.createDataFrame([], "id string, source_id string, evidence_id string")
+    return RR.primary_role(P.materials(V.relations(spark, sf_dir), none))
+
+
+# --- candidate graph, dossiers, slots, packets --------------------------------------------------------------------
+
+_POST = """, post AS (SELECT DISTINCT source_id, 'lexical' AS kk, 20 AS w, lower(line) AS key FROM lines WHERE length(line) BETWEEN 4 AND 60 UNION SELECT source_id, 'document', 100, 'D' || (doc_id % 150) FROM src WHERE doc_id % 3 = 0)
+, ok AS (SELECT p.* FROM post p JOIN (SELECT kk, key FROM post GROUP BY ALL HAVING count(*) BETWEEN 2 AND 64) USING (kk, key))
+, e AS (SELECT a.source_id AS a, b.source_id AS b, CAST(sum(a.w) AS BIGINT) AS weight FROM ok a JOIN ok b ON a.kk = b.kk AND a.key = b.key AND a.source_id < b.source_id GROUP BY ALL)
+, both_ AS (SELECT a AS s, b AS t, weight FROM e UNION ALL SELECT b, a, weight FROM e)
+, graph AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b, weight FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY weight DESC, t) AS r FROM both_) WHERE r <= 32)"""
+
+
+def _postings(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    lines = PA.evidence_lines(s).filter(F.char_length("text").between(4, 60)).select("source_id", F.lit("lexical").alias("key_kind"), F.lower("text").alias("key"))
+    return lines.unionByName(s.filter("doc_id % 3 = 0").select("source_id", F.lit("document").alias("key_kind"), F.concat(F.lit("D"), (F.col("doc_id") % 150).cast("string")).alias("key")))
+
+
+@query(sql(SRC, LINES, body=_POST + "SELECT * FROM graph"))
+def candidate_graph(spark, sf_dir):
+    return C.candidate_graph(_postings(spark, sf_dir))
+
+
+_DOSSIER = """, mem AS (SELECT source_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source || '/' || lang END AS dossier FROM src)
+, n AS (SELECT dossier, count(*) AS n FROM mem WHERE dossier IS NOT NULL GROUP BY 1)"""
+
+
+@query(sql(SRC, LINES, body=_POST + _DOSSIER + """SELECT x.dossier, x.source_id AS a, y.source_id AS b FROM mem x JOIN mem y ON x.dossier = y.dossier AND x.source_id < y.source_id JOIN n ON n.dossier = x.dossier WHERE n <= 12
+UNION ALL SELECT x.dossier, a, b FROM graph JOIN mem x ON x.source_id = a JOIN mem y ON y.source_id = b JOIN n ON n.dossier = x.dossier WHERE x.dossier = y.dossier AND n > 12
+UNION ALL SELECT NULL, a, b FROM graph JOIN mem x ON x.source_id = a JOIN mem y ON y.source_id = b WHERE x.dossier IS NULL OR y.dossier IS NULL"""))
+def dossier_plans(spark, sf_dir):
+    members = V.sources(spark, sf_dir).select("source_id", F.when(F.col("doc_id") % 5 != 0, F.concat_ws("/", "source", "lang")).alias("dossier"))
+    return C.dossier_plan(members, C.candidate_graph(_postings(spark, sf_dir)))
+
+
+@query()
+def bounded_batches(spark, sf_dir):
+    return C.bounded_batches(dossier_plans(spark, sf_dir).filter("dossier IS NOT NULL"))
+
+
+@query(sql(SRC, REL, body="SELECT source || '/' || lang AS dossier, r.source_id AS a, r.target_id AS b, CAST((row_number() OVER (PARTITION BY source, lang ORDER BY r.source_id, r.target_id) - 1) // 8 AS BIGINT) AS chunk FROM rel r JOIN src USING (doc_id)"))
+def edge_chunks(spark, sf_dir):
+    s = V.sources(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", "lang").alias("dossier"))
+    return C.edge_chunks(V.relations(spark, sf_dir).join(s, "doc_id").select("dossier", F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+
+
+@query(sql(SRC, PROF, body=""", u AS (SELECT document_id, count(*) AS n, min(source_id) AS s FROM prof GROUP BY 1)
+SELECT CAST(d.doc_id AS VARCHAR) AS id, 'D' || (d.doc_id % 200) AS endpoint, CASE WHEN u.n = 1 THEN u.s ELSE 'D' || (d.doc_id % 200) END AS resolved FROM src d LEFT JOIN u ON u.document_id = 'D' || (d.doc_id % 200)"""))
+def endpoint_resolution(spark, sf_dir):
+    refs = V.sources(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("D"), (F.col("doc_id") % 200).cast("string")).alias("endpoint"))
+    return C.unique_endpoints(refs, V.profiles(spark, sf_dir))
+
+
+_SLOT_TYPES = ("specification_amendment", "technical_specification", "test_record", "technical_draft")
+_SLOT_DOCS = """, sd AS (SELECT doc_id, source_id, source || '/' || lang || '/' || (doc_id % 2) AS scenario, ['specification_amendment','technical_specification','test_record','technical_draft'][1 + (doc_id // 2) % 4] AS dt, ['t' || (doc_id % 3), 'u' || (doc_id % 5)] AS tok FROM src)
+, sp AS (SELECT s.source_id, t.source_id AS target_id, r.kind, r.position, len(list_intersect(s.tok, t.tok)) AS sh FROM sd s JOIN (VALUES ('specification_amendment', 'amends', 'dominates', 'technical_specification'), ('test_record', 'records_execution_of', 'non_effective', 'specification_amendment'),
+  ('technical_draft', 'proposes_change_to', 'non_effective', 'technical_specification')) r(st, kind, position, tt) ON s.dt = r.st LEFT JOIN sd t ON t.scenario = s.scenario AND t.dt = r.tt)
+, b AS (SELECT *, count(target_id) OVER w AS n, max(sh) OVER w AS best FROM sp WINDOW w AS (PARTITION BY source_id, kind))
+, hit AS (SELECT source_id, target_id, kind, position FROM (SELECT *, count(*) FILTER (sh = best) OVER (PARTITION BY source_id, kind) AS ties FROM b) WHERE target_id IS NOT NULL AND (n = 1 OR (sh = best AND best > 0 AND ties = 1)))"""
+
+
+def _slot_docs(spark, sf_dir):
+    s, k = V.sources(spark, sf_dir), F.col("doc_id")
+    return s.select(
+        "source_id", F.concat_ws("/", "source", "lang", (k % 2).cast("string")).alias("scenario"), F.lit("technical_spec").alias("purpose"), V._pick(_SLOT_TYPES, F.floor(k / 2)).alias("document_type"),
+        F.lit("current").alias("status"), F.array(F.concat(F.lit("t"), (k % 3).cast("string")), F.concat(F.lit("u"), (k % 5).cast("string"))).alias("tokens"),
+    )
+
+
+@query(sql(SRC, body=_SLOT_DOCS + "SELECT source_id, target_id, kind, position, 'slot_' || substr(sha256(source_id || ':' || target_id || ':' || kind || ':required-slot'), 1, 16) AS id FROM hit"))
+def required_slots(spark, sf_dir):
+    return R.required_slots(_slot_docs(spark, sf_dir))
+
+
+@query(sql(SRC, body=_SLOT_DOCS + "SELECT DISTINCT source_id, 'technical_spec' AS purpose, kind, 'REL-UNRESOLVED-REQUIRED-SLOT' AS code FROM sp WHERE (source_id, kind) NOT IN (SELECT (source_id, kind) FROM hit)"))
+def unresolved_slots(spark, sf_dir):
+    return R.unresolved_slots(_slot_docs(spark, sf_dir))
+
+
+@query(sql(SRC, body=_SLOT_DOCS + """SELECT source_id, kind, target_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, kind ORDER BY target_id) AS r FROM sp WHERE target_id IS NOT NULL AND (source_id, kind) NOT IN (SELECT (source_id, kind) FROM hit)) WHERE r <= 32"""))
+def slot_fallback_pairs(spark, sf_dir):
+    return R.slot_fallback_pairs(_slot_docs(spark, sf_dir))
+
+
+def _typed(spark, sf_dir):
+    p, k = V.profiles(spark, sf_dir), F.col("doc_id")
+    types = ("work_instruction", "operating_procedure", "temporary_deviation", "execution_log", "vendor_proposal", "master_agreement")
+    small = S.scope_of(products=F.col("scope")["products"], lots=F.array((F.floor(k / 30)).cast("string")), sites=F.when(k % 2 == 0, F.array(F.lit("s1"))))
+    return p.select("source_id", "doc_id", V._pick(types, k).alias("document_type"), (F.col("role") != "proposal").alias("approved"), small.alias("scope"))
+
+
+@query(sql(SRC, PROF, body=""", t AS (SELECT source_id, doc_id, ['work_instruction','operating_procedure','temporary_deviation','execution_log','vendor_proposal','master_agreement'][1 + doc_id % 6] AS dt, role <> 'proposal' AS ap, products AS p, [CAST(doc_id // 30 AS VARCHAR)] AS l, CASE WHEN doc_id % 2 = 0 THEN ['s1'] ELSE [] END AS s FROM prof)
+, ru(dt, wa, tt, kind, position, test) AS (VALUES ('vendor_proposal', false, 'master_agreement', 'proposes_change_to', 'non_effective', 'within'), ('work_instruction', true, 'operating_procedure', 'applies_to', 'conditional', 'refines'), ('temporary_deviation', true, 'operating_procedure', 'exception_to', 'conditional', 'within'), ('execution_log', true, 'temporary_deviation', 'records_execution_of', 'non_effective', 'within'))
+, pr AS (SELECT a.source_id, b.source_id AS target_id, kind, position, test, a.dt, (len(b.p) = 0 OR (len(a.p) > 0 AND list_has_all(b.p, a.p))) AND list_has_all(b.l, a.l) AND (len(b.s) = 0 OR len(a.s) > 0) AS inside, (len(b.p) = 0 AND len(a.p) > 0) OR (len(b.s) = 0 AND len(a.s) > 0) AS smaller,
+  len(a.p) = len(b.p) AND list_has_all(b.p, a.p) AND a.l = b.l AND len(a.s) = len(b.s) AS eq FROM t a JOIN ru ON a.dt = ru.dt AND a.ap = ru.wa JOIN t b ON b.dt = ru.tt AND b.ap AND b.source_id <> a.source_id AND (list_has_any(a.p, b.p) OR list_has_any(a.l, b.l) OR list_has_any(a.s, b.s)))
+, ok AS (SELECT *, count(*) OVER (PARTITION BY source_id, kind) AS n FROM pr WHERE CASE WHEN test = 'refines' THEN inside AND smaller ELSE (inside AND smaller) OR eq END)
+SELECT source_id, target_id, kind, position, 'coverage_' || substr(sha256(source_id || ':' || target_id || ':' || kind), 1, 16) AS id FROM ok WHERE n = 1 OR dt = 'vendor_proposal'"""))
+def coverage_rules(spark, sf_dir):
+    none = spark.createDataFrame([], "source_id string, target_id string, kind string")
+    return R.coverage(_typed(spark, sf_dir), none).select("source_id", "target_id", "kind", "position", "id")
+
+
+@query(sql(SRC, PROF, body=""", s AS (SELECT doc_id, source_id, 'D' || ((doc_id + 3) % 150) AS t, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 3 AS VARCHAR) END AS rv FROM prof WHERE doc_id % 4 = 1 OR doc_id % 2 = 0)
+, j AS (SELECT s.source_id, p.source_id AS target_id, t, row_number() OVER (PARTITION BY s.source_id ORDER BY p.doc_id) AS n FROM s JOIN prof p ON p.document_id = t AND (rv IS NULL OR p.revision = rv) AND p.source_id <> s.source_id)
+SELECT 'position_' || substr(sha256(source_id || ':' || target_id || ':' || t || ':dominates'), 1, 16) AS id, source_id, target_id FROM j WHERE n = 1"""))
+def front_matter_positions(spark, sf_dir):
+    p, k = V.profiles(spark, sf_dir), F.col("doc_id")
+    s = p.filter("doc_id % 4 = 1 OR doc_id % 2 = 0").select("source_id", F.lit("dominates").alias("position"), F.concat(F.lit("D"), ((k + 3) % 150).cast("string")).alias("position_target_document_id"), F.when(k % 2 == 0, (k % 3).cast("string")).alias("position_target_revision"))
+    return R.front_matter_positions(s, p.withColumn("ordinal", k)).select("id", "source_id", "target_id")
+
+
+_RT = {k: v.split() for k, v in R.TERMS.items()}
+_RSCORE = " ".join(f"WHEN '{k}' THEN " + " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in ts) for k, ts in _RT.items())
+
+
+@query(sql(SRC, REL, LINES, body=f""", en AS (SELECT id, kind, source_id FROM rel UNION ALL SELECT id, kind, target_id FROM rel)
+, sc AS (SELECT id, en.source_id, evidence_id, line_no, 20 * (CASE kind {_RSCORE} ELSE 0 END) + 3 * CAST(regexp_matches(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS INTEGER) AS score FROM en JOIN lines USING (source_id))
+SELECT id, source_id, evidence_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, source_id ORDER BY score DESC, line_no) AS r FROM sc) WHERE r <= 3"""))
+def relation_evidence_top3(spark, sf_dir):
+    return R.relation_evidence(V.relations(spark, sf_dir), PA.evidence_lines(V.sources(spark, sf_dir)))
+
+
+@query(sql(SRC, REL, body=""", r AS (SELECT *, CASE WHEN kind IN ('approves', 'records_execution_of', 'evaluates') THEN ['verifier', 'governing'] WHEN kind = 'implements_decision' THEN ['governing', 'verifier'] WHEN position = 'dominates' THEN ['governing', 'excluded']
+  WHEN position = 'conditional' THEN ['governing', 'governing'] WHEN position = 'non_effective' THEN ['excluded', 'governing'] ELSE ['contender', 'contender'] END AS rr FROM (SELECT * FROM rel UNION ALL SELECT * REPLACE (id || 'b' AS id) FROM rel WHERE doc_id % 3 = 0))
+, m AS (SELECT id, source_id AS s, rr[1] AS role FROM r UNION ALL SELECT id, target_id, rr[2] FROM r UNION ALL SELECT id, 'other', 'verifier' FROM r WHERE doc_id % 2 = 0)
+, sig AS (SELECT id, string_agg(s || ':' || role, ',' ORDER BY s, role) AS mats FROM m GROUP BY id)
+SELECT 'packet:review:' || min(id) AS id, string_agg(id, ',' ORDER BY id) AS relation_ids, mats AS materials FROM sig GROUP BY mats"""))
+def decision_packets(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    r = r.unionByName(r.filter("doc_id % 3 = 0").withColumn("id", F.concat("id", F.lit("b"))))
+    ev = r.filter("doc_id % 2 = 0").select("id", F.lit("other").alias("source_id"), F.concat(F.lit("e"), "id").alias("evidence_id"))
+    p = P.build_packets(r, ev, "review")
+    return p.select("id", F.array_join("relation_ids", ",").alias("relation_ids"), F.array_join(F.transform("materials", lambda m: F.concat_ws(":", m["source_id"], m["role"])), ",").alias("materials"))
+
+
+# --- export and metrics -------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT 'clm_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 32) AS id, o_custkey, o_orderkey, o_orderstatus AS object FROM orders WHERE o_custkey % 20 = 0)
+, p AS (SELECT a.id AS l, b.id AS r, 'cfl_' || substr(sha256(a.id || ':' || b.id), 1, 24) AS cid FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.id < b.id AND a.object <> b.object), x AS (SELECT l AS id, cid FROM p UNION ALL SELECT r, cid FROM p)
+SELECT 'unit:ev_' || o_orderkey AS id, 'src_' || (o_orderkey % 500) AS source_id, c.id AS claim_ids, coalesce(string_agg(cid, ',' ORDER BY cid), '') AS conflict_ids FROM c LEFT JOIN x USING (id) GROUP BY o_orderkey, c.id""")
+def export_units(spark, sf_dir):
+    c = V.claims(spark, sf_dir).filter(F.regexp_extract("subject", "(\\d+)$", 1).cast("int") % 20 == 0)
+    e = c.select(F.explode("evidence").alias("r"), "object").select("r.source_id", "r.evidence_id", F.col("object").alias("text"))
+    out = EX.export_units(e, c, CL.resolve_conflicts(CL.conflict_pairs(c), AS_OF, _PRECEDENCE))
+    return out.select("id", "source_id", F.array_join("claim_ids", ",").alias("claim_ids"), F.array_join("conflict_ids", ",").alias("conflict_ids"))
+
+
+def _records(spark, sf_dir, which):
+    return V.snapshot(spark, sf_dir, which).select(F.concat(F.lit("unit:"), "source_id").alias("id"), F.col("content_hash").alias("payload"))
+
+
+@query(sql(SRC, SNAP, body="SELECT 'unit:' || coalesce(o.source_id, n.source_id) AS id, CASE WHEN n.path IS NULL THEN 'delete' ELSE 'upsert' END AS op, n.content_hash AS payload FROM sold o FULL JOIN snew n ON o.path = n.path WHERE n.content_hash IS DISTINCT FROM o.content_hash"))
+def export_delta(spark, sf_dir):
+    return EX.delta(_records(spark, sf_dir, "old"), _records(spark, sf_dir, "new"))
+
+
+@query(sql(SRC, SNAP, body="SELECT count(*) FILTER (n.path IS NOT NULL AND n.content_hash IS DISTINCT FROM o.content_hash) AS upserts, count(*) FILTER (n.path IS NULL) AS deletes, count(*) FILTER (n.content_hash = o.content_hash) AS unchanged FROM sold o FULL JOIN snew n ON o.path = n.path"))
+def delta_summary(spark, sf_dir):
+    return EX.delta_summary(_records(spark, sf_dir, "old"), _records(spark, sf_dir, "new"))
+
+
+@query(sql(RETRIEVED, body=""", g AS (SELECT vec_id AS q, vec_id + 25 AS s FROM vec WHERE vec_id % 25 = 0 UNION SELECT vec_id, vec_id + 1 FROM vec WHERE vec_id % 25 = 0 UNION SELECT query_id, vec_id FROM retrieved WHERE rank IN (2, 7))
+, per AS (SELECT q, count(DISTINCT s) AS n, count(DISTINCT r.vec_id) AS f FROM g LEFT JOIN retrieved r ON r.query_id = q AND r.vec_id = s AND rank <= 5 GROUP BY q), ret AS (SELECT query_id AS q, count(*) AS k FROM retrieved WHERE rank <= 5 GROUP BY 1)
+SELECT count(*) AS questions, round(avg(f / n), 9) AS recall, round(avg(CASE WHEN f = n THEN 1 ELSE 0 END), 9) AS complete, round(avg(coalesce(f / k, 0)), 9) AS precision FROM per LEFT JOIN ret USING (q)"""))
+def retrieval_at_k(spark, sf_dir):
+    r = V.retrieved(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("source_id"), "rank")
+    q = V.table(spark, sf_dir, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"))
+    g = q.select("question_id", (F.col("question_id") + 25).alias("source_id")).union(q.select("question_id", F.col("question_id") + 1)).union(r.filter("rank IN (2, 7)").select("question_id", "source_id")).distinct()
+    m = M.retrieval_at_k(r, g, 5)
+    return m.select("questions", *[F.round(c, 9).alias(c) for c in ("recall", "complete", "precision")])
+
+
+@query(sql(RETRIEVED, body=""", c AS (SELECT query_id AS q, rank AS cl, 1 + rank % 3 AS w, max(CASE WHEN rank % 2 = 0 THEN 1 ELSE 0 END) AS hit FROM retrieved GROUP BY ALL)
+, h AS (SELECT query_id AS q, least(1.0, sum(0.3)) AS h FROM retrieved WHERE rank % 6 = 0 GROUP BY 1)
+SELECT q AS question_id, round(p - coalesce(h, 0), 9) AS value FROM (SELECT q, sum(w * hit) / sum(w) AS p FROM c GROUP BY q) LEFT JOIN h USING (q)"""))
+def dvaa(spark, sf_dir):
+    r = V.retrieved(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("source_id"), "rank")
+    claims = r.select("question_id", F.col("rank").alias("claim_id"), (1 + F.col("rank") % 3).alias("weight"), "source_id")
+    bad = r.filter("rank % 3 = 0").select("question_id", "source_id", F.lit(0.3).alias("penalty"))
+    return M.dvaa(claims, bad, r.filter("rank % 2 = 0").select("question_id", "source_id")).select("question_id", F.round("value", 9).alias("value"))
+
+
+@query("""WITH g AS (SELECT o_orderpriority AS category, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM orders GROUP BY 1), z AS (SELECT *, CAST(k AS DOUBLE) / n AS p, 1.959963984540054 * 1.959963984540054 AS zz FROM g)
+SELECT category, n, k, round(greatest(0, (p + zz / (2 * n)) / (1 + zz / n) - 1.959963984540054 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 9) AS low, round(least(1, (p + zz / (2 * n)) / (1 + zz / n) + 1.959963984540054 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 9) AS high FROM z""")
+def wilson(spark, sf_dir):
+    g = V.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
+    low, high = M.wilson(F.col("k"), F.col("n"))
+    return g.select("category", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query()
+def bootstrap_mean(spark, sf_dir):
+    return M.bootstrap_mean(V.retrieved(spark, sf_dir).select("query_id", "vec_id", "relevance"), "relevance", iterations=200)
+
+
+@query("""WITH r AS (SELECT event_type AS s, value AS x, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT s AS strategy, count(*) AS runs, round(avg(x), 6) AS mean_seconds, max(x) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(x) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, round(avg(CASE WHEN event_id % 4 > 0 THEN 1.0 ELSE 0.0 END), 6) AS completed FROM r GROUP BY 1""")
+def strategy_summary(spark, sf_dir):
+    runs = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("seconds"), F.col("event_id").alias("run_id"), F.when(F.col("event_id") % 4 > 0, "completed").otherwise("failed").alias("status"))
+    return M.strategy_summary(runs).select("strategy", "runs", F.round("mean_seconds", 6).alias("mean_seconds"), "p50", "p95", F.round("completed", 6).alias("completed"))
+
+
+@query("""WITH l AS (SELECT user_id % 50 AS d, event_type AS s, value, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY event_id DESC) AS n FROM events), k AS (SELECT * FROM l WHERE n = 1), b AS (SELECT min(event_type) AS b FROM events)
+SELECT a.d AS domain, a.s AS strategy, a.value AS seconds, z.value AS base_seconds FROM k a JOIN b ON a.s <> b.b JOIN k z ON z.d = a.d AND z.s = b.b""")
+def paired_comparison(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    base = e.agg(F.min("event_type")).first()[0]
+    runs = e.select((F.col("user_id") % 50).alias("domain"), F.col("event_type").alias("strategy"), F.col("value").alias("seconds"), F.col("event_id").alias("run_id"))
+    return M.paired_comparison(runs, base).drop("ratio")
+
+
+@query(sql(SRC, REL, body="""SELECT count(*) FILTER (doc_id % 3 <> 0) AS found, count(*) FILTER (doc_id % 4 <> 0) AS gold, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 4 <> 0) AS correct,
+  round(count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 4 <> 0) / count(*) FILTER (doc_id % 3 <> 0), 9) AS precision, round(count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 4 <> 0) / count(*) FILTER (doc_id % 4 <> 0), 9) AS recall FROM rel"""))
+def relation_pr(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    m = M.relation_pr(r.filter("doc_id % 3 <> 0"), r.filter("doc_id % 4 <> 0"))
+    return m.select("found", "gold", "correct", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(sql(SRC, PROF, RETRIEVED, CAND, body=_S2 + """, a AS (SELECT case_id, k % 3 AS category, source_id, CASE WHEN wins THEN 'canonical' WHEN x = 'eligible' THEN 'reference' ELSE x END AS want, rr.g FROM s2 JOIN (SELECT DISTINCT case_id, k FROM cand) USING (case_id)
+  JOIN (SELECT case_id, source_id, CASE WHEN row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, ordinal DESC) = 1 THEN 'canonical' ELSE 'reference' END AS g FROM cand) rr USING (case_id, source_id))
+, c AS (SELECT category, case_id, min(CAST(want = g AS INTEGER)) AS strict, sum(CAST(want = g AS INTEGER)) AS ok, count(*) AS n, count(*) FILTER (want = 'unresolved') AS ab FROM a GROUP BY ALL)
+SELECT CAST(category AS VARCHAR) AS category, CAST(sum(n) AS BIGINT) AS decisions, round(sum(ok) / sum(n), 9) AS decision_accuracy, round(avg(strict), 9) AS strict_accuracy, CAST(CASE WHEN sum(ab) = 0 THEN 1 ELSE 0 END AS DOUBLE) AS abstention_accuracy FROM c GROUP BY ROLLUP (category)"""))
+def oracle_metrics(spark, sf_dir):
+    c, x, p = V.candidates(spark, sf_dir), V.contexts(spark, sf_dir), V.profiles(spark, sf_dir)
+    want = RE.resolve_s2(c, x, p).withColumn("category", (F.regexp_extract("case_id", "(\\d+)", 1).cast("long") % 3).cast("string")).withColumn("reasons", F.array().cast("array<string>"))
+    m = M.oracle_metrics(want, RE.resolve_r0(c))
+    return m.select("category", "decisions", *[F.round(k, 9).alias(k) for k in ("decision_accuracy", "strict_accuracy", "abstention_accuracy")])
