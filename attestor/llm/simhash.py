@@ -60,14 +60,15 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, row, fp): row is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in utf8(b.column(1))), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t) for t in utf8(b.column(2))), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _link_block(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -165,23 +166,33 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return groups.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_link_groups, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, fp, component_id) of each row."""
+    prints = shared(fingerprints(docs, id_col, text_col))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(fingerprint_links(nodes.select("fp")))
+    rooted = shared(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "row", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id of its component).
 
     Null and empty texts have fingerprint 0 and are linked like any other; rows that repeat an id or have none come back
     as often as they came in, a component without any id having a null component_id; an empty table gives no rows.
     """
-    prints = shared(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(nodes.select("fp")))
-    rooted = shared(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component, one per component. Of rows that share this
-    id one stays; a component without any id keeps one row too."""
-    found = shared(near_duplicates(docs, id_col, text_col).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    joined = docs.join(found.select(F.col("doc_id").alias("__id")), F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    return joined.dropDuplicates([id_col]) if found.filter("n > 1").limit(1).count() else joined
+    """The row of ``docs`` that has the smallest id of its component, one per component. Where rows share an id, the text
+    tells which of them is meant, and equal rows leave one; all components without any id keep one row."""
+    found = shared(_grouped(docs, id_col, text_col).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("__row")))
+    odd = found.filter("n > 1 OR doc_id IS NULL").limit(1).count() > 0
+    kept = found.filter("__row IS NOT NULL").select(F.col("doc_id").alias("__id"), "__row")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    if not odd:
+        return docs.join(kept, same).drop("__id", "__row")
+    joined = docs.join(kept, same & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__row")))
+    return joined.dropDuplicates([id_col]).drop("__id", "__row")

@@ -1,0 +1,428 @@
+"""The training-data operators against brute force, and their behaviour on odd rows."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from attestor.llm import decontaminate as D
+from attestor.llm import html as H
+from attestor.llm import licenses as L
+from attestor.llm import mixing as M
+from attestor.llm import pii as P
+from attestor.llm import quality as Q
+from attestor.llm import sharding as SH
+from attestor.llm import simhash as S
+from attestor.llm import suffix_dedup as B
+from attestor.llm import topk as T
+from attestor.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], DOCS)
+
+
+ODD = [(5, None, "a"), (3, "", None), (None, "no id here", "a"), (5, "again " * 50, "b"), (7, "x", None), (7, "x", None), (9, "word " * 30000, "a")]
+
+
+def prose(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    texts = [prose(rng, words, rng.randint(20, 160)) for _ in range(60)]
+    texts += [texts[3]] * 5 + [texts[4] + " tail"] + [texts[5].replace(" ", "  ", 2)] + [texts[6][:200] + texts[7][:300] + texts[6][100:260]]
+    return words, [(i * 2, t, f"s{i % 4}") for i, t in enumerate(texts)]
+
+
+# --- top-k
+
+
+def test_topk_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((700, 12)).astype(np.float32) / 3
+    x[300:340] = x[300]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = T.top_k(df, df.filter("vec_id % 50 = 0")).collect()
+    q = T.quantise(x)
+    for i in range(0, 700, 50):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:5]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == i)
+        assert mine == [(k + 1, j, int(s[j])) for k, j in enumerate(order)]
+
+
+def test_topk_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0]), (50, [0.5, 0.5]), (50, [0.5, 0.25]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in T.top_k(df, df.filter("vec_id % 50 = 0")).collect()}
+    assert got == {(0, 1, 50, 128 * 256 + 64 * 512), (50, 1, 0, 128 * 256 + 64 * 512)}
+    assert T.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+# --- suffix dedup
+
+
+def brute_strip(docs):
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for p in range(len(b) - B.LENGTH + 1):
+            w = b[p : p + B.LENGTH]
+            if w in seen:
+                mask[p : p + B.LENGTH] = b"\1" * B.LENGTH
+            seen.add(w)
+        kept = bytes(c for c, m in zip(b, mask) if not m)
+        out[i] = (len(b), sum(mask), len(bytes(mask).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_brute_force(spark, corpus):
+    rows = corpus[1] + [(1001, "é" * 90, "a"), (1002, "z" * 500, "a"), (1003, None, "a"), (1004, "xy" * 130, "a")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in B.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got == brute_strip([(i, t) for i, t, _ in rows])
+    assert sum(v[1] for v in got.values()) > 1000
+
+
+def test_suffix_hot_passages_and_long_documents(corpus, monkeypatch):
+    monkeypatch.setattr(B, "SEGMENT", 300)
+    texts = {i: t.encode() for i, t, _ in corpus[1]}
+    hot = np.unique(np.concatenate([B.runs_of(t)[0] for t in texts.values()]))[::2]
+    r, again = B._split_first(B._batch_runs(list(texts), list(texts.values()), hot))
+    spans = [(x["doc"], x["at"], x["n"]) for x in r[again]]
+    r = r[~again]
+    d, a, n = B._refine_runs(r["doc"], r["at"], [texts[int(x["doc"])][x["at"] : x["at"] + x["n"] + 99] for x in r])
+    spans += zip(d, a, n)
+    want = brute_strip([(i, t) for i, t, _ in corpus[1]])
+    for i, t in texts.items():
+        mine = [(a, n) for d, a, n in spans if d == i]
+        kept, removed, runs = B.strip_runs(t, np.array([a for a, _ in mine], int), np.array([n for _, n in mine], int))
+        assert (len(t), removed, runs, hashlib.sha256(kept).hexdigest()) == want[i]
+
+
+def test_suffix_odd_rows(spark):
+    rows = B.remove_repeats(docs_of(spark, ODD)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes) for r in rows) == [(False, 3, 0), (False, 5, 0), (False, 5, 300), (False, 7, 1), (False, 9, 150000), (True, 0, 10)]
+    assert B.remove_repeats(docs_of(spark, [])).count() == 0
+
+
+# --- SimHash
+
+
+def slow_fingerprint(t):
+    w = (t or "").encode().lower().split()
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+    hs = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_fingerprints_and_groups(spark, corpus):
+    rows = corpus[1] + [(999, "", "a"), (1001, None, "a"), (1003, "two words", "a")]
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in S.near_duplicates(docs_of(spark, rows)).collect()}
+    fp = {i: slow_fingerprint(t) for i, t, _ in rows}
+    assert {i: v[0] for i, v in got.items()} == fp
+    root = {i: i for i in fp}
+    for _ in fp:
+        for i in fp:
+            root[i] = min(root[j] for j in fp if bin(fp[i] ^ fp[j]).count("1") <= 3)
+    assert {i: v[1] for i, v in got.items()} == root
+    kept = {r.doc_id for r in S.keep_first(docs_of(spark, rows)).collect()}
+    assert kept == set(root.values())
+
+
+@pytest.mark.parametrize("tile", [16, 100000])
+def test_links_of_dense_groups(spark, monkeypatch, tile):
+    """A chain of near fingerprints in one hot group, in tiles and not, and random ones around."""
+    monkeypatch.setattr(S, "TILE", tile)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2**62))
+    fps = {base}
+    while len(fps) < 220:
+        fps.add(rng.choice(list(fps)) ^ (1 << int(rng.integers(0, 30))) ^ (1 << int(rng.integers(0, 30))))
+    fps |= {int(v) for v in rng.integers(0, 2**63, 300)}
+    fps = sorted(int(f) for f in fps)
+    links = S.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = {r.node: r.root for r in connected_components(links).collect()}
+    x = np.array(fps, dtype=np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    assert {f: got.get(f, f) for f in fps} == {f: fps[label[i]] for i, f in enumerate(fps)}
+
+
+def test_simhash_odd_rows(spark):
+    got = S.near_duplicates(docs_of(spark, ODD)).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.fp == 0} == {3}
+    assert S.near_duplicates(docs_of(spark, [])).count() == 0
+    kept = S.keep_first(docs_of(spark, ODD)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [3, 5, 7, 9] and len(kept) == 5
+    assert next(r.text for r in kept if r.doc_id == 5).startswith("again")
+
+
+def test_components_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(df).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100}
+
+
+# --- quality
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdl") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(700):
+        good = rng.random() < 0.8
+        t = prose(rng, words, rng.randint(20, 120)).capitalize() + "."
+        rows.append((i, t if good else " ".join(w + rng.choice(["###", "&&&", "***"]) for w in t.split()), f"s{i % 3}"))
+        if rng.random() < 0.5:
+            labels.append((i, int(good), 0))
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = Q.score(docs, Q.train(docs, labels)).join(labels, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 30 and sum(r.predicted == r.quality for r in held) / len(held) > 0.95
+    kept = Q.filter_quality(docs, labels)
+    assert kept.columns == docs.columns and 450 < kept.count() < 650
+
+
+def test_quality_folds_and_odd_rows(spark):
+    import zlib
+
+    docs = docs_of(spark, ODD)
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    got = Q.score(docs, Q.train(docs, labels)).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert Q.score(docs.limit(0), Q.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_nnpu_separates():
+    rng = np.random.default_rng(0)
+    p, n = rng.normal(1, 1, (500, 3)), rng.normal(-1, 1, (500, 3))
+    one = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = Q.fit_nnpu(one(p[:250]), one(np.concatenate([p[250:], n])), 0.33)
+    assert (one(p) @ w > 0).mean() > 0.85 and (one(n) @ w < 0).mean() > 0.85
+
+
+# --- decontamination
+
+
+def test_leaks(spark, corpus):
+    words, rows = corpus
+    rng = random.Random(8)
+    items = [prose(rng, words, rng.randint(18, 50)) for _ in range(30)]
+    planted, clean = {}, set()
+    docs = []
+    for i, t, s in rows:
+        if i % 6 == 0 and i // 6 < len(items):
+            k = i // 6
+            leak = items[k].split()
+            if k % 3 == 1:  # a paraphrase: some words changed, the answer kept
+                for j in range(0, len(leak) - 8, 5):
+                    leak[j] = "altered"
+            if k % 3 == 2:
+                leak = [w.upper() + "," if j % 4 == 0 else w for j, w in enumerate(leak)]
+            docs.append((i, t + "\n" + " ".join(leak) + "\n" + t[:80], s))
+            planted[i] = k
+        else:
+            docs.append((i, t, s))
+            clean.add(i)
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(99, None), (98, " ")], "item_id long, text string")
+    df = docs_of(spark, docs)
+    got = {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()}
+    assert got == set(planted.items())
+    assert {r.doc_id for r in D.remove_leaks(df, bench).collect()} == clean
+
+
+def test_benchmark_in_shards(spark, corpus, monkeypatch):
+    words, rows = corpus
+    items = [" ".join(t.split()[:30]) for _, t, _ in rows[:12] if len(t.split()) > 40]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()}
+    monkeypatch.setattr(D, "SHARD_BYTES", 400)
+    assert len(D.fit(docs_of(spark, rows).select("text"), bench)) > 1
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()} == one and len(one) >= len(items)
+
+
+def test_leaks_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "again again again again again again again again")], "item_id long, text string")
+    assert {r.doc_id for r in D.leaks(docs_of(spark, ODD), bench).collect()} == {5}
+    assert D.leaks(docs_of(spark, ODD), bench.limit(0)).count() == 0 and D.leaks(docs_of(spark, []), bench).count() == 0
+
+
+def test_lcs():
+    for a, b in (("abcde", "xacxe"), ("", "abc"), ("aaaa", "aa"), ("abc", "abc")):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        assert D.lcs_length([x.encode() for x in a], [x.encode() for x in b]) == t[-1][-1]
+
+
+# --- licences
+
+
+def test_licences(spark):
+    notes = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: BSD-3-Clause"]
+    rows = [(i, f"some words here\n{n}\nand more of them", "a") for i, n in enumerate(notes)] + [(50 + i, t, "a") for i, t in enumerate(["Mit und der Apache in the general public", "my driver license expired in version 2.0 of town", "", None, "no rights at all"])]
+    got = {r.doc_id: (r.family, r.paragraph, rows[r.doc_id][1][r.start : r.end]) for r in L.scan(docs_of(spark, rows)).collect()}
+    assert {i: v[0] for i, v in got.items()} == dict(enumerate(["mit", "gpl", "cc-by-nc", "apache", "bsd"]))
+    assert all(v[1] == 1 and v[2] == notes[i] for i, v in got.items())
+    assert L.scan(docs_of(spark, [])).count() == 0 and L.scan(docs_of(spark, ODD)).count() == 0
+
+
+# --- surrogates
+
+MAIL = 'Write to ann.lee42@mail.example.com or +1 (017) 555-7713; card 4952935900253052, token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde". Mrs Jane Doe, 10.1.2.3'
+
+
+def test_surrogates(spark):
+    rows = [(1, MAIL, "a"), (2, "again ANN.LEE42@mail.example.com and 4952-9359-0025-3052", "a"), (4, "clean text of 2024 with 12 items", "a"), *ODD]
+    got = {(r.doc_id, i): r for i, r in enumerate(P.pseudonymise(docs_of(spark, rows)).collect())}
+    texts = sorted((r.text for r in got.values() if r.text), key=len)
+    all_text = " ".join(texts)
+    for secret in ("ann.lee42", "555-7713", "4952935900253052", "2abc3ff2", "Jane", "Doe", "10.1.2.3", "4952-9359"):
+        assert secret not in all_text and secret.upper() not in all_text
+    by = {r.doc_id: r for r in got.values() if r.doc_id in (1, 2, 4)}
+    assert by[4].text == "clean text of 2024 with 12 items" and by[4].n_entities == 0
+    spans = lambda r: {s["kind"]: r.text[s["start"] : s["end"]] for s in r.spans}
+    one, two = spans(by[1]), spans(by[2])
+    assert one["email"].upper() == two["email"].upper() and one["card"] == two["card"].replace("-", "")  # coreference over formats
+    assert set(one) == {"email", "phone", "card", "secret", "name", "ip"} and len(one["secret"]) == 40 and one["card"][0] == "4"
+    assert P.pseudonymise(docs_of(spark, [])).count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    real = P.surrogate_norm
+    monkeypatch.setattr(P, "surrogate_norm", lambda k, n, t=0: "10.0.0.1" if k == "ip" and t == 0 else real(k, n, t))
+    rows = [(i, f"host 192.168.7.{i} and 192.168.7.{i}", "a") for i in range(1, 6)]
+    turns = {}
+    names = {f"192.168.7.{i}" for i in range(1, 6)}
+    while True:  # what the Spark loop does, on the driver
+        made = {n: P.surrogate_norm("ip", n, turns.get(n, 0)) for n in names}
+        again = [n for n in names if any(m < n and made[m] == made[n] for m in names)]
+        if not again:
+            break
+        for n in again:
+            turns[n] = turns.get(n, 0) + 1
+    assert len(set(made.values())) == 5
+    monkeypatch.undo()
+    out = P.pseudonymise(docs_of(spark, rows)).collect()
+    assert len({r.text for r in out}) == 5 and all(r.n_entities == 2 for r in out)
+
+
+def test_digit_permutation():
+    for n in (1, 2, 3, 4):
+        assert len({P._digits(str(i).zfill(n), "phone", 0) for i in range(10**n)}) == 10**n
+
+
+# --- pages
+
+PAGE = '<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></ul></nav><!-- no --><div class="ad">buy</div><article><h1>T &amp; U</h1><p><b>One\n two<br><p>f&ouml;ur &am</article><footer>&copy; host</footer>'
+
+
+def test_pages(spark):
+    plain = "<html><body><div id=top><p>shared menu line</p></div><div><p>own words {0}</p></div><p>shared menu line</p></body></html>"
+    rows = [(1, "http://a/1", PAGE), (2, None, None), (3, "x", ""), (1, "http://a/1", PAGE)] + [(10 + i, "https://b/x", plain.format(i)) for i in range(6)]
+    got = {r.page_id: (r.text, r.n_chars) for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "T & U\nOne two\nföur &am"
+    assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0)
+    assert {i: got[10 + i][0] for i in range(6)} == {i: f"own words {i}" for i in range(6)}  # template subtrees go
+    assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_page_structure():
+    text = lambda h: H.page_blocks(h)[1]
+    assert text("<article><p>a<aside>b</aside><form>c</form><section class='comments'><p>d</section><p>e</article>") == ["a", "e"]
+    assert text("<main><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></main>") == ["a", "b", "c", "d"]
+    assert text("<p>a &lt;b&gt; &#233;&nbsp;x") == ["a <b> é x"]
+    assert text("<div hidden>x</div><p>y</p></div></p>z") == ["y", "z"]
+    assert H.host_of("HTTP://User@Host:80/x") == "host" and H.host_of("nothing") == ""
+
+
+# --- mixing and sharding
+
+
+def test_mix(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 60), ["a", "b", "c", None][min(3, int(rng.random() * 5))]) for i in range(900)]
+    df = docs_of(spark, rows)
+    plan = M.mix_plan(df).collect()
+    sizes = {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    capped = set()
+    while True:  # water filling
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+        t = {s: 3 * sizes[s] if s in capped else left * weight[s] / sum(w for x, w in weight.items() if x not in capped) for s in sizes}
+        over = {s for s in sizes if t[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    source = {i: s for i, _, s in rows}
+    taken = {}
+    for r in plan:
+        assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - t[source[r.doc_id]]) < 1e-6 and r.taken <= 3 * r.size
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+    assert all(abs(taken[s] - t[s]) < 0.01 * sum(sizes.values()) for s in sizes)
+    assert sorted(plan) == sorted(M.mix_plan(df.repartition(7)).collect())
+    mixed = M.mix_documents(df)
+    assert mixed.columns == df.columns and mixed.agg(F.sum(M.word_count(F.col("text")))).first()[0] == sum(r.taken for r in plan)
+
+
+def test_mix_caps_and_odd_rows(spark):
+    rows = [(1, "a b", "a")] + [(10 + i, "w " * 50, "b") for i in range(40)]
+    plan = {r.doc_id: r for r in M.mix_plan(docs_of(spark, rows)).collect()}
+    assert plan[1].target == 6.0 and plan[1].taken <= 6
+    assert len(M.mix_plan(docs_of(spark, ODD)).collect()) == len(ODD)
+    assert M.mix_plan(docs_of(spark, [])).count() == 0 and M.mix_documents(docs_of(spark, [])).count() == 0
+    assert all(r.taken == 0 for r in M.mix_plan(docs_of(spark, [(1, "", "a"), (2, None, "b")])).collect())
+
+
+def jump(key, n):
+    key, b, j = key % 2**64, -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+@pytest.mark.parametrize("shards", [1, 24, 100])
+def test_shards(spark, shards):
+    import zlib
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(-(2**63), 2**63), "é" * (i % 9), "a") for i in range(600)] + [(0, "z", "a"), (None, None, "a"), (0, "z", "a")]
+    got = SH.shard_documents(docs_of(spark, rows).withColumn("shard", F.lit(99)), shards, group_rows=64).collect()
+    assert len(got) == len(rows)
+    slots = {}
+    for r in got:
+        b = (r.text or "").encode()
+        assert r.shard == jump(r.doc_id or 0, shards) and r.grown_shard == jump(r.doc_id or 0, shards + 1) and r.grown_shard in (r.shard, shards)
+        assert (r["size"], r.text_crc32, r.law) == (len(b) + 8, zlib.crc32(b), "key")
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert SH.shard_documents(docs_of(spark, []), shards).count() == 0
+
+
+def test_sharding_is_native(spark):
+    plan = SH.shard_documents(docs_of(spark, ODD))._jdf.queryExecution().toString()
+    assert "Python" not in plan.split("== Physical Plan ==")[1] and "Arrow" not in plan.split("== Physical Plan ==")[1]
