@@ -173,7 +173,7 @@ def page_blocks(html: str) -> tuple[bool, list[str], list[list[int]]]:
     def flush(path: list[int]) -> None:
         if text:
             # runs of white space, also those that references stand for, become one space
-            s = " ".join(unescape("".join(text)).split())
+            s = " ".join("".join(text).split())
             text.clear()
             if s:
                 blocks.append(s)
@@ -185,7 +185,7 @@ def page_blocks(html: str) -> tuple[bool, list[str], list[list[int]]]:
         while stack:
             node, leaving = stack.pop()
             if isinstance(node, str):
-                text.append(node)
+                text.append(unescape(node))
             elif leaving:
                 if node.tag in _BLOCK:
                     flush(path)
