@@ -154,3 +154,74 @@ def relation_evidence(relations: DataFrame, units: DataFrame, k: int = 3) -> Dat
     scored = ends.join(units, "source_id").withColumn("score", F.greatest(hits, F.lit(0)) * 20 + dated * 3)
     w = Window.partitionBy("id", "source_id").orderBy(F.desc("score"), "line_start")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "source_id", "evidence_id", "score", "rank")
+
+
+def claim_pairs(pairs: DataFrame, claims: DataFrame, agree: bool, limit: int = 64) -> DataFrame:
+    """(source_id, target_id, source_claim, target_claim): for each pair of sources the claims that speak of one subject
+    and predicate with equivalent objects (``agree``) or different ones, the pair with the shortest subject first.
+    At most ``limit`` claims of a source, the first by id, are looked at."""
+    c = claims.select("id", "subject", "predicate", "object", F.explode(F.array_distinct(F.col("evidence.source_id"))).alias("s"))
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("id"))).filter(F.col("n") <= limit)
+    side = lambda p, end: c.select(F.col("s").alias(end), F.lower("predicate").alias("predicate"), *[F.col(x).alias(f"{p}_{x}") for x in ("id", "subject", "object")])
+    j = pairs.select("source_id", "target_id").join(side("a", "source_id"), "source_id").join(side("b", "target_id"), ["target_id", "predicate"])
+    same = X.objects_equivalent(F.col("a_object"), F.col("b_object"))
+    j = j.filter(X.subjects_overlap(F.col("a_subject"), F.col("b_subject")) & (same if agree else ~same))
+    short = F.least(F.char_length("a_subject"), F.char_length("b_subject"))
+    best = j.groupBy("source_id", "target_id").agg(F.min(F.struct(short.alias("n"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))).alias("m"))
+    return best.select("source_id", "target_id", F.col("m.a").alias("source_claim"), F.col("m.b").alias("target_claim"))
+
+
+def refine_stale_guidance(relations: DataFrame, profiles: DataFrame, incompatible: DataFrame) -> DataFrame:
+    """Non-effective positions of a communication against an approved norm become conflicts_with where the two sources
+    have incompatible claims (``incompatible``: source_id, target_id)."""
+    role = profiles.select("source_id", "role", "approved")
+    r = relations.join(role.select("source_id", F.col("role").alias("sr")), "source_id", "left").join(role.select(F.col("source_id").alias("target_id"), F.col("role").alias("tr"), F.col("approved").alias("ta")), "target_id", "left")
+    r = r.join(incompatible.select("source_id", "target_id").distinct().withColumn("bad", F.lit(True)), ["source_id", "target_id"], "left")
+    hit = (F.col("kind") == "operational_position") & (F.col("position") == "non_effective") & (F.col("sr") == "communication") & (F.col("tr") == "normative") & F.col("ta") & F.col("bad")
+    return r.withColumn("kind", F.when(hit, "conflicts_with").otherwise(F.col("kind"))).select(*relations.columns)
+
+
+def precedence_coverage(relations: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, position): order_of_precedence between approved instructions, from a lower rank and a
+    narrower scope, also applies_to its target."""
+    p = profiles.filter("approved AND role = 'instruction'")
+    s = p.select("source_id", F.col("authority_rank").alias("s_rank"), F.col("scope").alias("s_scope"))
+    t = p.select(F.col("source_id").alias("target_id"), F.col("authority_rank").alias("t_rank"), F.col("scope").alias("t_scope"))
+    j = relations.filter("kind = 'order_of_precedence'").select("source_id", "target_id").join(s, "source_id").join(t, "target_id")
+    return j.filter((F.col("s_rank") < F.col("t_rank")) & S.strict_refinement(F.col("s_scope"), F.col("t_scope"))).select("source_id", "target_id", F.lit("applies_to").alias("kind"), F.lit("conditional").alias("position"))
+
+
+def stale_faq(faqs: DataFrame, incompatible: DataFrame) -> DataFrame:
+    """(source_id, target_id): the norm that alone has most claims incompatible with a stale FAQ's. ``incompatible`` has a
+    row (source_id, target_id) for each such pair of claims."""
+    n = incompatible.join(faqs.select("source_id"), "source_id", "left_semi").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("source_id").agg(F.max("n").alias("n"))
+    top = n.join(best, ["source_id", "n"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("ties"), F.min("target_id").alias("target_id"))
+    return top.filter("ties = 1").select("source_id", "target_id")
+
+
+def incident_pivot(docs: DataFrame) -> DataFrame:
+    """(scenario, open_report, closed_report, change, release): the last document of each kind in a scenario."""
+    t, s = F.col("document_type"), F.col("status")
+    last = lambda c: F.max_by(F.when(c, F.col("source_id")), F.when(c, F.col("ordinal")))
+    return docs.groupBy("scenario").agg(last((t == "incident_report") & (s == "open")).alias("open_report"), last((t == "incident_report") & (s == "closed")).alias("closed_report"), last(t == "change_request").alias("change"), last(t == "release_record").alias("release"))
+
+
+def incident_change(docs: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, position) of complete incident dossiers: the closed report supersedes the open one, the
+    change derives from the closed report, the release records the change's execution."""
+    p = incident_pivot(docs).filter("open_report IS NOT NULL AND closed_report IS NOT NULL AND change IS NOT NULL AND release IS NOT NULL")
+    edge = lambda a, b, kind, pos: F.struct(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("kind"), F.lit(pos).alias("position"))
+    edges = F.array(edge("closed_report", "open_report", "supersedes", "dominates"), edge("change", "closed_report", "derived_from", "non_effective"), edge("release", "change", "records_execution_of", "non_effective"))
+    return p.select(F.explode(edges).alias("e")).select("e.*")
+
+
+def slot_shape_filter(relations: DataFrame, docs: DataFrame) -> DataFrame:
+    """Relations without those inside a dossier whose kind and document types no slot of its purpose allows; positions
+    declared in front matter stay."""
+    d = docs.select("source_id", "scenario", "purpose", "document_type")
+    r = relations.join(d, "source_id", "left").join(d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("ts"), F.col("purpose").alias("tp"), F.col("document_type").alias("tt")), "target_id", "left")
+    shapes = slot_table(relations.sparkSession).select("purpose", F.col("source_type").alias("document_type"), "kind", F.col("target_type").alias("tt"), F.lit(True).alias("fits")).distinct()
+    inside = F.coalesce((F.col("scenario") == F.col("ts")) & (F.col("purpose") == F.col("tp")), F.lit(False))
+    r = r.join(shapes, ["purpose", "document_type", "kind", "tt"], "left")
+    return r.filter(~inside | F.col("fits") | F.col("id").startswith("position_")).select(*relations.columns)

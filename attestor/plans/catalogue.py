@@ -583,6 +583,79 @@ def decision_packets(spark, sf_dir):
     return p.select("id", F.array_join("relation_ids", ",").alias("relation_ids"), F.array_join(F.transform("materials", lambda m: F.concat_ws(":", m["source_id"], m["role"])), ",").alias("materials"))
 
 
+@query(sql(CLAIM, body=""", pr AS (SELECT DISTINCT 'src_' || (o_orderkey % 500) AS a, 'src_' || ((o_orderkey + 1) % 500) AS b FROM orders)
+, c AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE 16 END AS len FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM claim) WHERE n <= 64)
+, j AS (SELECT pr.a, pr.b, least(x.len, y.len) AS l, x.id AS xi, y.id AS yi FROM pr JOIN c x ON x.source_id = pr.a JOIN c y ON y.source_id = pr.b AND x.o_custkey = y.o_custkey AND x.object <> y.object)
+SELECT a AS source_id, b AS target_id, xi AS source_claim, yi AS target_claim FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY l, xi, yi) AS r FROM j) WHERE r = 1"""))
+def claim_pair_join(spark, sf_dir):
+    k = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    name = lambda c: F.concat(F.lit("src_"), (c % 500).cast("string"))
+    pairs = k.select(name(F.col("k")).alias("source_id"), name(F.col("k") + 1).alias("target_id")).distinct()
+    return R.claim_pairs(pairs, V.claims(spark, sf_dir), agree=False)
+
+
+@query(sql(SRC, body=""", d AS (SELECT lang || '/' || (doc_id // 200) AS sc, source_id, doc_id, doc_id % 4 AS k FROM src)
+, p AS (SELECT sc, arg_max(source_id, doc_id) FILTER (k = 0) AS o, arg_max(source_id, doc_id) FILTER (k = 1) AS c, arg_max(source_id, doc_id) FILTER (k = 2) AS ch, arg_max(source_id, doc_id) FILTER (k = 3) AS r FROM d GROUP BY sc), q AS (SELECT * FROM p WHERE o IS NOT NULL AND c IS NOT NULL AND ch IS NOT NULL AND r IS NOT NULL)
+SELECT c AS source_id, o AS target_id, 'supersedes' AS kind, 'dominates' AS position FROM q UNION ALL SELECT ch, c, 'derived_from', 'non_effective' FROM q UNION ALL SELECT r, ch, 'records_execution_of', 'non_effective' FROM q"""))
+def incident_change(spark, sf_dir):
+    k = F.col("doc_id")
+    d = V.sources(spark, sf_dir).select("source_id", F.concat_ws("/", "lang", F.floor(k / 200).cast("string")).alias("scenario"), V._pick(("incident_report", "incident_report", "change_request", "release_record"), k).alias("document_type"), V._pick(("open", "closed", "x", "x"), k).alias("status"), k.alias("ordinal"))
+    return R.incident_change(d)
+
+
+@query(sql(SRC, PROF, REL, body="""SELECT r.id, CASE WHEN r.kind = 'operational_position' AND position = 'non_effective' AND s.role = 'communication' AND t.role = 'normative' AND t.approved AND r.doc_id % 2 = 0 THEN 'conflicts_with' ELSE r.kind END AS kind
+FROM (SELECT * REPLACE (CASE WHEN doc_id % 7 = 5 THEN 'operational_position' ELSE kind END AS kind, CASE WHEN doc_id % 7 = 5 THEN 'non_effective' ELSE position END AS position) FROM rel) r LEFT JOIN prof s USING (source_id) LEFT JOIN prof t ON t.source_id = r.target_id"""))
+def refine_stale_guidance(spark, sf_dir):
+    r, k = V.relations(spark, sf_dir), F.col("doc_id")
+    r = r.withColumn("kind", F.when(k % 7 == 5, "operational_position").otherwise(F.col("kind"))).withColumn("position", F.when(k % 7 == 5, "non_effective").otherwise(F.col("position")))
+    return R.refine_stale_guidance(r, V.profiles(spark, sf_dir), r.filter("doc_id % 2 = 0").select("source_id", "target_id")).select("id", "kind")
+
+
+@query(sql(SRC, PROF, REL, body="""SELECT r.source_id, r.target_id, 'applies_to' AS kind, 'conditional' AS position FROM rel r JOIN prof s ON s.source_id = r.source_id AND s.approved JOIN prof t ON t.source_id = r.target_id AND t.approved WHERE s.authority_rank < t.authority_rank
+  AND (len(t.products) = 0 OR (len(s.products) > 0 AND list_has_all(t.products, s.products))) AND (len(t.sites) = 0 OR (len(s.sites) > 0 AND list_has_all(t.sites, s.sites))) AND ((len(t.products) = 0 AND len(s.products) > 0) OR (len(t.sites) = 0 AND len(s.sites) > 0))"""))
+def precedence_coverage(spark, sf_dir):
+    r = V.relations(spark, sf_dir).withColumn("kind", F.lit("order_of_precedence"))
+    return R.precedence_coverage(r, V.profiles(spark, sf_dir).withColumn("role", F.lit("instruction")))
+
+
+@query(sql(SRC, REL, body=""", i AS (SELECT source_id, target_id FROM rel UNION ALL SELECT source_id, target_id FROM rel WHERE doc_id % 2 = 0 UNION ALL SELECT source_id, 'norm' FROM rel), n AS (SELECT source_id, target_id, count(*) AS n FROM i WHERE source_id IN (SELECT source_id FROM rel WHERE doc_id % 3 = 0) GROUP BY ALL)
+SELECT source_id, min(target_id) AS target_id FROM (SELECT *, max(n) OVER (PARTITION BY source_id) AS m FROM n) WHERE n = m GROUP BY source_id HAVING count(*) = 1"""))
+def stale_faq(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    i = r.select("source_id", "target_id").unionByName(r.filter("doc_id % 2 = 0").select("source_id", "target_id")).unionByName(r.select("source_id", F.lit("norm").alias("target_id")))
+    return R.stale_faq(r.filter("doc_id % 3 = 0").select("source_id"), i)
+
+
+@query(sql(SRC, REL, body=_SLOT_DOCS + """SELECT r.id FROM rel r JOIN sd s ON s.source_id = r.source_id JOIN sd t ON t.source_id = r.target_id WHERE s.scenario <> t.scenario OR (s.dt, r.kind, t.dt) IN (('specification_amendment', 'amends', 'technical_specification'), ('test_record', 'records_execution_of', 'specification_amendment'), ('technical_draft', 'proposes_change_to', 'technical_specification'))"""))
+def slot_shape_filter(spark, sf_dir):
+    return R.slot_shape_filter(V.relations(spark, sf_dir), _slot_docs(spark, sf_dir)).select("id")
+
+
+@query(sql(SRC, REL, body=""", m AS (SELECT doc_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM rel WHERE doc_id % 2 = 0) SELECT id FROM (SELECT id, doc_id FROM rel UNION ALL SELECT id || 'c', doc_id FROM rel WHERE doc_id % 3 = 0) WHERE NOT (id LIKE '%c' AND doc_id % 2 = 0)"""))
+def absorb_conflicts(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    am = r.withColumn("kind", F.lit("amends"))
+    con = r.filter("doc_id % 3 = 0").withColumns({"id": F.concat("id", F.lit("c")), "kind": F.lit("conflicts_with"), "source_id": F.col("target_id"), "target_id": F.col("source_id")})
+    return R.absorb_conflicts(am.unionByName(con), r.filter("doc_id % 2 = 0").select("source_id")).select("id")
+
+
+_PLANS = [("m1", "u1", "decision_minutes", "「新しい受付期限」を承認"), ("m1", "u2", "decision_minutes", "長い説明。「新しい受付期限」を承認する"), ("p1", "u3", "implementation_plan", "「新しい受付期限」の計画"), ("p2", "u4", "implementation_plan", "「別の計画です」"), ("m2", "u5", "decision_minutes", "句なし")]
+
+
+@query("SELECT 'm1' AS minutes_id, 'p1' AS plan_id, 'u1' AS minutes_unit, 'u3' AS plan_unit")
+def decision_plan_join(spark, sf_dir):
+    return R.decision_plan(spark.createDataFrame(_PLANS, "source_id string, evidence_id string, document_type string, text string"))
+
+
+@query(sql(SRC, LINES, body=""", r AS (SELECT source_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_.-]+')) AS w FROM lines), u AS (SELECT 'src' || (doc_id % 40) || CASE WHEN doc_id < 40 THEN '' ELSE 'x' || doc_id END AS d, source_id AS t FROM src)
+SELECT DISTINCT r.source_id, t AS target_id FROM (SELECT source_id, w FROM r UNION ALL SELECT source_id, 'src' || (doc_id % 7) FROM src) r JOIN u ON u.d = r.w AND u.t <> r.source_id"""))
+def body_references(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    name = F.concat(F.lit("src"), (F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") < 40, "").otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string"))))
+    units = PA.evidence_lines(s).select("source_id", "line_start", "text").unionByName(s.select("source_id", F.lit(9999).cast("long").alias("line_start"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("text")))
+    return C.body_references(units, s.select("source_id", name.alias("document_id")))
+
+
 # --- export and metrics -------------------------------------------------------------------------------------------
 
 
