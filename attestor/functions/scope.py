@@ -85,6 +85,12 @@ def clauses_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(clean(a), clean(b)), F.lit(False))
 
 
+def expresses_precedence(kind: Column, position: Column, clauses: Column) -> Column:
+    """order_of_precedence, or a conditional edge with a clause that speaks of precedence or priority."""
+    says = F.exists(clauses, lambda c: F.lower(c).rlike("優先|precedence|priority"))
+    return (kind == "order_of_precedence") | ((position == "conditional") & F.coalesce(says, F.lit(False)))
+
+
 def exploded(df, owner: str, scope: str = "scope"):
     """(owner, dim, value) rows of a scope column, for joins."""
     def of(d: str) -> Column:

@@ -92,3 +92,34 @@ def oracle_metrics(expected: DataFrame, actual: DataFrame) -> DataFrame:
     j = j.withColumn("ok", ok.cast("int")).withColumn("want", F.size(F.coalesce("reasons", none))).withColumn("have", F.size(F.array_intersect(F.coalesce("reasons", none), F.coalesce("got_reasons", none))))
     case = j.groupBy("category", "case_id").agg(F.min("ok").alias("strict"), F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n"), F.sum("want").alias("want"), F.sum("have").alias("have"), F.sum((F.col("disposition") == "unresolved").cast("int")).alias("abstain"), F.sum((F.col("disposition") == "unresolved").cast("int") * F.col("ok")).alias("abstain_ok"))
     return case.rollup("category").agg(F.sum("n").alias("decisions"), ratio(F.sum("ok"), F.sum("n")).alias("decision_accuracy"), F.avg(F.col("strict").cast("double")).alias("strict_accuracy"), ratio(F.sum("have"), F.sum("want")).alias("reason_recall"), ratio(F.sum("abstain_ok"), F.sum("abstain")).alias("abstention_accuracy"))
+
+
+def oracle_problems(profiles: DataFrame, candidates: DataFrame, expected: DataFrame) -> DataFrame:
+    """(code, id): repeated profiles and candidates, candidates without a profile, expectations that are no candidates."""
+    twice = lambda df, keys, code: df.groupBy(*keys).count().filter("count > 1").select(F.lit(code).alias("code"), F.concat_ws("/", *keys).alias("id"))
+    lost = candidates.join(profiles.select("source_id"), "source_id", "left_anti").select(F.lit("profile_missing").alias("code"), F.concat_ws("/", "case_id", "source_id").alias("id"))
+    stray = expected.join(candidates.select("case_id", "source_id"), ["case_id", "source_id"], "left_anti").select(F.lit("expected_not_candidate").alias("code"), F.concat_ws("/", "case_id", "source_id").alias("id"))
+    return twice(profiles, ["source_id"], "profile_repeated").unionByName(twice(candidates, ["case_id", "source_id"], "candidate_repeated")).unionByName(lost.distinct()).unionByName(stray.distinct())
+
+
+def extraction_metrics(gold: DataFrame, found: DataFrame, fields: list[str], rank: str = "authority_rank") -> DataFrame:
+    """One row: coverage, accuracy of each field among covered profiles, and the mean error of the rank."""
+    right = found.select("source_id", *[F.col(c).alias(f"f_{c}") for c in (*fields, rank)], F.lit(1).alias("there"))
+    j = gold.join(right, "source_id", "left")
+    same = [F.avg(F.when(F.col("there") == 1, F.col(c).eqNullSafe(F.col(f"f_{c}")).cast("double"))).alias(f"{c}_accuracy") for c in fields]
+    return j.agg(F.avg(F.coalesce("there", F.lit(0)).cast("double")).alias("coverage"), *same, F.avg(F.abs(F.col(rank) - F.col(f"f_{rank}")).cast("double")).alias("rank_error"))
+
+
+def scope_values(values: Column) -> Column:
+    """Lower case, trimmed, without empty, null and all, sorted and distinct: how evaluation compares scope values."""
+    clean = F.transform(values, lambda v: F.lower(F.trim(v)))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda v: ~v.isin("", "null", "all"))))
+
+
+def metric_interval(values: DataFrame, column: str, **options) -> DataFrame:
+    """(n, mean, low, high): Wilson bounds if all values are 0 or 1, else bootstrap ones."""
+    row = values.agg(F.count(column).alias("n"), F.sum(column).alias("s"), F.avg(column).alias("mean"), F.min(F.col(column).isin(0, 1)).alias("binary"))
+    if row.first()["binary"]:
+        low, high = wilson(F.col("s"), F.col("n"))
+        return row.select("n", "mean", low.alias("low"), high.alias("high"))
+    return row.select("n").crossJoin(bootstrap_mean(values, column, **options))  # two tables of one row each

@@ -750,3 +750,32 @@ def oracle_metrics(spark, sf_dir):
     want = RE.resolve_s2(c, x, p).withColumn("category", (F.regexp_extract("case_id", "(\\d+)", 1).cast("long") % 3).cast("string")).withColumn("reasons", F.array().cast("array<string>"))
     m = M.oracle_metrics(want, RE.resolve_r0(c))
     return m.select("category", "decisions", *[F.round(k, 9).alias(k) for k in ("decision_accuracy", "strict_accuracy", "abstention_accuracy")])
+
+
+@query(sql(SRC, PROF, RETRIEVED, CAND, body="""SELECT 'profile_missing' AS code, case_id || '/' || source_id AS id FROM cand WHERE source_id NOT IN (SELECT source_id FROM prof) UNION ALL SELECT 'expected_not_candidate', case_id || '/nobody' FROM ctx
+UNION ALL SELECT 'candidate_repeated', case_id || '/' || source_id FROM cand WHERE ordinal = 1 UNION ALL SELECT 'profile_repeated', source_id FROM prof WHERE doc_id % 50 = 0"""))
+def oracle_validate(spark, sf_dir):
+    p, c = V.profiles(spark, sf_dir), V.candidates(spark, sf_dir)
+    return M.oracle_problems(p.unionByName(p.filter("doc_id % 50 = 0")), c.unionByName(c.filter("ordinal = 1")), V.contexts(spark, sf_dir).select("case_id", F.lit("nobody").alias("source_id")))
+
+
+@query(sql(SRC, PROF, body="""SELECT round(avg(CASE WHEN doc_id % 5 <> 0 THEN 1.0 ELSE 0.0 END), 9) AS coverage, round(avg(CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 2 = 0 OR role = 'record' THEN 1.0 ELSE 0.0 END END), 9) AS role_accuracy,
+round(avg(CASE WHEN doc_id % 5 <> 0 THEN 1.0 END), 9) AS approved_accuracy, round(avg(CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 2.0 ELSE 0.0 END END), 9) AS rank_error FROM prof"""))
+def extraction_metrics(spark, sf_dir):
+    p, k = V.profiles(spark, sf_dir), F.col("doc_id")
+    found = p.filter("doc_id % 5 <> 0").withColumn("role", F.when(k % 2 == 0, F.col("role")).otherwise("record")).withColumn("authority_rank", F.col("authority_rank") + F.when(k % 3 == 0, 2).otherwise(0))
+    m = M.extraction_metrics(p, found, ["role", "approved"])
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
+
+
+@query(sql(SRC, PROF, body="SELECT source_id, array_to_string(list_sort(list_distinct(list_filter([lower(trim(document_id)), CASE WHEN doc_id % 2 = 0 THEN 'all' ELSE lower(role) END], lambda v: v <> 'all'))), ',') AS vals FROM prof"))
+def scope_value_normalize(spark, sf_dir):
+    v = F.array(F.concat(F.lit(" "), "document_id"), F.when(F.col("doc_id") % 2 == 0, "ALL").otherwise(F.upper("role")), F.lit("null"))
+    return V.profiles(spark, sf_dir).select("source_id", F.array_join(M.scope_values(v), ",").alias("vals"))
+
+
+@query(sql(SRC, REL, body="SELECT id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, kind = 'order_of_precedence' OR (position = 'conditional' AND doc_id % 2 = 0) AS precedence FROM rel"))
+def canonical_pair(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    clauses = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("This Precedence rule"))).otherwise(F.col("source_clauses"))
+    return r.select("id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), S.expresses_precedence(F.col("kind"), F.col("position"), clauses).alias("precedence"))

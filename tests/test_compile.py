@@ -70,3 +70,21 @@ def test_stream_scan(spark, corpus, tmp_path):
     I.scan_stream(spark, str(corpus), out, check)
     states = {r.path: r.state for r in I.current_sources(spark, out).collect()}
     assert states["e.txt"] == "parsed" and states["copy.md"] == "duplicate" and states["d.bin"] == "unsupported" and len(states) == 6
+
+
+def test_provider_and_cache(spark):
+    from pyspark.sql import functions as F
+
+    from attestor.sources import providers as PV
+    from attestor.sources.workspace import cache_lookup
+
+    units = spark.createDataFrame([("s", f"e{i}", i, f"text {i}") for i in range(20)], "source_id string, evidence_id string, line_start long, text string")
+    asked = PV.requests(units, "fixed")
+    assert asked.count() == 2 and asked.select("key").distinct().count() == 2
+    fixed = PV.FixedProvider('{"claims": [{"subject": " a ", "predicate": "limit", "object": "5", "confidence": 0.5, "evidence": [{"source_id": "s", "evidence_id": "e1"}]}]}')
+    claims = PV.extractor(fixed)(units).collect()
+    assert len(claims) == 1 and claims[0].subject == "a" and claims[0].evidence[0].evidence_id == "e1"
+    assert PV.extractor(PV.MetadataProvider())(units).count() == 0
+    cache = asked.limit(1).select("key", F.lit(1).alias("version"), F.lit('{"claims": []}').alias("response"))
+    hits, misses = cache_lookup(asked, cache, 1)
+    assert (hits.count(), misses.count(), PV.cache_report(cache).first().entries) == (1, 1, 1)
