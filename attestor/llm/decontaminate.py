@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; their passage frequencies are counted over all documents.
+1. Terms are the words of the benchmark; they are counted over all documents, and common ones weigh nothing.
 2. A randomised SVD of the TF-IDF passage matrix (all passages of all documents, and the benchmark items with the same
-   total energy as the passages) is computed with one distributed range pass: each task multiplies its passages with a
-   random matrix and back, and tasks' (terms x rank) sums are added by term blocks.
+   total energy as the passages) finds the range in one distributed pass: each task multiplies its passages with a
+   random matrix and back, and tasks' (terms x columns) sums are added by term blocks. The items' part of the range is
+   known without a pass, so that the latent space always holds it as far as the rank goes.
 3. Each passage is projected into the latent space; items with enough cosine are candidates.
 4. A candidate is a leak if the longest common subsequence of words covers enough of the item, or covers less of it but
    the item's answer, its last words, stands in the passage as it is.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,20 @@ from .common import utf8
 
 #: Words of a passage; passages start every STRIDE words.
 PASSAGE, STRIDE = 48, 24
-RANK, OVERSAMPLE = 256, 16
-#: Terms in more than this share of passages weigh nothing.
+#: Latent dimensions, and random columns of the range pass.
+RANK, SKETCH = 256, 48
+#: Terms that stand more often than once in 1 / COMMON passages weigh nothing.
 COMMON = 0.02
 COSINE = 0.30
 #: Share of an item's words in the common subsequence: alone enough, and enough beside the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 6
 #: Bytes of benchmark text in a shard; the broadcast of a shard is at most about 300 times as large.
 SHARD_BYTES = 128 << 10
-_BLOCKS = 8
+_BLOCKS = 64
+
+
+#: item_id, cosine, common subsequence, its share of the item, whether the answer was found, first word looked at
+Leak = tuple[int, float, int, float, bool, int]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,9 +58,10 @@ class Shard:
     ids: list[int]
     items: list[list[bytes]]
     vocab: dict[bytes, int]
+    bare: list[list[bytes]]
+    bags: list[frozenset[bytes]]
     idf: np.ndarray | None = None
-    basis: np.ndarray | None = None
-    latent: np.ndarray | None = None
+    search: np.ndarray | None = None
 
 
 def _make_shard(rows: list[tuple[int, bytes]]) -> Shard:
@@ -62,50 +70,59 @@ def _make_shard(rows: list[tuple[int, bytes]]) -> Shard:
     for item in items:
         for w in item:
             vocab.setdefault(w, len(vocab))
-    return Shard([i for i, _ in rows], items, vocab)
+    bare = [[_bare(w) for w in item] for item in items]
+    return Shard([i for i, _ in rows], items, vocab, bare, [frozenset(x) for x in bare])
 
 
-def _passages(text: bytes, vocab: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, int]:
-    """Words; the (passage, term, position) of each benchmark word in each passage; the number of passages."""
-    words = words_of(text)
-    n = len(words)
-    if not n:
-        return words, *(np.zeros(0, np.int64),) * 3, 0
-    ids = np.fromiter(map(vocab.get, words, [-1] * n), dtype=np.int64, count=n)
+def _hits(words: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and terms of the words that the vocabulary holds."""
+    ids = np.fromiter(map(vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
     at = np.flatnonzero(ids >= 0)
-    count = max(1, -(-(n - STRIDE) // STRIDE))
-    block = at // STRIDE  # passage p covers blocks p and p + 1
+    return at, ids[at]
+
+
+def _count(n_words: int) -> int:
+    """Passages of a text: passage p covers words p * STRIDE to p * STRIDE + PASSAGE - 1."""
+    return max(1, -(-(n_words - STRIDE) // STRIDE)) if n_words else 0
+
+
+def _in_passages(at: np.ndarray, term: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, term) of each word in each passage that covers it (two, but at both ends)."""
+    block = at // STRIDE
     first, second = block <= count - 1, block >= 1
-    passage = np.concatenate([block[first], block[second] - 1])
-    where = np.concatenate([at[first], at[second]])
-    return words, passage, ids[where], where, count
+    return np.concatenate([block[first], block[second] - 1]), np.concatenate([term[first], term[second]])
 
 
-def _unit_rows(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows with unit length: passages, terms, weights (a term once per passage, weight tf * idf)."""
-    keep = idf[term] > 0
-    passage, term = passage[keep], term[keep]
+def _unit_rows(passage: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse TF-IDF rows of unit length, in order of passage: passages, then for each entry its row, term and weight."""
     code, tf = np.unique(passage * len(idf) + term, return_counts=True)
     passage, term = code // len(idf), code % len(idf)
+    start = np.concatenate(([True], passage[1:] != passage[:-1]))
+    row = np.cumsum(start) - 1
     weight = np.sqrt(tf) * idf[term]
-    norm = np.sqrt(np.bincount(passage, weight * weight, minlength=count))
-    return passage, term, weight / norm[passage]
+    norm = np.sqrt(np.bincount(row, weight * weight))
+    return passage[start], row, term, weight / norm[row]
+
 
+def _rare(shard: Shard) -> tuple[dict[bytes, int], np.ndarray]:
+    """The vocabulary and weights of the terms that weigh anything."""
+    keep = {w: i for w, i in shard.vocab.items() if shard.idf[i] > 0}
+    return keep, shard.idf
 
-def _document_frequency(docs: DataFrame, shards: list[Shard]) -> tuple[list[np.ndarray], int]:
-    """Passages that hold each term, for each shard, and the number of passages. Tasks send sums, never documents."""
+
+def _term_counts(docs: DataFrame, shards: list[Shard]) -> tuple[list[np.ndarray], int]:
+    """How often each term of each shard stands in all documents, and the number of passages. Tasks send sums."""
     shared_vocab = docs.sparkSession.sparkContext.broadcast([s.vocab for s in shards])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, [np.zeros(len(v), np.int64) for v in shared_vocab.value]
         for b in batches:
             for text in utf8(b.column(0)):
-                for k, vocab in enumerate(shared_vocab.value):
-                    _, passage, term, _, count = _passages(text or b"", vocab)
-                    if k == 0:
-                        total += count
-                    if len(term):
-                        counts[k] += np.bincount(np.unique(passage * len(vocab) + term) % len(vocab), minlength=len(vocab))
+                words = words_of(text)
+                total += _count(len(words))
+                for vocab, c in zip(shared_vocab.value, counts):
+                    _, term = _hits(words, vocab)
+                    np.add.at(c, term, 1)
         for k, c in enumerate(counts):
             hit = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), k, np.int32)), pa.array(hit), pa.array(c[hit])], ["shard", "term", "n"])
@@ -122,44 +139,39 @@ def _document_frequency(docs: DataFrame, shards: list[Shard]) -> tuple[list[np.n
 
 
 def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
-    """A'(A omega) over the passages of all documents. Each task keeps one (terms x rank) sum."""
-    state = docs.sparkSession.sparkContext.broadcast((shard.vocab, shard.idf, omega.astype(np.float32)))
+    """A'(A omega) over the passages of all documents. Each task keeps one (terms x columns) sum."""
+    state = docs.sparkSession.sparkContext.broadcast((*_rare(shard), omega.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, idf, om = state.value
         total = np.zeros(om.shape, np.float32)
 
-        def add(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> None:
-            base, ps, ts, ws = 0, [], [], []
-            for p, t, w, c in rows:
-                ps.append(p + base)
-                ts.append(t)
-                ws.append(w)
-                base += c
-            p, t, w = np.concatenate(ps), np.concatenate(ts), np.concatenate(ws).astype(np.float32)
-            if not len(p):
-                return
-            seen, p = np.unique(p, return_inverse=True)
-            y = np.zeros((len(seen), om.shape[1]), np.float32)
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            y[p[starts]] = np.add.reduceat(om[t] * w[:, None], starts, axis=0)
+        def add(passage: np.ndarray, term: np.ndarray) -> None:
+            _, row, t, w = _unit_rows(passage, term, idf)
+            w = w.astype(np.float32)
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            y = np.add.reduceat(om[t] * w[:, None], starts, axis=0)
             order = np.argsort(t, kind="stable")
             to = t[order]
             begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            total[to[begin]] += np.add.reduceat(y[p[order]] * w[order, None], begin, axis=0)
+            total[to[begin]] += np.add.reduceat(y[row[order]] * w[order, None], begin, axis=0)
 
-        rows, size = [], 0
+        base, size, held = 0, 0, ([], [])
         for b in batches:
             for text in utf8(b.column(0)):
-                _, passage, term, _, count = _passages(text or b"", vocab)
-                if len(term):
-                    rows.append((*_unit_rows(passage, term, idf, count), count))
-                    size += len(rows[-1][0])
-                if size > 8192:
-                    add(rows)
-                    rows, size = [], 0
-        if rows:
-            add(rows)
+                words = words_of(text)
+                at, term = _hits(words, vocab)
+                if len(at):
+                    count = _count(len(words))
+                    passage, term = _in_passages(at, term, count)
+                    held[0].append(passage + base)
+                    held[1].append(term)
+                    base, size = base + count, size + len(term)
+                if size > 16384:
+                    add(np.concatenate(held[0]), np.concatenate(held[1]))
+                    base, size, held = 0, 0, ([], [])
+        if size:
+            add(np.concatenate(held[0]), np.concatenate(held[1]))
         for k in range(_BLOCKS):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k::_BLOCKS].tobytes()], pa.binary())], ["block", "sum"])
 
@@ -173,7 +185,7 @@ def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["block", "sum"])
 
     kind = "block int, sum binary"
-    parts = docs.mapInArrow(run, kind).repartition(_BLOCKS, "block").mapInArrow(merge, kind).collect()  # terms x rank in all
+    parts = docs.mapInArrow(run, kind).repartition(_BLOCKS, "block").mapInArrow(merge, kind).collect()  # terms x columns in all
     z = np.zeros(omega.shape)
     for row in parts:
         z[row["block"] :: _BLOCKS] += np.frombuffer(row["sum"], np.float32).reshape(-1, omega.shape[1])
@@ -184,10 +196,9 @@ def _item_rows(shard: Shard) -> np.ndarray:
     a = np.zeros((len(shard.items), len(shard.vocab)))
     for i, item in enumerate(shard.items):
         term = np.array([shard.vocab[w] for w in item], dtype=np.int64)
-        if len(term):
-            p, t, w = _unit_rows(np.zeros(len(term), np.int64), term, shard.idf, 1)
-            if not len(t):  # none but common terms: they count after all
-                p, t, w = _unit_rows(np.zeros(len(term), np.int64), term, np.ones(len(shard.vocab)), 1)
+        rare = term[shard.idf[term] > 0]
+        if len(rare):
+            _, _, t, w = _unit_rows(np.zeros(len(rare), np.int64), rare, shard.idf)
             a[i, t] = w
     return a
 
@@ -205,23 +216,25 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col
     if not shards:
         return []
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    df, total = _document_frequency(texts, shards)
-    for shard, c in zip(shards, df):
-        idf = np.log((1 + total) / (1 + c)) + 1
+    counts, total = _term_counts(texts, shards)
+    for shard, c in zip(shards, counts):
+        idf = np.log((1 + total) / (1 + np.minimum(c, total))) + 1
         shard.idf = np.where(c > max(COMMON * total, 8), 0.0, idf)
+        for item in shard.items:  # an item of none but common words: they count after all
+            if all(shard.idf[shard.vocab[w]] == 0 for w in item):
+                for w in item:
+                    shard.idf[shard.vocab[w]] = idf[shard.vocab[w]]
         rows = _item_rows(shard)
         rank = min(RANK, len(rows), len(shard.vocab))
-        omega = np.random.default_rng(seed).standard_normal((len(shard.vocab), min(len(shard.vocab), rank + OVERSAMPLE)))
-        # the start lies in the items' span as far as it reaches: randomised subspace iteration with a warm start
-        omega[:, : min(len(rows), omega.shape[1])] = rows.T[:, : omega.shape[1]]
+        omega = np.random.default_rng(seed).standard_normal((len(shard.vocab), min(len(shard.vocab), SKETCH)))
         z = _range_pass(texts, shard, omega)
-        weight = max(1.0, total / len(rows))
-        z = z + weight * (rows.T @ (rows @ omega))
-        q, _ = np.linalg.qr(z)
-        u, _, _ = np.linalg.svd(q.T @ rows.T, full_matrices=False)  # directions of the range, by the items' energy
-        shard.basis = (q @ u[:, :rank]).astype(np.float32)
-        latent = rows @ shard.basis
-        shard.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        # the items join the passages with as much energy as all of them: their part of the range is their own span
+        z, _ = np.linalg.qr(np.concatenate([rows.T * max(1.0, total / len(rows)), z / max(1.0, np.abs(z).max())], axis=1))
+        u, _, _ = np.linalg.svd(z.T @ rows.T, full_matrices=False)  # directions of the range, by the items' energy
+        basis = z @ u[:, :rank]
+        latent = rows @ basis
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        shard.search = (basis @ latent.T).astype(np.float32)  # a passage's row times this: its cosines with all items
     return shards
 
 
@@ -243,37 +256,84 @@ def _contains(words: list[bytes], part: list[bytes]) -> bool:
     return any(words[i] == part[0] and words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
-def find_leaks(text: bytes | None, shards: list[Shard]) -> list[tuple[int, float, int, float, bool, int]]:
-    """(item_id, cosine, lcs, share, answer_found, first word) of each item that leaks into one text, best passage."""
-    best: dict[int, tuple[int, float, int, float, bool, int]] = {}
-    for shard in shards:
-        words, passage, term, _, count = _passages(text or b"", shard.vocab)
-        if not len(term):
-            continue
-        p, t, w = _unit_rows(passage, term, shard.idf, count)
-        if not len(p):
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        y = np.add.reduceat(shard.basis[t] * w[:, None].astype(np.float32), starts, axis=0)
-        cos = y @ shard.latent.T
-        hit_p, hit_i = np.nonzero(cos >= COSINE)
-        if not len(hit_p):
-            continue
-        bare = [_bare(x) for x in words]
-        for k, i in zip(hit_p.tolist(), hit_i.tolist()):
-            item = [_bare(x) for x in shard.items[i]]
+def _cosines(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, cosine) of all pairs with enough cosine."""
+    found, row, t, w = _unit_rows(passage, term, idf)
+    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    cos = np.add.reduceat(shard.search[t] * w[:, None].astype(np.float32), starts, axis=0)
+    p, i = np.nonzero(cos >= COSINE)
+    return found[p], i, cos[p, i]
+
+
+def _verify(words: list[bytes], shards: list[Shard], candidates: list[tuple]) -> list[Leak]:
+    """The candidates (shard, passages, items, cosines) of one text that the word checks confirm, the best of each item."""
+    best: dict[int, Leak] = {}
+    bare: list[bytes] = []
+    for s, passages, items, cosines in candidates:
+        bare = bare or ([_bare(x) for x in words] if len(passages) else [])
+        for p, i, c in zip(passages.tolist(), items.tolist(), cosines.tolist()):
+            item, at = shards[s].bare[i], shards[s].ids[i]
             margin = max(STRIDE, len(item))
-            low = max(0, int(p[starts[k]]) * STRIDE - margin)
+            low = max(0, p * STRIDE - margin)
             part = bare[low : low + PASSAGE + 2 * margin]
+            if len(shards[s].bags[i].intersection(part)) < LCS_WITH_ANSWER * len(shards[s].bags[i]) - 1:
+                continue  # too few of its words for either check
             got = lcs_length(item, part)
             share = got / len(item)
             answer = share >= LCS_WITH_ANSWER and _contains(part, item[-ANSWER_WORDS:])
-            row = (shard.ids[i], float(cos[k, i]), got, share, answer, low)
-            if (share >= LCS_ALONE or answer) and (shard.ids[i] not in best or best[shard.ids[i]][2:0:-1] < row[2:0:-1]):
-                best[shard.ids[i]] = row
+            row = (at, c, got, share, answer, low)
+            if (share >= LCS_ALONE or answer) and (at not in best or (best[at][2], best[at][1]) < (got, c)):
+                best[at] = row
     return [best[i] for i in sorted(best)]
 
 
+def scan_state(shards: list[Shard]) -> tuple:
+    """What a scan needs: the shards, and their weighing terms."""
+    return shards, [_rare(s) for s in shards]
+
+
+def find_all(texts: list[bytes | None], state: tuple) -> list[list[Leak]]:
+    """The leaks of many texts; passages of several texts are projected together."""
+    shards, rare = state
+    out: list[list[Leak]] = [[] for _ in texts]
+    held: list[tuple[int, list[bytes], int]] = []  # text, its words, its first passage
+    parts: list[tuple[list, list]] = [([], []) for _ in shards]
+    base = size = 0
+
+    def close() -> None:
+        starts = np.array([h[2] for h in held])
+        found: dict[int, list[tuple]] = {}
+        for s, (p, t) in enumerate(parts):
+            if p:
+                passage, item, cos = _cosines(np.concatenate(p), np.concatenate(t), rare[s][1], shards[s])
+                which = np.searchsorted(starts, passage, side="right") - 1
+                for w in np.unique(which).tolist():
+                    at = which == w
+                    found.setdefault(w, []).append((s, passage[at] - starts[w], item[at], cos[at]))
+        for w, candidates in found.items():
+            out[held[w][0]] = _verify(held[w][1], shards, candidates)
+
+    for k, text in enumerate(texts):
+        words = words_of(text)
+        count, any_hit = _count(len(words)), False
+        for (vocab, _), (p, t) in zip(rare, parts):
+            at, term = _hits(words, vocab)
+            if len(at):
+                passage, term = _in_passages(at, term, count)
+                p.append(passage + base)
+                t.append(term)
+                size, any_hit = size + len(term), True
+        if any_hit:
+            held.append((k, words, base))
+            base += count
+        if size > 16384:
+            close()
+            held, parts, base, size = [], [([], []) for _ in shards], 0, 0
+    if held:
+        close()
+    return out
+
+
 _SCHEMA = "doc_id long, item_id long, cosine double, lcs long, lcs_share double, answer_found boolean, word_start long"
 
 
@@ -281,11 +341,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row per document and item that leaks into it. Null and empty texts hold no leak, repeated rows give their
     leaks each, items that share an id are one item, an empty benchmark or table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    state = docs.sparkSession.sparkContext.broadcast(fit(base, benchmark))
+    state = docs.sparkSession.sparkContext.broadcast(scan_state(fit(base, benchmark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))) for hit in find_leaks(t, state.value)]
+            rows = [(d, *hit) for d, found in zip(b.column(0).to_pylist(), find_all(utf8(b.column(1)), state.value)) for hit in found]
             cols = list(zip(*rows)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _SCHEMA.split(", ")])
@@ -296,11 +356,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no leak, with all their columns, decided inside the scan."""
     at = docs.columns.index(text_col)
-    state = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col(text_col).alias("text")), benchmark))
+    state = docs.sparkSession.sparkContext.broadcast(scan_state(fit(docs.select(F.col(text_col).alias("text")), benchmark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array([not find_leaks(t, state.value) for t in utf8(b.column(at))]))
+                yield b.filter(pa.array([not found for found in find_all(utf8(b.column(at)), state.value)]))
 
     return docs.mapInArrow(run, docs.schema)
