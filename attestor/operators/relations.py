@@ -98,7 +98,7 @@ def coverage(docs: DataFrame, existing: DataFrame) -> DataFrame:
     scope holds the source's; rules that need a unique target give none where there are several.
 
     Pairs come from an equi-join on exploded scope values, so no all-pairs plan arises."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("source_id", "document_type", "approved", "scope")
     rules = F.broadcast(spark.createDataFrame(COVERAGE, "document_type string, wants_approved boolean, target_type string, kind string, position string, test string"))
     s = docs.join(rules, "document_type").filter("approved = wants_approved")
     vals = S.exploded(docs, "source_id").distinct()

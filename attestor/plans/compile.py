@@ -75,6 +75,7 @@ def scan(spark: SparkSession, root: str, workspace: Workspace, include: list[str
         scanned = SC.parse_cache(SC.changes(current, live), live, PARSER_KEY)
         gone = SC.removed(current, live)
         row = SC.summary(scanned, gone).first().asDict()
+        gone_paths = [r["path"] for r in gone.orderBy("path").collect()]
         row["cache_hits"] = scanned.filter("cache_hit").count()
         docs = current.filter("state = 'parsed'")
         units = PA.parse_markdown(docs.filter(F.col("format").isin("md", "markdown"))).unionByName(PA.parse_text(docs.filter("format = 'txt'")))
@@ -85,8 +86,8 @@ def scan(spark: SparkSession, root: str, workspace: Workspace, include: list[str
         keys = current.select("path", "parser_key")
         catalog = SC.upsert(previous, current, scan_id).join(keys, "path", "left")
         workspace.write_catalog(catalog)
-        workspace.write_manifest({"schema_version": SCHEMA_VERSION, "source_root": root, "summary": row, "removed_paths": [r["path"] for r in gone.orderBy("path").collect()]})
-        return scanned
+        workspace.write_manifest({"schema_version": SCHEMA_VERSION, "source_root": root, "summary": row, "removed_paths": gone_paths})
+        return current
 
 
 def metadata_profiles(units: DataFrame) -> DataFrame:
