@@ -69,4 +69,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Brute force in SQL. The mix follows the same schedule point by point; the others know nothing of blocks or anchors.
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op3_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(1, CAST(length(h) // 2 + 1 AS BIGINT))) AS p FROM t),
+w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS byte, CASE WHEN length(h) // 2 >= p + 99 THEN md5(substr(h, 2 * p - 1, 200)) END AS win FROM b),
+f AS (SELECT doc_id, p, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM w),
+c AS (SELECT doc_id, p, byte, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p ROWS 99 PRECEDING) AS gone FROM f),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 THEN 1 ELSE 0 END AS opens FROM c),
+g AS (SELECT doc_id, sum(gone) AS n_removed, sum(opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id""",
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w
+  WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight), CAST('inf' AS DOUBLE)) * weight) AS target FROM l),
+k AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, least(4096, CAST(sum(size) AS BIGINT) // 65536)) AS block FROM d),
+points AS (SELECT list_sum(list_transform(range(0, 52), lambda b: ((i >> b) & 1) * pow(2.0, -b - 1))) AS u FROM (SELECT unnest(range(0, CAST(ceil(total / block) AS BIGINT))) AS i FROM k)),
+spans AS (SELECT source, source_size, target, (sum(target) OVER o - target) / sum(target) OVER () AS low, CASE WHEN sum(target) OVER o >= sum(target) OVER () THEN 1.0 ELSE sum(target) OVER o / sum(target) OVER () END AS high FROM t WINDOW o AS (ORDER BY source NULLS LAST)),
+n AS (SELECT source, source_size, target, least((SELECT count(*) FROM points WHERE u >= low AND u < high) * (SELECT block FROM k), 3 * source_size) AS words FROM spans),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY digest, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+SELECT doc_id, size, source_size, target, CAST((words // source_size) * size + greatest(0, least(size, words % source_size - start)) AS BIGINT) AS taken FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source""",
+}
