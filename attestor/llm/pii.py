@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import shared_table, with_keys
 
 KEY = b"surrogates"
+#: Re-keyed entities that are broadcast at most; more of them meet their documents in a join.
+BROADCAST_ROWS = 50_000
 
 _PATTERN = re.compile(
     r"""
@@ -123,7 +125,7 @@ def surrogate_norm(kind: str, norm: str, turn: int = 0) -> str:
         return "".join(out)
     if kind == "email":
         local, _, domain = norm.rpartition("@")
-        name = re.sub(r"[^\W\d_]+", lambda m: _word(_draw(kind, local, turn, str(m.start())), 1 + len(m.group()) // 3), local)
+        name = re.sub(r"[^\W\d_]+", lambda m: _word(_draw(kind, local, turn, str(m.start())), max(4, 1 + len(m.group()) // 3)), local)
         name = re.sub(r"\d+", lambda m: _digits(m.group(), kind + name, turn), name)
         host = _word(_draw("domain", domain, 0), 3)
         return f"{name}@{host}.{'example'}" + "." + domain.rsplit(".", 1)[1]
@@ -202,13 +204,16 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out_kind = "doc_id long, text string, n_entities int, spans array<struct<kind:string,start:int,end:int>>"
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    rekeyed = turns.limit(BROADCAST_ROWS + 1).collect()
+    few = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["norm"]): r["turn"] for r in rekeyed} if len(rekeyed) <= BROADCAST_ROWS else {})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             maps = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-            done = [replace(t, {(x["kind"], x["norm"]): x["turn"] for x in m or ()}) for t, m in zip(b.column(1).to_pylist(), maps)]
+            done = [replace(t, {(x["kind"], x["norm"]): x["turn"] for x in m} if m else few.value) for t, m in zip(b.column(1).to_pylist(), maps)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([len(d[1]) for d in done], pa.int32()), pa.array([d[1] for d in done], span)], ["doc_id", "text", "n_entities", "spans"])
 
-    if not turns.limit(1).count():
+    if len(rekeyed) <= BROADCAST_ROWS:
         return base.mapInArrow(run, out_kind)
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
