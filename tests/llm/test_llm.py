@@ -308,23 +308,22 @@ def test_surrogates(spark):
     assert P.pseudonymise(docs_of(spark, [])).count() == 0
 
 
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    real = P.surrogate_norm
-    monkeypatch.setattr(P, "surrogate_norm", lambda k, n, t=0: "10.0.0.1" if k == "ip" and t == 0 else real(k, n, t))
-    rows = [(i, f"host 192.168.7.{i} and 192.168.7.{i}", "a") for i in range(1, 6)]
-    turns = {}
-    names = {f"192.168.7.{i}" for i in range(1, 6)}
-    while True:  # what the Spark loop does, on the driver
-        made = {n: P.surrogate_norm("ip", n, turns.get(n, 0)) for n in names}
-        again = [n for n in names if any(m < n and made[m] == made[n] for m in names)]
-        if not again:
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_surrogates_stay_distinct(spark, monkeypatch, broadcast):
+    """Addresses whose first surrogates collide are keyed anew, both ways of bringing this to the documents alike."""
+    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
+    first, n = {}, 0
+    while True:  # the first two addresses that collide
+        ip = f"10.9.{n // 256}.{n % 256}"
+        made = P.surrogate_norm("ip", ip)
+        if made in first:
             break
-        for n in again:
-            turns[n] = turns.get(n, 0) + 1
-    assert len(set(made.values())) == 5
-    monkeypatch.undo()
-    out = P.pseudonymise(docs_of(spark, rows)).collect()
-    assert len({r.text for r in out}) == 5 and all(r.n_entities == 2 for r in out)
+        first[made] = ip
+        n += 1
+    rows = [(1, f"from {first[made]} to {ip}", "a"), (2, f"only {ip}", "a"), (3, f"only {first[made]}", "a"), (4, "none", "a")]
+    out = {r.doc_id: r.text for r in P.pseudonymise(docs_of(spark, rows)).collect()}
+    a, b = out[1].split()[1], out[1].split()[3]
+    assert a != b and out[2] == f"only {b}" and out[3] == f"only {a}" and out[4] == "none"
 
 
 def test_digit_permutation():
