@@ -63,7 +63,7 @@ class Intent:
 
 
 def scan(spark: SparkSession, root: str, workspace: Workspace, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Scan a folder into the workspace: catalog, parsed units, manifest. Returns the scanned rows."""
+    """Scan a folder into the workspace: catalog, parsed units, manifest. Returns the catalog."""
     with workspace.lock("scan"):
         workspace.bind_source_root(root)
         files = SC.glob_filter(SC.read_files(spark, root), include, exclude).withColumn("text", F.decode("content", "UTF-8")).drop("content")
@@ -87,7 +87,8 @@ def scan(spark: SparkSession, root: str, workspace: Workspace, include: list[str
         catalog = SC.upsert(previous, current, scan_id).join(keys, "path", "left")
         workspace.write_catalog(catalog)
         workspace.write_manifest({"schema_version": SCHEMA_VERSION, "source_root": root, "summary": row, "removed_paths": gone_paths})
-        return current
+        current.unpersist()  # else the next scan of the same folder would be answered from memory
+        return workspace.read_catalog(spark)
 
 
 def metadata_profiles(units: DataFrame) -> DataFrame:

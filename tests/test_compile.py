@@ -21,30 +21,28 @@ def corpus(tmp_path):
     return root
 
 
-def test_scan_compile_export(spark, corpus, tmp_path):
+def test_scan_twice(spark, corpus, tmp_path):
     ws = Workspace.init(tmp_path)
     C.scan(spark, str(corpus), ws)
     first = json.loads((ws.control / "manifest.json").read_text())["summary"]
     assert (first["parsed"], first["duplicates"], first["unsupported"], first["added"], first["cache_hits"]) == (3, 1, 1, 5, 0)
-    intent = C.Intent("review", "goal", ["u"], ["t"], ["q"])
-    one = C.compile_build(spark, ws, intent, tmp_path / "one")
-    assert one["status"] == "completed"
-    rel = spark.read.parquet(f"{one['path']}/relations").collect()
-    assert [(r.kind, r.position) for r in rel] == [("approves", "non_effective")]
-    with pytest.raises(WorkspaceError):
-        C.compile_build(spark, ws, intent, tmp_path / "one")
     (corpus / "c.txt").write_text("one\n\ntwo\nfour\n")
     (corpus / "d.bin").unlink()
     C.scan(spark, str(corpus), ws)
     second = json.loads((ws.control / "manifest.json").read_text())
-    assert (second["summary"]["changed"], second["summary"]["unchanged"], second["summary"]["cache_hits"], second["removed_paths"]) == (1, 3, 2, ["d.bin"])
-    two = C.compile_build(spark, ws, intent, tmp_path / "two")
-    assert C.export_delta(spark, one["path"], one["path"], str(tmp_path / "same"))["upserts"] == 0
-    d = C.export_delta(spark, one["path"], two["path"], str(tmp_path / "delta"))
-    assert (d["upserts"], d["deletes"]) == (1, 1)
-    again = C.recompile(spark, two["path"], intent, tmp_path / "three")
-    assert again["status"] == "completed" and C.report(spark, again["path"])["schema_version"]
-    assert C.export_jsonl(spark, two["path"], str(tmp_path / "out")) == C.export_records(spark, two["path"]).count()
+    assert (second["summary"]["changed"], second["summary"]["unchanged"], second["removed_paths"]) == (1, 3, ["d.bin"])
+
+
+def test_compile_and_export(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "a.md", DOC.format(id="A", type="approval_record")), ("b", "b.md", DOC.format(id="B", type="policy").replace("approved", "current"))], "source_id string, path string, text string")
+    units = C.PA.parse_markdown(docs)
+    intent = C.Intent("review", "goal", ["u"], ["t"], ["q"])
+    one = C.build(spark, units, intent, tmp_path / "one")
+    assert one["status"] == "completed"
+    assert [(r.kind, r.position, r.source_id, r.target_id) for r in spark.read.parquet(f"{one['path']}/relations").collect()] == [("approves", "non_effective", "a", "b")]
+    with pytest.raises(WorkspaceError):
+        C.build(spark, units, C.Intent("Bad Id", "", [], [], []), tmp_path / "two")
+    assert C.export_jsonl(spark, one["path"], str(tmp_path / "out")) == spark.read.parquet(f"{one['path']}/evidence").count() + 1
 
 
 def test_workspace_guards(tmp_path):
