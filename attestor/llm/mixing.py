@@ -74,7 +74,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     block = max(1, min(MAX_BLOCK, total // LEAST_SLOTS))
     slots = schedule(shares, -(-total // block)).groupBy("source_key").agg((F.count(F.lit(1)) * block).alias("words"))
-    width = next((k for k in range(1, 9) if n // 16**k < 4096), 8)
+    width = next((k for k in range(1, 9) if n // 16**k < 2048), 8)
     rows = rows.withColumn("range", F.substring("digest", 1, width))
     ranges = rows.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
