@@ -30,15 +30,15 @@ def assert_unique(df: DataFrame, key: str = "id") -> DataFrame:
 
 def delta(base: DataFrame, target: DataFrame) -> DataFrame:
     """(id, op, payload): upserts of new and changed records, deletes of lost ones."""
-    b, t = base.select("id", F.col("payload").alias("old")), target.select("id", F.col("payload").alias("new"))
-    j = b.join(t, "id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
-    return j.select("id", F.when(F.col("new").isNull(), "delete").otherwise("upsert").alias("op"), F.col("new").alias("payload"))
+    b, t = base.select("id", F.col("payload").alias("old")), target.select("id", F.col("payload").alias("new"), F.lit(True).alias("there"))
+    j = b.join(t, "id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")) | F.col("there").isNull())
+    return j.select("id", F.when(F.col("there").isNull(), "delete").otherwise("upsert").alias("op"), F.col("new").alias("payload"))
 
 
 def delta_summary(base: DataFrame, target: DataFrame) -> DataFrame:
-    b, t = base.select("id", F.col("payload").alias("old")), target.select("id", F.col("payload").alias("new"))
+    b, t = base.select("id", F.col("payload").alias("old")), target.select("id", F.col("payload").alias("new"), F.lit(True).alias("there"))
     same = F.col("old").eqNullSafe(F.col("new"))
-    return b.join(t, "id", "full_outer").agg(F.count_if(F.col("new").isNotNull() & ~same).alias("upserts"), F.count_if(F.col("new").isNull()).alias("deletes"), F.count_if(same).alias("unchanged"))
+    return b.join(t, "id", "full_outer").agg(F.count_if(F.col("there").isNotNull() & ~same).alias("upserts"), F.count_if(F.col("there").isNull()).alias("deletes"), F.count_if(F.col("there").isNotNull() & same).alias("unchanged"))
 
 
 def apply_delta(base: DataFrame, changes: DataFrame) -> DataFrame:
