@@ -5,7 +5,8 @@
    total energy as the passages) finds the range in one distributed pass: each task multiplies its passages with a
    random matrix and back, and tasks' (terms x columns) sums are added by term blocks. The items' part of the range is
    known without a pass, so that the latent space always holds it as far as the rank goes.
-3. Each passage is projected into the latent space; items with enough cosine are candidates.
+3. Each passage is projected into the latent space; items with enough cosine are candidates. So are, whatever the latent
+   space holds of them, items of whose weight the passage itself holds enough; this is exact and has no rank.
 4. A candidate is a leak if the longest common subsequence of words covers enough of the item, or covers less of it but
    the item's answer, its last words, stands in the passage as it is.
 
@@ -14,6 +15,7 @@ The benchmark is handled in shards of bounded size, so that what is broadcast st
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -34,6 +36,8 @@ COMMON = 0.02
 COSINE = 0.30
 #: Share of an item's words in the common subsequence: alone enough, and enough beside the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 6
+#: Share of an item's weight that a passage holds: enough to be a candidate whatever its cosine.
+HELD = 0.30
 #: Bytes of benchmark text in a shard; the broadcast of a shard is at most about 300 times as large.
 SHARD_BYTES = 128 << 10
 _BLOCKS = 64
@@ -59,9 +63,11 @@ class Shard:
     items: list[list[bytes]]
     vocab: dict[bytes, int]
     bare: list[list[bytes]]
-    bags: list[frozenset[bytes]]
+    bags: list[Counter]
     idf: np.ndarray | None = None
     search: np.ndarray | None = None
+    #: Of each term the items that hold it and its share of their weight: where a term's entries start, items, shares.
+    postings: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def _make_shard(rows: list[tuple[int, bytes]]) -> Shard:
@@ -71,7 +77,7 @@ def _make_shard(rows: list[tuple[int, bytes]]) -> Shard:
         for w in item:
             vocab.setdefault(w, len(vocab))
     bare = [[_bare(w) for w in item] for item in items]
-    return Shard([i for i, _ in rows], items, vocab, bare, [frozenset(x) for x in bare])
+    return Shard([i for i, _ in rows], items, vocab, bare, [Counter(x) for x in bare])
 
 
 def _hits(words: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +209,19 @@ def _item_rows(shard: Shard) -> np.ndarray:
     return a
 
 
+def _postings(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the items by term, each with its share of the item's weight; terms that weigh nothing have none."""
+    rows = []
+    for i, item in enumerate(shard.items):
+        term = np.array(sorted({shard.vocab[w] for w in item}), dtype=np.int64)
+        weight = shard.idf[term]
+        rows.append((term[weight > 0], np.full((weight > 0).sum(), i), weight[weight > 0] / max(weight.sum(), 1e-9)))
+    term, item, share = (np.concatenate(c) for c in zip(*rows))
+    order = np.argsort(term, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(shard.vocab)))))
+    return start, item[order], share[order]
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", seed: int = 5) -> list[Shard]:
     """The latent space of each shard of the benchmark. Items that are null or empty are never leaked."""
     items = benchmark.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).distinct()
@@ -224,6 +243,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col
             if all(shard.idf[shard.vocab[w]] == 0 for w in item):
                 for w in item:
                     shard.idf[shard.vocab[w]] = idf[shard.vocab[w]]
+        shard.postings = _postings(shard)
         rows = _item_rows(shard)
         rank = min(RANK, len(rows), len(shard.vocab))
         omega = np.random.default_rng(seed).standard_normal((len(shard.vocab), min(len(shard.vocab), SKETCH)))
@@ -257,11 +277,15 @@ def _contains(words: list[bytes], part: list[bytes]) -> bool:
 
 
 def _cosines(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, item, cosine) of all pairs with enough cosine."""
+    """(passage, item, cosine) of all pairs with enough cosine, or whose passage holds enough of the item's weight."""
     found, row, t, w = _unit_rows(passage, term, idf)
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     cos = np.add.reduceat(shard.search[t] * w[:, None].astype(np.float32), starts, axis=0)
-    p, i = np.nonzero(cos >= COSINE)
+    begin, items, shares = shard.postings
+    n = begin[t + 1] - begin[t]
+    entry = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    held = np.bincount(np.repeat(row, n) * cos.shape[1] + items[entry], shares[entry], minlength=cos.size)
+    p, i = np.nonzero((cos >= COSINE) | (held.reshape(cos.shape) >= HELD))
     return found[p], i, cos[p, i]
 
 
@@ -276,7 +300,7 @@ def _verify(words: list[bytes], shards: list[Shard], candidates: list[tuple]) ->
             margin = max(STRIDE, len(item))
             low = max(0, p * STRIDE - margin)
             part = bare[low : low + PASSAGE + 2 * margin]
-            if len(shards[s].bags[i].intersection(part)) < LCS_WITH_ANSWER * len(shards[s].bags[i]) - 1:
+            if (shards[s].bags[i] & Counter(w for w in part if w in shards[s].bags[i])).total() < LCS_WITH_ANSWER * len(item):
                 continue  # too few of its words for either check
             got = lcs_length(item, part)
             share = got / len(item)

@@ -260,6 +260,26 @@ def test_benchmark_in_shards(spark, corpus, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()} == one and len(one) >= len(items)
 
 
+def test_more_items_than_ranks(spark):
+    """Short items by the hundred in one shard, each verbatim amid other words: none is lost to the rank."""
+    rng = random.Random(12)
+    pool = [f"w{k:04d}" for k in range(3000)]
+    pick = lambda n: [pool[int(len(pool) * rng.random() ** 2)] for _ in range(n)]
+    items = [" ".join(pick(10)) for _ in range(900)]
+    docs = docs_of(spark, [(k, " ".join([*pick(19), t, *pick(19)]), "a") for k, t in enumerate(items)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    shards = D.fit(docs.select("text"), bench)
+    assert len(shards) == 1 and len(shards[0].items) > 3 * D.RANK
+    assert {(k, k) for k in range(900)} <= {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()}
+
+
+def test_repeated_words_of_items(spark):
+    """Nineteen of an item's 23 words stand in a text, but only two of its six distinct ones."""
+    bench = spark.createDataFrame([(1, "ping " * 18 + "pong pang pung peng pyng")], "item_id long, text string")
+    rows = [(1, "x y z " + "ping " * 18 + "pong tail", "a"), (2, "pong pang pung peng pyng and other words", "a"), (3, "filler " * 30000, "a")]
+    assert {r.doc_id for r in D.leaks(docs_of(spark, rows), bench).collect()} == {1}
+
+
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, "again again again again again again again again")], "item_id long, text string")
     assert {r.doc_id for r in D.leaks(docs_of(spark, ODD), bench).collect()} == {5}
