@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are the words of the benchmark; they are counted over all documents, and common ones weigh nothing.
-2. A randomised SVD of the TF-IDF passage matrix (all passages of all documents, and the benchmark items with the same
-   total energy as the passages) finds the range in one distributed pass: each task multiplies its passages with a
-   random matrix and back, and tasks' (terms x columns) sums are added by term blocks. The items' part of the range is
-   known without a pass, so that the latent space always holds it as far as the rank goes.
+2. A randomised SVD of the TF-IDF passage matrix (all passages of all documents, and the benchmark items as rows more)
+   takes one distributed pass: each task multiplies its passages with a random matrix and back, and tasks' (terms x
+   columns) sums are added by term blocks. The strongest right singular vectors follow from the sum and the random
+   matrix, so that the latent space is that of the corpus.
 3. Each passage is projected into the latent space; items with enough cosine are candidates. So are, whatever the latent
-   space holds of them, items of whose weight the passage itself holds enough; this is exact and has no rank.
+   space holds of them, items with enough cosine in plain terms, or of whose weight the passage holds enough; both are
+   exact and have no rank.
 4. A candidate is a leak if the longest common subsequence of words covers enough of the item, or covers less of it but
    the item's answer, its last words, stands in the passage as it is.
 
@@ -30,7 +31,7 @@ from .common import utf8
 #: Words of a passage; passages start every STRIDE words.
 PASSAGE, STRIDE = 48, 24
 #: Latent dimensions, and random columns of the range pass.
-RANK, SKETCH = 256, 48
+RANK, SKETCH = 256, 264
 #: Terms that stand more often than once in 1 / COMMON passages weigh nothing.
 COMMON = 0.02
 COSINE = 0.30
@@ -66,8 +67,8 @@ class Shard:
     bags: list[Counter]
     idf: np.ndarray | None = None
     search: np.ndarray | None = None
-    #: Of each term the items that hold it and its share of their weight: where a term's entries start, items, shares.
-    postings: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    #: Of each term the items that hold it: where a term's entries start, items, shares of their weight, unit weights.
+    postings: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def _make_shard(rows: list[tuple[int, bytes]]) -> Shard:
@@ -173,7 +174,7 @@ def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
                     held[0].append(passage + base)
                     held[1].append(term)
                     base, size = base + count, size + len(term)
-                if size > 16384:
+                if size > 3072:
                     add(np.concatenate(held[0]), np.concatenate(held[1]))
                     base, size, held = 0, 0, ([], [])
         if size:
@@ -209,17 +210,20 @@ def _item_rows(shard: Shard) -> np.ndarray:
     return a
 
 
-def _postings(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of the items by term, each with its share of the item's weight; terms that weigh nothing have none."""
-    rows = []
-    for i, item in enumerate(shard.items):
-        term = np.array(sorted({shard.vocab[w] for w in item}), dtype=np.int64)
-        weight = shard.idf[term]
-        rows.append((term[weight > 0], np.full((weight > 0).sum(), i), weight[weight > 0] / max(weight.sum(), 1e-9)))
-    term, item, share = (np.concatenate(c) for c in zip(*rows))
-    order = np.argsort(term, kind="stable")
+def _postings(shard: Shard, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the items by term, each with its share of the item's weight and its entry in the item's unit row."""
+    term, item = np.nonzero(unit.T)
+    weight = np.bincount(item, shard.idf[term], minlength=len(unit))
     start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(shard.vocab)))))
-    return start, item[order], share[order]
+    return start, item, shard.idf[term] / weight[item], unit[item, term]
+
+
+def _right_vectors(z: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """The strongest right singular vectors of A from z = A'A omega alone (Nystrom): a column each, at most RANK."""
+    value, vector = np.linalg.eigh((omega.T @ z + z.T @ omega) / 2)
+    keep = value > 1e-6 * value[-1]  # what lies below is the rounding of z
+    u, s, _ = np.linalg.svd(z @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
+    return u[:, : min(RANK, int((s > 1e-6 * s[0]).sum()))]
 
 
 def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", seed: int = 5) -> list[Shard]:
@@ -243,15 +247,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col
             if all(shard.idf[shard.vocab[w]] == 0 for w in item):
                 for w in item:
                     shard.idf[shard.vocab[w]] = idf[shard.vocab[w]]
-        shard.postings = _postings(shard)
         rows = _item_rows(shard)
-        rank = min(RANK, len(rows), len(shard.vocab))
+        shard.postings = _postings(shard, rows)
         omega = np.random.default_rng(seed).standard_normal((len(shard.vocab), min(len(shard.vocab), SKETCH)))
-        z = _range_pass(texts, shard, omega)
-        # the items join the passages with as much energy as all of them: their part of the range is their own span
-        z, _ = np.linalg.qr(np.concatenate([rows.T * max(1.0, total / len(rows)), z / max(1.0, np.abs(z).max())], axis=1))
-        u, _, _ = np.linalg.svd(z.T @ rows.T, full_matrices=False)  # directions of the range, by the items' energy
-        basis = z @ u[:, :rank]
+        basis = _right_vectors(_range_pass(texts, shard, omega) + rows.T @ (rows @ omega), omega)
         latent = rows @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         shard.search = (basis @ latent.T).astype(np.float32)  # a passage's row times this: its cosines with all items
@@ -277,15 +276,18 @@ def _contains(words: list[bytes], part: list[bytes]) -> bool:
 
 
 def _cosines(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, item, cosine) of all pairs with enough cosine, or whose passage holds enough of the item's weight."""
+    """(passage, item, latent cosine) of all pairs with enough cosine, latent or plain, or whose passage holds enough of
+    the item's weight."""
     found, row, t, w = _unit_rows(passage, term, idf)
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     cos = np.add.reduceat(shard.search[t] * w[:, None].astype(np.float32), starts, axis=0)
-    begin, items, shares = shard.postings
+    begin, items, shares, unit = shard.postings
     n = begin[t + 1] - begin[t]
     entry = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    held = np.bincount(np.repeat(row, n) * cos.shape[1] + items[entry], shares[entry], minlength=cos.size)
-    p, i = np.nonzero((cos >= COSINE) | (held.reshape(cos.shape) >= HELD))
+    code = np.repeat(row, n) * cos.shape[1] + items[entry]
+    held = np.bincount(code, shares[entry], minlength=cos.size)
+    plain = np.bincount(code, unit[entry] * np.repeat(w, n), minlength=cos.size)
+    p, i = np.nonzero((cos >= COSINE) | ((held >= HELD) | (plain >= COSINE)).reshape(cos.shape))
     return found[p], i, cos[p, i]
 
 
@@ -300,7 +302,8 @@ def _verify(words: list[bytes], shards: list[Shard], candidates: list[tuple]) ->
             margin = max(STRIDE, len(item))
             low = max(0, p * STRIDE - margin)
             part = bare[low : low + PASSAGE + 2 * margin]
-            if (shards[s].bags[i] & Counter(w for w in part if w in shards[s].bags[i])).total() < LCS_WITH_ANSWER * len(item):
+            bag = shards[s].bags[i]
+            if sum(map(bag.__getitem__, bag.keys() & part)) < LCS_WITH_ANSWER * len(item) - 1e-9:
                 continue  # too few of its words for either check
             got = lcs_length(item, part)
             share = got / len(item)

@@ -273,6 +273,29 @@ def test_more_items_than_ranks(spark):
     assert {(k, k) for k in range(900)} <= {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()}
 
 
+def test_right_vectors():
+    """From A'A omega alone the space of a plain SVD of all rows."""
+    rng = np.random.default_rng(7)
+    a = rng.standard_normal((600, 6)) @ rng.standard_normal((6, 60)) + 0.01 * rng.standard_normal((600, 60))
+    omega = rng.standard_normal((60, 20))
+    got, want = D._right_vectors(a.T @ a @ omega, omega)[:, :6], np.linalg.svd(a)[2][:6].T
+    assert np.linalg.norm(got.T @ want) ** 2 > 5.999
+
+
+def test_search_depends_on_the_corpus(spark, monkeypatch):
+    """Items of one topic use different words; documents join them. At a low rank a passage in other words comes near."""
+    monkeypatch.setattr(D, "RANK", 4)
+    rng = random.Random(3)
+    topic = [[f"t{k}w{j}" for j in range(10)] for k in range(4)]
+    items = [" ".join(topic[k][:5]) for k in range(4)] + [" ".join(topic[k][5:]) for k in range(4)]
+    docs = docs_of(spark, [(k, " ".join([*rng.sample(topic[k % 4], 6), *(f"f{k}x{j}" for j in range(600))]), "a") for k in range(400)])
+    shard = D.fit(docs.select("text"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))[0]
+    words = np.array([shard.vocab[w.encode()] for w in topic[2][:5]])
+    cos = shard.search[words].sum(axis=0) / 5**0.5
+    at = {shard.ids[i]: c for i, c in enumerate(cos)}
+    assert at[6] > 0.5 and max(at[i] for i in (4, 5, 7)) < 0.2
+
+
 def test_repeated_words_of_items(spark):
     """Nineteen of an item's 23 words stand in a text, but only two of its six distinct ones."""
     bench = spark.createDataFrame([(1, "ping " * 18 + "pong pang pung peng pyng")], "item_id long, text string")
