@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, with_keys
+from .common import shared_table
 
 KEY = b"surrogates"
 #: Re-keyed entities that are broadcast at most; more of them meet their documents in a join.
@@ -31,13 +31,13 @@ _PATTERN = re.compile(
     | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
     | (?P<card>(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-]))
-    | (?P<secret>(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<value>[^\s"'<>]{6,256})|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|(?<![\w/+])[0-9a-fA-F]{32,64}(?![\w/+]))
+    | (?P<secret>(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<value>[^\s"'<>]{6,})|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|(?<![\w/+])[0-9a-fA-F]{32,}(?![\w/+]))
     | (?P<name>\b(?P<title>Mrs|Mr|Ms|Miss|Herrn?|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.?[ ](?P<full>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+){0,2}))
     """,
     re.X,
 )
-#: A text without any of these holds no entity.
-_HINT = re.compile(r"@|\d\d|(?i:token|secret|passw|pwd|key)|\b(?:M(?:rs|r|s|iss|onsieur|adame|me)|Herr|Frau|Señor|Sra?)\b")
+#: A text without any of these holds no entity; every alternative of the pattern needs one of them.
+_HINT = re.compile(r"@|\d\d|\d\.\d|(?i:token|secret|passw|pwd|key)|\bA[KS]IA|\bgh[pousr]_|[0-9a-fA-F]{32}|\b(?:M(?:rs|r|s|iss|onsieur|adame|me)|Herrn?|Frau|Señora?|Sra?)\b")
 _FEMALE = frozenset("Mrs Ms Miss Frau Madame Mme Señora Sra".split())
 _GIVEN = {
     "f": "Alba Anna Berta Carla Clara Dora Edda Elena Emma Eva Flora Frida Greta Hanna Helga Ida Ilse Irma Jana Julia Karla Lara Lea Lena Lina Lisa Lotte Lucia Luise Mara Maria Marta Mila Mona Nina Nora Olga Paula Petra Rita Rosa Sara Selma Sofia Tina Ulla Vera Wanda Zita".split(),
@@ -114,10 +114,11 @@ def surrogate_norm(kind: str, norm: str, turn: int = 0) -> str:
         return f"10.{d % 256}.{d // 256 % 256}.{d // 65536 % 254 + 1}"
     if kind == "secret":
         draw, out = _draw(kind, norm, turn), []
+        hexes = string.digits + "abcdef" if re.fullmatch(r"[0-9a-f]+", norm) else string.digits + "ABCDEF" if re.fullmatch(r"[0-9A-F]+", norm) else ""
         for i, c in enumerate(norm):
             if i % 20 == 0:
                 draw = _draw(kind, norm, turn, str(i))
-            sets = string.digits + "abcdef" if re.fullmatch(r"[0-9a-f]+", norm) else string.digits + "ABCDEF" if re.fullmatch(r"[0-9A-F]+", norm) else string.digits if c.isdigit() else string.ascii_lowercase if c.islower() else string.ascii_uppercase if c.isupper() else ""
+            sets = hexes or (string.digits if c.isdigit() else string.ascii_lowercase if c.islower() else string.ascii_uppercase if c.isupper() else "")
             if sets:
                 draw, k = divmod(draw, len(sets))
                 c = sets[k]
@@ -218,11 +219,13 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, kind, norm) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for kind, norm in sorted({x[2:] for x in find(t)})]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["key", "kind", "norm"])
-
-    keyed, _ = with_keys(base)
-    wanted = keyed.select("key", "text").mapInArrow(mentions, "key long, kind string, norm string").join(turns, ["kind", "norm"])
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("kind", "norm", "turn")).alias("turns"))
-    return keyed.join(wanted, "key", "left").select("doc_id", "text", "turns").mapInArrow(run, out_kind)
+            rows = [(k, d, kind, norm) for k, d, t in zip(*(b.column(i).to_pylist() for i in range(3))) for kind, norm in sorted({x[2:] for x in find(t)})]
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["id", "of", "kind", "norm"])
+
+    # rows that repeat an id and a text meet one row of turns, and stay as many as they are
+    keyed = base.withColumn("digest", F.sha2("text", 256))
+    wanted = keyed.select("doc_id", "digest", "text").mapInArrow(mentions, "id long, of string, kind string, norm string").join(turns, ["kind", "norm"])
+    wanted = wanted.groupBy("id", "of").agg(F.collect_set(F.struct("kind", "norm", "turn")).alias("turns"))
+    joined = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["digest"] == wanted["of"]), "left")
+    return joined.select("doc_id", "text", "turns").mapInArrow(run, out_kind)
