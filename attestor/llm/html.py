@@ -2,8 +2,9 @@
 
 A page is parsed into elements. What is an article's own text, and what is a menu, header, footer, sidebar, notice,
 advert, form, script, style or comment, is told by elements and their class and id words. All elements outside of an
-article are hashed with their subtrees; Spark counts on how many pages of a host each hash stands, and subtrees that
-recur on many of them are deleted. Text blocks of an article are its author's, also where they recur.
+article are hashed with their subtrees, on pages with an article too; Spark counts on how many pages of a host each hash
+stands, and subtrees that recur on many of them are deleted. Text blocks of an article are its author's, also where they
+recur, so the deletion shows in the text of pages without an article.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_table
 
-#: A subtree is template if at least so many pages, and at least this share of the pages, of its host hold it.
-MIN_PAGES, MIN_SHARE = 4, 0.05
+#: A subtree is template if at least so many pages of its host hold it.
+MIN_PAGES = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -160,17 +161,57 @@ def _hash(node: Element, out: dict[int, int]) -> bytes:
 
 
 def page_blocks(html: str) -> tuple[bool, list[str], list[list[int]]]:
-    """(whether an article was found, its blocks or the page's, hashes of the elements around each block)."""
+    """(whether an article was found, its blocks or the page's, hashes of the elements around each block). With an
+    article, a last list holds the hashes of all elements around text outside of it, and stands for no block."""
     root = parse(html)
     tops = _articles(root)
     hashes: dict[int, int] = {}
-    if not tops:
-        _hash(root, hashes)
     blocks: list[str] = []
     around: list[list[int]] = []
+    if tops:
+        for top in tops:
+            _walk(top, True, hashes, blocks, [])
+        around = [_outside(root, tops)]
+    else:
+        _hash(root, hashes)
+        _walk(root, False, hashes, blocks, around)
+    return bool(tops), blocks, around
+
+
+def _outside(root: Element, tops: list[Element]) -> list[int]:
+    """Distinct hashes of the elements around text blocks outside ``tops``; an element that holds one of them is unlike
+    any of a page without, and is not hashed itself."""
+    holds = set()
+    for top in tops:
+        node: Element | None = top
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
+    inner = {id(top) for top in tops}
+    out: dict[int, None] = {}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, str) or id(c) in inner:
+                continue
+            if id(c) in holds:
+                stack.append(c)
+            elif not boilerplate(c, False):
+                hashes: dict[int, int] = {}
+                _hash(c, hashes)
+                around: list[list[int]] = []
+                _walk(c, False, hashes, [], around)
+                out.update(dict.fromkeys(h for path in around for h in path))
+    return list(out)
+
+
+def _walk(top: Element, in_article: bool, hashes: dict[int, int], blocks: list[str], around: list[list[int]]) -> None:
+    """The text blocks below ``top`` and, outside of articles, the hashes of the elements around each."""
     text: list[str] = []
+    path: list[int] = []
 
-    def flush(path: list[int]) -> None:
+    def flush() -> None:
         if text:
             # runs of white space, also those that references stand for, become one space
             s = " ".join("".join(text).split())
@@ -179,29 +220,26 @@ def page_blocks(html: str) -> tuple[bool, list[str], list[list[int]]]:
                 blocks.append(s)
                 around.append(list(path))
 
-    for top in tops or [root]:
-        path: list[int] = []
-        stack: list[tuple[Element | str, bool]] = [(top, False)]
-        while stack:
-            node, leaving = stack.pop()
-            if isinstance(node, str):
-                text.append(unescape(node))
-            elif leaving:
-                if node.tag in _BLOCK:
-                    flush(path)
-                if not tops:
-                    path.pop()
-            elif node is top or not boilerplate(node, bool(tops)):
-                if node.tag in _BLOCK:
-                    flush(path)
-                elif node.tag in ("br", "img", "wbr"):
-                    text.append(" ")
-                if not tops:
-                    path.append(hashes[id(node)])
-                stack.append((node, True))
-                stack.extend((c, False) for c in reversed(node.children))
-        flush(path)
-    return bool(tops), blocks, around
+    stack: list[tuple[Element | str, bool]] = [(top, False)]
+    while stack:
+        node, leaving = stack.pop()
+        if isinstance(node, str):
+            text.append(unescape(node))
+        elif leaving:
+            if node.tag in _BLOCK:
+                flush()
+            if not in_article:
+                path.pop()
+        elif node is top or not boilerplate(node, in_article):
+            if node.tag in _BLOCK:
+                flush()
+            elif node.tag in ("br", "img", "wbr"):
+                text.append(" ")
+            if not in_article:
+                path.append(hashes[id(node)])
+            stack.append((node, True))
+            stack.extend((c, False) for c in reversed(node.children))
+    flush()
 
 
 def host_of(url: str | None) -> str:
@@ -215,8 +253,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty html have an empty text; pages without a usable url belong to one nameless host; repeated rows come
     back as often as they came in, and count as pages each; an empty table gives no rows.
 
-    Pages with an article are done in the scan. Only blocks of other pages meet the table of template subtrees, in an
-    equi-join on (host, hash), which is aggregated before; no page is shuffled with its html.
+    The text of pages with an article is done in the scan; they only count for the table of template subtrees. Blocks of
+    other pages meet that table in an equi-join on (host, hash), which is aggregated before; no page is shuffled with its
+    html.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +266,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 out[0].append(host_of(url))
                 out[1].append(found)
                 out[2].append(["\n".join(blocks)] if found else blocks)
-                out[3].append([[]] if found else around)
+                out[3].append(around)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.list_(pa.int64())))], ["page_id", "url", "host", "done", "blocks", "around"])
 
     kind = "page_id long, url string, host string, done boolean, blocks array<string>, around array<array<long>>"
@@ -235,9 +274,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = shared_table(base.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
     done = parsed.filter("done").select("page_id", "url", F.coalesce(F.element_at("blocks", 1), F.lit("")).alias("text"))
     left = parsed.filter("NOT done")
-    seen = left.select("host", "row", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"))
-    host_pages = left.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    templates = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).join(host_pages, "host").filter((F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages"))).select("host", "hash")
+    held = parsed.select("host", "row", "done", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"))
+    seen = held.filter("NOT done")
+    templates = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).select("host", "hash")
     gone = seen.join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("gone"))
     kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
     rest = left.join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n").alias("text"))

@@ -407,6 +407,17 @@ def test_pages(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_count_on_pages_with_articles(spark):
+    """A menu on many article pages and a single index page goes from the index page, on a host of any size."""
+    menu = "<div id=top><p>Start Topics Contact</p></div>"
+    rows = [(i, "http://h/x", f"<html><body>{menu}<div><article><p>story {i}</p></article></div></body></html>") for i in range(120)]
+    rows += [(500, "http://h/i", f"<html><body>{menu}<div><p>own list</p></div></body></html>"), (501, "http://other/i", f"<html><body>{menu}<p>own list</p></body></html>")]
+    rows += [(600 + i, "http://h/s", f"<html><body><div id=sec><p>section line</p></div><div><p>page {i}</p></div></body></html>") for i in range(4)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[500] == "own list" and got[501] == "Start Topics Contact\nown list" and got[7] == "story 7"
+    assert [got[600 + i] for i in range(4)] == [f"page {i}" for i in range(4)]  # 4 of 125 pages
+
+
 def test_page_structure():
     text = lambda h: H.page_blocks(h)[1]
     assert text("<article><p>a<aside>b</aside><form>c</form><section class='comments'><p>d</section><p>e</article>") == ["a", "e"]
