@@ -4,7 +4,8 @@ Targets are water-filled: each source gets its weight's share, at most ``cap`` t
 the others. The mix is a schedule of equal-token slots: the i-th van der Corput point falls through the sources'
 cumulative target weights and so names the slot's source; slots are ranked per source, and rank r takes words
 [r * block, (r + 1) * block) of that source's documents laid end to end in a keyed order and repeated as often as
-needed. All of it is DataFrame operations.
+needed. A source too small for the points (under LEAST_POINTS blocks) takes its target, rounded to a word. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 MAX_BLOCK = 4096
 LEAST_SLOTS = 65536
+#: Points a source must expect at least to be scheduled by them; a smaller one takes its target to the word.
+LEAST_POINTS = 256
 _GRID = 4096
 
 
@@ -79,7 +82,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     ranges = rows.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size")
-    share = shares.join(slots, "source_key", "left").select("source_key", "source_size", "target", F.least(F.coalesce("words", F.lit(0)), F.col("source_size") * cap).alias("words"))
+    words = F.when(F.col("target") < LEAST_POINTS * block, F.round("target").cast("long")).otherwise(F.coalesce("words", F.lit(0)))
+    share = shares.join(slots, "source_key", "left").select("source_key", "source_size", "target", F.least(words, F.col("source_size") * cap).alias("words"))
     ranges = ranges.join(share, "source_key")
     inner = Window.partitionBy("source_key", "range").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(inner)).join(ranges, ["source_key", "range"])

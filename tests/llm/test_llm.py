@@ -468,6 +468,19 @@ def test_mix_caps_and_odd_rows(spark):
     assert all(r.taken == 0 for r in M.mix_plan(docs_of(spark, [(1, "", "a"), (2, None, "b")])).collect())
 
 
+def test_small_sources_reach_their_targets(spark):
+    """A long tail of sources of a few words beside large ones: each comes within a word of its own target."""
+    rows = [(i, "w " * 4000, f"m{i % 3}") for i in range(300)] + [(1000 + i, "w " * (2 + i), f"t{i}") for i in range(40)]
+    plan = M.mix_plan(docs_of(spark, rows)).collect()
+    source = {i: s for i, _, s in rows}
+    taken, target = {}, {}
+    for r in plan:
+        s = source[r.doc_id]
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in taken if s[0] == "t") and all(taken.values())
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in taken)
+
+
 def jump(key, n):
     key, b, j = key % 2**64, -1, 0
     while j < n:
