@@ -61,16 +61,27 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return points.join(cells, "cell").filter("u >= low AND u < high").select("slot", "source_key")
 
 
+def _text_key(text: Column, source: Column) -> Column:
+    """What stands for the id of a row without one: a digest of its source and text."""
+    return F.md5(F.concat(F.coalesce(source, F.lit("")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and full (whole copies), cut (words of one more).
 
     Null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; repeated rows count
-    as documents each; an empty table gives an empty plan. Order inside a source is by md5 of seed and id, then size.
+    as documents each; an empty table gives an empty plan. Order inside a source is by md5 of seed and id, then size;
+    rows without an id are documents like others.
 
     Offsets are prefix sums in two levels (ranges of the digest inside a source, then rows inside a range), so a
     source that holds a third of all words is spread over as many tasks as it has ranges.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _keyed_plan(docs, weights, cap, seed, id_col, text_col, source_col).drop("text_key")
+
+
+def _keyed_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The plan with text_key, which tells rows without an id apart and is null for all others."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).cast("long").isNull(), _text_key(F.col(text_col).cast("string"), F.col(source_col).cast("string"))).alias("text_key"))
     rows = rows.withColumn("digest", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary")))
     rows = shared(rows.withColumn("source_key", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))))
     shares = targets(rows.groupBy("source_key", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), weights, cap)
@@ -85,23 +96,24 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     words = F.when(F.col("target") < LEAST_POINTS * block, F.round("target").cast("long")).otherwise(F.coalesce("words", F.lit(0)))
     share = shares.join(slots, "source_key", "left").select("source_key", "source_size", "target", F.least(words, F.col("source_size") * cap).alias("words"))
     ranges = ranges.join(share, "source_key")
-    inner = Window.partitionBy("source_key", "range").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source_key", "range").orderBy("digest", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(inner)).join(ranges, ["source_key", "range"])
     start = F.col("range_start") + F.col("end") - F.col("size")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("words") - full * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - start)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", full.alias("full"), cut.alias("cut")).withColumn("taken", F.col("full") * F.col("size") + F.col("cut"))
+    return placed.select("doc_id", "text_key", "size", "source_size", "target", full.alias("full"), cut.alias("cut")).withColumn("taken", F.col("full") * F.col("size") + F.col("cut"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as the plan takes it, one document of each
     source cut after the words that still fit. Rows that share an id are mixed as one document of their summed size
-    would be: each gets the copies of the plan's first row of that id.
+    would be: each gets the copies of the plan's first row of that id. Rows without an id are told apart by source and text.
     """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0 AND doc_id IS NOT NULL")
-    plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("full").alias("__full"), F.max("cut").alias("__cut"), F.max("size").alias("__size"))
-    joined = docs.join(plan, F.col(id_col).cast("long") == F.col("__id"))
+    plan = _keyed_plan(docs, id_col=id_col, text_col=text_col, **options).filter("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("full").alias("__full"), F.max("cut").alias("__cut"), F.max("size").alias("__size"))
+    own = F.when(F.col(id_col).cast("long").isNull(), _text_key(F.col(text_col).cast("string"), F.col(options.get("source_col", "source")).cast("string")))
+    joined = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & own.eqNullSafe(F.col("__key")))
     takes = F.concat(F.array_repeat(F.col("__size"), F.col("__full").cast("int")), F.when(F.col("__cut") > 0, F.array(F.col("__cut"))).otherwise(F.array().cast("array<bigint>")))
     copies = joined.withColumn("__take", F.explode(takes))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("__take").cast("int")), " ")

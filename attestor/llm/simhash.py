@@ -167,13 +167,13 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, fp, component_id) of each row."""
+    """(doc_id, row, fp, root, component_id) of each row; root names the component also if it has no id."""
     prints = shared(fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(nodes.select("fp")))
     rooted = shared(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "row", "fp", "component_id")
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of ``docs`` that has the smallest id of its component, one per component. Where rows share an id, the text
-    tells which of them is meant, and equal rows leave one; all components without any id keep one row."""
-    found = shared(_grouped(docs, id_col, text_col).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("__row")))
+    tells which of them is meant, and equal rows leave one; a component without any id keeps one row, told by its text."""
+    own = F.when(F.col("doc_id").isNull() & F.col("component_id").isNull(), F.col("root"))
+    found = shared(_grouped(docs, id_col, text_col).groupBy("doc_id", own.alias("own")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("__row")))
     odd = found.filter("n > 1 OR doc_id IS NULL").limit(1).count() > 0
     kept = found.filter("__row IS NOT NULL").select(F.col("doc_id").alias("__id"), "__row")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
     if not odd:
         return docs.join(kept, same).drop("__id", "__row")
-    joined = docs.join(kept, same & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__row")))
-    return joined.dropDuplicates([id_col]).drop("__id", "__row")
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    return docs.join(kept, same & (text == F.col("__row"))).dropDuplicates(["__id", "__row"]).drop("__id", "__row")

@@ -481,6 +481,19 @@ def test_small_sources_reach_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in taken)
 
 
+def test_rows_without_id_stay(spark):
+    """keep_first leaves one row of each component without ids, and the mix takes id-less rows as the plan says."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, words(k % 30), f"s{k % 2}") for k in range(60)] + [(k, words(100 + k), f"s{k % 2}") for k in range(30)]
+    docs = docs_of(spark, rows)
+    kept = S.keep_first(docs)
+    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t, _ in rows})
+    plan = M.mix_plan(kept).agg(F.sum("taken"), F.sum(F.when(F.col("doc_id").isNull(), F.col("taken")))).first()
+    mixed = M.mix_documents(kept)
+    size = F.sum(M.word_count(F.col("text")))
+    assert (mixed.agg(size).first()[0], mixed.filter("doc_id IS NULL").agg(size).first()[0]) == tuple(plan) and plan[1] > 0
+
+
 def jump(key, n):
     key, b, j = key % 2**64, -1, 0
     while j < n:
