@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,13 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows, so that what becomes Python objects at once stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; only without it (tests) a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

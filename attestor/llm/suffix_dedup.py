@@ -14,7 +14,10 @@ Sorting every suffix of the corpus in one place is out of the question, so suffi
    their last bucket are equal strings: all but the first go.
 
 Anchors that very many documents hold (found in a bounded sample) are not dealt as runs but string by string, which
-spreads them; equal runs are combined in each batch before the shuffle. So no hot passage meets in one task.
+spreads them; equal runs are combined in each batch before the shuffle. So no hot passage meets in one task. Anchors that
+still have more than MANY_RUNS different runs after step 2 (counted, not sampled) leave step 3 for an aggregation of their
+strings by 128 bits of hash, which combines before its shuffle: a task of step 3 never holds more than COMPARE_BYTES and
+one anchor's MANY_RUNS runs.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, utf8, with_keys
+from .common import shared_table, slices, utf8, with_keys
 
 LENGTH, GRAM = 100, 32
 SEGMENT = 1 << 22
 #: Documents in the sample for hot anchors, and the share of them from which an anchor is hot.
 SAMPLE_DOCS, HOT_SHARE = 2048, 0.01
 PART_BYTES = 24 << 20
+#: Bytes of runs that are refined together, runs of one anchor that are refined at all, and rows of a batch in Python.
+COMPARE_BYTES, MANY_RUNS, SLICE_ROWS = 512 << 10, 1024, 256
 
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -129,28 +134,36 @@ def _unpack(raw: bytes) -> np.ndarray:
     return r
 
 
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the distinct keys, in their order."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.empty(len(keys), np.int32)
+    fresh[:1] = 0
+    np.cumsum(keys[order[1:]] != keys[order[:-1]], out=fresh[1:])
+    ids = np.empty(len(keys), np.int32)
+    ids[order] = fresh
+    return ids
+
+
 def refine(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Bucket of the LENGTH bytes at each of ``starts``: equal strings share a bucket, others don't.
 
     ``text`` holds LENGTH bytes from each start on. All positions get ids, as later offsets point to them.
     """
     padded = np.concatenate([text, np.zeros(4, np.uint8)]).astype(np.uint32)
-    ids = padded[:-4] | padded[1:-3] << np.uint32(8) | padded[2:-2] << np.uint32(16) | padded[3:-1] << np.uint32(24)
-    ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    depth = 4
-    live = np.arange(len(text))
+    ids = _buckets(padded[:-4] | padded[1:-3] << np.uint32(8) | padded[2:-2] << np.uint32(16) | padded[3:-1] << np.uint32(24))
+    depth, top, last = 4, int(ids.max()) + 1, len(text) - 1
+    live = np.arange(len(text), dtype=np.int32)
     while depth < LENGTH // 2 + 1:
-        sizes = np.bincount(ids)
-        live = live[sizes[ids[live]] > 1]  # a bucket of one suffix is done
-        later = np.minimum(live + depth, len(text) - 1)
-        pair = ids[live] * (ids.max() + 1) + np.where(live + depth < len(text), ids[later], 0)
-        fresh = np.unique(pair, return_inverse=True)[1]
+        live = live[np.bincount(ids, minlength=top)[ids[live]] > 1]  # a bucket of one suffix is done
+        later = np.minimum(live + np.int32(depth), np.int32(last))
+        pair = ids[live].astype(np.int64) * top + np.where(live + depth <= last, ids[later], 0)
+        fresh = _buckets(pair)
         ids = ids.copy()
-        ids[live] = fresh + ids.max() + 1
-        ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        ids[live] = fresh + np.int32(top)
+        top += int(fresh.max()) + 1 if len(fresh) else 0
         depth *= 2
-    pair = ids[starts] * (ids.max() + 1) + ids[starts + LENGTH - depth]
-    return np.unique(pair, return_inverse=True)[1]
+    return _buckets(ids[starts].astype(np.int64) * top + ids[starts + LENGTH - depth])
 
 
 def _refine_runs(doc: np.ndarray, at: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +211,7 @@ def removed_strings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = spark.sparkContext.broadcast(_hot_anchors(docs, n_docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 8 * SLICE_ROWS):
             r, again = _split_first(_batch_runs(b.column(0).to_pylist(), utf8(b.column(1)), hot.value))
             rows: list[tuple[int, int, bytes]] = []
             for kind, some in ((0, r[~again]), (1, r[again])):  # what repeats within the batch needs no comparing
@@ -240,46 +253,65 @@ def removed_strings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _refined(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """(doc, at, n) of the strings in open runs that go; fetches the runs' bytes from the documents."""
+    """(doc, at, n) of the strings in open runs that go; fetches the runs' bytes from the documents.
+
+    Runs of anchors with more than MANY_RUNS of them come as strings, hashed twice; the first of each is kept.
+    """
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    lists = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
+    many = open_.groupBy("anchor").count().filter(F.col("count") > MANY_RUNS).select("anchor", F.lit(True).alias("many"))
+    marked = open_.join(many, "anchor", "left").select("doc", "at", "n", "anchor", F.coalesce("many", F.lit(False)).alias("many"))
+    lists = marked.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"), F.collect_list(F.when(F.col("many"), F.col("at"))).alias("single"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, ats, anchors, cuts = [], [], [], []
-            for key, text, runs in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
-                for r in runs or ():
-                    ids.append(key)
-                    ats.append(r["at"])
-                    anchors.append(r["anchor"])
-                    cuts.append(text[r["at"] : r["at"] + r["n"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(anchors, pa.int64()), pa.array(cuts, pa.binary())], ["doc", "at", "anchor", "bytes"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        digest = xxhash.xxh3_128_intdigest
+        for b in slices(batches, SLICE_ROWS):
+            rows: list[tuple] = []
+            for key, text, runs, single in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2), b.column(3).to_pylist()):
+                fields = runs.values
+                spread = set(single)
+                for at, n, anchor in zip(*(fields.field(k).to_pylist() for k in range(3))):
+                    if at in spread:
+                        for x in range(at, at + n):
+                            h = digest(text[x : x + LENGTH])
+                            rows.append((key, x, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, None))
+                    else:
+                        rows.append((key, at, anchor, None, text[at : at + n + LENGTH - 1]))
+                    if len(rows) >= 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by anchor: about 4 MB of whole anchors at a time."""
-        doc, at, anchor, cuts, size = [], [], [], [], 0
+        """Sorted by anchor: about COMPARE_BYTES of whole anchors at a time."""
+        doc, at, cuts, size, last = [], [], [], 0, None
 
-        def close(m: int) -> pa.RecordBatch:
-            d, a, n = _refine_runs(np.array(doc[:m], np.int64), np.array(at[:m], np.int64), cuts[:m])
-            del doc[:m], at[:m], anchor[:m], cuts[:m]
+        def close() -> pa.RecordBatch:
+            d, a, n = _refine_runs(np.array(doc, np.int64), np.array(at, np.int64), cuts)
+            doc.clear(), at.clear(), cuts.clear()
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(n.astype(np.int32))], ["doc", "at", "n"])
 
-        for b in batches:
+        for b in slices(batches, 4096):
             for d, a, k, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if size > 4 << 20 and k != anchor[-1]:
-                    yield close(len(doc))
+                if size > COMPARE_BYTES and k != last:
+                    yield close()
                     size = 0
                 doc.append(d)
                 at.append(a)
-                anchor.append(k)
                 cuts.append(c)
-                size += len(c)
+                size, last = size + len(c), k
         if doc:
-            yield close(len(doc))
+            yield close()
 
-    joined = docs.join(lists, docs["key"] == lists["doc"], "left").select("key", "text", "runs").filter("runs IS NOT NULL")
-    cuts = joined.mapInArrow(fetch, "doc long, at long, anchor long, bytes binary")
-    return cuts.repartition(int(parts), "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc long, at long, n int")
+    names = ["doc", "at", "anchor", "more", "bytes"]
+    joined = docs.join(lists, docs["key"] == lists["doc"]).select("key", "text", "runs", "single")
+    cuts = shared_table(joined.mapInArrow(fetch, "doc long, at long, anchor long, more long, bytes binary"))
+    runs = cuts.filter("more IS NULL").select("doc", "at", "anchor", "bytes").repartition(int(parts), "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc long, at long, n int")
+    strings = cuts.filter("more IS NOT NULL").select("doc", "at", F.col("anchor").alias("high"), F.col("more").alias("low"))
+    first = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("high", "low", "first")
+    later = strings.join(first, ["high", "low"]).filter("struct(doc, at) <> first").select("doc", "at", F.lit(1).alias("n"))
+    return runs.unionByName(later)
 
 
 def strip_runs(text: bytes, at: np.ndarray, n: np.ndarray) -> tuple[bytes, int, int]:
@@ -313,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = "key long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, SLICE_ROWS):
             out = []
             for text, at, n in zip(utf8(b.column(1)), b.column(2), b.column(3)):
                 text = text or b""
