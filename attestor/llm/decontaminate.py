@@ -1,17 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; they are counted over all documents, and common ones weigh nothing.
-2. A randomised SVD of the TF-IDF passage matrix (all passages of all documents, and the benchmark items as rows more)
-   takes one distributed pass: each task multiplies its passages with a random matrix and back, and tasks' (terms x
-   columns) sums are added by term blocks. The strongest right singular vectors follow from the sum and the random
-   matrix, so that the latent space is that of the corpus.
-3. Each passage is projected into the latent space; items with enough cosine are candidates. So are, whatever the latent
-   space holds of them, items with enough cosine in plain terms, or of whose weight the passage holds enough; both are
-   exact and have no rank.
+1. Terms are the words of the benchmark; they are counted over all documents, and common ones weigh nothing, but for an
+   item's rarest.
+2. A randomised SVD of the TF-IDF passage matrix A (all passages of all documents, and the benchmark items as rows more)
+   takes one distributed pass: each task sums its passages' products of terms, A'A, multiplies them with a random matrix,
+   and tasks' (terms x columns) results are added by term blocks. The strongest right singular vectors follow from the sum
+   and the random matrix, so that the latent space is that of the corpus.
+3. Each passage is projected into the latent space; items with enough cosine there are candidates. So are, whatever the
+   latent space holds of them, items with enough cosine in plain terms, or of whose weight the passage holds enough; both
+   are exact and have no rank.
 4. A candidate is a leak if the longest common subsequence of words covers enough of the item, or covers less of it but
    the item's answer, its last words, stands in the passage as it is.
 
-The benchmark is handled in shards of bounded size, so that what is broadcast stays bounded however large it is.
+The benchmark is worked through in groups of GROUP_BYTES at most, and a group in shards of SHARD_TERMS terms at most; one
+group is collected and broadcast at a time, so that both stay bounded however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 #: Words of a passage; passages start every STRIDE words.
 PASSAGE, STRIDE = 48, 24
@@ -34,13 +36,17 @@ PASSAGE, STRIDE = 48, 24
 RANK, SKETCH = 256, 264
 #: Terms that stand more often than once in 1 / COMMON passages weigh nothing.
 COMMON = 0.02
-COSINE = 0.30
+#: Rarest words of an item that weigh whatever their frequency.
+LEAST_TERMS = 8
+#: Cosine that makes a candidate: in plain terms, and in the latent space (both vectors projected and of unit length).
+COSINE, LATENT_COSINE = 0.30, 0.50
 #: Share of an item's words in the common subsequence: alone enough, and enough beside the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS = 0.8, 0.6, 6
 #: Share of an item's weight that a passage holds: enough to be a candidate whatever its cosine.
 HELD = 0.30
-#: Bytes of benchmark text in a shard; the broadcast of a shard is at most about 300 times as large.
-SHARD_BYTES = 128 << 10
+#: Bytes of benchmark text in a group, on average, and terms of a shard: a task sums SHARD_TERMS squared products, and a
+#: shard's broadcast is SHARD_TERMS x (SKETCH or RANK) numbers. Of an item with more terms the rarest are its search terms.
+GROUP_BYTES, SHARD_TERMS = 256 << 10, 4608
 _BLOCKS = 64
 
 
@@ -66,7 +72,9 @@ class Shard:
     bare: list[list[bytes]]
     bags: list[Counter]
     idf: np.ndarray | None = None
-    search: np.ndarray | None = None
+    #: Terms x latent dimensions, and the items' unit vectors there.
+    basis: np.ndarray | None = None
+    latent: np.ndarray | None = None
     #: Of each term the items that hold it: where a term's entries start, items, shares of their weight, unit weights.
     postings: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
@@ -145,26 +153,28 @@ def _term_counts(docs: DataFrame, shards: list[Shard]) -> tuple[list[np.ndarray]
     return out, int(n[shard == -1].sum())
 
 
+def _products(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, gram: np.ndarray) -> None:
+    """Adds the products of each passage's unit row with itself to gram, above and on the diagonal."""
+    _, row, t, w = _unit_rows(passage, term, idf)
+    n = np.bincount(row)
+    ends = np.cumsum(n)[row]
+    after = ends - np.arange(len(t))  # entries of the row from this one on, terms ascending
+    left = np.repeat(np.arange(len(t)), after)
+    right = left + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    np.add.at(gram.reshape(-1), t[left] * gram.shape[1] + t[right], (w[left] * w[right]).astype(np.float32))
+
+
 def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
-    """A'(A omega) over the passages of all documents. Each task keeps one (terms x columns) sum."""
-    state = docs.sparkSession.sparkContext.broadcast((*_rare(shard), omega.astype(np.float32)))
+    """A'A omega over the passages of all documents. Each task keeps A'A of its passages over the terms that weigh."""
+    weighs = np.flatnonzero(shard.idf > 0)
+    dense = {w: i for i, w in enumerate(w for w in shard.vocab if shard.idf[shard.vocab[w]] > 0)}
+    state = docs.sparkSession.sparkContext.broadcast((dense, shard.idf[weighs], omega[weighs].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, idf, om = state.value
-        total = np.zeros(om.shape, np.float32)
-
-        def add(passage: np.ndarray, term: np.ndarray) -> None:
-            _, row, t, w = _unit_rows(passage, term, idf)
-            w = w.astype(np.float32)
-            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            y = np.add.reduceat(om[t] * w[:, None], starts, axis=0)
-            order = np.argsort(t, kind="stable")
-            to = t[order]
-            begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            total[to[begin]] += np.add.reduceat(y[row[order]] * w[order, None], begin, axis=0)
-
+        gram = np.zeros((len(idf), len(idf)), np.float32)
         base, size, held = 0, 0, ([], [])
-        for b in batches:
+        for b in slices(batches, 512):
             for text in utf8(b.column(0)):
                 words = words_of(text)
                 at, term = _hits(words, vocab)
@@ -174,11 +184,13 @@ def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
                     held[0].append(passage + base)
                     held[1].append(term)
                     base, size = base + count, size + len(term)
-                if size > 3072:
-                    add(np.concatenate(held[0]), np.concatenate(held[1]))
+                if size > 16384:
+                    _products(np.concatenate(held[0]), np.concatenate(held[1]), idf, gram)
                     base, size, held = 0, 0, ([], [])
         if size:
-            add(np.concatenate(held[0]), np.concatenate(held[1]))
+            _products(np.concatenate(held[0]), np.concatenate(held[1]), idf, gram)
+        total = gram @ om + gram.T @ om - gram.diagonal()[:, None] * om
+        del gram
         for k in range(_BLOCKS):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k::_BLOCKS].tobytes()], pa.binary())], ["block", "sum"])
 
@@ -193,9 +205,10 @@ def _range_pass(docs: DataFrame, shard: Shard, omega: np.ndarray) -> np.ndarray:
 
     kind = "block int, sum binary"
     parts = docs.mapInArrow(run, kind).repartition(_BLOCKS, "block").mapInArrow(merge, kind).collect()  # terms x columns in all
-    z = np.zeros(omega.shape)
+    z, some = np.zeros(omega.shape), np.zeros((len(weighs), omega.shape[1]))
     for row in parts:
-        z[row["block"] :: _BLOCKS] += np.frombuffer(row["sum"], np.float32).reshape(-1, omega.shape[1])
+        some[row["block"] :: _BLOCKS] += np.frombuffer(row["sum"], np.float32).reshape(-1, omega.shape[1])
+    z[weighs] = some
     return z
 
 
@@ -226,37 +239,56 @@ def _right_vectors(z: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return u[:, : min(RANK, int((s > 1e-6 * s[0]).sum()))]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", seed: int = 5) -> list[Shard]:
-    """The latent space of each shard of the benchmark. Items that are null or empty are never leaked."""
+def groups_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, bytes]]]:
+    """The distinct items of the benchmark, a group at a time. Null and empty items are never leaked."""
     items = benchmark.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // SHARD_BYTES))
-    shards = []
-    for k in range(n):  # each shard within the bound; n is 1 but for large benchmarks
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
+    n = max(1, -(-size // GROUP_BYTES))
+    for k in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "text").collect()
         if rows:
-            shards.append(_make_shard([(r["id"], r["text"].encode()) for r in rows]))
-    if not shards:
-        return []
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts, total = _term_counts(texts, shards)
+            yield [(r["id"], r["text"].encode()) for r in rows]
+
+
+def _shards_of(rows: list[tuple[int, bytes]]) -> list[Shard]:
+    parts: list[list[tuple[int, bytes]]] = [[]]
+    seen: set[bytes] = set()
+    for row in rows:
+        own = set(words_of(row[1]))
+        if parts[-1] and len(seen | own) > SHARD_TERMS:
+            parts.append([])
+            seen = set()
+        parts[-1].append(row)
+        seen |= own
+    return [_make_shard(part) for part in parts]
+
+
+def fit(docs: DataFrame, rows: list[tuple[int, bytes]], seed: int = 5) -> list[Shard]:
+    """The latent spaces of a group of items over the documents (text)."""
+    shards = _shards_of(rows)
+    counts, total = _term_counts(docs, shards)
     for shard, c in zip(shards, counts):
         idf = np.log((1 + total) / (1 + np.minimum(c, total))) + 1
         shard.idf = np.where(c > max(COMMON * total, 8), 0.0, idf)
-        for item in shard.items:  # an item of none but common words: they count after all
-            if all(shard.idf[shard.vocab[w]] == 0 for w in item):
-                for w in item:
-                    shard.idf[shard.vocab[w]] = idf[shard.vocab[w]]
-        rows = _item_rows(shard)
-        shard.postings = _postings(shard, rows)
+        for item in shard.items:  # of an item of common words the rarest count after all
+            for term in sorted({shard.vocab[w] for w in item}, key=lambda t: (-idf[t], t))[:LEAST_TERMS]:
+                shard.idf[term] = idf[term]
+        if len(shard.vocab) > SHARD_TERMS:  # one item alone
+            shard.idf[np.argsort(-shard.idf, kind="stable")[SHARD_TERMS:]] = 0.0
+        items = _item_rows(shard)
+        shard.postings = _postings(shard, items)
         omega = np.random.default_rng(seed).standard_normal((len(shard.vocab), min(len(shard.vocab), SKETCH)))
-        basis = _right_vectors(_range_pass(texts, shard, omega) + rows.T @ (rows @ omega), omega)
-        latent = rows @ basis
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        shard.search = (basis @ latent.T).astype(np.float32)  # a passage's row times this: its cosines with all items
+        shard.basis, shard.latent = latent_space(_range_pass(docs, shard, omega) + items.T @ (items @ omega), omega, items)
     return shards
 
 
+def latent_space(z: np.ndarray, omega: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The basis (terms x dimensions) and the items' unit vectors in it."""
+    basis = _right_vectors(z, omega)
+    latent = items @ basis
+    return basis.astype(np.float32), (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def lcs_length(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, a bit of an int for each word of a."""
     masks: dict[bytes, int] = {}
@@ -275,34 +307,48 @@ def _contains(words: list[bytes], part: list[bytes]) -> bool:
     return any(words[i] == part[0] and words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
+def _projected(row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The latent vectors of sparse rows, of unit length: the j-th entries of all rows at a time, longest rows first."""
+    n = np.bincount(row)
+    order = np.argsort(-n, kind="stable")
+    first, y = (np.cumsum(n) - n)[order], np.zeros((len(n), basis.shape[1]), np.float32)
+    for j in range(int(n[order[0]])):
+        at = first[: np.count_nonzero(n > j)] + j
+        y[: len(at)] += basis[term[at]] * weight[at, None]
+    y /= np.maximum(np.sqrt(np.einsum("ij,ij->i", y, y)), 1e-9)[:, None]
+    out = np.empty_like(y)
+    out[order] = y
+    return out
+
+
 def _cosines(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, latent cosine) of all pairs with enough cosine, latent or plain, or whose passage holds enough of
     the item's weight."""
     found, row, t, w = _unit_rows(passage, term, idf)
-    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    cos = np.add.reduceat(shard.search[t] * w[:, None].astype(np.float32), starts, axis=0)
+    cos = _projected(row, t, w.astype(np.float32), shard.basis) @ shard.latent.T
     begin, items, shares, unit = shard.postings
     n = begin[t + 1] - begin[t]
     entry = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
     code = np.repeat(row, n) * cos.shape[1] + items[entry]
     held = np.bincount(code, shares[entry], minlength=cos.size)
     plain = np.bincount(code, unit[entry] * np.repeat(w, n), minlength=cos.size)
-    p, i = np.nonzero((cos >= COSINE) | ((held >= HELD) | (plain >= COSINE)).reshape(cos.shape))
+    p, i = np.nonzero((cos >= LATENT_COSINE) | ((held >= HELD) | (plain >= COSINE)).reshape(cos.shape))
     return found[p], i, cos[p, i]
 
 
 def _verify(words: list[bytes], shards: list[Shard], candidates: list[tuple]) -> list[Leak]:
     """The candidates (shard, passages, items, cosines) of one text that the word checks confirm, the best of each item."""
     best: dict[int, Leak] = {}
-    bare: list[bytes] = []
     for s, passages, items, cosines in candidates:
-        bare = bare or ([_bare(x) for x in words] if len(passages) else [])
+        shard, done, wide = shards[s], -1, max(STRIDE, max(len(shards[s].bare[i]) for i in items))
         for p, i, c in zip(passages.tolist(), items.tolist(), cosines.tolist()):
-            item, at = shards[s].bare[i], shards[s].ids[i]
+            if p != done:  # in order of passage
+                done, first = p, max(0, p * STRIDE - wide)
+                around = [_bare(x) for x in words[first : p * STRIDE + PASSAGE + wide]]
+            item, at, bag = shard.bare[i], shard.ids[i], shard.bags[i]
             margin = max(STRIDE, len(item))
             low = max(0, p * STRIDE - margin)
-            part = bare[low : low + PASSAGE + 2 * margin]
-            bag = shards[s].bags[i]
+            part = around[low - first : p * STRIDE + PASSAGE + margin - first]
             if sum(map(bag.__getitem__, bag.keys() & part)) < LCS_WITH_ANSWER * len(item) - 1e-9:
                 continue  # too few of its words for either check
             got = lcs_length(item, part)
@@ -368,26 +414,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row per document and item that leaks into it. Null and empty texts hold no leak, repeated rows give their
     leaks each, items that share an id are one item, an empty benchmark or table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    state = docs.sparkSession.sparkContext.broadcast(scan_state(fit(base, benchmark)))
+    found = None
+    for rows in groups_of(benchmark):
+        some = base.mapInArrow(_finder(base.sparkSession.sparkContext.broadcast(scan_state(fit(base.select("text"), rows)))), _SCHEMA)
+        found = some if found is None else found.unionByName(some)
+    return base.sparkSession.createDataFrame([], _SCHEMA) if found is None else found
+
 
+def _finder(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 512):
             rows = [(d, *hit) for d, found in zip(b.column(0).to_pylist(), find_all(utf8(b.column(1)), state.value)) for hit in found]
             cols = list(zip(*rows)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return base.mapInArrow(run, _SCHEMA)
+    return run
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no leak, with all their columns, decided inside the scan."""
-    at = docs.columns.index(text_col)
-    state = docs.sparkSession.sparkContext.broadcast(scan_state(fit(docs.select(F.col(text_col).alias("text")), benchmark)))
+    """The rows of ``docs`` that hold no leak, with all their columns, decided inside the scan. Null and empty texts stay,
+    repeated rows share their fate, an empty benchmark or table changes nothing."""
+    at, texts = docs.columns.index(text_col), docs.select(F.col(text_col).cast("string").alias("text"))
+    for rows in groups_of(benchmark):
+        docs = docs.mapInArrow(_remover(docs.sparkSession.sparkContext.broadcast(scan_state(fit(texts, rows))), at), docs.schema)
+    return docs
+
 
+def _remover(state, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array([not found for found in find_all(utf8(b.column(at)), state.value)]))
+        for b in slices(batches, 512):
+            yield b.filter(pa.array([not found for found in find_all(utf8(b.column(at)), state.value)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run

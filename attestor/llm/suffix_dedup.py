@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import shared_table, slices, utf8, with_keys
 
 LENGTH, GRAM = 100, 32
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 #: Documents in the sample for hot anchors, and the share of them from which an anchor is hot.
 SAMPLE_DOCS, HOT_SHARE = 2048, 0.01
 PART_BYTES = 24 << 20
 #: Bytes of runs that are refined together, runs of one anchor that are refined at all, and rows of a batch in Python.
-COMPARE_BYTES, MANY_RUNS, SLICE_ROWS = 512 << 10, 1024, 256
+COMPARE_BYTES, MANY_RUNS, SLICE_ROWS = 512 << 10, 4096, 256
 
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

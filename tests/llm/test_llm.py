@@ -109,6 +109,33 @@ def test_suffix_hot_passages_and_long_documents(corpus, monkeypatch):
         assert (len(t), removed, runs, hashlib.sha256(kept).hexdigest()) == want[i]
 
 
+def test_suffix_many_runs_of_one_anchor(spark, monkeypatch):
+    monkeypatch.setattr(B, "MANY_RUNS", 8)
+    monkeypatch.setattr(B, "COMPARE_BYTES", 2000)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(130))
+    noise = lambda n: "".join(rng.choice("stuvwxyz ") for _ in range(n))
+    rows = [(i, noise(rng.randint(0, 80)) + passage[rng.randint(0, 9) :] + noise(rng.randint(0, 80)), "a") for i in range(150)]
+    # a sample that finds no hot anchor, so that all of them meet as runs
+    monkeypatch.setattr(B, "_hot_anchors", lambda docs, n: np.zeros(0, np.uint64))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in B.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got == brute_strip([(i, t) for i, t, _ in rows])
+
+
+def test_suffix_refine_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 101, B.COMPARE_BYTES, dtype=np.uint8)
+    text[1000:3000] = text[5000:7000]
+    tracemalloc.start()
+    starts = np.arange(len(text) - 99)
+    bucket = B.refine(text, starts)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert (bucket[1000:2901] == bucket[5000:6901]).all() and len(np.unique(bucket)) == len(starts) - 1901
+
+
 def test_suffix_odd_rows(spark):
     rows = B.remove_repeats(docs_of(spark, ODD)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes) for r in rows) == [(False, 3, 0), (False, 5, 0), (False, 5, 300), (False, 7, 1), (False, 9, 150000), (True, 0, 10)]
@@ -255,8 +282,10 @@ def test_benchmark_in_shards(spark, corpus, monkeypatch):
     items = [" ".join(t.split()[:30]) for _, t, _ in rows[:12] if len(t.split()) > 40]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     one = {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()}
-    monkeypatch.setattr(D, "SHARD_BYTES", 400)
-    assert len(D.fit(docs_of(spark, rows).select("text"), bench)) > 1
+    monkeypatch.setattr(D, "GROUP_BYTES", 1000)
+    monkeypatch.setattr(D, "SHARD_TERMS", 60)
+    groups = list(D.groups_of(bench))
+    assert len(groups) > 1 and sum(map(len, groups)) == len(items) and max(len(D._shards_of(g)) for g in groups) > 1
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()} == one and len(one) >= len(items)
 
 
@@ -268,7 +297,7 @@ def test_more_items_than_ranks(spark):
     items = [" ".join(pick(10)) for _ in range(900)]
     docs = docs_of(spark, [(k, " ".join([*pick(19), t, *pick(19)]), "a") for k, t in enumerate(items)])
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    shards = D.fit(docs.select("text"), bench)
+    shards = D.fit(docs.select("text"), next(D.groups_of(bench)))
     assert len(shards) == 1 and len(shards[0].items) > 3 * D.RANK
     assert {(k, k) for k in range(900)} <= {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()}
 
@@ -289,11 +318,70 @@ def test_search_depends_on_the_corpus(spark, monkeypatch):
     topic = [[f"t{k}w{j}" for j in range(10)] for k in range(4)]
     items = [" ".join(topic[k][:5]) for k in range(4)] + [" ".join(topic[k][5:]) for k in range(4)]
     docs = docs_of(spark, [(k, " ".join([*rng.sample(topic[k % 4], 6), *(f"f{k}x{j}" for j in range(600))]), "a") for k in range(400)])
-    shard = D.fit(docs.select("text"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))[0]
-    words = np.array([shard.vocab[w.encode()] for w in topic[2][:5]])
-    cos = shard.search[words].sum(axis=0) / 5**0.5
-    at = {shard.ids[i]: c for i, c in enumerate(cos)}
+    rows = [(i, t.encode()) for i, t in enumerate(items)]
+
+    def cosines():
+        shard = D.fit(docs.select("text"), rows)[0]
+        y = shard.basis[np.array([shard.vocab[w.encode()] for w in topic[2][:5]])].sum(axis=0)
+        return dict(zip(shard.ids, (shard.latent @ y / np.linalg.norm(y)).tolist()))
+
+    at = cosines()
     assert at[6] > 0.5 and max(at[i] for i in (4, 5, 7)) < 0.2
+    # the range pass decides: without the corpus the space is another, and the halves of a topic are no nearer than others
+    monkeypatch.setattr(D, "_range_pass", lambda docs, shard, omega: np.zeros(omega.shape))
+    assert max(abs(c - at[i]) for i, c in cosines().items()) > 0.2
+    monkeypatch.setattr(D, "RANK", 256)
+    assert abs(cosines()[6]) < 0.01
+
+
+def test_range_pass_is_the_gram_matrix(spark, corpus):
+    """A'A omega of the distributed pass against plain matrices of all passages."""
+    _, rows = corpus
+    docs = docs_of(spark, rows[:40])
+    items = [(k, t.encode()) for k, (_, t, _) in enumerate(rows[:3]) if t]
+    shard = D.fit(docs.select("text"), items)[0]
+    omega = np.random.default_rng(0).standard_normal((len(shard.vocab), 5))
+    want = np.zeros((len(shard.vocab),) * 2)
+    for _, t, _ in rows[:40]:
+        words = D.words_of(t.encode())
+        for p in range(D._count(len(words))):
+            a = np.zeros(len(shard.vocab))
+            for w in words[p * D.STRIDE : p * D.STRIDE + D.PASSAGE]:
+                if w in shard.vocab:
+                    a[shard.vocab[w]] += 1
+            a = np.sqrt(a) * shard.idf
+            want += np.outer(a, a) / max(1e-12, a @ a)
+    assert np.allclose(D._range_pass(docs.select("text"), shard, omega), want @ omega, rtol=1e-3, atol=1e-3)
+
+
+def test_leaks_against_all_pairs(spark):
+    """Every document against every item, whole texts, without any candidate search."""
+    rng = random.Random(21)
+    pool = [f"w{k:03d}" for k in range(700)]
+    pick = lambda n: [pool[int(len(pool) * rng.random() ** 1.5)] for _ in range(n)]
+    items = [pick(rng.randint(8, 40)) for _ in range(40)]
+    rows = []
+    for k in range(160):
+        part = list(items[k % 40])
+        for _ in range(rng.randint(0, len(part) // 2)):  # words changed, dropped or put between
+            j = rng.randrange(len(part))
+            part[j : j + 1] = rng.choice(([], pick(1), [part[j], *pick(1)]))
+        rows.append((k, " ".join([*pick(rng.randint(0, 90)), *part, *pick(rng.randint(0, 90))]), "a"))
+    want = set()
+    for k, t, _ in rows:
+        words = t.encode().split()
+        for i, item in enumerate(items):
+            item = [w.encode() for w in item]
+            margin = max(D.STRIDE, len(item))
+            for p in range(D._count(len(words))):
+                low = max(0, p * D.STRIDE - margin)
+                part = words[low : low + D.PASSAGE + 2 * margin]
+                share = D.lcs_length(item, part) / len(item)
+                if share >= D.LCS_ALONE or share >= D.LCS_WITH_ANSWER and D._contains(part, item[-D.ANSWER_WORDS :]):
+                    want.add((k, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == want and len(want) > 60
 
 
 def test_repeated_words_of_items(spark):
