@@ -87,16 +87,24 @@ g AS (SELECT doc_id, sum(gone) AS n_removed, sum(opens) AS n_spans, string_agg(b
 SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM t LEFT JOIN g ON g.doc_id = t.doc_id""",
     "op10_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w
   WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight), CAST('inf' AS DOUBLE)) * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight), CAST('inf' AS DOUBLE)) * weight) AS target FROM l),
 k AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, least(4096, CAST(sum(size) AS BIGINT) // 65536)) AS block FROM d),
-points AS (SELECT list_sum(list_transform(range(0, 52), lambda b: ((i >> b) & 1) * pow(2.0, -b - 1))) AS u FROM (SELECT unnest(range(0, CAST(ceil(total / block) AS BIGINT))) AS i FROM k)),
-spans AS (SELECT source, source_size, target, (sum(target) OVER o - target) / sum(target) OVER () AS low, CASE WHEN sum(target) OVER o >= sum(target) OVER () THEN 1.0 ELSE sum(target) OVER o / sum(target) OVER () END AS high FROM t WINDOW o AS (ORDER BY source NULLS LAST)),
-n AS (SELECT source, source_size, target, least((SELECT count(*) FROM points WHERE u >= low AND u < high) * (SELECT block FROM k), 3 * source_size) AS words FROM spans),
-p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY digest, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-SELECT doc_id, size, source_size, target, CAST((words // source_size) * size + greatest(0, least(size, words % source_size - start)) AS BIGINT) AS taken FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source""",
+m AS (SELECT t.*, block, total, CAST(ceil(source_size / block) AS BIGINT) AS blocks, least(CAST(round(target) AS BIGINT), 3 * source_size) AS words FROM t, k WHERE source_size > 0),
+points AS (SELECT i AS slot, list_sum(list_transform(range(0, 52), lambda b: ((i >> b) & 1) * pow(2.0, -b - 1))) AS u FROM (SELECT unnest(range(0, CAST(ceil(total / block) AS BIGINT))) AS i FROM k)),
+spans AS (SELECT *, (sum(target) OVER o - target) / sum(target) OVER () AS low, CASE WHEN sum(target) OVER o >= sum(target) OVER () THEN 1.0 ELSE sum(target) OVER o / sum(target) OVER () END AS high FROM m WINDOW o AS (ORDER BY source NULLS LAST)),
+hit AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN spans ON u >= low AND u < high),
+owed AS (SELECT m.source, unnest(range(coalesce(n, 0), words // block + 4 * blocks)) AS rank FROM m LEFT JOIN (SELECT source, count(*) AS n FROM hit GROUP BY source) h ON h.source IS NOT DISTINCT FROM m.source),
+slots AS (SELECT m.source, rank % blocks AS block_no, CASE WHEN rank % blocks = blocks - 1 THEN source_size - (blocks - 1) * block ELSE block END AS holds, rank // blocks * source_size + rank % blocks * block AS done, words
+  FROM (FROM hit UNION ALL FROM owed) x JOIN m ON m.source IS NOT DISTINCT FROM x.source),
+takes AS (SELECT source, block_no, least(holds, words - done) AS n FROM slots WHERE done < words),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY digest, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+pieces AS (SELECT r, source, start, size, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block AS BIGINT) + 1)) AS block_no, block FROM p, k WHERE size > 0),
+got AS (SELECT r, sum(greatest(0, least(start + size, pieces.block_no * block + n) - greatest(start, pieces.block_no * block))) AS taken
+  FROM pieces JOIN takes ON takes.source IS NOT DISTINCT FROM pieces.source AND takes.block_no = pieces.block_no GROUP BY r)
+SELECT doc_id, size, t.source_size, t.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN got ON got.r = p.r""",
 }

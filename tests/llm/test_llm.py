@@ -569,6 +569,40 @@ def test_small_sources_reach_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in taken)
 
 
+def test_mix_is_in_slot_order_and_keeps_white_space(spark):
+    rows = [(i, "".join(f"w{i}x{j}" + ("\n\t" if j % 3 else "  ") for j in range(40)), "abc"[i % 3]) for i in range(60)]
+    plan = {r.doc_id: r for r in M.mix_plan(docs_of(spark, rows)).collect()}
+    mixed = [r.text for r in M.mix_documents(docs_of(spark, rows)).collect()]
+    assert sorted(len(t.split()) for t in mixed) == sorted(min(r["size"], r.taken - k * r["size"]) for r in plan.values() for k in range(len(r.slots)))
+    at = {}
+    places = []
+    for t in mixed:
+        i = int(t.split("x")[0].strip()[1:])
+        assert rows[i][1].startswith(t)
+        places.append(plan[i].slots[at.get(i, 0)])
+        at[i] = at.get(i, 0) + 1
+    assert places == sorted(places)
+    heads = [rows[int(t.split("x")[0].strip()[1:])][2] for t in mixed[:30]]
+    assert len(set(heads)) == 3  # sources alternate, none comes in one piece
+
+
+def test_slots_are_ranked_and_reach_the_need(spark):
+    shares = spark.createDataFrame([("0a", 50.0, 50), ("0b", 30.0, 33), ("0c", 0.01, 2)], "source_key string, target double, need long")
+    rows = M.schedule(shares, 80).collect()
+    for key, need in (("0a", 50), ("0b", 33), ("0c", 2)):
+        mine = sorted((r.slot, r["rank"]) for r in rows if r.source_key == key)
+        assert [r for _, r in mine] == list(range(need))
+    assert len({r.slot for r in rows}) == 85
+
+
+def test_mix_clashing_columns(spark):
+    rows = [(1, "a b c", "s", 1, 2, 3, "x"), (1, "d e", "t", 1, 2, 3, "y"), (2, "f " * 9, "s", 1, 2, 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, slots int, rank int, block string")
+    mixed = M.mix_documents(df)
+    assert mixed.columns == df.columns and max(mixed.groupBy("text").count().toPandas()["count"]) <= 3
+    assert M.mix_plan(df).count() == 3
+
+
 def test_rows_without_id_stay(spark):
     """keep_first leaves one row of each component without ids, and the mix takes id-less rows as the plan says."""
     words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
