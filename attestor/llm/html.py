@@ -1,15 +1,17 @@
 """Main text of web pages, with removal of site templates.
 
-A page is parsed into elements. What is an article's own text, and what is a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment, is told by elements and their class and id words. All elements outside of an
-article are hashed with their subtrees, on pages with an article too; Spark counts on how many pages of a host each hash
-stands, and subtrees that recur on many of them are deleted. Text blocks of an article are its author's, also where they
-recur, so the deletion shows in the text of pages without an article.
+Every page is parsed into elements twice. The first time its element subtrees are hashed: all block elements outside of
+its article, and inside of it the containers that hold no paragraph. Spark counts on how many different pages of a host
+each hash stands, and what recurs on MIN_PAGES of them or more is the host's template. The second time the page's
+template subtrees are deleted, then what elements and their class and id words tell to be menu, header, footer, sidebar,
+notice, advert, form, script, style or comment, which also holds on hosts of few pages; the rest of the article, or of a
+page without one, is its text. Paragraphs of an article are its author's and stay, also where they recur.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,24 +20,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import shared_table, slices
 
-#: A subtree is template if at least so many pages of its host hold it.
+#: A subtree is template if at least so many different pages of its host hold it.
 MIN_PAGES = 4
+#: Elements deeper than this are children of the one at this depth, as in browsers.
+MAX_DEPTH = 512
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>", re.S)
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _SKIP = frozenset("head script style noscript template nav footer aside form iframe object svg canvas button select textarea dialog menu audio video title input".split())
+_HEAD = frozenset("head base basefont bgsound link meta noscript script style template title".split())
+_UNSEEN = frozenset("head script style noscript template svg iframe object canvas textarea title".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 _SCOPE = frozenset("html body table td th ul ol dl div section article main nav aside footer header form blockquote button".split())
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[a-z]+")
 _BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe signup popup modal overlay promo widget pagination pager".split())
+#: Words that stand beside those in a class or id of the same kind: "site-footer", "related-posts", but not "related-work".
+_BESIDE = frozenset("site page top bottom left right main box bar list links link buttons button area wrapper wrap container section block item items posts articles header primary secondary inner outer slot unit form thread reader user js global mobile desktop fixed sticky icons icon media content body inline row col".split())
+#: Elements in which an article has its text; their ids are the author's.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-_SPACE = re.compile(r"\s+")
 
 
 class Element:
@@ -47,17 +57,41 @@ class Element:
 
 
 def parse(html: str) -> Element:
-    """A tree of elements. Unclosed elements end where HTML lets them; an end tag without a start is ignored."""
+    """A tree of elements, in time proportional to the page. Unclosed elements end where HTML lets them; an end tag
+    without a start is ignored; where quotes are left open, tags end at the next >; a tag without any > is text."""
     root = Element("html", "", None)
-    now, at, n = root, 0, len(html)
+    now, depth, at, n, quoted = root, 0, 0, len(html), True
+    opened: dict[str, int] = defaultdict(int)
+
+    def leave(node: Element) -> None:
+        nonlocal now, depth
+        while now is not node:
+            opened[now.tag] -= 1
+            depth -= 1
+            now = now.parent
+        opened[now.tag] -= 1
+        depth -= 1
+        now = now.parent
+
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = _OPEN.search(html, at)
+        attrs, stop = "", n
+        if m:
+            stop = m.end()
+            if m.group(2):
+                close = _INSIDE.match(html, stop).end() if quoted else n
+                if close >= n or html[close] != ">":
+                    quoted, close = False, html.find(">", stop)
+                if close < 0:
+                    m = None  # no tag can end from here on
+                else:
+                    attrs, stop = html[m.end() : close], close + 1
         end = m.start() if m else n
         if end > at:
             now.children.append(html[at:end])
         if not m:
             break
-        at = m.end()
+        at = stop
         tag = m.group(2)
         if not tag:
             if m.group().startswith("<![CDATA["):
@@ -65,37 +99,52 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if m.group(1):
+            if opened[tag]:
+                node = now
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
+            continue
+        if opened["head"] and tag not in _HEAD:  # what can't stand in a head ends it
             node = now
-            while node is not None and node.tag != tag:
+            while node.tag != "head":
                 node = node.parent
-            if node is not None and node.parent is not None:
-                now = node.parent
-            continue
+            leave(node)
         if tag in ("html", "body"):
             if tag == "body" and now is root:
-                root.children.append(node := Element(tag, m.group(3), root))
-                now = node
+                root.children.append(node := Element(tag, attrs, root))
+                now, depth = node, 1
+                opened[tag] += 1
             continue
-        ends = {"p"} if tag in _CLOSES_P else set()
-        for name in (ends, _SIBLING.get(tag, ())):
-            if not name:
+        for name, scope in (({"p"} if tag in _CLOSES_P else (), _SCOPE), (_SIBLING.get(tag, ()), _SCOPE - ({"td", "th"} if tag == "tr" else {"div"}))):
+            if not any(opened[x] for x in name):
                 continue
             node = now
-            while node.parent is not None and node.tag not in name and node.tag not in (_SCOPE if name is ends else _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - {"div"}):
+            while node.parent is not None and node.tag not in name and node.tag not in scope:
                 node = node.parent
             if node.tag in name and node.parent is not None:
-                now = node.parent
-        node = Element(tag, m.group(3), now)
+                leave(node)
+        node = Element(tag, attrs, now)
         now.children.append(node)
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            node.children.append(html[at : close.start() if close else n])
-            at = close.end() if close else n
-        elif tag not in _VOID and not m.group(3).endswith("/"):
-            now = node
+            close_tag = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            node.children.append(html[at : close_tag.start() if close_tag else n])
+            at = close_tag.end() if close_tag else n
+        elif tag not in _VOID and not attrs.endswith("/") and depth < MAX_DEPTH:
+            now, depth = node, depth + 1
+            opened[tag] += 1
     return root
 
 
+def _told(value: str) -> bool:
+    """Whether a class or id has a token that is of boilerplate words alone."""
+    for token in value.lower().split():
+        words = _WORDS.findall(token)
+        if words and not _BOILER.isdisjoint(words) and all(w in _BOILER or w in _BESIDE for w in words):
+            return True
+    return False
+
+
 def boilerplate(node: Element, in_article: bool) -> bool:
     if node.tag in _SKIP:
         return True
@@ -104,7 +153,7 @@ def boilerplate(node: Element, in_article: bool) -> bool:
     if node.attrs and node.tag not in ("body", "article", "main"):
         for name, a, b, c in _ATTR.findall(node.attrs):
             name = name.lower()
-            if name in ("class", "id") and not _BOILER.isdisjoint(_WORDS.findall((a or b or c).lower())):
+            if (name == "class" or name == "id" and not (in_article and node.tag in _PROSE)) and _told(a or b or c):
                 return True
             if name == "role" and (a or b or c).lower() in _ROLES:
                 return True
@@ -143,73 +192,85 @@ def _articles(root: Element) -> list[Element]:
     return []
 
 
-def _hash(node: Element, out: dict[int, int]) -> bytes:
-    """Hash of a subtree from its tag, attributes, text and the hashes below; out: id of each element to its hash."""
-    order, stack = [], [node]
+def _hashes(root: Element) -> dict[int, int]:
+    """id of each element to the hash of its subtree: tag, attributes, text and the hashes below."""
+    order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
         stack.extend(c for c in x.children if not isinstance(c, str))
-    done: dict[int, bytes] = {}
+    out: dict[int, int] = {}
     for x in reversed(order):
         h = xxhash.xxh64(f"{x.tag}\0{x.attrs}".encode("utf-8", "surrogatepass"))
         for c in x.children:
-            h.update(_SPACE.sub(" ", c).strip().encode("utf-8", "surrogatepass") if isinstance(c, str) else done[id(c)])
-        done[id(x)] = h.digest()
-        out[id(x)] = int.from_bytes(done[id(x)], "big", signed=True)
-    return done[id(node)]
+            h.update(" ".join(c.split()).encode("utf-8", "surrogatepass") if isinstance(c, str) else out[id(c)].to_bytes(8, "big", signed=True))
+        out[id(x)] = int.from_bytes(h.digest(), "big", signed=True)
+    return out
 
 
-def page_blocks(html: str) -> tuple[bool, list[str], list[list[int]]]:
-    """(whether an article was found, its blocks or the page's, hashes of the elements around each block). With an
-    article, a last list holds the hashes of all elements around text outside of it, and stands for no block."""
-    root = parse(html)
-    tops = _articles(root)
-    hashes: dict[int, int] = {}
-    blocks: list[str] = []
-    around: list[list[int]] = []
-    if tops:
-        for top in tops:
-            _walk(top, True, hashes, blocks, [])
-        around = [_outside(root, tops)]
-    else:
-        _hash(root, hashes)
-        _walk(root, False, hashes, blocks, around)
-    return bool(tops), blocks, around
-
-
-def _outside(root: Element, tops: list[Element]) -> list[int]:
-    """Distinct hashes of the elements around text blocks outside ``tops``; an element that holds one of them is unlike
-    any of a page without, and is not hashed itself."""
-    holds = set()
+def _countable(root: Element, tops: list[Element]) -> list[Element]:
+    """The elements whose recurrence on other pages tells a template: block elements outside of ``tops`` that don't hold
+    one of them, and containers below ``tops`` that hold no prose element; all of them with text, none in head or script."""
+    holds, inner, order = set(), {id(top) for top in tops}, []
     for top in tops:
         node: Element | None = top
         while node is not None and id(node) not in holds:
             holds.add(id(node))
             node = node.parent
-    inner = {id(top) for top in tops}
-    out: dict[int, None] = {}
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        for c in node.children:
-            if isinstance(c, str) or id(c) in inner:
-                continue
-            if id(c) in holds:
-                stack.append(c)
-            elif not boilerplate(c, False):
-                hashes: dict[int, int] = {}
-                _hash(c, hashes)
-                around: list[list[int]] = []
-                _walk(c, False, hashes, [], around)
-                out.update(dict.fromkeys(h for path in around for h in path))
-    return list(out)
+        x, inside = stack.pop()
+        inside = inside or id(x) in inner
+        order.append((x, inside))
+        stack.extend((c, inside) for c in x.children if not isinstance(c, str) and c.tag not in _UNSEEN)
+    prose, text, out = set(), set(), []
+    for x, inside in reversed(order):
+        below = [c for c in x.children if not isinstance(c, str)]
+        if x.tag in _PROSE or any(id(c) in prose for c in below):
+            prose.add(id(x))
+        if any(id(c) in text for c in below) or any(isinstance(c, str) and not c.isspace() for c in x.children):
+            text.add(id(x))
+            if x.tag in _BLOCK and id(x) not in holds and not (inside and id(x) in prose) and x.tag != "html":
+                out.append(x)
+    return out
+
+
+def page_hashes(html: str) -> tuple[int, list[int]]:
+    """(what stands for the page's content, the distinct hashes of its countable elements)."""
+    root = parse(html)
+    tops = _articles(root)
+    hashes = _hashes(root)
+    own = xxhash.xxh64()
+    for top in tops or [root]:
+        own.update(hashes[id(top)].to_bytes(8, "big", signed=True))
+    return int.from_bytes(own.digest(), "big", signed=True), list({hashes[id(x)]: None for x in _countable(root, tops)})
 
 
-def _walk(top: Element, in_article: bool, hashes: dict[int, int], blocks: list[str], around: list[list[int]]) -> None:
-    """The text blocks below ``top`` and, outside of articles, the hashes of the elements around each."""
+def page_text(html: str, gone: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """(the page's text, template subtrees deleted, those inside others not counted)."""
+    root = parse(html)
+    tops = _articles(root)
+    dropped: set[int] = set()
+    if gone:
+        hashes = _hashes(root)
+        dropped = {id(x) for x in _countable(root, tops) if hashes[id(x)] in gone}
+    blocks: list[str] = []
+    for top in tops or [root]:
+        _walk(top, bool(tops), dropped, blocks)
+    cut, stack = 0, [root]
+    while dropped and stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str):
+                if id(c) in dropped:
+                    cut += 1
+                else:
+                    stack.append(c)
+    return "\n".join(blocks), cut
+
+
+def _walk(top: Element, in_article: bool, dropped: set[int], blocks: list[str]) -> None:
+    """The text blocks below ``top``, without what is dropped or told to be boilerplate."""
     text: list[str] = []
-    path: list[int] = []
 
     def flush() -> None:
         if text:
@@ -218,7 +279,6 @@ def _walk(top: Element, in_article: bool, hashes: dict[int, int], blocks: list[s
             text.clear()
             if s:
                 blocks.append(s)
-                around.append(list(path))
 
     stack: list[tuple[Element | str, bool]] = [(top, False)]
     while stack:
@@ -226,18 +286,13 @@ def _walk(top: Element, in_article: bool, hashes: dict[int, int], blocks: list[s
         if isinstance(node, str):
             text.append(unescape(node))
         elif leaving:
+            flush()
+        elif id(node) not in dropped and (node is top or not boilerplate(node, in_article)):
             if node.tag in _BLOCK:
                 flush()
-            if not in_article:
-                path.pop()
-        elif node is top or not boilerplate(node, in_article):
-            if node.tag in _BLOCK:
-                flush()
+                stack.append((node, True))
             elif node.tag in ("br", "img", "wbr"):
                 text.append(" ")
-            if not in_article:
-                path.append(hashes[id(node)])
-            stack.append((node, True))
             stack.extend((c, False) for c in reversed(node.children))
     flush()
 
@@ -248,36 +303,33 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars.
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_templates (template subtrees deleted).
 
     Null and empty html have an empty text; pages without a usable url belong to one nameless host; repeated rows come
-    back as often as they came in, and count as pages each; an empty table gives no rows.
+    back as often as they came in, and pages of one content on a host count once; an empty table gives no rows.
 
-    The text of pages with an article is done in the scan; they only count for the table of template subtrees. Blocks of
-    other pages meet that table in an equi-join on (host, hash), which is aggregated before; no page is shuffled with its
-    html.
+    Hashes meet their counts in an equi-join on (host, hash), made distinct before, so a host with a third of all pages
+    is spread by its hashes. Pages meet the hashes that they lose by their id and a hash of url and html.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, urls, out = b.column(0).to_pylist(), b.column(1).to_pylist(), ([], [], [], [])
-            for url, html in zip(urls, b.column(2).to_pylist()):
-                found, blocks, around = page_blocks(html or "")
-                out[0].append(host_of(url))
-                out[1].append(found)
-                out[2].append(["\n".join(blocks)] if found else blocks)
-                out[3].append(around)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.list_(pa.int64())))], ["page_id", "url", "host", "done", "blocks", "around"])
-
-    kind = "page_id long, url string, host string, done boolean, blocks array<string>, around array<array<long>>"
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = shared_table(base.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
-    done = parsed.filter("done").select("page_id", "url", F.coalesce(F.element_at("blocks", 1), F.lit("")).alias("text"))
-    left = parsed.filter("NOT done")
-    held = parsed.select("host", "row", "done", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"))
-    seen = held.filter("NOT done")
-    templates = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).select("host", "hash")
-    gone = seen.join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    rest = left.join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n").alias("text"))
-    return done.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    base = base.withColumn("key", F.xxhash64("page_id", "url", "html"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            rows = [(k, host_of(u), *page_hashes(h or "")) for k, u, h in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html")))]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "host", "content", "hashes"])
+
+    found = base.select("key", "url", "html").mapInArrow(count, "key long, host string, content long, hashes array<long>")
+    held = shared_table(found).select("key", "host", "content", F.explode("hashes").alias("hash"))
+    often = held.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
+    gone = held.join(often.select("host", "hash"), ["host", "hash"]).groupBy(F.col("key").alias("of")).agg(F.collect_set("hash").alias("gone"))
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            done = [page_text(h or "", frozenset(g or ())) for h, g in zip(b.column("html").to_pylist(), b.column("gone").to_pylist())]
+            texts = [d[0] for d in done]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([d[1] for d in done], pa.int32())], ["page_id", "url", "text", "n_chars", "n_templates"])
+
+    joined = base.join(gone, F.col("key") == F.col("of"), "left").select("page_id", "url", "html", "gone")
+    return joined.mapInArrow(render, "page_id long, url string, text string, n_chars long, n_templates int")

@@ -506,12 +506,77 @@ def test_templates_count_on_pages_with_articles(spark):
     assert [got[600 + i] for i in range(4)] == [f"page {i}" for i in range(4)]  # 4 of 125 pages
 
 
+def test_templates_inside_and_outside_of_articles(spark):
+    """What recurs on a host goes, with and without an article; paragraphs of articles and copies of a page stay."""
+    box = "<div>Get our weekly letter <a href=/s>here</a></div>"
+    page = lambda i: f"<body><div><p>Top line</p></div><article><h1>story {i}</h1><p>shared passage</p>{box}<div><p>own {i}</p></div></article></body>"
+    rows = [(i, "http://h/x", page(i)) for i in range(5)] + [(10, "http://few/x", page(10))]
+    rows += [(20 + i, "http://copies/x", "<body><div><p>the same page</p></div></body>") for i in range(9)]
+    rows += [(30 + i, "http://h/y", f"<body><div><p>Top line</p></div><div><p>list {i}</p></div></body>") for i in range(2)]
+    got = {r.page_id: (r.text, r.n_templates) for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [(f"story {i}\nshared passage\nown {i}", 2) for i in range(5)]
+    assert got[10] == ("story 10\nshared passage\nGet our weekly letter here\nown 10", 0)  # a host of one page
+    assert {got[20 + i] for i in range(9)} == {("the same page", 0)}
+    assert [got[30 + i] for i in range(2)] == [("list 0", 1), ("list 1", 1)]
+
+
+def test_main_text_against_brute_force(spark):
+    """Random pages of a few hosts: subtrees counted by comparing serialised trees, without hashes or Spark."""
+    rng = random.Random(17)
+    parts = [f"<{t}>{w}</{t}>" for t in ("div", "p", "ul", "section") for w in ("alpha", "beta", "gamma <b>d</b>")]
+    made = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))
+    rows = [(i, f"http://h{i % 3}/", f"<body><div>{made()}</div>" + (f"<article><p>own {i}</p>{made()}</article>" if i % 2 else f"<p>own {rng.randint(0, 9)}</p>") + "</body>") for i in range(60)]
+
+    def flat(x):
+        return x if isinstance(x, str) else (x.tag, x.attrs, *map(flat, x.children))
+
+    seen = {}
+    for _, u, h in rows:
+        root = H.parse(h)
+        tops = H._articles(root)
+        for x in H._countable(root, tops):
+            seen.setdefault((u, flat(x)), set()).add(tuple(map(flat, tops or [root])))
+    want = {}
+    for i, u, h in rows:
+        root = H.parse(h)
+        tops = H._articles(root)
+        gone = {id(x) for x in H._countable(root, tops) if len(seen[u, flat(x)]) >= H.MIN_PAGES}
+        blocks = []
+        for top in tops or [root]:
+            H._walk(top, bool(tops), gone, blocks)
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any("alpha" in t for t in want.values()) and any("alpha" not in t for t in want.values())
+
+
+def test_broken_and_very_long_pages():
+    import time
+
+    for html in ('<a "' * 20000, "<b>" * 30000 + "</i>" * 30000, "<p><button>" + "<b>" * 9000 + "<h1>" * 9000, "<div>" * 20000 + "x", "<!--" * 20000, "<a '>" * 16000, "<p>word " * 12000, "<header>" * 3000, '<x "y' + " z='>" * 20000):
+        began = time.perf_counter()
+        H.page_hashes(html)
+        H.page_text(html)
+        assert time.perf_counter() - began < 2, html[:20]
+    assert H.page_text("<p>a <b x='>c</p>")[0] == "a c" and H.page_text("a < b and <c")[0] == "a < b and <c"
+
+
+def test_pages_clashing_columns(spark):
+    rows = [(1, "http://h/", "<p>x", "a", 3, "k"), (None, None, "<p>y", None, 4, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, hash int, key string")
+    assert sorted((r.page_id or 0, r.text) for r in H.main_text(df).collect()) == [(0, "y"), (1, "x")]
+
+
 def test_page_structure():
-    text = lambda h: H.page_blocks(h)[1]
+    text = lambda h: H.page_text(h)[0].split("\n")
     assert text("<article><p>a<aside>b</aside><form>c</form><section class='comments'><p>d</section><p>e</article>") == ["a", "e"]
     assert text("<main><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></main>") == ["a", "b", "c", "d"]
     assert text("<p>a &lt;b&gt; &#233;&nbsp;x") == ["a <b> é x"]
     assert text("<div hidden>x</div><p>y</p></div></p>z") == ["y", "z"]
+    assert text("<head><title>t</title><body><p>y") == ["y"] and text("<head><meta a=b><p>y</p>") == ["y"]
+    # whole class words tell boilerplate, ids and classes that only contain one of them don't
+    kept = "<article><h2 id='social-policy'>a</h2><section id=related-work><p>b</section><p id=notice>c<div class='menu-engineering'>d</div></article>"
+    assert text(kept) == ["a", "b", "c", "d"]
+    assert text("<article><div class='related-posts'>x</div><p class=ad>y<p>z<div class='x site-footer'>w</div></article>") == ["z"]
     assert H.host_of("HTTP://User@Host:80/x") == "host" and H.host_of("nothing") == ""
 
 
