@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -423,11 +424,13 @@ def test_licences(spark):
 MAIL = 'Write to ann.lee42@mail.example.com or +1 (017) 555-7713; card 4952935900253052, token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde". Mrs Jane Doe, 10.1.2.3'
 
 
+KEY = b"tests"
+
+
 def test_surrogates(spark):
     rows = [(1, MAIL, "a"), (2, "again ANN.LEE42@mail.example.com and 4952-9359-0025-3052", "a"), (4, "clean text of 2024 with 12 items", "a"), *ODD]
-    got = {(r.doc_id, i): r for i, r in enumerate(P.pseudonymise(docs_of(spark, rows)).collect())}
-    texts = sorted((r.text for r in got.values() if r.text), key=len)
-    all_text = " ".join(texts)
+    got = {(r.doc_id, i): r for i, r in enumerate(P.pseudonymise(docs_of(spark, rows), KEY).collect())}
+    all_text = " ".join(r.text for r in got.values() if r.text)
     for secret in ("ann.lee42", "555-7713", "4952935900253052", "2abc3ff2", "Jane", "Doe", "10.1.2.3", "4952-9359"):
         assert secret not in all_text and secret.upper() not in all_text
     by = {r.doc_id: r for r in got.values() if r.doc_id in (1, 2, 4)}
@@ -436,25 +439,50 @@ def test_surrogates(spark):
     one, two = spans(by[1]), spans(by[2])
     assert one["email"].upper() == two["email"].upper() and one["card"] == two["card"].replace("-", "")  # coreference over formats
     assert set(one) == {"email", "phone", "card", "secret", "name", "ip"} and len(one["secret"]) == 40 and one["card"][0] == "4"
-    assert P.pseudonymise(docs_of(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("broadcast", [50_000, 0])
-def test_surrogates_stay_distinct(spark, monkeypatch, broadcast):
-    """Addresses whose first surrogates collide are keyed anew, both ways of bringing this to the documents alike."""
-    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
-    first, n = {}, 0
-    while True:  # the first two addresses that collide
-        ip = f"10.9.{n // 256}.{n % 256}"
-        made = P.surrogate_norm("ip", ip)
-        if made in first:
-            break
-        first[made] = ip
-        n += 1
-    rows = [(1, f"from {first[made]} to {ip}", "a"), (2, f"only {ip}", "a"), (3, f"only {first[made]}", "a"), (4, "none", "a")]
-    out = {r.doc_id: r.text for r in P.pseudonymise(docs_of(spark, rows)).collect()}
-    a, b = out[1].split()[1], out[1].split()[3]
-    assert a != b and out[2] == f"only {b}" and out[3] == f"only {a}" and out[4] == "none"
+    assert P.pseudonymise(docs_of(spark, []), KEY).count() == 0
+    assert all_text != " ".join(r.text for r in P.pseudonymise(docs_of(spark, rows), b"other").collect() if r.text)
+
+
+def test_surrogates_stay_distinct(spark):
+    """All values of small shapes, and many of every kind: one surrogate each, none that stays as it is."""
+    rng = random.Random(9)
+    for kind, values in (
+        ("ip", [f"192.168.{a}.{b}" for a in range(64) for b in range(256)] + [f"8.{a}.{b}.9" for a in range(40) for b in range(100)]),
+        ("name", [f"f:{a}{b}o {c}u" for a in "BCDF" for b in "aeiou" for c in "KLMNP"] + [f"f:{g} Doe" for g in P._GIVEN["f"]]),
+        ("card", [f"4{k:012d}{d}" for k in range(300) for d in range(10)]), ("phone", [f"{k:07d}" for k in range(3000)]), ("ssn", [f"{k:09d}" for k in range(2000)]),
+        ("iban", [f"DE{c:02d}37040044{k:010d}" for k in range(40) for c in range(100)]), ("secret", [f"{k:08x}" for k in range(2000)] + [f"aB{k}" for k in range(2000)]),
+        ("email", [f"{a}{b}@{d}.{t}" for a in "abcde" for b in range(40) for d in ("host", "mail.host") for t in ("com", "org")]),
+    ):
+        values = list(dict.fromkeys(values))
+        made = [P.surrogate(KEY, kind, v) for v in values]
+        assert len(set(made)) == len(values) and all(a != b for a, b in zip(made, values)), kind
+    texts = [f"from 10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7 to Mr Bo Lu and Ms {rng.choice('BCDFG')}i Lu, mail {rng.choice('abcde')}@{rng.choice('fghij')}.org" for _ in range(200)]
+    assert P.collisions(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)]), KEY).count() == 0
+
+
+def test_surrogates_match_script_gender_and_check_digits():
+    made = lambda t: P.replace(t, KEY)[0]
+    new = made("Mrs Jane Doe wrote. Later Jane Doe came, and Mrs Doe.")
+    name = new[4:].split(" wrote")[0]
+    assert "Doe" not in new and new.count(name) == 2 and new.endswith(f"Mrs {name.split()[-1]}.")
+    assert made("Mrs Emma Doe")[4:].split()[0] in P._GIVEN["f"] and made("Mr Karl Doe")[3:].split()[0] in P._GIVEN["m"]
+    for text, script in (("Mr. Иван Петров", "CYRILLIC"), ("Господин Пётр Ильин", "CYRILLIC"), ("иван@почта.рф", "CYRILLIC"), ("王小明先生", "CJK")):
+        new = made(text).removesuffix(".рф.example")
+        old, new = text.removesuffix(".рф"), new
+        assert new != old and [unicodedata.name(c).split()[0] for c in new] == [unicodedata.name(c).split()[0] for c in old] and script in unicodedata.name(new[-3])
+    assert made("Frau Weber")[-1] == "r" and made("An Herrn Karl und Otto").startswith("An Herrn ") and made("Mr. Smith goes")[-5:] == " goes"
+    for card in ("4111111111111111", "5500005555555559"):
+        new = made(f"card {card}")[5:]
+        assert P.luhn(new[:-1]) == int(new[-1]) and new[0] == card[0]
+    new = made("DE89 3704 0044 0532 0130 00").replace(" ", "")
+    assert P.iban_check(new[:2], new[4:]) == int(new[2:4])
+    assert made("at 192.168.3.4").startswith("at 192.168.") and not made("at 8.8.8.8").startswith("at 10.")
+    assert P.replace("Mrs Jane Doe Mrs Jane Doe, " * 3 + "Jane Doe, " * 20000, KEY)[0].count("Jane") == 0
+
+
+def test_surrogates_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x@y.org", 5, "k"), (None, None, None, None)], "doc_id long, text string, n_entities long, kind string")
+    assert sorted(r.n_entities for r in P.pseudonymise(df, KEY).collect()) == [0, 1] and P.collisions(df, KEY).count() == 0
 
 
 def test_hint_and_long_secrets():
@@ -463,21 +491,19 @@ def test_hint_and_long_secrets():
     for text in alone:
         assert P.find(text), text
     for value, text in ((v, f"{label}{v} end") for label, v in (("token=", "eyJhbGciOi." * 60 + "tail"), ("", "0123456789abcdef" * 9), ("password: ", "x" * 257))):
-        new, spans = P.replace(text, {})
+        new, spans = P.replace(text, KEY)
         assert len(spans) == 1 and new[spans[0]["start"] : spans[0]["end"]] != value and value[-60:] not in new and new.endswith(" end")
 
 
-@pytest.mark.parametrize("broadcast", [50_000, -1])
-def test_surrogates_keep_repeated_rows(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
+def test_surrogates_keep_repeated_rows(spark):
     rows = [(1, "mail a@b.org", "a")] * 3 + [(None, "mail a@b.org", "a")] * 2 + [(2, None, "a")] * 2 + [(1, "other", "a")]
-    got = sorted((r.doc_id or 0, r.n_entities, r.text is None) for r in P.pseudonymise(docs_of(spark, rows)).collect())
+    got = sorted((r.doc_id or 0, r.n_entities, r.text is None) for r in P.pseudonymise(docs_of(spark, rows), KEY).collect())
     assert got == [(0, 1, False)] * 2 + [(1, 0, False)] + [(1, 1, False)] * 3 + [(2, 0, True)] * 2
 
 
 def test_digit_permutation():
     for n in (1, 2, 3, 4):
-        assert len({P._digits(str(i).zfill(n), "phone", 0) for i in range(10**n)}) == 10**n
+        assert len({P.reshape(KEY, str(i).zfill(n), "phone") for i in range(10**n)}) == 10**n
 
 
 # --- pages
