@@ -308,7 +308,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty html have an empty text; pages without a usable url belong to one nameless host; repeated rows come
     back as often as they came in, and pages of one content on a host count once; an empty table gives no rows.
 
-    Hashes meet their counts in an equi-join on (host, hash), made distinct before, so a host with a third of all pages
+    Hashes meet their counts in an equi-join on host and hash, made distinct before, so a host with a third of all pages
     is spread by its hashes. Pages meet the hashes that they lose by their id and a hash of url and html.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -316,14 +316,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            rows = [(k, host_of(u), *page_hashes(h or "")) for k, u, h in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html")))]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "host", "content", "hashes"])
-
-    found = base.select("key", "url", "html").mapInArrow(count, "key long, host string, content long, hashes array<long>")
-    held = shared_table(found).select("key", "host", "content", F.explode("hashes").alias("hash"))
-    often = held.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
-    gone = held.join(often.select("host", "hash"), ["host", "hash"]).groupBy(F.col("key").alias("of")).agg(F.collect_set("hash").alias("gone"))
+            rows = []
+            for key, url, html in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html"))):
+                content, hashes = page_hashes(html or "")
+                seed = xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "surrogatepass"))
+                rows.append((key, content, [xxhash.xxh64_intdigest(h.to_bytes(8, "big", signed=True), seed) - 2**63 for h in hashes], hashes))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "content", "here", "hashes"])
+
+    # ``here`` stands for host and hash, so that rows of the counts are three numbers
+    found = shared_table(base.select("key", "url", "html").mapInArrow(count, "key long, content long, here array<long>, hashes array<long>"))
+    held = found.select("key", "content", F.explode(F.arrays_zip("here", "hashes")).alias("x")).select("key", "content", "x.here", F.col("x.hashes").alias("hash"))
+    often = held.select("here", "content").distinct().groupBy("here").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
+    gone = held.select("key", "here", "hash").join(often.select("here"), "here").groupBy(F.col("key").alias("of")).agg(F.collect_set("hash").alias("gone"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
@@ -331,5 +336,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = [d[0] for d in done]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([d[1] for d in done], pa.int32())], ["page_id", "url", "text", "n_chars", "n_templates"])
 
-    joined = base.join(gone, F.col("key") == F.col("of"), "left").select("page_id", "url", "html", "gone")
+    # a merge join at any size: what the pages lose grows with them
+    joined = base.join(gone.hint("merge"), F.col("key") == F.col("of"), "left").select("page_id", "url", "html", "gone")
     return joined.mapInArrow(render, "page_id long, url string, text string, n_chars long, n_templates int")
