@@ -240,6 +240,32 @@ def test_quality_folds_and_odd_rows(spark):
     assert Q.score(docs.limit(0), Q.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_prior_without_negatives():
+    """The prior comes from positives and unlabelled rows alone, near the truth whatever it is."""
+    rng = np.random.default_rng(3)
+    one = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    for truth in (0.3, 0.6, 0.9):
+        n = int(4000 * truth)
+        u = np.concatenate([rng.normal(1.5, 1, (n, 3)), rng.normal(-1.5, 1, (4000 - n, 3))])
+        assert abs(Q.estimate_prior(one(rng.normal(1.5, 1, (1500, 3))), one(u)) - truth) < 0.08
+    assert Q.estimate_prior(one(np.zeros((0, 3))), one(u)) == 0.5
+
+
+def test_labelled_negatives_teach_nothing(spark, corpus):
+    docs = docs_of(spark, corpus[1])
+    labels = [(i, 1, 0) for i, _, _ in corpus[1] if i % 3 == 0]
+    more = labels + [(i, 0, 0) for i, _, _ in corpus[1] if i % 3 == 1]
+    make = lambda rows: Q.train(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    a, b = make(labels), make(more)
+    assert (a.weight == b.weight).all() and a.prior == b.prior
+
+
+def test_quality_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.5, 1, "x"), (None, None, None, None, None)], "doc_id long, text string, score double, drawn int, y string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert Q.score(docs, Q.train(docs, labels)).columns == ["doc_id", "held_out", "score", "predicted"] and Q.filter_quality(docs, labels).columns == docs.columns
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (500, 3)), rng.normal(-1, 1, (500, 3))
@@ -415,10 +441,54 @@ def test_licences(spark):
     rows = [(i, f"some words here\n{n}\nand more of them", "a") for i, n in enumerate(notes)] + [(50 + i, t, "a") for i, t in enumerate(["Mit und der Apache in the general public", "my driver license expired in version 2.0 of town", "", None, "no rights at all"])]
     got = {r.doc_id: (r.family, r.paragraph, rows[r.doc_id][1][r.start : r.end]) for r in L.scan(docs_of(spark, rows)).collect()}
     assert {i: v[0] for i, v in got.items()} == dict(enumerate(["mit", "gpl", "cc-by-nc", "apache", "bsd"]))
-    assert all(v[1] == 1 and v[2] == notes[i] for i, v in got.items())
+    assert all(v[1] == 0 and v[2] == notes[i] for i, v in got.items())
     assert L.scan(docs_of(spark, [])).count() == 0 and L.scan(docs_of(spark, ODD)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def licence_model():
+    rng = random.Random(5)
+    words = "the a of to in and house river walked green with many people went there his her said about world time day".split()
+    return L.fit([prose(rng, words, rng.randint(3, 48)).split() for _ in range(600)])
+
+
+def families(text, model):
+    return [x[3] for x in L.scan_text(text, model)]
+
+
+def test_licence_words_in_prose(licence_model):
+    for text in ("Er kam mit dem Auto und his driver license expired", "I work with the mit team and have no license", "All rights reserved to refuse service", "The public general said that version 2 of the software license was free", "mit license plates they drove", "Permission is granted to park here", "the bsd conference and the apache helicopter"):
+        assert families(text, licence_model) == [], text
+
+
+def test_licences_wrapped_long_and_two_in_a_line(licence_model):
+    import textwrap
+
+    filler = "many people walked there and the world went about its day in the green house "
+    for family in ("mit", "gpl", "bsd"):
+        body = max(L.TEMPLATES[family], key=len)
+        for width in (40, 72, 78):
+            text = "code\n\n" + textwrap.fill(body, width) + "\n\nend"
+            (hit,) = L.scan_text(text, licence_model)
+            assert hit[3] == family and hit[0] == 1 and hit[5] > 0.95 and len(hit[6]) > 80 and text[hit[1] : hit[2]].startswith(body[:12])
+    long = "source version public " + filler * 400 + "Licensed under the Apache License, Version 2.0. " + filler * 400 + " source public"
+    assert families(long, licence_model) == ["apache"]
+    assert families("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", licence_model) == ["mit", "apache"]
+    assert families("\n\n".join(t for group in L.TEMPLATES.values() for t in group[:1]), licence_model) == list(L.TEMPLATES)
+    assert families("İstanbul İ\nReleased under the MIT License.", licence_model) == ["mit"]
+
+
+def test_licences_against_every_template(licence_model):
+    """Brute force: each template alone, and amid prose, is found as its family, by comparison with all of them."""
+    missed = [(f, t) for f, group in L.TEMPLATES.items() for t in group for text in (t, f"He said:\n{t}\nand went about.") if families(text, licence_model) != [f]]
+    assert missed == []
+
+
+def test_licences_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny", 5, "k"), (None, None, None, None)], "doc_id long, text string, start long, family string")
+    assert [(r.doc_id, r.family) for r in L.scan(df).collect()] == [(1, "mit")]
+
+
 # --- surrogates
 
 MAIL = 'Write to ann.lee42@mail.example.com or +1 (017) 555-7713; card 4952935900253052, token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde". Mrs Jane Doe, 10.1.2.3'
