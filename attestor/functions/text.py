@@ -145,24 +145,64 @@ def scalar_normalize(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), r"(?U)\s+", ""), "〇零一二三四五六七八九", "00123456789")
 
 
+def scalar_claim_text(c: Column) -> Column:
+    """The text of an object, which is JSON or, if it is no JSON, plain text: a string, or the only string of an array;
+    null for booleans, numbers, null, objects and other arrays."""
+    t = trim(c)
+    items = F.from_json(t, "array<string>")
+    one = (F.size(items) == 1) & t.rlike(r'^\[\s*"')
+    bare = F.when(t.rlike(r"^(?:true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|\{.*\})$"), F.lit(None).cast("string")).otherwise(c)
+    return F.when(t.startswith("["), F.when(one, items[0])).when(t.rlike(r'(?s)^".*"$'), F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]).otherwise(bare)
+
+
+def json_is_empty(c: Column) -> Column:
+    """Whether a JSON value says nothing: null, a blank string, an empty array or object."""
+    return F.coalesce(trim(c).isin("", "null", "[]", "{}") | trim(c).rlike(r'^"\s*"$') | trim(c).rlike(r"^[\[{]\s*[\]}]$"), F.lit(True))
+
+
 _UNITS = ("営業日", "時間", "週間", "か月", "分", "日", "週")
-_BOUNDS = "以内|まで|未満|以上|超"
+_BOUNDS = {"以上": "minimum", "以内": "maximum", "まで": "maximum", "未満": "less_than", "超": "greater_than"}
 
 
 def duration_constraint(c: Column) -> Column:
-    """n:unit:bound of the first unit, in order of _UNITS, with digits before and a bound after it."""
+    """n:unit:bound of the first unit, in order of _UNITS, that has digits before and a bound behind its first place."""
     t = scalar_normalize(c)
     found = []
     for unit in _UNITS:
-        n, bound = F.regexp_extract(t, f"([0-9]+){unit}({_BOUNDS})", 1), F.regexp_extract(t, f"([0-9]+){unit}({_BOUNDS})", 2)
-        found.append(F.when(n != "", F.concat_ws(":", n, F.lit(unit), bound)))
+        before = F.substring_index(t, unit, 1)
+        digits = F.when(F.contains(t, F.lit(unit)), F.regexp_extract(before, "([0-9]+)$", 1))
+        behind = F.substr(t, F.char_length(before) + len(unit) + 1)
+        bound = None
+        for mark, name in _BOUNDS.items():
+            hit = behind.startswith(mark)
+            bound = F.when(hit, name) if bound is None else bound.when(hit, name)
+        found.append(F.when((digits != "") & bound.isNotNull(), F.concat_ws(":", digits, F.lit(unit), bound)))
     return F.coalesce(*found)
 
 
 def objects_equivalent(a: Column, b: Column) -> Column:
-    """Equal as JSON text, as normalized scalars, or as duration constraints."""
-    da, db = duration_constraint(a), duration_constraint(b)
-    return (a == b) | (scalar_normalize(a) == scalar_normalize(b)) | F.coalesce(da == db, F.lit(False))
+    """Equal as they are, or both with a text: equal as normalized scalars or as duration constraints."""
+    x, y = scalar_claim_text(a), scalar_claim_text(b)
+    same = (scalar_normalize(x) == scalar_normalize(y)) | F.coalesce(duration_constraint(x) == duration_constraint(y), F.lit(False))
+    return (a == b) | F.coalesce(same, F.lit(False))
+
+
+def approval_detail(c: Column) -> Column:
+    """Whether an object names who approves: text that is no yes or no, or an array of such names."""
+    t = trim(c)
+    names = F.from_json(t, "array<string>")
+    text = trim(scalar_claim_text(c))
+    plain = (text != "") & ~F.lower(text).isin("false", "no", "true", "yes") & ~text.isin("あり", "なし", "不要", "必要")
+    listed = (F.size(names) > 0) & F.forall(names, lambda x: F.coalesce(trim(x) != "", F.lit(False))) & t.rlike(r'^\[\s*"')
+    return F.coalesce(F.when(t.startswith("["), listed).otherwise(plain), F.lit(False))
+
+
+def objects_compatible(predicate: Column, a: Column, b: Column, share_source: Column) -> Column:
+    """Two objects of requires_approval that don't contradict: one says yes and the other who, or both say who and stand
+    in one source."""
+    yes = lambda c: F.coalesce(trim(c) == "true", F.lit(False))
+    da, db = approval_detail(a), approval_detail(b)
+    return (normalized_key(predicate) == "requires_approval") & ((yes(a) & db) | (yes(b) & da) | (da & db & share_source))
 
 
 def subjects_equivalent(a: Column, b: Column) -> Column:
@@ -176,19 +216,20 @@ def subjects_overlap(a: Column, b: Column) -> Column:
     return subjects_equivalent(a, b) | ((F.least(F.char_length(x), F.char_length(y)) >= 4) & (x.startswith(y) | y.startswith(x)))
 
 
+#: Document types of each role but reference, to which all others belong.
 ROLE_TYPES = {
-    "normative": "policy operating_procedure technical_specification specification_amendment master_agreement master_contract standard regulation statement_of_work",
-    "instruction": "work_instruction temporary_deviation manual handover guideline",
-    "record": "execution_log test_record audit_record incident_report release_record approval_record decision_minutes register change_record",
-    "analysis": "analysis options_analysis assessment",
-    "proposal": "proposal vendor_proposal technical_draft change_request implementation_plan",
-    "communication": "faq notice email announcement",
+    "analysis": "analysis initial_report options_analysis",
+    "communication": "faq",
+    "instruction": "implementation_plan operating_procedure procedure site_work_instruction sow statement_of_work temporary_deviation work_instruction",
+    "normative": "amendment master_agreement master_contract policy specification specification_amendment standard technical_specification",
+    "proposal": "change_request draft proposal technical_draft vendor_proposal",
+    "record": "approval_record audit_record decision_minutes decision_record execution_log final_report release_record test_record",
 }
 
 
 def role_from_type(document_type: Column) -> Column:
     out = None
     for role, names in ROLE_TYPES.items():
-        hit = F.lower(document_type).isin(*names.split())
+        hit = document_type.isin(*names.split())
         out = F.when(hit, role) if out is None else out.when(hit, role)
     return out.otherwise("reference")

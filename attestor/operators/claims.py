@@ -12,20 +12,44 @@ from ..functions import text as X
 TERMINAL = ("rejected", "superseded", "retired", "stale")
 CURRENT = ("active", "approved", "implemented", "current")
 PENDING = ("proposed", "draft")
-BOOLEAN_PREDICATES = ("requires_approval", "self_approval_allowed", "is_mandatory")
-NEEDS_CONDITION = "deadline|^requires_approval$|^approval_limit$|^response_time$"
-SINGLE_VALUED = "deadline|limit|owner|amount|rate|duration|retention|version|effective_date|order_status|requires_approval|self_approval_allowed|response_time|threshold|location"
+#: Words by which a predicate has one value: alone, or behind an underscore; and predicates that have one besides.
+SINGLE_WORDS = "allowed deadline duration enabled interval limit maximum minimum required status version window within".split()
+SINGLE_NAMES = "access_approver allows_self_approval has_formal_owner incident_commander is_approved_as notification_approver requires_approval requires_review retention_period".split()
+#: Predicates whose values exclude each other under one condition only, besides those that speak of a deadline.
+CONDITIONAL_NAMES = "access_approver access_duration allows_review_omission allows_self_approval incident_commander is_approved_as notification_approver requires_approval requires_review".split()
+#: What makes a date a span of time.
+RELATIVE = "分以内|時間以内|日以内|営業日|週間以内|週以内|か月以内|ヶ月以内|月以内|年以内|minutes|hours|days|weeks|months|years"
+DENIALS = "なし|不可|禁止|認めない|false"
+#: Headings under which a source's units support a predicate.
+HEADINGS = {
+    "incident_cause": ["cause", "root cause", "原因"],
+    "permanent_remediation": ["corrective action", "permanent remediation", "恒久対策"],
+    "temporary_remediation": ["mitigation", "recovery", "復旧", "暫定対応"],
+}
+
+
+def single_valued(predicate: Column) -> Column:
+    p = X.normalized_key(predicate)
+    words = "|".join(SINGLE_WORDS)
+    return (p != "has_status") & (p.rlike(f"^(?:{words})$|_(?:{words})") | p.isin(*SINGLE_NAMES))
+
+
+def needs_condition(predicate: Column) -> Column:
+    p = X.normalized_key(predicate)
+    return F.contains(p, F.lit("deadline")) | p.isin(*CONDITIONAL_NAMES)
 
 
 def semantics(claims: DataFrame) -> DataFrame:
-    """Relative durations are no dates; three predicates become booleans, their wording moving into the condition."""
-    relative = lambda c: F.when(X.duration_constraint(c).isNull() & ~F.coalesce(c.rlike("^\\d+ ?(minutes|hours|days|weeks)"), F.lit(False)), c)
-    boolean = F.col("predicate").isin(*BOOLEAN_PREDICATES) & ~F.lower("object").isin("true", "false")
-    denied = F.col("object").rlike("(?i)not|never|prohibited|禁止|不可|できない")
+    """Relative durations are no dates; what a claim of a review says moves into its condition, the object becoming true;
+    whether self-approval is allowed becomes true or false."""
+    dated = lambda c: F.when(~F.lower(X.trim(c)).rlike(RELATIVE), c)
+    review, own = F.col("predicate").isin("requires_review", "allows_review_omission"), F.col("predicate") == "allows_self_approval"
+    said = X.blank_to_null(X.scalar_claim_text(F.col("object")))
+    denied = F.lower(F.coalesce(said, X.trim(F.col("object")), F.lit(""))).rlike(DENIALS)
     return claims.withColumns({
-        "valid_from": relative(F.col("valid_from")), "valid_to": relative(F.col("valid_to")),
-        "condition": F.when(boolean, X.append_condition(F.col("condition"), F.col("object"))).otherwise(F.col("condition")),
-        "object": F.when(boolean, F.when(denied, "false").otherwise("true")).otherwise(F.col("object")),
+        "valid_from": dated(F.col("valid_from")), "valid_to": dated(F.col("valid_to")),
+        "condition": F.when(review & said.isNotNull(), X.append_condition(F.col("condition"), said)).otherwise(F.col("condition")),
+        "object": F.when(review, "true").when(own, F.when(denied, "false").otherwise("true")).otherwise(F.col("object")),
     })
 
 
@@ -58,12 +82,12 @@ def evidence_metadata(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return refs.join(evidence, ["source_id", "evidence_id"]).groupBy("id").agg(single_distinct("authority").alias("authority"), single_distinct("lifecycle").alias("status"), single_distinct("valid_from").alias("valid_from"), single_distinct("valid_to").alias("valid_to"))
 
 
-def structured_evidence(claims: DataFrame, evidence: DataFrame, headings: dict[str, list[str]]) -> DataFrame:
+def structured_evidence(claims: DataFrame, evidence: DataFrame, headings: dict[str, list[str]] = HEADINGS) -> DataFrame:
     """claims whose predicate has expected headings get the units of their sources under these as further evidence."""
     spark = claims.sparkSession
     want = spark.createDataFrame([(p, h.lower()) for p, hs in headings.items() for h in hs], "predicate string, heading string")
     refs = claims.select("id", "predicate", F.explode("evidence.source_id").alias("source_id")).distinct()
-    units = evidence.select("source_id", "evidence_id", X.normalized_key(F.element_at("heading_path", -1)).alias("heading"), "text").filter(~F.col("text").startswith("#"))
+    units = evidence.select("source_id", "evidence_id", X.normalized_key(F.element_at("heading_path", -1)).alias("heading"), "text").filter(~F.ltrim("text").startswith("#"))
     more = refs.join(F.broadcast(want), "predicate").join(units, ["source_id", "heading"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("source_id", "evidence_id"))).alias("more"))
     return claims.join(more, "id", "left").withColumn("evidence", F.array_union("evidence", F.coalesce("more", F.array().cast("array<struct<source_id:string,evidence_id:string>>")))).drop("more")
 
@@ -73,30 +97,36 @@ def state_rank(status: Column) -> Column:
 
 
 def conflict_pairs(claims: DataFrame) -> DataFrame:
-    """Pairs of claims (l before r by id) that fill one slot with objects that are not equivalent.
-
-    Subjects are equal, or one is a suffix of 4 characters or more of the other: each claim is posted under its whole
-    subject and under its suffixes, and wholes meet suffixes in an equi-join that also holds predicate and, where the
-    predicate needs it, condition. Objects that agree are dropped inside the join, so they make no rows."""
-    c = claims.filter(F.lower("predicate").rlike(SINGLE_VALUED) & (F.lower("predicate") != "has_status"))
-    c = c.withColumn("k", X.normalized_key(F.col("subject"))).withColumn("p", F.lower("predicate"))
-    c = c.withColumn("slot", F.when(F.col("p").rlike(NEEDS_CONDITION), F.coalesce(X.normalized_condition(F.col("condition")), F.lit(""))).otherwise(F.lit("")))
-    c = c.withColumn("norm", X.scalar_normalize(F.col("object"))).withColumn("span", X.duration_constraint(F.col("object")))
+    """Pairs of claims (l before r by id) that fill one slot with objects that are neither equivalent nor compatible.
+
+    Subjects are equal, or one is a suffix of 4 characters or more of the other: each claim is posted by its id under its
+    whole subject and under those of its suffixes that are another claim's whole subject, and wholes meet postings in an
+    equi-join that also holds predicate and, where the predicate needs it, condition. Objects that agree are dropped
+    inside the join, so they make no rows; the claims' other columns come after it, in two joins by id."""
+    c = claims.filter(single_valued(F.col("predicate")))
+    c = c.withColumn("k", X.normalized_key(F.col("subject"))).withColumn("p", X.normalized_key(F.col("predicate")))
+    c = c.withColumn("slot", F.when(needs_condition(F.col("p")), F.coalesce(X.normalized_condition(F.col("condition")), F.lit(""))).otherwise(F.lit("")))
+    text = X.scalar_claim_text(F.col("object"))
+    c = c.withColumn("norm", X.scalar_normalize(text)).withColumn("span", X.duration_constraint(text))
+    c = c.withColumn("sources", F.array_sort(F.array_distinct(F.col("evidence.source_id"))))
     n = F.char_length("k")
     suffixes = F.when(n > 4, F.transform(F.sequence(F.lit(2), F.greatest(n - 3, F.lit(2))), lambda i: F.substr(F.col("k"), i))).otherwise(F.array().cast("array<string>"))
-    cols = ["id", "subject", "object", "norm", "span", "condition", "valid_from", "valid_to", "authority", "status", "evidence"]
-    whole = c.select("p", "slot", "k", *[F.col(x).alias(f"a_{x}") for x in cols])
-    posted = c.select("p", "slot", F.explode(F.concat(F.array("k"), suffixes)).alias("k"), (F.col("k")).alias("own"), *[F.col(x).alias(f"b_{x}") for x in cols])
-    agree = (F.col("a_norm") == F.col("b_norm")) | F.coalesce(F.col("a_span") == F.col("b_span"), F.lit(False))
-    equal = F.col("own") == F.col("k")
-    same_sources = F.array_sort(F.array_distinct(F.col("a_evidence.source_id"))) == F.array_sort(F.array_distinct(F.col("b_evidence.source_id")))
-    other_case = ~X.normalized_condition(F.col("a_condition")).eqNullSafe(X.normalized_condition(F.col("b_condition")))
-    alternatives = F.coalesce(same_sources & (F.size("a_evidence") > 0), F.lit(False)) & other_case
+    carried = ["id", "object", "norm", "span", "condition", "sources"]
+    whole = c.select("p", "slot", "k", *[F.col(x).alias(f"a_{x}") for x in carried])
+    posted = c.select("p", "slot", F.explode(suffixes).alias("k"), "id").join(c.select("p", "slot", "k").distinct(), ["p", "slot", "k"], "left_semi")
+    posted = posted.select("p", "slot", "k", "id", F.lit(False).alias("equal")).unionByName(c.select("p", "slot", "k", "id", F.lit(True).alias("equal")))
+    posted = posted.join(c.select(*carried), "id").select("p", "slot", "k", "equal", *[F.col(x).alias(f"b_{x}") for x in carried])
+    agree = (F.col("a_object") == F.col("b_object")) | F.coalesce(F.col("a_norm") == F.col("b_norm"), F.lit(False)) | F.coalesce(F.col("a_span") == F.col("b_span"), F.lit(False))
+    agree |= X.objects_compatible(F.col("p"), F.col("a_object"), F.col("b_object"), F.coalesce(F.arrays_overlap("a_sources", "b_sources"), F.lit(False)))
+    ca, cb = X.normalized_condition(F.col("a_condition")), X.normalized_condition(F.col("b_condition"))
+    alternatives = F.coalesce((F.col("a_sources") == F.col("b_sources")) & (F.size("a_sources") > 0) & (ca != cb), F.lit(False))
     # equal subjects are met from both sides: keep the ordered one; suffix pairs are met once
-    met = whole.join(posted, ["p", "slot", "k"]).filter((F.col("a_id") != F.col("b_id")) & (~equal | (F.col("a_id") < F.col("b_id"))) & ~agree & ~alternatives)
-    first = F.col("a_id") < F.col("b_id")
-    pick = lambda x: [F.when(first, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}")).alias(f"l_{x}"), F.when(first, F.col(f"b_{x}")).otherwise(F.col(f"a_{x}")).alias(f"r_{x}")]
-    return met.select(*[y for x in cols if x not in ("norm", "span") for y in pick(x)], F.col("p").alias("predicate"))
+    met = whole.join(posted, ["p", "slot", "k"]).filter((F.col("a_id") != F.col("b_id")) & (~F.col("equal") | (F.col("a_id") < F.col("b_id"))) & ~agree & ~alternatives)
+    met = met.select(F.least("a_id", "b_id").alias("l_id"), F.greatest("a_id", "b_id").alias("r_id"), F.col("p").alias("predicate"))
+    cols = ["id", "subject", "object", "condition", "valid_from", "valid_to", "authority", "status", "evidence"]
+    side = lambda x: c.select(*[F.col(y).alias(f"{x}_{y}") for y in cols])
+    both = met.join(side("l"), "l_id").join(side("r"), "r_id")
+    return both.select(*[f"{x}_{y}" for y in cols for x in "lr"], "predicate")
 
 
 def resolve_conflicts(pairs: DataFrame, as_of: str, precedence: list[str]) -> DataFrame:

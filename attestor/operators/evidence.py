@@ -47,14 +47,17 @@ def checklist_gaps(units: DataFrame) -> DataFrame:
 
 
 #: Terms that speak for a unit as evidence of its document's profile.
-SIGNALS = "shall must policy approved effective valid scope applies supersedes amend exception official record owner version revision status authority responsible draft proposal contract agreement procedure 承認 適用 有効 優先 責任".split()
+SIGNALS = ("amend", "conflict", "derived", "exception", "precedence", "supersed", "system of record", "uncontrolled", "例外", "修正", "優先", "決定", "準拠", "反映していない", "参照", "実施", "承認", "改訂", "旧版", "更新", "正式", "現行", "由来", "矛盾", "終了", "置き換", "記録", "適用", "食い違")
 
 
-def profile_score(text, kind, heading_path):
-    """1000 for front matter, 20 per signal term, 2 under a heading, 5 less for headings; never below 0."""
-    lower = F.lower(text)
-    hits = sum((lower.contains(t).cast("int") for t in SIGNALS), F.lit(0))
-    return F.greatest(F.lit(0), F.when(kind == "metadata", 1000).otherwise(0) + hits * 20 + F.when(F.size(heading_path) > 0, 2).otherwise(0) - F.when(kind == "heading", 5).otherwise(0))
+def profile_score(text, heading_path):
+    """1000 for front matter, 20 per signal term in heading path or text, 2 under a heading; 5 less for headings and for
+    what only says what a section is about, never below 0."""
+    lower = F.lower(F.concat_ws(" ", F.array_join(heading_path, " "), text))
+    hits = sum((F.contains(lower, F.lit(t)).cast("int") for t in SIGNALS), F.lit(0))
+    trimmed = X.trim(text)
+    score = F.when(trimmed.startswith("---"), 1000).otherwise(0) + hits * 20 + F.when(F.size(heading_path) > 0, 2).otherwise(0)
+    return F.greatest(F.lit(0), score - F.when(trimmed.startswith("#") | F.contains(text, F.lit("この節では")), 5).otherwise(0))
 
 
 def top_evidence(units: DataFrame, score, k: int, by: tuple[str, ...] = ("source_id",)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope as S
 from ..functions import text as X
+from . import claims as CL
 
 #: purpose, source type, source status, kind, position, target type, target status
 SLOTS = [
@@ -83,92 +84,83 @@ def front_matter_positions(sources: DataFrame, profiles: DataFrame) -> DataFrame
     return first.select(F.concat(F.lit("position_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "position_target_document_id", "position"), 256), 1, 16)).alias("id"), F.lit("operational_position").alias("kind"), "position", "source_id", "target_id")
 
 
-#: Coverage rules that need nothing but types, approval and scope: source type, source approved, target type, kind, position
-COVERAGE = [
-    ("vendor_proposal", False, "master_agreement", "proposes_change_to", "non_effective", "within"),
-    ("work_instruction", True, "operating_procedure", "applies_to", "conditional", "refines"),
-    ("temporary_deviation", True, "operating_procedure", "exception_to", "conditional", "within"),
-    ("execution_log", True, "temporary_deviation", "records_execution_of", "non_effective", "within"),
-    ("test_record", True, "specification_amendment", "records_execution_of", "non_effective", "within"),
-]
-
-
-def coverage(docs: DataFrame, existing: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, position, id): rule edges not there yet, to targets that share a scope value and whose
-    scope holds the source's; rules that need a unique target give none where there are several.
-
-    Pairs come from an equi-join on exploded scope values, so no all-pairs plan arises."""
-    spark, docs = docs.sparkSession, docs.select("source_id", "document_type", "approved", "scope")
-    rules = F.broadcast(spark.createDataFrame(COVERAGE, "document_type string, wants_approved boolean, target_type string, kind string, position string, test string"))
-    s = docs.join(rules, "document_type").filter("approved = wants_approved")
-    vals = S.exploded(docs, "source_id").distinct()
-    near = vals.withColumnRenamed("source_id", "target_id").join(vals, ["dim", "value"]).filter("source_id <> target_id").select("source_id", "target_id").distinct()
-    t = docs.select(F.col("source_id").alias("target_id"), F.col("document_type").alias("target_type"), F.col("scope").alias("t_scope"), F.col("approved").alias("t_approved"))
-    pairs = s.join(near, "source_id").join(t, ["target_id", "target_type"]).filter("t_approved")
-    refines, same = S.strict_refinement(F.col("scope"), F.col("t_scope")), S.scopes_equivalent(F.col("scope"), F.col("t_scope"))
-    pairs = pairs.filter(F.when(F.col("test") == "refines", refines).otherwise(refines | same))
-    n = F.count(F.lit(1)).over(Window.partitionBy("source_id", "kind"))
-    unique = pairs.withColumn("n", n).filter("n = 1 OR document_type = 'vendor_proposal'")
-    made = unique.select("source_id", "target_id", "kind", "position", F.concat(F.lit("coverage_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind"), 256), 1, 16)).alias("id"))
-    return made.join(existing.select("source_id", "target_id", "kind"), ["source_id", "target_id", "kind"], "left_anti")
-
-
-def absorb_conflicts(relations: DataFrame, approved_amendments: DataFrame) -> DataFrame:
-    """Relations without conflicts_with edges on a pair that an approved amendment amends with overlapping clauses."""
-    am = relations.filter("kind = 'amends'").join(approved_amendments.select("source_id"), "source_id", "left_semi").select(F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"), F.concat("source_clauses", "target_clauses").alias("am_clauses"))
-    con = relations.filter("kind = 'conflicts_with'").withColumns({"x": F.least("source_id", "target_id"), "y": F.greatest("source_id", "target_id")})
-    gone = con.join(am, ["x", "y"]).filter(S.clauses_overlap(F.concat("source_clauses", "target_clauses"), F.col("am_clauses"))).select("id").distinct()
-    return relations.join(gone, "id", "left_anti")
-
-
-def decision_plan(units: DataFrame) -> DataFrame:
-    """(minutes_id, plan_id, minutes_unit, plan_unit): units of decision minutes and of plans that share a quoted phrase,
-    the pair with the least text for each two sources."""
-    rows = units.select("source_id", "evidence_id", "document_type", F.char_length("text").alias("n"), F.explode(X.quoted_phrases(F.col("text"))).alias("phrase"))
-    side = lambda kind, p: rows.filter(F.col("document_type") == kind).select("phrase", F.col("source_id").alias(f"{p}_id"), F.col("evidence_id").alias(f"{p}_unit"), F.col("n").alias(f"{p}_n"))
-    both = side("decision_minutes", "minutes").join(side("implementation_plan", "plan"), "phrase")
-    best = both.groupBy("minutes_id", "plan_id").agg(F.min(F.struct((F.col("minutes_n") + F.col("plan_n")).alias("n"), "minutes_unit", "plan_unit")).alias("b"))
-    return best.select("minutes_id", "plan_id", "b.minutes_unit", "b.plan_unit")
-
-
 def first_wins(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """One row for each key, the first by ordinal."""
     w = Window.partitionBy(*keys).orderBy(ordinal)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-#: Words by which a unit supports a relation of a kind.
+#: Words by which a unit supports a relation of a kind; all other kinds have those of "".
 TERMS = {
-    "supersedes": "supersede replace obsolete 廃止 改訂", "amends": "amend change clause 変更 条", "exception_to": "exception deviation 例外", "order_of_precedence": "precedence priority prevail 優先",
-    "applies_to": "apply scope 適用", "proposes_change_to": "propose draft 提案", "records_execution_of": "executed completed record 実施", "approves": "approve decision 承認",
-}
-
-
-def relation_evidence(relations: DataFrame, units: DataFrame, k: int = 3) -> DataFrame:
-    """The k units of each end of each relation with most of its kind's terms, 3 more for a date, ties to the earlier."""
-    rows = [(kind, t) for kind, ts in TERMS.items() for t in ts.split()]
-    terms = relations.sparkSession.createDataFrame(rows, "kind string, term string").groupBy("kind").agg(F.collect_list("term").alias("terms"))
-    ends = relations.select("id", "kind", F.explode(F.array("source_id", "target_id")).alias("source_id")).join(F.broadcast(terms), "kind", "left")
-    hits = F.coalesce(F.size(F.filter("terms", lambda t: F.contains(F.lower("text"), t))), F.lit(0))
-    dated = F.col("text").rlike(r"\d{4}-\d{2}-\d{2}").cast("int")
-    scored = ends.join(units, "source_id").withColumn("score", F.greatest(hits, F.lit(0)) * 20 + dated * 3)
-    w = Window.partitionBy("id", "source_id").orderBy(F.desc("score"), "line_start")
+    "": "参照 由来 適用 関係",
+    "amends": "修正 変更 改訂 条 節",
+    "approves": "対象 承認 採用 施行 決定",
+    "conflicts_with": "優先 反映していない 旧案内 正式 現行 矛盾 食い違",
+    "evaluates": "優位 分析 初期案 提案 比較 評価",
+    "exception_to": "例外 免除 逸脱 限定",
+    "implements_decision": "不採用 実施対象 実施方式 採否 採用 決定 計画",
+    "operational_position": "却下 失効 承認 未承認 現行 適用",
+    "order_of_precedence": "優先 反映していない 旧案内 正式 現行 矛盾 食い違",
+    "proposes_change_to": "変更 提案 未署名 義務 署名 適用",
+    "records_execution_of": "完了 実施 実行 承認 決定 記録 適用",
+    "supersedes": "旧版 現行 第1版 第2版 終了 置き換 適用期間",
+}
+
+
+def relation_evidence(relations: DataFrame, units: DataFrame, k: int = 3, grounded: DataFrame | None = None) -> DataFrame:
+    """(id, source_id, evidence_id, score, rank): the k best units of each end of each relation, ties to the earlier.
+
+    20 for each of the kind's terms in heading path or text, 100 for each of the end's clauses there if the relation
+    speaks of precedence, 100 under a heading that names the basis of judgement, 3 for a validity; units that the relation
+    already refers to (``grounded``: id, source_id, evidence_id) come first. Front matter, headings and boilerplate never
+    do. ``units`` may hold heading_path, valid_from and valid_to. Clauses of a relation without any make no hits."""
+    spark = relations.sparkSession
+    terms = F.broadcast(spark.createDataFrame([(kind, ts.split()) for kind, ts in TERMS.items()], "term_kind string, terms array<string>"))
+    none = F.array().cast("array<string>")
+    tells = S.expresses_precedence(F.col("kind"), F.col("position"), F.concat(F.coalesce("source_clauses", none), F.coalesce("target_clauses", none)))
+    ends = relations.select("id", F.when(F.col("kind").isin(*[x for x in TERMS if x]), F.col("kind")).otherwise("").alias("term_kind"), tells.alias("tells"), F.explode(F.array(F.struct(F.col("source_id").alias("source_id"), F.coalesce("source_clauses", none).alias("clauses")), F.struct(F.col("target_id").alias("source_id"), F.coalesce("target_clauses", none).alias("clauses")))).alias("e"))
+    ends = ends.select("id", "term_kind", "tells", "e.source_id", "e.clauses").join(terms, "term_kind")
+    have = set(units.columns)
+    path = F.col("heading_path") if "heading_path" in have else none
+    valid = [F.col(c) for c in ("valid_from", "valid_to") if c in have]
+    text = X.trim(F.col("text"))
+    u = units.filter(~text.startswith("---") & ~text.startswith("#") & ~F.contains("text", F.lit("架空の評価用社内文書")) & ~F.contains("text", F.lit("この節では")))
+    u = u.select("source_id", "evidence_id", "line_start", F.lower(F.concat_ws(" ", F.array_join(path, " "), "text")).alias("all"), F.exists(path, lambda h: F.contains(h, F.lit("判断に用いる基準"))).alias("basis"), (F.coalesce(*valid).isNotNull() if valid else F.lit(False)).alias("dated"))
+    scored = ends.join(u, "source_id")
+    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("all"), t)))
+    named = F.size(F.filter("clauses", lambda c: (F.trim(c) != "") & F.contains(F.col("all"), F.lower(F.trim(c)))))
+    scored = scored.withColumn("score", F.when(F.col("tells"), named * 100).otherwise(0) + hits * 20 + F.col("dated").cast("int") * 3 + F.coalesce(F.col("basis").cast("int"), F.lit(0)) * 100)
+    if grounded is None:
+        scored = scored.withColumn("known", F.lit(False))
+    else:
+        scored = scored.join(grounded.select("id", "source_id", "evidence_id").distinct().withColumn("known", F.lit(True)), ["id", "source_id", "evidence_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    w = Window.partitionBy("id", "source_id").orderBy(F.desc(F.col("known").cast("int") * 1000 + F.col("score")), "line_start")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "source_id", "evidence_id", "score", "rank")
 
 
 def claim_pairs(pairs: DataFrame, claims: DataFrame, agree: bool, limit: int = 64) -> DataFrame:
-    """(source_id, target_id, source_claim, target_claim): for each pair of sources the claims that speak of one subject
-    and predicate with equivalent objects (``agree``) or different ones, the pair with the shortest subject first.
-    At most ``limit`` claims of a source, the first by id, are looked at."""
+    """(source_id, target_id, source_claim, target_claim, score): for each pair of sources the claims whose subjects
+    overlap and that say the same (``agree``: equivalent objects with a text of 2 characters or more, whatever the
+    predicate) or not (one single-valued predicate, other objects); the pair with the longest shorter subject, score
+    being its length, ties to the first by id. At most ``limit`` claims of a source, the first by id, are looked at.
+
+    Claims meet in equi-joins on normal forms: of the object, as scalar and as duration, or of the predicate."""
     c = claims.select("id", "subject", "predicate", "object", F.explode(F.array_distinct(F.col("evidence.source_id"))).alias("s"))
     c = c.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("id"))).filter(F.col("n") <= limit)
-    side = lambda p, end: c.select(F.col("s").alias(end), F.lower("predicate").alias("predicate"), *[F.col(x).alias(f"{p}_{x}") for x in ("id", "subject", "object")])
-    j = pairs.select("source_id", "target_id").join(side("a", "source_id"), "source_id").join(side("b", "target_id"), ["target_id", "predicate"])
+    text = X.scalar_claim_text(F.col("object"))
+    if agree:  # the text of an array does not count for the length, as it is no string
+        c = c.filter(F.char_length(X.trim(text)) >= 2)
+        keys = F.array_compact(F.array(F.concat(F.lit("="), X.scalar_normalize(text)), F.concat(F.lit("~"), X.duration_constraint(text))))
+        c = c.withColumn("key", F.explode(keys))
+    else:
+        c = c.filter(CL.single_valued(F.col("predicate"))).withColumn("key", X.normalized_key(F.col("predicate")))
+    side = lambda p, end: c.select(F.col("s").alias(end), "key", *[F.col(x).alias(f"{p}_{x}") for x in ("id", "subject", "object")])
+    j = pairs.select("source_id", "target_id").join(side("a", "source_id"), "source_id").join(side("b", "target_id"), ["target_id", "key"])
     same = X.objects_equivalent(F.col("a_object"), F.col("b_object"))
     j = j.filter(X.subjects_overlap(F.col("a_subject"), F.col("b_subject")) & (same if agree else ~same))
-    short = F.least(F.char_length("a_subject"), F.char_length("b_subject"))
-    best = j.groupBy("source_id", "target_id").agg(F.min(F.struct(short.alias("n"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))).alias("m"))
-    return best.select("source_id", "target_id", F.col("m.a").alias("source_claim"), F.col("m.b").alias("target_claim"))
+    short = F.least(F.char_length(X.trim(F.col("a_subject"))), F.char_length(X.trim(F.col("b_subject"))))
+    best = j.groupBy("source_id", "target_id").agg(F.min(F.struct((-short).alias("n"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))).alias("m"))
+    return best.select("source_id", "target_id", F.col("m.a").alias("source_claim"), F.col("m.b").alias("target_claim"), (-F.col("m.n")).alias("score"))
 
 
 def refine_stale_guidance(relations: DataFrame, profiles: DataFrame, incompatible: DataFrame) -> DataFrame:
@@ -181,25 +173,6 @@ def refine_stale_guidance(relations: DataFrame, profiles: DataFrame, incompatibl
     return r.withColumn("kind", F.when(hit, "conflicts_with").otherwise(F.col("kind"))).select(*relations.columns)
 
 
-def precedence_coverage(relations: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, position): order_of_precedence between approved instructions, from a lower rank and a
-    narrower scope, also applies_to its target."""
-    p = profiles.filter("approved AND role = 'instruction'")
-    s = p.select("source_id", F.col("authority_rank").alias("s_rank"), F.col("scope").alias("s_scope"))
-    t = p.select(F.col("source_id").alias("target_id"), F.col("authority_rank").alias("t_rank"), F.col("scope").alias("t_scope"))
-    j = relations.filter("kind = 'order_of_precedence'").select("source_id", "target_id").join(s, "source_id").join(t, "target_id")
-    return j.filter((F.col("s_rank") < F.col("t_rank")) & S.strict_refinement(F.col("s_scope"), F.col("t_scope"))).select("source_id", "target_id", F.lit("applies_to").alias("kind"), F.lit("conditional").alias("position"))
-
-
-def stale_faq(faqs: DataFrame, incompatible: DataFrame) -> DataFrame:
-    """(source_id, target_id): the norm that alone has most claims incompatible with a stale FAQ's. ``incompatible`` has a
-    row (source_id, target_id) for each such pair of claims."""
-    n = incompatible.join(faqs.select("source_id"), "source_id", "left_semi").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("source_id").agg(F.max("n").alias("n"))
-    top = n.join(best, ["source_id", "n"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("ties"), F.min("target_id").alias("target_id"))
-    return top.filter("ties = 1").select("source_id", "target_id")
-
-
 def incident_pivot(docs: DataFrame) -> DataFrame:
     """(scenario, open_report, closed_report, change, release): the last document of each kind in a scenario."""
     t, s = F.col("document_type"), F.col("status")

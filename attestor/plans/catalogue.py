@@ -12,6 +12,7 @@ from ..functions import temporal as T
 from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import claims as CL
+from ..operators import coverage as CV
 from ..operators import evidence as E
 from ..operators import export as EX
 from ..operators import metrics as M
@@ -22,6 +23,7 @@ from ..operators import relations as R
 from ..operators import rerank as RR
 from ..operators import resolve as RE
 from ..sources import scan as SC
+from . import fixtures as FX
 from . import views as V
 from .views import CAND, CLAIM, FILES, LINES, MD, PROF, REL, RETRIEVED, SNAP, SRC, sql
 
@@ -181,13 +183,27 @@ def checklist_gaps(spark, sf_dir):
     return E.checklist_gaps(PA.parse_markdown(V.markdown(spark, sf_dir)))
 
 
-_SIGNALS = " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in E.SIGNALS)
+_PROFILE_TERMS = "置き換 改訂 修正 例外 優先 食い違 矛盾 反映していない 正式 現行 旧版 適用 終了 承認 決定 実施 記録 準拠 由来 参照 更新 supersed amend conflict precedence exception derived uncontrolled".split() + ["system of record"]
+_SIGNALS = " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in _PROFILE_TERMS)
 
 
-@query(sql(SRC, LINES, body=f"""SELECT source_id, evidence_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, line_no) AS r FROM (SELECT *, 20 * ({_SIGNALS}) AS score FROM lines)) WHERE r <= 8"""))
+@query(sql(SRC, LINES, body=f"""SELECT source_id, evidence_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, line_no) AS r
+FROM (SELECT *, greatest(0, CASE WHEN starts_with(ltrim(line), '---') THEN 1000 ELSE 0 END + 20 * ({_SIGNALS}) - CASE WHEN starts_with(ltrim(line), '#') THEN 5 ELSE 0 END) AS score FROM lines)) WHERE r <= 8"""))
 def profile_evidence_top8(spark, sf_dir):
-    u = PA.evidence_lines(V.sources(spark, sf_dir)).withColumn("kind", F.lit("text")).withColumn("heading_path", F.array().cast("array<string>"))
-    return E.top_evidence(u, E.profile_score(F.col("text"), F.col("kind"), F.col("heading_path")), 8).select("source_id", "evidence_id", "score", "rank")
+    u = PA.evidence_lines(V.sources(spark, sf_dir)).withColumn("heading_path", F.array().cast("array<string>"))
+    return E.top_evidence(u, E.profile_score(F.col("text"), F.col("heading_path")), 8).select("source_id", "evidence_id", "score", "rank")
+
+
+_PROFILE_UNITS = [
+    (1, "---\nstatus: 承認\n---", []), (2, "現行の規則を改訂し、旧版を置き換える", ["改訂の記録"]), (3, "# 適用", ["適用"]), (4, "この節では例外を述べる", ["例外"]), (5, "# plain", []),
+    (6, "The System of Record SUPERSEDES uncontrolled copies; conflicts follow precedence", ["Amendments"]), (7, "nothing here", []),
+]
+
+
+@query(FX.values([(1, 1020), (2, 102), (3, 17), (4, 17), (5, 0), (6, 122), (7, 0)], "id, score"))
+def profile_score_cases(spark, sf_dir):
+    u = spark.createDataFrame(_PROFILE_UNITS, "id int, text string, heading_path array<string>")
+    return u.select("id", E.profile_score(F.col("text"), F.col("heading_path")).alias("score"))
 
 
 @query(sql(SRC, body="""SELECT doc_id, len(list_distinct(list_transform(range(1, CAST(length(t) - 6 AS BIGINT)), lambda i: substr(t, i, 8)))) AS n
@@ -262,14 +278,68 @@ def build_status(spark, sf_dir):
     return CL.build_status(unresolved_diagnostics(spark, sf_dir), F.col("warnings"), allowed=False)
 
 
-_SCALARS = [(1, " 3 日 以内", "三日以内"), (2, "申請は10営業日以内とする", "10営業日以内"), (3, "2時間未満", "120分未満"), (4, "Yes", "yes "), (5, "五か月まで", "5か月まで"), (6, "期限なし", ""), (7, "7日間", "7日")]
+_SCALARS = [
+    (1, " 3 日 以内", "三日以内"), (2, "申請は10営業日以内とする", "10営業日以内"), (3, "2時間未満", "120分未満"), (4, "Yes", "yes "), (5, "五か月まで", "5か月以内"), (6, "期限なし", ""), (7, "7日間", "7日"), (8, "3日以内", "3日まで"), (9, "3日以上", "3日以内"),
+    (10, "2時間超", "2 時間超"), (11, '["3日以内"]', '"3日まで"'), (12, "true", '"true"'), (13, '["a","b"]', '["a", "b"]'), (14, "日中は3日以内", "3日以内"), (15, "2週間以内", "14日以内"),
+]
 
 
-@query("""SELECT * FROM (VALUES (1, '3:日:以内', '3:日:以内', true), (2, '10:営業日:以内', '10:営業日:以内', true), (3, '2:時間:未満', '120:分:未満', false), (4, NULL, NULL, true), (5, '5:か月:まで', '5:か月:まで', true),
-(6, NULL, NULL, false), (7, NULL, NULL, false)) t(id, left_duration, right_duration, equivalent)""")
+@query(FX.values([
+    (1, "3:日:maximum", "3:日:maximum", True), (2, "10:営業日:maximum", "10:営業日:maximum", True), (3, "2:時間:less_than", "120:分:less_than", False), (4, None, None, True), (5, "5:か月:maximum", "5:か月:maximum", True), (6, None, None, False), (7, None, None, False),
+    (8, "3:日:maximum", "3:日:maximum", True), (9, "3:日:minimum", "3:日:maximum", False), (10, "2:時間:greater_than", "2:時間:greater_than", True), (11, "3:日:maximum", "3:日:maximum", True), (12, None, None, False), (13, None, None, False), (14, None, "3:日:maximum", False), (15, "2:週間:maximum", "14:日:maximum", False),
+], "id, left_duration, right_duration, equivalent"))
 def scalar_equivalence(spark, sf_dir):
     d = spark.createDataFrame(_SCALARS, "id int, a string, b string")
-    return d.select("id", X.duration_constraint(F.col("a")).alias("left_duration"), X.duration_constraint(F.col("b")).alias("right_duration"), X.objects_equivalent(F.col("a"), F.col("b")).alias("equivalent"))
+    text = lambda c: X.duration_constraint(X.scalar_claim_text(F.col(c)))
+    return d.select("id", text("a").alias("left_duration"), text("b").alias("right_duration"), X.objects_equivalent(F.col("a"), F.col("b")).alias("equivalent"))
+
+
+@query(FX.values([
+    *[(t, "normative") for t in ("policy", "standard", "master_contract", "specification", "master_agreement", "amendment", "technical_specification", "specification_amendment")],
+    *[(t, "instruction") for t in ("procedure", "site_work_instruction", "operating_procedure", "work_instruction", "temporary_deviation", "implementation_plan", "sow", "statement_of_work")],
+    *[(t, "record") for t in ("approval_record", "decision_record", "test_record", "decision_minutes", "execution_log", "audit_record", "release_record", "final_report")],
+    *[(t, "analysis") for t in ("analysis", "initial_report", "options_analysis")], *[(t, "proposal") for t in ("proposal", "technical_draft", "draft", "change_request", "vendor_proposal")], ("faq", "communication"),
+    *[(t, "reference") for t in ("incident_report", "manual", "notice", "Policy", "")],
+], "document_type, role"))
+def role_from_type(spark, sf_dir):
+    types = [t for names in X.ROLE_TYPES.values() for t in names.split()] + ["incident_report", "manual", "notice", "Policy", ""]
+    return spark.createDataFrame([(t,) for t in types], "document_type string").select("document_type", X.role_from_type(F.col("document_type")).alias("role"))
+
+
+_CANDIDATES = [
+    (1, "requires_review", "二名で確認", "急ぎ", None, "2024-01-01"), (2, "requires_review", "true", "急ぎ", None, None), (3, "allows_review_omission", '"軽微な変更"', None, None, None), (4, "allows_self_approval", "認めない", None, None, None),
+    (5, "allows_self_approval", "部長に限り可", "x", None, None), (6, "deadline", "3日以内", None, "3営業日", "10 Business Days"), (7, "requires_review", "急ぎ", "急ぎ", None, None), (8, "allows_self_approval", "FALSE", None, None, "2か月以内"), (9, "allows_review_omission", "null", None, None, None),
+]
+
+
+@query(FX.values([
+    (1, "true", "急ぎ; 二名で確認", None, "2024-01-01"), (2, "true", "急ぎ", None, None), (3, "true", "軽微な変更", None, None), (4, "false", None, None, None), (5, "true", "x", None, None), (6, "3日以内", None, None, None), (7, "true", "急ぎ", None, None), (8, "false", None, None, None), (9, "true", None, None, None),
+], "id, object, condition, valid_from, valid_to"))
+def candidate_semantics(spark, sf_dir):
+    c = spark.createDataFrame(_CANDIDATES, "id int, predicate string, object string, condition string, valid_from string, valid_to string")
+    return CL.semantics(c).select("id", "object", "condition", "valid_from", "valid_to")
+
+
+@query(FX.values([
+    ("status", True, False), ("has_status", False, False), (" Has_Status ", False, False), ("order_status", True, False), ("separate", False, False), ("statusquo", False, False), ("payment_deadline", True, True), ("deadlines", False, True), ("max_window_days", True, False), ("retention_period", True, False),
+    ("requires_approval", True, True), ("allows_review_omission", False, True), ("access_duration", True, True), ("access_approver", True, True), ("incident_commander", True, True), ("has_formal_owner", True, False), ("owner", False, False), ("is_approved_as", True, True), ("version", True, False), ("is_required", True, False),
+], "predicate, single, conditional"))
+def predicate_slots(spark, sf_dir):
+    names = "status,has_status, Has_Status ,order_status,separate,statusquo,payment_deadline,deadlines,max_window_days,retention_period,requires_approval,allows_review_omission,access_duration,access_approver,incident_commander,has_formal_owner,owner,is_approved_as,version,is_required"
+    p = spark.createDataFrame([(n,) for n in names.split(",")], "predicate string")
+    return p.select("predicate", CL.single_valued(F.col("predicate")).alias("single"), CL.needs_condition(F.col("predicate")).alias("conditional"))
+
+
+_APPROVALS = [
+    (1, "requires_approval", "true", "部長", False), (2, "requires_approval", "部長", "課長", False), (3, "requires_approval", "部長", "課長", True), (4, "requires_approval", "true", "不要", True), (5, "requires_approval", '["部長","課長"]', "true", False),
+    (6, "requires_approval", "true", "false", True), (7, "requires_review", "true", "部長", True), (8, " Requires_Approval", "Yes", "部長", True), (9, "requires_approval", "[]", "true", True), (10, "requires_approval", "必要", "部長", True),
+]
+
+
+@query(FX.values([(1, True), (2, False), (3, True), (4, False), (5, True), (6, False), (7, False), (8, False), (9, False), (10, False)], "id, compatible"))
+def objects_compatible(spark, sf_dir):
+    d = spark.createDataFrame(_APPROVALS, "id int, p string, a string, b string, share boolean")
+    return d.select("id", X.objects_compatible(F.col("p"), F.col("a"), F.col("b"), F.col("share")).alias("compatible"))
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, translate(regexp_replace(lower(p_name), '\\s+', '', 'g'), '一二', '12') AS norm FROM part")
@@ -532,24 +602,6 @@ def slot_fallback_pairs(spark, sf_dir):
     return R.slot_fallback_pairs(_slot_docs(spark, sf_dir))
 
 
-def _typed(spark, sf_dir):
-    p, k = V.profiles(spark, sf_dir), F.col("doc_id")
-    types = ("work_instruction", "operating_procedure", "temporary_deviation", "execution_log", "vendor_proposal", "master_agreement")
-    small = S.scope_of(products=F.col("scope")["products"], lots=F.array((F.floor(k / 30)).cast("string")), sites=F.when(k % 2 == 0, F.array(F.lit("s1"))))
-    return p.select("source_id", "doc_id", V._pick(types, k).alias("document_type"), (F.col("role") != "proposal").alias("approved"), small.alias("scope"))
-
-
-@query(sql(SRC, PROF, body=""", t AS (SELECT source_id, doc_id, ['work_instruction','operating_procedure','temporary_deviation','execution_log','vendor_proposal','master_agreement'][1 + doc_id % 6] AS dt, role <> 'proposal' AS ap, products AS p, [CAST(doc_id // 30 AS VARCHAR)] AS l, CASE WHEN doc_id % 2 = 0 THEN ['s1'] ELSE [] END AS s FROM prof)
-, ru(dt, wa, tt, kind, position, test) AS (VALUES ('vendor_proposal', false, 'master_agreement', 'proposes_change_to', 'non_effective', 'within'), ('work_instruction', true, 'operating_procedure', 'applies_to', 'conditional', 'refines'), ('temporary_deviation', true, 'operating_procedure', 'exception_to', 'conditional', 'within'), ('execution_log', true, 'temporary_deviation', 'records_execution_of', 'non_effective', 'within'))
-, pr AS (SELECT a.source_id, b.source_id AS target_id, kind, position, test, a.dt, (len(b.p) = 0 OR (len(a.p) > 0 AND list_has_all(b.p, a.p))) AND list_has_all(b.l, a.l) AND (len(b.s) = 0 OR len(a.s) > 0) AS inside, (len(b.p) = 0 AND len(a.p) > 0) OR (len(b.s) = 0 AND len(a.s) > 0) AS smaller,
-  len(a.p) = len(b.p) AND list_has_all(b.p, a.p) AND a.l = b.l AND len(a.s) = len(b.s) AS eq FROM t a JOIN ru ON a.dt = ru.dt AND a.ap = ru.wa JOIN t b ON b.dt = ru.tt AND b.ap AND b.source_id <> a.source_id AND (list_has_any(a.p, b.p) OR list_has_any(a.l, b.l) OR list_has_any(a.s, b.s)))
-, ok AS (SELECT *, count(*) OVER (PARTITION BY source_id, kind) AS n FROM pr WHERE CASE WHEN test = 'refines' THEN inside AND smaller ELSE (inside AND smaller) OR eq END)
-SELECT source_id, target_id, kind, position, 'coverage_' || substr(sha256(source_id || ':' || target_id || ':' || kind), 1, 16) AS id FROM ok WHERE n = 1 OR dt = 'vendor_proposal'"""))
-def coverage_rules(spark, sf_dir):
-    none = spark.createDataFrame([], "source_id string, target_id string, kind string")
-    return R.coverage(_typed(spark, sf_dir), none).select("source_id", "target_id", "kind", "position", "id")
-
-
 @query(sql(SRC, PROF, body=""", s AS (SELECT doc_id, source_id, 'D' || ((doc_id + 3) % 150) AS t, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 3 AS VARCHAR) END AS rv FROM prof WHERE doc_id % 4 = 1 OR doc_id % 2 = 0)
 , j AS (SELECT s.source_id, p.source_id AS target_id, t, row_number() OVER (PARTITION BY s.source_id ORDER BY p.doc_id) AS n FROM s JOIN prof p ON p.document_id = t AND (rv IS NULL OR p.revision = rv) AND p.source_id <> s.source_id)
 SELECT 'position_' || substr(sha256(source_id || ':' || target_id || ':' || t || ':dominates'), 1, 16) AS id, source_id, target_id FROM j WHERE n = 1"""))
@@ -559,17 +611,65 @@ def front_matter_positions(spark, sf_dir):
     return R.front_matter_positions(s, p.withColumn("ordinal", k)).select("id", "source_id", "target_id")
 
 
-_RT = {k: v.split() for k, v in R.TERMS.items()}
-_RSCORE = " ".join(f"WHEN '{k}' THEN " + " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in ts) for k, ts in _RT.items())
+_RELATION_TERMS = {
+    "operational_position": "現行 承認 未承認 却下 失効 適用", "supersedes": "現行 旧版 適用期間 置き換 終了 第2版 第1版", "conflicts_with": "現行 正式 優先 反映していない 旧案内 食い違 矛盾", "order_of_precedence": "現行 正式 優先 反映していない 旧案内 食い違 矛盾", "approves": "承認 決定 採用 施行 対象",
+    "evaluates": "分析 比較 評価 提案 初期案 優位", "implements_decision": "決定 計画 採用 不採用 実施方式 実施対象 採否", "records_execution_of": "決定 承認 実施 実行 適用 完了 記録", "amends": "改訂 修正 変更 条 節", "proposes_change_to": "提案 未署名 署名 変更 義務 適用", "exception_to": "例外 逸脱 免除 限定",
+}
+_RSCORE = " ".join(f"WHEN '{k}' THEN " + " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in ts.split()) for k, ts in _RELATION_TERMS.items())
+_RREST = " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in "適用 由来 参照 関係".split())
 
 
-@query(sql(SRC, REL, LINES, body=f""", en AS (SELECT id, kind, source_id FROM rel UNION ALL SELECT id, kind, target_id FROM rel)
-, sc AS (SELECT id, en.source_id, evidence_id, line_no, 20 * (CASE kind {_RSCORE} ELSE 0 END) + 3 * CAST(regexp_matches(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS INTEGER) AS score FROM en JOIN lines USING (source_id))
+@query(sql(SRC, REL, LINES, body=f""", en AS (SELECT id, kind, source_id, sc AS clause FROM rel UNION ALL SELECT id, kind, target_id, tc FROM rel)
+, sc AS (SELECT id, en.source_id, evidence_id, line_no, 20 * (CASE kind {_RSCORE} ELSE {_RREST} END) + CASE WHEN kind = 'order_of_precedence' AND contains(lower(line), clause) THEN 100 ELSE 0 END AS score FROM en JOIN lines USING (source_id) WHERE NOT starts_with(ltrim(line), '---') AND NOT starts_with(ltrim(line), '#'))
 SELECT id, source_id, evidence_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, source_id ORDER BY score DESC, line_no) AS r FROM sc) WHERE r <= 3"""))
 def relation_evidence_top3(spark, sf_dir):
     return R.relation_evidence(V.relations(spark, sf_dir), PA.evidence_lines(V.sources(spark, sf_dir)))
 
 
+_END_UNITS = [
+    ("a", "a1", 1, "---\nx: 承認", [], None), ("a", "a2", 2, "承認された現行の規則", ["適用"], "2024-01-01"), ("a", "a3", 3, "却下", ["判断に用いる基準"], None), ("a", "a4", 4, "この節では承認", [], None), ("a", "a5", 5, "無関係", [], None), ("a", "a6", 6, "# 承認", [], None),
+    ("b", "b1", 1, "条項 c-9 を優先", [], None), ("b", "b2", 2, "食い違いと矛盾", ["正式"], None), ("b", "b3", 3, "架空の評価用社内文書の優先", [], None), ("b", "b4", 4, "静かな文", [], None), ("b", "b5", 5, "C-9 の注", [], None),
+]
+
+
+@query(FX.values([
+    ("p", "a", "a3", 120, 1), ("p", "a", "a2", 63, 2), ("p", "a", "a5", 0, 3), ("p", "b", "b4", 0, 1), ("p", "b", "b1", 0, 2), ("p", "b", "b2", 0, 3), ("q", "a", "a3", 100, 1), ("q", "a", "a2", 23, 2), ("q", "a", "a5", 0, 3), ("q", "b", "b1", 120, 1), ("q", "b", "b5", 100, 2), ("q", "b", "b2", 60, 3),
+], "id, source_id, evidence_id, score, rank"))
+def relation_score_cases(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    r = spark.createDataFrame([("p", "operational_position", "dominates", "a", "b"), ("q", "order_of_precedence", "dominates", "a", "b")], "id string, kind string, position string, source_id string, target_id string").withColumns({"source_clauses": none, "target_clauses": F.array(F.lit(" c-9 "), F.lit(""))})
+    u = spark.createDataFrame(_END_UNITS, "source_id string, evidence_id string, line_start int, text string, heading_path array<string>, valid_from string").withColumn("valid_to", F.lit(None).cast("string"))
+    return R.relation_evidence(r, u, grounded=spark.createDataFrame([("p", "b", "b4")], "id string, source_id string, evidence_id string"))
+
+
+@query(FX.values([e[1:] for e in FX.EDGES], "kind, position, source_id, target_id, source_clauses, target_clauses, evidence"))
+def family_coverage(spark, sf_dir):
+    f = FX.family(spark)
+    r = CV.family_coverage(f["relations"], f["docs"], f["claims"], f["units"], CV.coverage_pairs(f["graph"], f["relations"]))
+    join = lambda c: F.array_join(c, ",")
+    return r.select("kind", "position", "source_id", "target_id", join("source_clauses").alias("source_clauses"), join("target_clauses").alias("target_clauses"), join(F.col("evidence.evidence_id")).alias("evidence"))
+
+
+@query(sql(SRC, REL, PROF, body=""", am AS (SELECT r.source_id, r.target_id, sc, tc FROM rel r JOIN prof p ON p.source_id = r.source_id AND p.approved AND p.doc_id % 2 = 0 JOIN prof q ON q.source_id = r.target_id AND q.approved)
+SELECT id FROM rel UNION ALL SELECT r.id || 'c' FROM rel r WHERE doc_id % 3 = 0 AND NOT EXISTS (FROM am WHERE am.source_id = r.source_id AND am.target_id = r.target_id) UNION ALL SELECT id || 'd' FROM rel WHERE doc_id % 3 = 1"""))
+def absorb_conflicts(spark, sf_dir):
+    r = V.relations(spark, sf_dir)
+    docs = V.profiles(spark, sf_dir).select("source_id", "approved", F.when(F.col("doc_id") % 2 == 0, "specification_amendment").alias("document_type"))
+    con = r.filter("doc_id % 3 = 0").withColumns({"id": F.concat("id", F.lit("c")), "kind": F.lit("conflicts_with")})
+    back = r.filter("doc_id % 3 = 1").withColumns({"id": F.concat("id", F.lit("d")), "kind": F.lit("conflicts_with"), "source_id": F.col("target_id"), "target_id": F.col("source_id")})
+    return CV.drop_absorbed_conflicts(r.withColumn("kind", F.lit("amends")).unionByName(con).unionByName(back), docs).select("id")
+
+
+@query(sql(SRC, REL, body=""", p AS (SELECT source_id AS s, target_id AS t, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM rel UNION SELECT target_id, source_id, least(source_id, target_id), greatest(source_id, target_id) FROM rel
+  UNION SELECT x.source_id, y.source_id, least(x.source_id, y.source_id), greatest(x.source_id, y.source_id) FROM src x JOIN src y ON x.doc_id // 60 = y.doc_id // 60 AND x.doc_id <> y.doc_id)
+, n AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN EXISTS (FROM src x JOIN src y ON x.source_id = s AND y.source_id = t AND x.doc_id // 60 = y.doc_id // 60) THEN 0 ELSE 1 END, a, b) AS n FROM p)
+SELECT s AS source_id, t AS target_id FROM n WHERE n <= 44"""))
+def coverage_cap(spark, sf_dir):
+    s = V.sources(spark, sf_dir).select("source_id", "doc_id", F.floor(F.col("doc_id") / 60).alias("g"))
+    graph = s.join(s.select(F.col("source_id").alias("b"), "g"), "g").filter("source_id < b").select(F.col("source_id").alias("a"), "b")
+    return CV.coverage_pairs(graph, V.relations(spark, sf_dir))
+
+
 @query(sql(SRC, REL, body=""", r AS (SELECT *, CASE WHEN kind IN ('approves', 'records_execution_of', 'evaluates') THEN ['verifier', 'governing'] WHEN kind = 'implements_decision' THEN ['governing', 'verifier'] WHEN position = 'dominates' THEN ['governing', 'excluded']
   WHEN position = 'conditional' THEN ['governing', 'governing'] WHEN position = 'non_effective' THEN ['excluded', 'governing'] ELSE ['contender', 'contender'] END AS rr FROM (SELECT * FROM rel UNION ALL SELECT * REPLACE (id || 'b' AS id) FROM rel WHERE doc_id % 3 = 0))
 , m AS (SELECT id, source_id AS s, rr[1] AS role FROM r UNION ALL SELECT id, target_id, rr[2] FROM r UNION ALL SELECT id, 'other', 'verifier' FROM r WHERE doc_id % 2 = 0)
@@ -586,7 +686,7 @@ def decision_packets(spark, sf_dir):
 @query(sql(CLAIM, body=""", pr AS (SELECT DISTINCT 'src_' || (o_orderkey % 500) AS a, 'src_' || ((o_orderkey + 1) % 500) AS b FROM orders)
 , c AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE 16 END AS len FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM claim) WHERE n <= 64)
 , j AS (SELECT pr.a, pr.b, least(x.len, y.len) AS l, x.id AS xi, y.id AS yi FROM pr JOIN c x ON x.source_id = pr.a JOIN c y ON y.source_id = pr.b AND x.o_custkey = y.o_custkey AND x.object <> y.object)
-SELECT a AS source_id, b AS target_id, xi AS source_claim, yi AS target_claim FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY l, xi, yi) AS r FROM j) WHERE r = 1"""))
+SELECT a AS source_id, b AS target_id, xi AS source_claim, yi AS target_claim, CAST(l AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY l DESC, xi, yi) AS r FROM j) WHERE r = 1"""))
 def claim_pair_join(spark, sf_dir):
     k = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     name = lambda c: F.concat(F.lit("src_"), (c % 500).cast("string"))
@@ -611,42 +711,11 @@ def refine_stale_guidance(spark, sf_dir):
     return R.refine_stale_guidance(r, V.profiles(spark, sf_dir), r.filter("doc_id % 2 = 0").select("source_id", "target_id")).select("id", "kind")
 
 
-@query(sql(SRC, PROF, REL, body="""SELECT r.source_id, r.target_id, 'applies_to' AS kind, 'conditional' AS position FROM rel r JOIN prof s ON s.source_id = r.source_id AND s.approved JOIN prof t ON t.source_id = r.target_id AND t.approved WHERE s.authority_rank < t.authority_rank
-  AND (len(t.products) = 0 OR (len(s.products) > 0 AND list_has_all(t.products, s.products))) AND (len(t.sites) = 0 OR (len(s.sites) > 0 AND list_has_all(t.sites, s.sites))) AND ((len(t.products) = 0 AND len(s.products) > 0) OR (len(t.sites) = 0 AND len(s.sites) > 0))"""))
-def precedence_coverage(spark, sf_dir):
-    r = V.relations(spark, sf_dir).withColumn("kind", F.lit("order_of_precedence"))
-    return R.precedence_coverage(r, V.profiles(spark, sf_dir).withColumn("role", F.lit("instruction")))
-
-
-@query(sql(SRC, REL, body=""", i AS (SELECT source_id, target_id FROM rel UNION ALL SELECT source_id, target_id FROM rel WHERE doc_id % 2 = 0 UNION ALL SELECT source_id, 'norm' FROM rel), n AS (SELECT source_id, target_id, count(*) AS n FROM i WHERE source_id IN (SELECT source_id FROM rel WHERE doc_id % 3 = 0) GROUP BY ALL)
-SELECT source_id, min(target_id) AS target_id FROM (SELECT *, max(n) OVER (PARTITION BY source_id) AS m FROM n) WHERE n = m GROUP BY source_id HAVING count(*) = 1"""))
-def stale_faq(spark, sf_dir):
-    r = V.relations(spark, sf_dir)
-    i = r.select("source_id", "target_id").unionByName(r.filter("doc_id % 2 = 0").select("source_id", "target_id")).unionByName(r.select("source_id", F.lit("norm").alias("target_id")))
-    return R.stale_faq(r.filter("doc_id % 3 = 0").select("source_id"), i)
-
-
 @query(sql(SRC, REL, body=_SLOT_DOCS + """SELECT r.id FROM rel r JOIN sd s ON s.source_id = r.source_id JOIN sd t ON t.source_id = r.target_id WHERE s.scenario <> t.scenario OR (s.dt, r.kind, t.dt) IN (('specification_amendment', 'amends', 'technical_specification'), ('test_record', 'records_execution_of', 'specification_amendment'), ('technical_draft', 'proposes_change_to', 'technical_specification'))"""))
 def slot_shape_filter(spark, sf_dir):
     return R.slot_shape_filter(V.relations(spark, sf_dir), _slot_docs(spark, sf_dir)).select("id")
 
 
-@query(sql(SRC, REL, body=""", m AS (SELECT doc_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM rel WHERE doc_id % 2 = 0) SELECT id FROM (SELECT id, doc_id FROM rel UNION ALL SELECT id || 'c', doc_id FROM rel WHERE doc_id % 3 = 0) WHERE NOT (id LIKE '%c' AND doc_id % 2 = 0)"""))
-def absorb_conflicts(spark, sf_dir):
-    r = V.relations(spark, sf_dir)
-    am = r.withColumn("kind", F.lit("amends"))
-    con = r.filter("doc_id % 3 = 0").withColumns({"id": F.concat("id", F.lit("c")), "kind": F.lit("conflicts_with"), "source_id": F.col("target_id"), "target_id": F.col("source_id")})
-    return R.absorb_conflicts(am.unionByName(con), r.filter("doc_id % 2 = 0").select("source_id")).select("id")
-
-
-_PLANS = [("m1", "u1", "decision_minutes", "「新しい受付期限」を承認"), ("m1", "u2", "decision_minutes", "長い説明。「新しい受付期限」を承認する"), ("p1", "u3", "implementation_plan", "「新しい受付期限」の計画"), ("p2", "u4", "implementation_plan", "「別の計画です」"), ("m2", "u5", "decision_minutes", "句なし")]
-
-
-@query("SELECT 'm1' AS minutes_id, 'p1' AS plan_id, 'u1' AS minutes_unit, 'u3' AS plan_unit")
-def decision_plan_join(spark, sf_dir):
-    return R.decision_plan(spark.createDataFrame(_PLANS, "source_id string, evidence_id string, document_type string, text string"))
-
-
 @query(sql(SRC, LINES, body=""", r AS (SELECT source_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_.-]+')) AS w FROM lines), u AS (SELECT 'src' || (doc_id % 40) || CASE WHEN doc_id < 40 THEN '' ELSE 'x' || doc_id END AS d, source_id AS t FROM src)
 SELECT DISTINCT r.source_id, t AS target_id FROM (SELECT source_id, w FROM r UNION ALL SELECT source_id, 'src' || (doc_id % 7) FROM src) r JOIN u ON u.d = r.w AND u.t <> r.source_id"""))
 def body_references(spark, sf_dir):
@@ -659,11 +728,11 @@ def body_references(spark, sf_dir):
 # --- export and metrics -------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT 'clm_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 32) AS id, o_custkey, o_orderkey, o_orderstatus AS object FROM orders WHERE o_custkey % 20 = 0)
+@query("""WITH c AS (SELECT 'clm_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 32) AS id, o_custkey, o_orderkey, o_orderstatus AS object FROM orders)
 , p AS (SELECT a.id AS l, b.id AS r, 'cfl_' || substr(sha256(a.id || ':' || b.id), 1, 24) AS cid FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.id < b.id AND a.object <> b.object), x AS (SELECT l AS id, cid FROM p UNION ALL SELECT r, cid FROM p)
 SELECT 'unit:ev_' || o_orderkey AS id, 'src_' || (o_orderkey % 500) AS source_id, c.id AS claim_ids, coalesce(string_agg(cid, ',' ORDER BY cid), '') AS conflict_ids FROM c LEFT JOIN x USING (id) GROUP BY o_orderkey, c.id""")
 def export_units(spark, sf_dir):
-    c = V.claims(spark, sf_dir).filter(F.regexp_extract("subject", "(\\d+)$", 1).cast("int") % 20 == 0)
+    c = V.claims(spark, sf_dir)
     e = c.select(F.explode("evidence").alias("r"), "object").select("r.source_id", "r.evidence_id", F.col("object").alias("text"))
     out = EX.export_units(e, c, CL.resolve_conflicts(CL.conflict_pairs(c), AS_OF, _PRECEDENCE))
     return out.select("id", "source_id", F.array_join("claim_ids", ",").alias("claim_ids"), F.array_join("conflict_ids", ",").alias("conflict_ids"))

@@ -50,7 +50,7 @@ def test_text(spark):
     assert one(lambda c: X.front_matter_value(c, "status"), "---\nstatus: NULL\n---\n") is None
     assert one(lambda c: X.front_matter_value(c, "status"), "no front\nstatus: x\n") is None
     assert one(X.file_format, "a/b.TXT") == "txt" and one(X.file_format, "a/b") == "unknown" and one(X.file_format, ".hidden") == "unknown"
-    assert one(X.duration_constraint, "10営業日以内") == "10:営業日:以内" and one(X.duration_constraint, "早め") is None
+    assert one(X.duration_constraint, "10営業日以内") == "10:営業日:maximum" and one(X.duration_constraint, "早め") is None
     assert one(X.shingles, "ab") == [] and one(X.shingles, "abcd-efghi") == ["abcdefgh", "bcdefghi"]
     assert X.glob_regex("a/**/b?.md") == r"^a/(?:.*/)?b.\.md$"
 

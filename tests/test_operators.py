@@ -98,7 +98,7 @@ def test_resolvers_with_relations(spark):
 
 
 def test_suffix_subjects_conflict(spark):
-    rows = [("1", "refund window", "retention", "5日"), ("2", "the refund window", "retention", "7日"), ("3", "dow", "retention", "9日"), ("4", "refund window", "retention", "５日")]
+    rows = [("1", "refund window", "retention_period", "5日"), ("2", "the refund window", "retention_period", "7日"), ("3", "dow", "retention_period", "9日"), ("4", "refund window", "retention_period", "５日")]
     c = spark.createDataFrame(rows, "id string, subject string, predicate string, object string").withColumns({**{x: F.lit(None).cast("string") for x in ("condition", "valid_from", "valid_to", "authority", "status")}, "evidence": F.array(F.struct(F.col("id").alias("source_id"), F.lit("e").alias("evidence_id")))})
     got = {(r.l_id, r.r_id) for r in CL.conflict_pairs(c).collect()}
     assert ("1", "2") in got and ("2", "4") in got and not any("3" in p for p in got)
