@@ -96,9 +96,11 @@ def fold_edges(decisions: dict[str, dict], edges: list[dict], requested: set[str
     """Apply relations in order: later edges see what earlier ones wrote, so this is a fold and not a join.
 
     decisions: source_id to {disposition, reasons, path, role, approved, official, known}; edges carry active (scope and
-    time hold), clause (the clause filter holds) and the relation's fields."""
-    amending = {e["source_id"] for e in edges if e["kind"] == "amends" and e["active"] and e["clause"]}
-    amended = {e["target_id"] for e in edges if e["kind"] == "amends" and e["active"] and e["clause"]}
+    time hold), clause (the clause filter holds) and the relation's fields. Edges with an end outside of ``decisions`` only
+    tell that their source amends something: while the clauses asked for are others, that of any active amendment counts;
+    in the last pass only that of amendments of these clauses."""
+    amends = [e for e in edges if e["kind"] == "amends" and e["active"]]
+    amending, amending_here = {e["source_id"] for e in amends}, {e["source_id"] for e in amends if e["clause"]}
 
     def mark(node: dict, disposition: str | None, reason: str | None, edge: str | None) -> None:
         if disposition:
@@ -147,42 +149,55 @@ def fold_edges(decisions: dict[str, dict], edges: list[dict], requested: set[str
         }.get(kind)
         if kind == "derived_from" and s["official"] is False and t["official"] is True:
             mark(s, "excluded", "non_official_copy", edge)
-            mark(t, None if t["disposition"] in RECORD_BLOCK else "canonical", "official_record", edge)
+            blocked = t["disposition"] in RECORD_BLOCK
+            mark(t, None if blocked else "canonical", None if blocked else "official_record", edge)
         elif rule:
             mark(s, rule[0], rule[2], edge)
-            mark(t, rule[1], rule[3], edge)
+            if kind not in ("records_execution_of", "applies_to"):  # these say nothing of their target
+                mark(t, rule[1], rule[3], edge)
         elif kind in _SILENT or kind == "derived_from":
             mark(s, None, None, edge)
             mark(t, None, None, edge)
-    for source in amended & amending:  # an amendment that is itself amended steps back, whatever the order of edges
-        if source in decisions and decisions[source]["disposition"] == "canonical":
-            decisions[source]["disposition"] = "reference"
+    for e in amends:  # an amendment that is itself amended steps back, whatever the order of edges
+        if e["clause"] and e["source_id"] in decisions and e["target_id"] in decisions and e["target_id"] in amending_here:
+            mark(decisions[e["target_id"]], "reference", "clause_amendment", e["id"])
 
 
-def official_record_pass(s2: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Among a case's execution records that are official, the best by authority stands; known copies are excluded."""
+def official_record_pass(s2: DataFrame, candidates: DataFrame, contexts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Where records are asked for and a case has official execution records beside known copies, the official one of the
+    highest authority, then relevance, then the later, is canonical, and the copies are excluded."""
     prof = profiles.select("source_id", "official_record", F.coalesce("authority_rank", F.lit(0)).alias("rank"))
-    df = s2.join(prof, "source_id", "left")
-    is_record = F.col("disposition") == "execution_record"
-    any_official = F.max(is_record & F.coalesce("official_record", F.lit(False))).over(Window.partitionBy("case_id"))
-    copy = is_record & F.coalesce(~F.col("official_record"), F.lit(False)) & any_official
-    out = df.withColumn("copy", copy)
-    return out.withColumn("disposition", F.when(F.col("copy"), "excluded").otherwise(F.col("disposition"))).withColumn("reasons", F.when(F.col("copy"), F.concat("reasons", _reasons("non_official_copy"))).otherwise(F.col("reasons"))).select(*s2.columns)
+    wants = contexts.select("case_id", F.coalesce(F.array_contains("requested_roles", F.lit("record")), F.lit(False)).alias("wants"))
+    df = s2.join(prof, "source_id", "left").join(wants, "case_id", "left").join(candidates.select("case_id", "ordinal", "relevance"), ["case_id", "ordinal"], "left")
+    is_record = (F.col("disposition") == "execution_record") & F.coalesce("wants", F.lit(False))
+    df = df.withColumns({"official": is_record & F.coalesce("official_record", F.lit(False)), "copy": is_record & F.coalesce(~F.col("official_record"), F.lit(False))})
+    case = Window.partitionBy("case_id")
+    both = F.max("official").over(case) & F.max("copy").over(case)
+    best = F.row_number().over(case.orderBy(F.desc("official"), F.desc("rank"), F.desc("relevance"), F.desc("ordinal"))) == 1
+    df = df.withColumns({"wins": both & F.col("official") & best, "copy": both & F.col("copy")})
+    reason = F.when(F.col("wins"), _reasons("official_record")).when(F.col("copy"), _reasons("non_official_copy")).otherwise(_reasons())
+    out = df.withColumn("disposition", F.when(F.col("wins"), "canonical").when(F.col("copy"), "excluded").otherwise(F.col("disposition")))
+    return out.withColumn("reasons", F.array_union("reasons", reason)).select(*s2.columns)
 
 
 def resolve_s3(candidates: DataFrame, contexts: DataFrame, profiles: DataFrame, relations: DataFrame) -> DataFrame:
-    """S2, the official-record pass, then the fold over relations whose two ends are candidates of the case.
-
-    Relations meet candidates in two equi-joins; a group of the fold is one case with its edges, at most a few rows."""
-    base = official_record_pass(resolve_s2(candidates, contexts, profiles), profiles)
+    """S2, the official-record pass, then the fold over the relations of the case's candidates in the order of
+    ``relations.ordinal``, without such a column in order of id.
+
+    Relations meet candidates in equi-joins; a group of the fold is one case with its edges, at most a few rows. An
+    amendment whose target is no candidate is kept for what it says of its source."""
+    base = official_record_pass(resolve_s2(candidates, contexts, profiles), candidates, contexts, profiles)
+    if "ordinal" not in relations.columns:
+        relations = relations.withColumn("ordinal", F.lit(0))
     prof = profiles.select("source_id", "role", F.coalesce("approved", F.lit(False)).alias("approved"), "official_record", F.lit(True).alias("known"))
     nodes = base.join(prof, "source_id", "left")
     ends = candidates.select("case_id", "source_id").distinct()
     ctx = contexts.select("case_id", "as_of", "requested_clauses", "requested_roles", F.col("scope").alias("wanted"))
-    edges = relations.join(ends.withColumnRenamed("source_id", "s"), F.col("source_id") == F.col("s")).join(ends.select(F.col("case_id").alias("c2"), F.col("source_id").alias("t")), (F.col("target_id") == F.col("t")) & (F.col("case_id") == F.col("c2"))).join(ctx, "case_id")
+    edges = relations.join(ends.withColumnRenamed("source_id", "s"), F.col("source_id") == F.col("s")).join(ends.select(F.col("case_id").alias("c2"), F.col("source_id").alias("t")), (F.col("target_id") == F.col("t")) & (F.col("case_id") == F.col("c2")), "left")
+    edges = edges.filter("t IS NOT NULL OR kind = 'amends'").join(ctx, "case_id")
     edges = edges.withColumn("active", (S.scope_match(F.col("scope"), F.col("wanted")) == "match") & T.effective(F.col("valid_from"), F.col("valid_to"), F.col("as_of")))
     edges = edges.withColumn("clause", S.clause_requested(F.col("requested_clauses"), F.col("kind"), F.col("source_clauses"), F.col("target_clauses")))
-    edges = edges.select("case_id", F.struct("id", "kind", F.coalesce("position", F.lit("unresolved")).alias("position"), "source_id", "target_id", "active", "clause").alias("e")).groupBy("case_id").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    edges = edges.select("case_id", F.struct("ordinal", "id", "kind", F.coalesce("position", F.lit("unresolved")).alias("position"), "source_id", "target_id", "active", "clause").alias("e")).groupBy("case_id").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     kind = "case_id string, ordinal long, source_id string, disposition string, reasons array<string>, relation_path array<string>, missing_inputs array<string>"
     grouped = nodes.join(edges, "case_id", "left").join(ctx.select("case_id", "requested_roles"), "case_id", "left")
 

@@ -493,6 +493,17 @@ def resolve_s3(spark, sf_dir):
     return d.select("case_id", "source_id", "disposition", F.array_join("reasons", ",").alias("reasons"), F.array_join("relation_path", ",").alias("relation_path"))
 
 
+@query(FX.values(FX.OUTCOMES, "case_id, candidate, disposition, reasons, relation_path"))
+def resolve_s3_cases(spark, sf_dir):
+    c = FX.resolver_cases(spark)
+    d = RE.resolve_s3(c["candidates"], c["contexts"], c["profiles"], c["relations"])
+    before = RE.resolve_s2(c["candidates"], c["contexts"], c["profiles"]).select("case_id", "ordinal", F.col("reasons").alias("first"))
+    last = lambda x: F.element_at(F.split(x, "/"), -1)
+    return d.join(before, ["case_id", "ordinal"]).select(
+        "case_id", last("source_id").alias("candidate"), "disposition", F.array_join(F.array_except("reasons", "first"), ",").alias("reasons"), F.array_join(F.transform("relation_path", last), ",").alias("relation_path"),
+    )
+
+
 # --- rerank -------------------------------------------------------------------------------------------------------
 
 _ROLE_SQL = """, role AS (SELECT DISTINCT vec_id, CASE WHEN p.doc_id IS NULL THEN NULL WHEN NOT approved THEN 'excluded' WHEN role IN ('normative', 'instruction') THEN 'governing' WHEN role IN ('record', 'analysis') THEN 'verifier' WHEN role = 'proposal' THEN 'contender' END AS role

@@ -43,6 +43,66 @@ RELATIONS = [
     ("r6", "operational_position", "non_effective", "log_position", "deviation", ["結果"], ["措置"], ["log_position/1"]), ("r7", "conflicts_with", "unresolved", "faq", "rule_other", [], [], ["faq/1"]),
 ]
 
+#: Cases of the relation resolver. Candidates by name in order of relevance 0.9, 0.8, ...: role, approved, official record,
+#: authority rank; relations in order: kind, position, source, target, clauses of the source, end of validity
+CASES = {
+    "amends": ("normative", ["c1"], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("amends", "dominates", "a", "b", ["c1"], None)]),
+    "amends_other_clause": ("normative", ["c9"], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("amends", "dominates", "a", "b", ["c1"], None)]),
+    "amends_chain_other_clause": ("normative", ["c9"], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2), ("c", "normative", True, None, 1)], [("amends", "dominates", "a", "b", ["c1"], None), ("amends", "dominates", "b", "c", ["c2"], None)]),
+    "amends_chain": ("normative", [], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2), ("c", "normative", True, None, 1)], [("amends", "dominates", "b", "c", [], None), ("amends", "dominates", "a", "b", [], None)]),
+    "target_amends_outside": ("normative", ["c9"], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("amends", "dominates", "a", "b", ["c1"], None), ("amends", "dominates", "b", "elsewhere", ["c2"], None)]),
+    "order_decides": ("normative", [], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("order_of_precedence", "dominates", "b", "a", [], None), ("order_of_precedence", "dominates", "a", "b", [], None)]),
+    "supersedes": ("normative", [], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("supersedes", "dominates", "a", "b", [], None)]),
+    "superseded_source_is_mute": ("normative", [], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2), ("c", "normative", True, None, 1)], [("supersedes", "dominates", "a", "b", [], None), ("order_of_precedence", "dominates", "b", "c", [], None)]),
+    "expired_exception": ("instruction", [], [("a", "instruction", True, None, 1), ("b", "instruction", True, None, 2)], [("exception_to", "conditional", "a", "b", [], "2023-01-01")]),
+    "exception": ("instruction", [], [("a", "instruction", True, None, 1), ("b", "instruction", True, None, 2)], [("exception_to", "conditional", "a", "b", [], None)]),
+    "unapproved_source": ("normative", [], [("a", "normative", False, None, 1), ("b", "normative", True, None, 2)], [("supersedes", "dominates", "a", "b", [], None)]),
+    "unapproved_proposal": ("normative", [], [("a", "proposal", False, None, 1), ("b", "normative", True, None, 2)], [("proposes_change_to", "non_effective", "a", "b", [], None)]),
+    "position_unresolved": ("normative", [], [("a", "normative", True, None, 1), ("b", "normative", True, None, 2)], [("operational_position", "unresolved", "a", "b", [], None)]),
+    "applies_to_other_role": ("normative", [], [("a", "instruction", True, None, 1), ("b", "normative", True, None, 2)], [("applies_to", "conditional", "a", "b", [], None)]),
+    "official_record": ("record", [], [("a", "record", True, True, 1), ("b", "record", True, True, 3), ("c", "record", True, False, 9)], []),
+    "official_record_tie": ("record", [], [("a", "record", True, True, 3), ("b", "record", True, True, 3), ("c", "record", True, False, 9)], []),
+    "official_record_not_asked": ("normative", [], [("a", "record", True, True, 1), ("c", "record", True, False, 9)], []),
+    "official_record_without_copy": ("record", [], [("a", "record", True, True, 1), ("b", "record", True, None, 3)], []),
+    "copy_of_official": ("normative", [], [("a", "normative", True, False, 1), ("b", "normative", True, True, 2)], [("derived_from", "non_effective", "a", "b", [], None)]),
+    "copy_of_historical": ("normative", [], [("a", "normative", True, False, 1), ("b", "normative", True, True, 2), ("c", "normative", True, None, 1)], [("supersedes", "dominates", "c", "b", [], None), ("derived_from", "non_effective", "a", "b", [], None)]),
+    "records_execution": ("instruction", [], [("a", "record", True, None, 1), ("b", "instruction", True, None, 2)], [("records_execution_of", "non_effective", "a", "b", [], None)]),
+}
+#: case, candidate, disposition, reasons behind those of the filters, relation path
+OUTCOMES = [
+    ("amends", "a", "canonical", "clause_amendment", "1"), ("amends", "b", "canonical", "clause_amendment", "1"), ("amends_other_clause", "a", "reference", "clause_amendment", ""), ("amends_other_clause", "b", "canonical", "", ""),
+    ("amends_chain_other_clause", "a", "reference", "clause_amendment", ""), ("amends_chain_other_clause", "b", "reference", "clause_amendment", ""), ("amends_chain_other_clause", "c", "canonical", "", ""),
+    ("amends_chain", "a", "canonical", "clause_amendment", "2"), ("amends_chain", "b", "reference", "clause_amendment", "1,2"), ("amends_chain", "c", "canonical", "clause_amendment", "1"),
+    ("target_amends_outside", "a", "reference", "clause_amendment", ""), ("target_amends_outside", "b", "reference", "", ""), ("order_decides", "a", "canonical", "contract_precedence", "1,2"), ("order_decides", "b", "reference", "contract_precedence", "1,2"),
+    ("supersedes", "a", "canonical", "superseded", "1"), ("supersedes", "b", "historical", "superseded", "1"), ("superseded_source_is_mute", "a", "canonical", "superseded", "1"), ("superseded_source_is_mute", "b", "historical", "superseded", "1"), ("superseded_source_is_mute", "c", "reference", "", ""),
+    ("expired_exception", "a", "reference", "exception_scope_mismatch", ""), ("expired_exception", "b", "canonical", "", ""), ("exception", "a", "instance_exception", "applicable_exception", "1"), ("exception", "b", "canonical", "applicable_exception", "1"),
+    ("unapproved_source", "a", "excluded", "relation_invalid", ""), ("unapproved_source", "b", "canonical", "", ""), ("unapproved_proposal", "a", "excluded", "", "1"), ("unapproved_proposal", "b", "canonical", "", "1"),
+    ("position_unresolved", "a", "unresolved", "position_unresolved", "1"), ("position_unresolved", "b", "unresolved", "position_unresolved", "1"), ("applies_to_other_role", "a", "reference", "", "1"), ("applies_to_other_role", "b", "canonical", "", ""),
+    ("official_record", "a", "execution_record", "", ""), ("official_record", "b", "canonical", "official_record", ""), ("official_record", "c", "excluded", "non_official_copy", ""), ("official_record_tie", "a", "canonical", "official_record", ""), ("official_record_tie", "b", "execution_record", "", ""),
+    ("official_record_tie", "c", "excluded", "non_official_copy", ""), ("official_record_not_asked", "a", "execution_record", "", ""), ("official_record_not_asked", "c", "execution_record", "", ""), ("official_record_without_copy", "a", "execution_record", "", ""), ("official_record_without_copy", "b", "execution_record", "", ""),
+    ("copy_of_official", "a", "excluded", "non_official_copy", "1"), ("copy_of_official", "b", "canonical", "official_record", "1"), ("copy_of_historical", "a", "excluded", "non_official_copy", "2"), ("copy_of_historical", "b", "historical", "superseded", "1,2"), ("copy_of_historical", "c", "canonical", "superseded", "1"),
+    ("records_execution", "a", "execution_record", "execution_evidence", "1"), ("records_execution", "b", "canonical", "", ""),
+]
+
+
+def resolver_cases(spark: SparkSession) -> dict[str, DataFrame]:
+    cand, prof, rel, ctx = [], [], [], []
+    for name, (role, clauses, nodes, edges) in CASES.items():
+        ctx.append((name, "i", "2024-03-01", [role], clauses))
+        for n, (c, r, approved, official, rank) in enumerate(nodes):
+            cand.append((name, n + 1, f"{name}/{c}", 0.9 - 0.1 * n))
+            prof.append((f"{name}/{c}", r, "mandatory", rank, approved, official))
+        for n, (kind, position, s, t, own, until) in enumerate(edges):
+            rel.append((f"{name}/{n + 1}", kind, position, f"{name}/{s}", f"{name}/{t}", own, [], until, n))
+    none = F.lit(None).cast("string")
+    return {
+        "candidates": spark.createDataFrame(cand, "case_id string, ordinal long, source_id string, relevance double"),
+        "contexts": spark.createDataFrame(ctx, "case_id string, intent_id string, as_of string, requested_roles array<string>, requested_clauses array<string>").withColumn("scope", S.scope_of()),
+        "profiles": spark.createDataFrame(prof, "source_id string, role string, level string, authority_rank int, approved boolean, official_record boolean").withColumns({"scope": S.scope_of(), "valid_from": none, "valid_to": none}),
+        "relations": spark.createDataFrame(rel, "id string, kind string, position string, source_id string, target_id string, source_clauses array<string>, target_clauses array<string>, valid_to string, ordinal int").withColumns({"scope": S.scope_of(), "valid_from": none}),
+    }
+
+
 _REF = "array<struct<source_id:string,evidence_id:string>>"
 
 
