@@ -87,7 +87,7 @@ def structured_evidence(claims: DataFrame, evidence: DataFrame, headings: dict[s
     spark = claims.sparkSession
     want = spark.createDataFrame([(p, h.lower()) for p, hs in headings.items() for h in hs], "predicate string, heading string")
     refs = claims.select("id", "predicate", F.explode("evidence.source_id").alias("source_id")).distinct()
-    units = evidence.select("source_id", "evidence_id", X.normalized_key(F.element_at("heading_path", -1)).alias("heading"), "text").filter(~F.ltrim("text").startswith("#"))
+    units = evidence.select("source_id", "evidence_id", X.normalized_key(F.try_element_at(F.col("heading_path"), F.lit(-1))).alias("heading"), "text").filter(~F.ltrim("text").startswith("#"))
     more = refs.join(F.broadcast(want), "predicate").join(units, ["source_id", "heading"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("source_id", "evidence_id"))).alias("more"))
     return claims.join(more, "id", "left").withColumn("evidence", F.array_union("evidence", F.coalesce("more", F.array().cast("array<struct<source_id:string,evidence_id:string>>")))).drop("more")
 
@@ -153,22 +153,43 @@ def resolve_conflicts(pairs: DataFrame, as_of: str, precedence: list[str]) -> Da
     return pairs.withColumn("o", out).select(X.conflict_id(F.col("l_id"), F.col("r_id")).alias("conflict_id"), "l_id", "r_id", "o.kind", "o.status", "o.winner")
 
 
+def source_metadata(claims: DataFrame, evidence: DataFrame, refresh: bool = False) -> DataFrame:
+    """claims with authority, status and dates of their evidence where that holds one value: authority is null otherwise,
+    the others stay as they are, or (``refresh``, when old claims meet new metadata) are null too."""
+    meta = evidence_metadata(claims, evidence).select("id", F.struct("authority", "status", "valid_from", "valid_to").alias("__m"))
+    joined = claims.join(meta, "id", "left")
+    others = {c: F.col(f"__m.{c}") if refresh else F.coalesce(F.col(f"__m.{c}"), F.col(c)) for c in ("status", "valid_from", "valid_to")}
+    return joined.withColumns({"authority": F.col("__m.authority"), **others}).select(*claims.columns)
+
+
 def relation_overrides(conflicts: DataFrame, claims: DataFrame, relations: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
-    """(conflict_id, winner, kind) of unresolved conflicts that relations or roles decide: active amends between the two
-    sides' sources whose clauses name both subjects, active exception_to, an unapproved proposal, a record."""
+    """(conflict_id, winner, kind) of unresolved conflicts that relations or roles decide, the first way that does: an
+    active amends edge between the two sides' sources whose clauses name both subjects; an active exception_to from one
+    side against sources that its target is or governs (they apply it, in a compatible scope, actively); claims of
+    unapproved proposals alone, on both sides without a winner; records, and sources that actively record an execution,
+    on one side only. Of several edges the first by id decides."""
     open_ = conflicts.filter("status = 'unresolved'").select("conflict_id", "l_id", "r_id")
     src = claims.select("id", "subject", F.explode(F.array_distinct(F.col("evidence.source_id"))).alias("source_id"))
     side = lambda s: src.select(F.col("id").alias(f"{s}_id"), F.col("subject").alias(f"{s}_subject"), F.col("source_id").alias(f"{s}_source"))
     both = open_.join(side("l"), "l_id").join(side("r"), "r_id")
-    live = relations.filter(T.relation_active(F.col("valid_from"), F.col("valid_to"), F.lit(as_of)) & F.col("kind").isin("amends", "exception_to")).select("id", "kind", F.col("source_id").alias("s"), F.col("target_id").alias("t"), F.concat("source_clauses", "target_clauses").alias("clauses"))
-    flip = both.select("conflict_id", F.col("l_id").alias("win"), F.col("l_source").alias("s"), F.col("r_source").alias("t"), "l_subject", "r_subject").unionByName(both.select("conflict_id", F.col("r_id").alias("win"), F.col("r_source").alias("s"), F.col("l_source").alias("t"), "l_subject", "r_subject"))
+    active = relations.filter(T.relation_active(F.col("valid_from"), F.col("valid_to"), F.lit(as_of)))
+    edge = ["id", "kind", F.col("source_id").alias("s"), F.col("target_id").alias("t"), F.concat("source_clauses", "target_clauses").alias("clauses")]
+    amends = active.filter("kind = 'amends'").select(*edge)
+    exceptions = active.filter("kind = 'exception_to'")
+    applied = active.filter("kind = 'applies_to'").select(F.col("source_id").alias("by"), F.col("target_id").alias("target_id"), F.col("scope").alias("by_scope"))
+    hop = exceptions.join(applied, "target_id").filter(S.compatible_for_override(F.col("by_scope"), F.col("scope"))).select("id", "kind", F.col("source_id").alias("s"), F.col("by").alias("t"), F.concat("source_clauses", "target_clauses").alias("clauses"))
+    live = amends.unionByName(exceptions.select(*edge)).unionByName(hop)
+    flip = both.select("conflict_id", F.col("l_id").alias("win"), F.col("l_source").alias("s"), F.col("r_source").alias("t"), "l_subject", "r_subject", F.lit(0).alias("right")).unionByName(both.select("conflict_id", F.col("r_id").alias("win"), F.col("r_source").alias("s"), F.col("l_source").alias("t"), "l_subject", "r_subject", F.lit(1).alias("right")))
     named = F.exists("clauses", lambda c: X.subjects_equivalent(c, F.col("l_subject"))) & F.exists("clauses", lambda c: X.subjects_equivalent(c, F.col("r_subject")))
-    by_edge = flip.join(live, ["s", "t"]).filter((F.col("kind") == "exception_to") | named).select("conflict_id", F.when(F.col("kind") == "amends", 1).otherwise(2).alias("turn"), F.col("id").alias("edge"), "win", F.lit("explicit_override").alias("kind"))
+    by_edge = flip.join(live, ["s", "t"]).filter((F.col("kind") == "exception_to") | named).select("conflict_id", F.when(F.col("kind") == "amends", 1).otherwise(2).alias("turn"), F.col("id").alias("edge"), "right", "win", F.lit("explicit_override").alias("kind"))
+    executed = active.filter("kind = 'records_execution_of'").select("source_id", F.lit(True).alias("executes")).distinct()
     role = profiles.select("source_id", ((F.col("role") == "proposal") & ~F.coalesce("approved", F.lit(False))).alias("proposal"), (F.col("role") == "record").alias("record"))
-    flags = src.join(role, "source_id", "left").groupBy("id").agg(F.coalesce(F.min("proposal"), F.lit(False)).alias("proposal"), F.coalesce(F.max("record"), F.lit(False)).alias("record"))
+    flags = src.join(role, "source_id", "left").join(executed, "source_id", "left").groupBy("id").agg(F.min(F.coalesce("proposal", F.lit(False))).alias("proposal"), F.max(F.coalesce("record", F.lit(False)) | F.coalesce("executes", F.lit(False))).alias("record"))
     sides = open_.join(flags.select(F.col("id").alias("l_id"), F.col("proposal").alias("lp"), F.col("record").alias("lr")), "l_id").join(flags.select(F.col("id").alias("r_id"), F.col("proposal").alias("rp"), F.col("record").alias("rr")), "r_id")
-    by_role = sides.filter("lp <> rp OR lr <> rr").select("conflict_id", F.when(F.expr("lp <> rp"), 3).otherwise(4).alias("turn"), F.lit("").alias("edge"), F.when(F.expr("lp <> rp"), F.when(F.col("lp"), F.col("r_id")).otherwise(F.col("l_id"))).otherwise(F.when(F.col("lr"), F.col("r_id")).otherwise(F.col("l_id"))).alias("win"), F.when(F.expr("lp <> rp"), "state").otherwise("explicit_override").alias("kind"))
-    w = Window.partitionBy("conflict_id").orderBy("turn", "edge", "win")
+    proposed = F.expr("lp OR rp")
+    loser = lambda l, r: F.when(F.col(l) & F.col(r), F.lit(None).cast("string")).when(F.col(l), F.col("r_id")).otherwise(F.col("l_id"))  # noqa: E731, E741
+    by_role = sides.filter("lp OR rp OR lr <> rr").select("conflict_id", F.when(proposed, 3).otherwise(4).alias("turn"), F.lit("").alias("edge"), F.lit(0).alias("right"), F.when(proposed, loser("lp", "rp")).otherwise(loser("lr", "rr")).alias("win"), F.when(proposed, "state").otherwise("explicit_override").alias("kind"))
+    w = Window.partitionBy("conflict_id").orderBy("turn", "edge", "right")
     return by_edge.unionByName(by_role).withColumn("n", F.row_number().over(w)).filter("n = 1").select("conflict_id", F.col("win").alias("winner"), "kind")
 
 

@@ -65,7 +65,7 @@ def _without(edges: DataFrame, existing: DataFrame) -> DataFrame:
 
 def _shortest(units: DataFrame, alias: str) -> DataFrame:
     """(source_id, alias) of the unit with the least text of each source, the earlier of equals."""
-    key = F.struct(F.char_length("text").alias("n"), "line_start", "evidence_id", "text", F.element_at(F.col("heading_path"), -1).alias("heading"))
+    key = F.struct(F.char_length("text").alias("n"), "line_start", "evidence_id", "text", F.try_element_at(F.col("heading_path"), F.lit(-1)).alias("heading"))
     return units.groupBy("source_id").agg(F.min(key).alias(alias))
 
 

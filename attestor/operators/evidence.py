@@ -40,7 +40,7 @@ def sliding_batches(units: DataFrame, size: int = 12) -> DataFrame:
 
 def checklist_gaps(units: DataFrame) -> DataFrame:
     """(source_id, heading, line): checklist lines without an owner, under headings where any line names one."""
-    rows = units.select("source_id", "evidence_id", F.element_at("heading_path", -1).alias("heading"), F.explode(X.lines(F.col("text"))).alias("line"))
+    rows = units.select("source_id", "evidence_id", F.try_element_at(F.col("heading_path"), F.lit(-1)).alias("heading"), F.explode(X.lines(F.col("text"))).alias("line"))
     rows = rows.filter(F.col("line").rlike(r"^\s*[-*+] \[[ xX]\]")).withColumn("owned", F.col("line").rlike("担当[:：]"))
     any_owner = F.max(F.col("owned")).over(Window.partitionBy("source_id", "heading"))
     return rows.withColumn("any", any_owner).filter("any AND NOT owned").select("source_id", "evidence_id", "heading", X.trim(F.col("line")).alias("line"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scope as S
+from ..sources.tables import materialise
+
 
 def _roles():
     kind, pos = F.col("kind"), F.col("position")
@@ -37,25 +40,34 @@ def build_packets(relations: DataFrame, evidence: DataFrame, intent_id: str) ->
     return packed.select(F.concat(F.lit(f"packet:{intent_id}:"), F.element_at("relation_ids", 1)).alias("id"), F.lit(intent_id).alias("intent_id"), "relation_ids", "materials")
 
 
-def complementary_merge(packets: DataFrame) -> DataFrame:
-    """Packets merged until nothing changes: one with an excluded source joins one without any, if they share a governing
-    source and give no source two roles. Each round merges a packet with its first partner by id; rounds are few, as
-    each at least halves what can merge."""
+def complementary_merge(packets: DataFrame, relations: DataFrame) -> DataFrame:
+    """Packets merged until nothing changes: one without an excluded source that holds a relation of precedence takes in
+    one with an excluded source that holds a non-effective proposal, if they share a governing source, give no source two
+    roles, and two of their relations have equivalent scopes or one refining the other. In a round each packet meets the
+    first partner by id; what was taken in is gone, so there are at most as many rounds as packets that can be merged."""
+    none = F.array().cast("array<string>")
+    clauses = F.concat(F.coalesce("source_clauses", none), F.coalesce("target_clauses", none))
+    rel = relations.select(F.col("id").alias("relation_id"), S.expresses_precedence(F.col("kind"), F.col("position"), clauses).alias("precedes"), ((F.col("kind") == "proposes_change_to") & (F.col("position") == "non_effective")).alias("proposes"), "scope")
     while True:
         m = packets.select("id", F.explode("materials").alias("m")).select("id", "m.source_id", "m.role")
-        kinds = m.groupBy("id").agg(F.max((F.col("role") == "excluded").cast("int")).alias("has_excluded"))
+        r = packets.select("id", F.explode("relation_ids").alias("relation_id")).join(rel, "relation_id")
+        marks = r.groupBy("id").agg(F.max("precedes").alias("precedes"), F.max("proposes").alias("proposes"))
+        kinds = m.groupBy("id").agg(F.max(F.col("role") == "excluded").alias("excludes")).join(marks, "id")
         gov = m.filter("role = 'governing'").join(kinds, "id")
-        pairs = gov.filter("has_excluded = 0").select(F.col("id").alias("c"), "source_id").join(gov.filter("has_excluded = 1").select(F.col("id").alias("x"), "source_id"), "source_id").select("c", "x").distinct()
+        pairs = gov.filter("NOT excludes AND precedes").select(F.col("id").alias("c"), "source_id").join(gov.filter("excludes AND proposes").select(F.col("id").alias("x"), "source_id"), "source_id").select("c", "x").distinct()
         clash = pairs.join(m.select(F.col("id").alias("c"), "source_id", F.col("role").alias("rc")), "c").join(m.select(F.col("id").alias("x"), "source_id", F.col("role").alias("rx")), ["x", "source_id"]).filter("rc <> rx").select("c", "x").distinct()
-        good = pairs.join(clash, ["c", "x"], "left_anti").groupBy("c").agg(F.min("x").alias("x"))
+        scoped = pairs.join(r.select(F.col("id").alias("c"), F.col("scope").alias("cs")), "c").join(r.select(F.col("id").alias("x"), F.col("scope").alias("xs")), "x")
+        near = scoped.filter(S.scopes_equivalent(F.col("cs"), F.col("xs")) | S.strict_refinement(F.col("cs"), F.col("xs")) | S.strict_refinement(F.col("xs"), F.col("cs"))).select("c", "x").distinct()
+        good = near.join(clash, ["c", "x"], "left_anti").groupBy("x").agg(F.min("c").alias("c"))
+        good = materialise(good.groupBy("c").agg(F.min("x").alias("x")))
         if good.isEmpty():
             return packets
-        to = good.select(F.col("c").alias("id"), F.col("x").alias("into"))
+        to = good.select(F.col("x").alias("id"), F.col("c").alias("into"))
         rows = packets.join(to, "id", "left").withColumn("key", F.coalesce("into", "id"))
         mats = rows.select("key", F.explode("materials").alias("m")).groupBy("key", "m.source_id", "m.role").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m.evidence_ids")))).alias("evidence_ids"))
         mats = mats.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("source_id", "role", "evidence_ids"))).alias("materials"))
         ids = rows.groupBy("key").agg(F.first("intent_id").alias("intent_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("relation_ids")))).alias("relation_ids"))
-        packets = ids.join(mats, "key").select(F.col("key").alias("id"), "intent_id", "relation_ids", "materials").checkpoint()
+        packets = materialise(ids.join(mats, "key").select(F.col("key").alias("id"), "intent_id", "relation_ids", "materials"))
 
 
 def render(packets: DataFrame, units: DataFrame) -> DataFrame:

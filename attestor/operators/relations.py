@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope as S
 from ..functions import text as X
+from ..schemas import DIMENSIONS
 from . import claims as CL
 
 #: purpose, source type, source status, kind, position, target type, target status
@@ -61,6 +62,24 @@ def required_slots(docs: DataFrame) -> DataFrame:
     return hit.select("source_id", "target_id", "kind", "position", F.concat(F.lit("slot_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind", F.lit("required-slot")), 256), 1, 16)).alias("id")).distinct()
 
 
+def slot_tokens(scope):
+    """The scope's values as ``dimension:value``, 64 at most, in order of dimension and place."""
+    parts = [F.transform(S.dim(scope, d), lambda v, d=d: F.concat(F.lit(f"{d}:"), X.normalized_key(v))) for d in DIMENSIONS]
+    return F.slice(F.concat(*parts), 1, 64)
+
+
+def slot_evidence(wanted: DataFrame, units: DataFrame) -> DataFrame:
+    """(source_id, slot, evidence_id) for wanted (source_id, slot, headings): the unit with the least text under a heading
+    that holds one of ``headings``, neither front matter nor about its section; else the source's front matter."""
+    text = X.trim(F.col("text"))
+    meta = text.startswith("---")
+    rows = wanted.join(units, "source_id")
+    under = ~meta & ~F.contains("text", F.lit("この節では")) & F.exists("heading_path", lambda h: F.exists("headings", lambda w: F.contains(h, w)))
+    turn = F.when(under, F.struct(F.lit(0).alias("turn"), F.char_length("text").alias("n"), "line_start", "evidence_id")).when(meta, F.struct(F.lit(1).alias("turn"), F.lit(0).alias("n"), "line_start", "evidence_id"))
+    best = rows.groupBy("source_id", "slot").agg(F.min(turn).alias("b"))
+    return best.filter("b IS NOT NULL").select("source_id", "slot", "b.evidence_id")
+
+
 def unresolved_slots(docs: DataFrame) -> DataFrame:
     """(source_id, purpose, kind, code) of required slots without an edge."""
     wanted = _slot_pairs(docs).select("source_id", "purpose", "kind").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 20
+NAME, LIMIT, AUTHORITY_STEP = "soft_rerank_v1", 20, 0.05
 OFFSETS = {"governing": -4, "verifier": -2, "contender": 2, "excluded": 6}
 PRECEDENCE = ("excluded", "contender", "verifier", "governing")
 
@@ -31,3 +31,7 @@ def soft_rerank(candidates: DataFrame, by: str = "query_id", rank: str = "rank",
     w = Window.partitionBy(by).orderBy("adjusted", rank)
     guarded = F.when(F.col("n") > LIMIT, F.raise_error(F.concat(F.lit(f"at most {LIMIT} candidates, got "), F.col("n").cast("string")))).otherwise(F.row_number().over(w))
     return candidates.withColumn("adjusted", F.col(rank) + role_offset(F.col(role))).withColumn("n", n).withColumn("new_rank", guarded.cast("int")).drop("n")
+
+
+#: The reranking of a retrieval contract that names none.
+rerank = soft_rerank

@@ -92,10 +92,27 @@ def parse_cache_join(spark, sf_dir):
 
 @query(sql(SRC, SNAP, body="""
 SELECT coalesce(n.path, o.path) AS path, coalesce(n.content_hash, o.content_hash) AS content_hash, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'parsed' END AS state,
-  CASE WHEN n.path IS NULL THEN 'scan-1' ELSE 'scan-2' END AS last_seen_scan FROM snew n FULL JOIN sold o ON n.path = o.path"""))
+  CASE WHEN n.path IS NULL THEN 'scan-1' ELSE 'scan-2' END AS last_seen_scan, CASE WHEN o.path IS NULL THEN 'scan-2' ELSE 'scan-1' END AS first_seen_scan, CASE WHEN n.path IS NULL OR n.content_hash = o.content_hash THEN 'scan-1' ELSE 'scan-2' END AS changed_scan,
+  coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN n.path IS NOT NULL THEN CAST(strlen(n.text) AS BIGINT) END AS size_bytes, CASE WHEN n.path IS NOT NULL THEN 'txt' END AS format FROM snew n FULL JOIN sold o ON n.path = o.path"""))
 def catalog_upsert(spark, sf_dir):
-    old = V.snapshot(spark, sf_dir, "old").select("path", "content_hash", F.lit("parsed").alias("state"), F.lit("scan-1").alias("last_seen_scan"))
-    return SC.upsert(old, V.snapshot(spark, sf_dir, "new").select("path", "content_hash", F.lit("parsed").alias("state")), "scan-2")
+    scans = [F.lit("scan-1").alias(c) for c in ("first_seen_scan", "last_seen_scan", "changed_scan")]
+    old = V.snapshot(spark, sf_dir, "old").select("path", "source_id", "content_hash", F.lit("parsed").alias("state"), *scans)
+    new = V.snapshot(spark, sf_dir, "new").select("path", F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"))
+    out = SC.upsert(old, SC.inspect_content(new), "scan-2")
+    return out.select("path", "source_id", "content_hash", "size_bytes", "format", "state", "first_seen_scan", "last_seen_scan", "changed_scan")
+
+
+_FILES = [("a.md", b"# x"), ("b.txt", "caf\u00e9".encode()), ("c.txt", b"\xff\xfe\x00"), ("d.png", b"\x89PNG\xff"), ("e.md", b" \n\t"), ("f.txt", b""), ("g.markdown", b"0123456789" * 3), ("h", b"x")]
+
+
+@query(FX.values([
+    ("a.md", "parsed", "", "# x", 3, "44647510631c98185d84603cb34a79e028914924a4a03db8ce04f7b49504486f"), ("b.txt", "parsed", "", "caf\u00e9", 5, ""), ("c.txt", "error", "no UTF-8", None, 3, ""), ("d.png", "unsupported", "", None, 5, ""), ("e.md", "error", "empty", None, 3, ""),
+    ("f.txt", "error", "empty", None, 0, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"), ("g.markdown", "error", "beyond the size limit", None, 30, ""), ("h", "unsupported", "", None, 1, ""),
+], "path, state, warnings, text, size_bytes, content_hash"))
+def inspect_bytes(spark, sf_dir):
+    f = spark.createDataFrame([(p, bytearray(c), len(c)) for p, c in _FILES], "path string, content binary, size_bytes long").withColumn("modified_at", F.lit(None).cast("timestamp"))
+    known = F.when(F.col("path").isin("a.md", "f.txt"), F.col("content_hash")).otherwise("")
+    return SC.inspect_content(f, max_bytes=20).select("path", "state", F.array_join("warnings", ",").alias("warnings"), "text", "size_bytes", known.alias("content_hash"))
 
 
 @query(sql(SRC, FILES, body="""
@@ -736,6 +753,47 @@ def body_references(spark, sf_dir):
     return C.body_references(units, s.select("source_id", name.alias("document_id")))
 
 
+@query(FX.values(FX.OVERRIDES, "conflict_id, winner, kind"))
+def relation_overrides(spark, sf_dir):
+    f = FX.overrides(spark)
+    return CL.relation_overrides(f["conflicts"], f["claims"], f["relations"], f["profiles"], AS_OF)
+
+
+@query(FX.values(FX.MERGED, "relation_ids, materials"))
+def complementary_packets(spark, sf_dir):
+    r = FX.packet_relations(spark)
+    p = P.complementary_merge(P.build_packets(r, spark.createDataFrame([], "id string, source_id string, evidence_id string"), "review"), r)
+    return p.select(F.array_join("relation_ids", ",").alias("relation_ids"), F.array_join(F.transform("materials", lambda m: F.concat_ws(":", m["source_id"], m["role"])), ",").alias("materials"))
+
+
+@query(FX.values(FX.VALIDATED, "source_id, role, level, authority_rank, approved, official_record"))
+def validate_profiles(spark, sf_dir):
+    return N.validate_profiles(*FX.extracted(spark))[0].select("source_id", "role", "level", "authority_rank", "approved", "official_record")
+
+
+@query(FX.values(FX.INVALID, "target, code"))
+def invalid_profiles(spark, sf_dir):
+    return N.validate_profiles(*FX.extracted(spark))[1]
+
+
+@query(FX.values(FX.JUDGED, "id, outcome"))
+def validate_relations(spark, sf_dir):
+    extracted, units = FX.extracted(spark)
+    rows, allowed = FX.candidate_relations(spark)
+    kept, bad = N.validate_relations(rows, N.validate_profiles(extracted, units)[0], units, allowed)
+    return kept.select("id", F.lit("kept").alias("outcome")).unionByName(bad.select(F.col("target").alias("id"), F.col("reason").alias("outcome")))
+
+
+_SLOT_UNITS = [("a", 1, "---\nx: 1\n---", []), ("a", 2, "長い本文の適用範囲", ["適用範囲"]), ("a", 3, "短い適用", ["1 適用範囲"]), ("a", 4, "節", ["この節"]), ("b", 1, "---\nx: 1\n---", []), ("b", 2, "この節では短", ["適用範囲"]), ("c", 1, "本文", ["別"])]
+
+
+@query(FX.values([("a", "a/3"), ("b", "b/1")], "source_id, evidence_id"))
+def slot_evidence(spark, sf_dir):
+    u = spark.createDataFrame([(s, f"{s}/{n}", n, t, h) for s, n, t, h in _SLOT_UNITS], "source_id string, evidence_id string, line_start int, text string, heading_path array<string>")
+    wanted = u.select("source_id", F.lit("s").alias("slot"), F.array(F.lit("適用範囲")).alias("headings")).distinct()
+    return R.slot_evidence(wanted, u).select("source_id", "evidence_id")
+
+
 # --- export and metrics -------------------------------------------------------------------------------------------
 
 

@@ -140,3 +140,63 @@ def values(rows: list[tuple], names: str) -> str:
     """SQL for fixed rows."""
     cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
+#: Conflicts that relations or roles decide: claim id, subject, its sources
+SIDES = [("a1", "返金の期限", ["s1"]), ("a2", "返金の期限", ["s2"]), ("b1", "点検", ["s3"]), ("b2", "点検", ["s5"]), ("c1", "額", ["p1"]), ("c2", "額", ["p2"]), ("d1", "額", ["p1"]), ("d2", "額", ["s1"]), ("e1", "結果", ["l1"]), ("e2", "結果", ["s1"]), ("f1", "結果", ["l2"]), ("f2", "結果", ["s1"]), ("g1", "x", ["s1"]), ("g2", "x", ["s4"]), ("h1", "点検", ["s3"]), ("h2", "点検", ["s6"]), ("i1", "返金の期限", ["s2", "p1"]), ("i2", "返金の期限", ["s1"])]
+#: id, kind, source, target, clauses, scope's product, end of validity
+LINKS = [("1", "amends", "s1", "s2", ["返金の期限"], None, None), ("2", "exception_to", "s3", "s4", [], "p", None), ("3", "applies_to", "s5", "s4", [], "p", None), ("4", "applies_to", "s6", "s4", [], "q", None), ("5", "records_execution_of", "l2", "s3", [], None, None), ("6", "amends", "s4", "s1", ["x"], None, "2023-01-01")]
+OVERRIDES = [("a", "a1", "explicit_override"), ("b", "b1", "explicit_override"), ("c", None, "state"), ("d", "d2", "state"), ("e", "e2", "explicit_override"), ("f", "f2", "explicit_override"), ("i", "i2", "explicit_override")]
+
+
+def overrides(spark: SparkSession) -> dict[str, DataFrame]:
+    claims = spark.createDataFrame([(i, s, [(x, f"{x}/1") for x in src]) for i, s, src in SIDES], f"id string, subject string, evidence {_REF}")
+    conflicts = spark.createDataFrame([(i[0], i, i[0] + "2", "unresolved") for i, _, _ in SIDES if i.endswith("1")], "conflict_id string, l_id string, r_id string, status string")
+    links = spark.createDataFrame([(*x[:4], x[4], [], x[5], x[6]) for x in LINKS], "id string, kind string, source_id string, target_id string, source_clauses array<string>, target_clauses array<string>, product string, valid_to string")
+    links = links.withColumns({"scope": S.scope_of(products=F.when(F.col("product").isNotNull(), F.array("product"))), "valid_from": F.lit(None).cast("string"), "position": F.lit("unresolved")})
+    roles = spark.createDataFrame([("p1", "proposal", False), ("p2", "proposal", False), ("l1", "record", True), ("l2", "reference", True), ("s1", "normative", True)], "source_id string, role string, approved boolean")
+    return {"conflicts": conflicts, "claims": claims, "relations": links, "profiles": roles}
+
+
+#: Packets that can be merged and such that can't: relation id, kind, position, source, target, product
+PACKET_RELATIONS = [
+    ("r1", "order_of_precedence", "conditional", "sow", "frame", "p"), ("r2", "proposes_change_to", "non_effective", "offer", "frame", "p"), ("r3", "proposes_change_to", "non_effective", "offer_q", "frame", "q"),
+    ("r4", "conflicts_with", "non_effective", "faq", "frame", "p"), ("r5", "applies_to", "conditional", "site", "frame", "p"), ("r6", "proposes_change_to", "non_effective", "sow", "other", "p"),
+]
+MERGED = [("r1,r2", "frame:governing,offer:excluded,sow:governing"), ("r3", "frame:governing,offer_q:excluded"), ("r4", "faq:excluded,frame:governing"), ("r5", "frame:governing,site:governing"), ("r6", "other:governing,sow:excluded")]
+
+
+def packet_relations(spark: SparkSession) -> DataFrame:
+    none = F.array().cast("array<string>")
+    r = spark.createDataFrame(PACKET_RELATIONS, "id string, kind string, position string, source_id string, target_id string, product string")
+    return r.withColumns({"source_clauses": none, "target_clauses": none, "scope": S.scope_of(products=F.array("product"))})
+
+
+#: Profiles of a provider: ordinal, source, units referred to; and units: source, line, text
+EXTRACTED = [(1, "a", ["a/1"]), (2, "a", ["a/1"]), (3, "b", ["a/1"]), (4, "c", []), (5, "ghost", ["ghost/1"])]
+TEXTS = [("a", 1, "plain"), ("b", 1, "---\nstatus: approved\ndocument_type: policy\n---"), ("c", 1, "first"), ("c", 2, "---\nstatus: draft\ndocument_type: test_record\n---"), ("d", 1, "only text")]
+VALIDATED = [("a", "analysis", "recommended", 7, False, None), ("b", "normative", "mandatory", 0, True, False), ("c", "record", "informational", 0, False, True), ("d", "reference", "informational", 0, False, False)]
+INVALID = [("a", "PRF-INVALID-PROFILE"), ("b", "PRF-FALLBACK-PROFILE"), ("b", "PRF-INVALID-PROFILE"), ("c", "PRF-FALLBACK-PROFILE"), ("c", "PRF-INVALID-PROFILE"), ("d", "PRF-FALLBACK-PROFILE"), ("ghost", "PRF-INVALID-PROFILE")]
+
+
+def extracted(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    units = spark.createDataFrame([(s, f"{s}/{n}", n, t) for s, n, t in TEXTS], "source_id string, evidence_id string, line_start int, text string")
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame([(n, s, "analysis", "recommended", 7, False, _refs(u)) for n, s, u in EXTRACTED], f"ordinal int, source_id string, role string, level string, authority_rank int, approved boolean, evidence {_REF}")
+    return rows.withColumns({"document_id": none, "revision": none, "scope": S.scope_of(), "valid_from": none, "valid_to": none, "observed_at": none, "official_record": F.lit(None).cast("boolean")}), units
+
+
+#: Candidate relations: ordinal, id, kind, source, target, clauses of both, units referred to; and what stays of each
+CANDIDATES = [
+    (1, "ok", "supersedes", "a", "b", [], [], ["a/1"]), (2, "ok", "supersedes", "b", "a", [], [], ["a/1"]), (3, "loop", "supersedes", "a", "a", [], [], ["a/1"]), (4, "far", "supersedes", "a", "d", [], [], ["a/1"]), (5, "bare", "amends", "a", "b", ["1"], [], ["a/1"]),
+    (6, "airy", "evaluates", "b", "c", [], [], []), (7, "wrong", "evaluates", "b", "c", [], [], ["b/9"]), (8, "amended", "amends", "c", "b", ["1"], ["2"], ["c/1", "b/1"]), (9, " ", "evaluates", "b", "c", [], [], ["b/1"]), (10, "ghostly", "evaluates", "ghost", "b", [], [], ["b/1"]),
+]
+JUDGED = [
+    ("ok", "kept"), ("amended", "kept"), ("ok", "ends=true; unique=false; grounded=true; clauses=true"), ("loop", "ends=false; unique=true; grounded=true; clauses=true"), ("bare", "ends=true; unique=true; grounded=true; clauses=false"), ("airy", "ends=true; unique=true; grounded=false; clauses=true"),
+    ("wrong", "ends=true; unique=true; grounded=false; clauses=true"), (" ", "ends=true; unique=false; grounded=true; clauses=true"), ("ghostly", "ends=false; unique=true; grounded=true; clauses=true"),
+]
+
+
+def candidate_relations(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = spark.createDataFrame([(*c[:7], _refs(c[7])) for c in CANDIDATES], f"ordinal int, id string, kind string, source_id string, target_id string, source_clauses array<string>, target_clauses array<string>, evidence {_REF}")
+    return rows, spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "b"), ("b", "ghost")], "a string, b string")

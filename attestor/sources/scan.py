@@ -12,7 +12,8 @@ PARSED_FORMATS = ("md", "markdown", "txt")
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` as (path, content, size_bytes, modified_at), path relative to it."""
+    """Files below ``root`` as (path, content, size_bytes, modified_at), path relative to it. Spark lists no files of zero
+    bytes, so these have no row."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "^.*?" + root.rstrip("/").replace("\\", "/").split(":")[-1].lstrip("/").replace(".", r"\.") + "/"
     path = X.normalize_path(F.regexp_replace("path", base, ""))
@@ -41,6 +42,24 @@ def inspect(files: DataFrame, text: Column, max_bytes: int | None = None) -> Dat
     })
 
 
+def inspect_content(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files (path, content, size_bytes, modified_at) with what ``inspect`` adds, the text of those to be parsed and
+    warnings. The hash is that of the bytes. A file beyond the size limit, and one of a format to be parsed that is no
+    UTF-8 or has no text, is in state error and says why."""
+    fmt = X.file_format(F.col("path"))
+    raw = F.col("content").cast("string")
+    wanted = fmt.isin(*PARSED_FORMATS)
+    over = F.col("size_bytes") > max_bytes if max_bytes is not None else F.lit(False)
+    broken = wanted & ~F.is_valid_utf8(raw)
+    empty = wanted & ~broken & (X.trim(F.when(F.is_valid_utf8(raw), raw)) == "")
+    why = F.when(over, "beyond the size limit").when(broken, "no UTF-8").when(empty, "empty")
+    none = F.array().cast("array<string>")
+    return files.select(
+        "path", X.source_id(F.col("path")).alias("source_id"), F.sha2("content", 256).alias("content_hash"), "size_bytes", "modified_at", fmt.alias("format"), F.when(why.isNotNull(), "error").when(wanted, "parsed").otherwise("unsupported").alias("state"),
+        F.when(why.isNotNull(), F.array(why)).otherwise(none).alias("warnings"), F.when(wanted & why.isNull(), raw).alias("text"),
+    )
+
+
 def mark_duplicates(sources: DataFrame) -> DataFrame:
     """state duplicate and duplicate_of for all but the first path of each content hash, whatever its format.
 
@@ -69,17 +88,24 @@ def parse_cache(current: DataFrame, previous: DataFrame, parser_key: str) -> Dat
     return joined.withColumn("cache_hit", F.coalesce(F.col("hit") & (F.col("k") == parser_key) & (F.col("state") == "parsed"), F.lit(False))).drop("hit", "k")
 
 
+#: The catalog: a row of each path ever seen.
+CATALOG = "path string, source_id string, content_hash string, size_bytes long, modified_at timestamp, format string, state string, duplicate_of string, warnings array<string>, parser_key string, first_seen_scan string, last_seen_scan string, changed_scan string"
+
+
 def upsert(catalog: DataFrame, seen: DataFrame, scan_id: str) -> DataFrame:
-    """The next catalog: rows of this scan replace rows of their path, others are kept and become removed."""
-    cols = ["content_hash", "state"]
-    a, b = catalog.alias("a"), seen.alias("b")
+    """The next catalog: rows of this scan replace rows of their path, keeping when it was first seen, and when last
+    changed if its content is the same; others are kept and become removed. Columns that either side lacks are null."""
+    names = [c.split()[0] for c in CATALOG.split(", ")]
+    types = dict(c.split() for c in CATALOG.split(", "))
+    full = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in names])
+    a, b = full(catalog).alias("a"), full(seen).alias("b")
     joined = a.join(b, F.col("a.path") == F.col("b.path"), "full_outer")
     new = F.col("b.path").isNotNull()
-    return joined.select(
-        F.coalesce("b.path", "a.path").alias("path"),
-        *[F.when(new, F.col(f"b.{c}")).otherwise(F.lit("removed") if c == "state" else F.col(f"a.{c}")).alias(c) for c in cols],
-        F.when(new, F.lit(scan_id)).otherwise(F.col("a.last_seen_scan")).alias("last_seen_scan"),
-    )
+    own = {
+        "path": F.coalesce("b.path", "a.path"), "state": F.when(new, F.col("b.state")).otherwise("removed"), "first_seen_scan": F.coalesce("a.first_seen_scan", F.lit(scan_id)), "last_seen_scan": F.when(new, F.lit(scan_id)).otherwise(F.col("a.last_seen_scan")),
+        "changed_scan": F.when(new & ~F.col("a.content_hash").eqNullSafe(F.col("b.content_hash")), F.lit(scan_id)).otherwise(F.col("a.changed_scan")),
+    }
+    return joined.select(*[own.get(c, F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))).alias(c) for c in names])
 
 
 def summary(scanned: DataFrame, gone: DataFrame) -> DataFrame:

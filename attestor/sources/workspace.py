@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SCHEMA_VERSION
@@ -71,26 +72,49 @@ class Workspace:
             finally:
                 fcntl.flock(handle, fcntl.LOCK_UN)
 
-    def catalog_path(self) -> str:
-        return str(self.control / "catalog.parquet")
+    def read_table(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """A table of the control folder, or null. If a swap was cut off, the version that was set aside is it."""
+        path = self.control / f"{name}.parquet"
+        aside = self.control / f"{name}.parquet.old"
+        if not path.exists() and aside.exists():
+            os.rename(aside, path)
+        return spark.read.parquet(str(path)) if path.exists() else None
+
+    def write_table(self, df: DataFrame, name: str) -> None:
+        """Written beside the old table, which is renamed before the new one takes its name: at no moment is there
+        neither. The new rows may come from the old file."""
+        path, aside = self.control / f"{name}.parquet", self.control / f"{name}.parquet.old"
+        fresh = self.control / f"{name}.parquet.{uuid.uuid4().hex}"
+        df.write.parquet(str(fresh))
+        if path.exists():
+            shutil.rmtree(aside, ignore_errors=True)
+            os.rename(path, aside)
+        os.rename(fresh, path)
+        shutil.rmtree(aside, ignore_errors=True)
+        df.sparkSession.catalog.refreshByPath(str(path))
 
     def read_catalog(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(self.catalog_path()) if os.path.exists(self.catalog_path()) else None
+        return self.read_table(spark, "catalog")
 
     def write_catalog(self, catalog: DataFrame) -> None:
-        """Written aside, then put in place, as the new rows may come from the old file."""
-        fresh = f"{self.catalog_path()}.{uuid.uuid4().hex}"
-        catalog.write.parquet(fresh)
-        shutil.rmtree(self.catalog_path(), ignore_errors=True)
-        os.rename(fresh, self.catalog_path())
+        self.write_table(catalog, "catalog")
 
     def write_manifest(self, manifest: dict) -> None:
         (self.control / "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True, default=str))
 
 
+def publish(folder: Path, output: Path) -> None:
+    """The finished folder becomes ``output`` in one rename."""
+    if output.exists():
+        raise WorkspaceError(f"{output} exists")
+    output.parent.mkdir(parents=True, exist_ok=True)
+    os.rename(folder, output)
+
+
 @contextmanager
-def staging(output: str | Path) -> Iterator[Path]:
-    """A hidden sibling folder that becomes ``output`` in one rename; removed if the block fails."""
+def staging(output: str | Path, publish: bool = True) -> Iterator[Path]:
+    """A hidden sibling folder that becomes ``output`` in one rename at the end, unless ``publish`` is off and the block
+    does so itself; removed if the block fails."""
     output = Path(output)
     if output.exists():
         raise WorkspaceError(f"{output} exists")
@@ -98,7 +122,8 @@ def staging(output: str | Path) -> Iterator[Path]:
     hidden.mkdir(parents=True)
     try:
         yield hidden
-        os.rename(hidden, output)
+        if publish:
+            os.rename(hidden, output)
     finally:
         shutil.rmtree(hidden, ignore_errors=True)
 
@@ -122,6 +147,12 @@ def content_hash(path: str | Path) -> str:
     return f"sha256:{digest.hexdigest()}"
 
 
+def table_hash(spark: SparkSession, path: str | Path) -> str:
+    """sha256: and the digest over the digests of a table's files; the files are read where their blocks are."""
+    files = spark.read.format("binaryFile").load(f"{path}/*.parquet").select(F.sha2("content", 256).alias("h"))
+    return f"sha256:{hashlib.sha256(''.join(sorted(r['h'] for r in files.collect())).encode()).hexdigest()}"
+
+
 def cache_key(prefix: str, identity: str, request: str) -> str:
     return hashlib.sha256(f"{prefix}{identity}\0{request}".encode()).hexdigest()
 

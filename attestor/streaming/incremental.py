@@ -11,11 +11,11 @@ from ..sources import scan as SC
 
 
 def source_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Whole text files as they appear: (path, text, modified_at)."""
+    """Whole files as they appear: (path, content, size_bytes, modified_at)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
     base = "^.*?" + root.rstrip("/").lstrip("/").replace(".", r"\.") + "/"
-    return files.select(X.normalize_path(F.regexp_replace("path", base, "")).alias("path"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified_at"))
+    return files.select(X.normalize_path(F.regexp_replace("path", base, "")).alias("path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
 
 
 def scan_stream(spark: SparkSession, root: str, output: str, checkpoint: str) -> None:
@@ -23,7 +23,7 @@ def scan_stream(spark: SparkSession, root: str, output: str, checkpoint: str) ->
     batch that runs again after a failure replaces what it wrote before."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        rows = SC.inspect(batch, F.col("text")).persist()
+        rows = SC.inspect_content(batch).persist()
         rows.drop("text").write.mode("overwrite").parquet(f"{output}/sources/batch={number}")
         docs = rows.filter("state = 'parsed'")
         units = PA.parse_markdown(docs.filter(F.col("format").isin("md", "markdown"))).unionByName(PA.parse_text(docs.filter("format = 'txt'")))

@@ -104,13 +104,6 @@ def test_suffix_subjects_conflict(spark):
     assert ("1", "2") in got and ("2", "4") in got and not any("3" in p for p in got)
 
 
-def test_complementary_packets(spark):
-    rel = spark.createDataFrame([("r1", "operational_position", "conditional", "a", "g"), ("r2", "operational_position", "dominates", "g", "x")], "id string, kind string, position string, source_id string, target_id string")
-    none = spark.createDataFrame([], "id string, source_id string, evidence_id string")
-    merged = P.complementary_merge(P.build_packets(rel, none, "i")).collect()
-    assert len(merged) == 1 and merged[0].relation_ids == ["r1", "r2"] and {(m.source_id, m.role) for m in merged[0].materials} == {("a", "governing"), ("g", "governing"), ("x", "excluded")}
-
-
 def test_greedy_batches(spark):
     e = spark.createDataFrame([("d", f"a{i:02}", f"b{i:02}") for i in range(20)], "dossier string, a string, b string")
     assert [r.n for r in C.bounded_batches(e).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [6, 6, 6, 2]
