@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--max-errors", type=int)
             p.add_argument("--max-warnings", type=int)
     a = parser.parse_args(argv)
-    intent = lambda: C.Intent(**json.load(open(a.intent)))  # noqa: E731, SIM115  unknown keys are a TypeError
+    intent = lambda: C.load_intent(a.intent)  # noqa: E731  unknown keys are a TypeError
     if a.command == "init":
         out: dict = {"workspace": str(Workspace.init(a.workspace).control)}
     elif a.command == "validate":

@@ -123,3 +123,19 @@ def metric_interval(values: DataFrame, column: str, **options) -> DataFrame:
         low, high = wilson(F.col("s"), F.col("n"))
         return row.select("n", "mean", low.alias("low"), high.alias("high"))
     return row.select("n").crossJoin(bootstrap_mean(values, column, **options))  # two tables of one row each
+
+
+def corpus_inventory(files: DataFrame, units: DataFrame) -> DataFrame:
+    """One row for files (path, format, content_hash, text) and their units: documents, formats (name:count, sorted),
+    characters, units, groups of exact duplicates, duplicates beyond the first of each, and their ratio."""
+    groups = files.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    formats = files.groupBy("format").count().agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "format", F.col("count").cast("string")))), ",").alias("formats"))
+    total = files.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("characters"))
+    row = total.crossJoin(groups).crossJoin(formats).crossJoin(units.agg(F.count(F.lit(1)).alias("units")))  # tables of one row each
+    return row.withColumn("duplicate_ratio", F.round(F.when(F.col("documents") > 0, F.col("duplicates") / F.col("documents")).otherwise(0.0), 4))
+
+
+def inventory_problems(inventory: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """(measure, value) of the inventory that lies outside of its bounds."""
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for m, (low, high) in bounds.items()])
+    return inventory.select(F.explode(rows).alias("x")).select("x.*").filter("value < low OR value > high").select("measure", "value")

@@ -93,13 +93,13 @@ def parse_cache_join(spark, sf_dir):
 @query(sql(SRC, SNAP, body="""
 SELECT coalesce(n.path, o.path) AS path, coalesce(n.content_hash, o.content_hash) AS content_hash, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'parsed' END AS state,
   CASE WHEN n.path IS NULL THEN 'scan-1' ELSE 'scan-2' END AS last_seen_scan, CASE WHEN o.path IS NULL THEN 'scan-2' ELSE 'scan-1' END AS first_seen_scan, CASE WHEN n.path IS NULL OR n.content_hash = o.content_hash THEN 'scan-1' ELSE 'scan-2' END AS changed_scan,
-  coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN n.path IS NOT NULL THEN CAST(strlen(n.text) AS BIGINT) END AS size_bytes, CASE WHEN n.path IS NOT NULL THEN 'txt' END AS format FROM snew n FULL JOIN sold o ON n.path = o.path"""))
+  coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN n.path IS NOT NULL THEN CAST(strlen(n.text) AS BIGINT) ELSE 0 END AS size_bytes, CASE WHEN n.path IS NOT NULL THEN 'txt' END AS format FROM snew n FULL JOIN sold o ON n.path = o.path"""))
 def catalog_upsert(spark, sf_dir):
     scans = [F.lit("scan-1").alias(c) for c in ("first_seen_scan", "last_seen_scan", "changed_scan")]
     old = V.snapshot(spark, sf_dir, "old").select("path", "source_id", "content_hash", F.lit("parsed").alias("state"), *scans)
     new = V.snapshot(spark, sf_dir, "new").select("path", F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"))
     out = SC.upsert(old, SC.inspect_content(new), "scan-2")
-    return out.select("path", "source_id", "content_hash", "size_bytes", "format", "state", "first_seen_scan", "last_seen_scan", "changed_scan")
+    return out.select("path", "source_id", "content_hash", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "format", "state", "first_seen_scan", "last_seen_scan", "changed_scan")
 
 
 _FILES = [("a.md", b"# x"), ("b.txt", "caf\u00e9".encode()), ("c.txt", b"\xff\xfe\x00"), ("d.png", b"\x89PNG\xff"), ("e.md", b" \n\t"), ("f.txt", b""), ("g.markdown", b"0123456789" * 3), ("h", b"x")]
@@ -917,3 +917,42 @@ def canonical_pair(spark, sf_dir):
     r = V.relations(spark, sf_dir)
     clauses = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("This Precedence rule"))).otherwise(F.col("source_clauses"))
     return r.select("id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), S.expresses_precedence(F.col("kind"), F.col("position"), clauses).alias("precedence"))
+
+
+@query(sql(SRC, LINES, body="""SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, (SELECT count(*) FROM (SELECT sha256(text) FROM src GROUP BY 1 HAVING count(*) > 1)) AS duplicate_groups, count(*) - count(DISTINCT sha256(text)) AS duplicates, 'txt:' || count(*) AS formats,
+  (SELECT count(*) FROM lines) AS units, round((count(*) - count(DISTINCT sha256(text))) / CAST(count(*) AS DOUBLE), 4) AS duplicate_ratio FROM src"""))
+def corpus_inventory(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    return M.corpus_inventory(s.withColumn("format", X.file_format(F.col("path"))), PA.evidence_lines(s))
+
+
+_VALUES = ["null", "", " ", '""', '" "', "[]", "[ ]", "{}", "0", "false", '"a"', "text", '["a"]']
+
+
+@query(FX.values([(v, v.strip() in ("null", "", '""', '" "', "[]", "[ ]", "{}")) for v in _VALUES], "value, blank"))
+def json_is_empty(spark, sf_dir):
+    return spark.createDataFrame([(v,) for v in _VALUES], "value string").select("value", X.json_is_empty(F.col("value")).alias("blank"))
+
+
+_OLD_CLAIMS = [("a", "approved", "2023-01-01", ["e1", "e2"]), ("b", "draft", "2022-01-01", ["e1", "e3"]), ("c", "draft", "2022-02-02", ["e4"]), ("d", "stale", None, ["e5"])]
+_OLD_EVIDENCE = [("e1", "board", "current", "2024-01-01"), ("e2", "board", None, None), ("e3", "team", "stale", "2024-01-01"), ("e4", None, None, None)]
+
+
+@query(FX.values([
+    ("a", "new", "board", "current", "2024-01-01"), ("b", "new", None, "draft", "2024-01-01"), ("c", "new", None, "draft", "2022-02-02"), ("d", "new", None, "stale", None),
+    ("a", "old", "board", "current", "2024-01-01"), ("b", "old", None, None, "2024-01-01"), ("c", "old", None, None, None), ("d", "old", None, None, None),
+], "id, kind, authority, status, valid_from"))
+def claim_metadata(spark, sf_dir):
+    c = spark.createDataFrame([(i, None, s, d, None, [("s", e) for e in es]) for i, s, d, es in _OLD_CLAIMS], "id string, authority string, status string, valid_from string, valid_to string, evidence array<struct<source_id:string,evidence_id:string>>")
+    e = spark.createDataFrame([("s", i, a, st, d, None) for i, a, st, d in _OLD_EVIDENCE], "source_id string, evidence_id string, authority string, lifecycle string, valid_from string, valid_to string")
+    return CL.source_metadata(c, e).withColumn("kind", F.lit("new")).unionByName(CL.source_metadata(c, e, refresh=True).withColumn("kind", F.lit("old"))).select("id", "kind", "authority", "status", "valid_from")
+
+
+_CAUSES = [("e1", ["報告", " 原因 "], "配管の腐食"), ("e2", ["原因"], "# 原因"), ("e3", ["Root Cause"], "corrosion"), ("e4", ["原因と対策"], "別"), ("e5", ["復旧"], "弁の交換"), ("e6", ["Corrective Action"], "inspection")]
+
+
+@query(FX.values([("1", "e1,e3,e9"), ("2", "e5,e9"), ("3", "e6,e9"), ("4", "e9")], "id, evidence"))
+def structured_evidence(spark, sf_dir):
+    e = spark.createDataFrame([("s", i, t, h) for i, h, t in _CAUSES] + [("t", "e7", "他", ["原因"]), ("s", "e9", "始", [])], "source_id string, evidence_id string, text string, heading_path array<string>")
+    c = spark.createDataFrame([(i, p, [("s", "e9")]) for i, p in (("1", "incident_cause"), ("2", "temporary_remediation"), ("3", "permanent_remediation"), ("4", "other"))], "id string, predicate string, evidence array<struct<source_id:string,evidence_id:string>>")
+    return CL.structured_evidence(c, e).select("id", F.array_join(F.array_sort(F.col("evidence.evidence_id")), ",").alias("evidence"))

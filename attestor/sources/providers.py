@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evidence import sliding_batches
-from ..schemas import CLAIM
+from ..schemas import CLAIM, SCOPE
 
 RESPONSE = "batch_id string, response string"
 
@@ -77,15 +78,60 @@ def claims_of(responses: DataFrame) -> DataFrame:
     return trimmed.withColumn("id", F.concat(F.lit("clm_"), F.substring(key, 1, 32))).dropDuplicates(["id"]).select(*[f.name for f in CLAIM.fields])
 
 
-def extractor(provider: Extractor, cache: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A function for ``compile_build(..., extract=)``: cached answers are used, others are asked for."""
+KINDS, CACHE_VERSION = ("claims", "profiles", "relations"), 1
+_REFS = "evidence: array<struct<source_id: string, evidence_id: string>>"
+#: What an answer of each kind must be, beside claims: a list of these under the kind's name.
+SHAPES = {
+    "profiles": f"source_id: string, document_id: string, revision: string, role: string, level: string, authority_rank: int, approved: boolean, scope: {SCOPE.simpleString()}, valid_from: string, valid_to: string, observed_at: string, official_record: boolean, {_REFS}",
+    "relations": f"id: string, kind: string, position: string, source_id: string, target_id: string, source_clauses: array<string>, target_clauses: array<string>, scope: {SCOPE.simpleString()}, valid_from: string, valid_to: string, {_REFS}",
+}
+
+
+def entities_of(responses: DataFrame, kind: str) -> DataFrame:
+    """Profiles or relations of all answers, with their ordinal in order of batch and place: what ``validate_profiles``
+    and ``validate_relations`` take. An answer that isn't of the shape gives none."""
+    rows = responses.select("batch_id", F.posexplode(F.from_json("response", f"struct<{kind}: array<struct<{SHAPES[kind]}>>>")[kind]).alias("place", "x"))
+    w = Window.orderBy("batch_id", "place")
+    return rows.withColumn("ordinal", F.row_number().over(w)).select("ordinal", "x.*")
+
+
+def cache_folder(control: str, kind: str) -> str:
+    """Where a workspace keeps the answers of one kind."""
+    if kind not in KINDS:
+        raise ValueError(f"no such kind of cache: {kind}")
+    return f"{control}/cache/{kind}.parquet"
+
+
+def load_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, version, response, identity) of the answers kept, of this format version alone; none without a cache."""
+    schema = "key string, version int, response string, identity string"
+    try:
+        return spark.read.schema(schema).parquet(folder).filter(F.col("version") == CACHE_VERSION)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def save_cache(answers: DataFrame, folder: str, identity: str) -> None:
+    """Appends answers (key, response) whose key the cache does not hold; what is kept is never overwritten."""
+    fresh = answers.select("key", F.lit(CACHE_VERSION).alias("version"), "response", F.lit(identity).alias("identity")).dropDuplicates(["key"])
+    fresh.join(load_cache(answers.sparkSession, folder).select("key"), "key", "left_anti").write.mode("append").parquet(folder)
+
+
+def answered(evidence: DataFrame, provider: Extractor, folder: str | None = None) -> DataFrame:
+    """(batch_id, key, response) of all batches: kept answers are used, others are asked for and then kept, once."""
+    asked = requests(evidence, provider.identity)
+    if folder is None:
+        return answer(asked, provider)
+    cache = load_cache(evidence.sparkSession, folder).select("key", "response")
+    save_cache(answer(asked.join(cache, "key", "left_anti"), provider), folder, provider.identity)
+    return asked.join(load_cache(evidence.sparkSession, folder).select("key", "response"), "key").select("batch_id", "key", "response")
+
+
+def extractor(provider: Extractor, folder: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function for ``compile_build(..., extract=)``; with a folder its answers are kept there."""
 
     def run(evidence: DataFrame) -> DataFrame:
-        asked = requests(evidence, provider.identity)
-        if cache is None:
-            return claims_of(answer(asked, provider))
-        hits = asked.join(cache.select("key", "response"), "key").select("batch_id", "key", "response")
-        return claims_of(hits.unionByName(answer(asked.join(cache, "key", "left_anti"), provider)))
+        return claims_of(answered(evidence, provider, folder))
 
     run.__name__ = provider.identity
     return run

@@ -142,6 +142,29 @@ def test_stream_scan(spark, corpus, tmp_path):
     assert states["e.txt"] == "parsed" and states["copy.md"] == "duplicate" and states["d.bin"] == "unsupported" and len(states) == 6
 
 
+def test_answers_are_kept_by_kind(spark, tmp_path):
+    from attestor.operators import normalize as N
+    from attestor.sources import providers as PV
+
+    class Counting(PV.FixedProvider):
+        def extract(self, request):
+            with open(tmp_path / "asked", "a") as f:
+                f.write("x")
+            return self.response
+
+    units = spark.createDataFrame([("s", f"e{i}", i, f"text {i}") for i in range(20)], "source_id string, evidence_id string, line_start int, text string")
+    good = '{"profiles": [{"source_id": "s", "role": "analysis", "level": "recommended", "authority_rank": 3, "approved": true, "evidence": [{"source_id": "s", "evidence_id": "e1"}]}]}'
+    folder = PV.cache_folder(str(tmp_path), "profiles")
+    for _ in range(2):
+        found = PV.entities_of(PV.answered(units, Counting(good), folder), "profiles")
+        profiles, problems = N.validate_profiles(found, units)
+        assert [(r.role, r.authority_rank) for r in profiles.collect()] == [("analysis", 3)] and [r.code for r in problems.collect()] == ["PRF-INVALID-PROFILE"]
+    assert (tmp_path / "asked").read_text() == "xx" and PV.load_cache(spark, folder).count() == 2  # each batch once
+    assert PV.entities_of(PV.answered(units, PV.FixedProvider("no JSON")), "relations").count() == 0
+    with pytest.raises(ValueError):
+        PV.cache_folder("x", "others")
+
+
 def test_provider_and_cache(spark):
     from pyspark.sql import functions as F
 
