@@ -21,10 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names, which outlives any executor."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attestor-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -44,9 +43,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only without it (tests) a folder of this machine."""
+    """The shared folder that the cluster names in spark.checkpoint.dir, or the checkpoint folder already set. Only where
+    Spark runs on this machine alone (tests) and neither is set, a temporary folder; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="attestor-")
         spark.sparkContext.setCheckpointDir(named)
     return named

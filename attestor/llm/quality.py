@@ -23,6 +23,8 @@ from .common import utf8
 #: Bounds of the samples that the fit takes: positives, and unlabelled rows.
 LABELLED_ROWS, UNLABELLED_ROWS = 12_000, 12_000
 THRESHOLD = 0.3
+#: What the estimated prior is lowered by at most, as a share of it.
+MARGIN = 0.025
 FOLDS, HELD_OUT = 5, 0
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 white space or control, 1 lower, 2 upper, 3 digit, 4 stop, 5 mark, 6 other
@@ -106,8 +108,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     U = prior * P + (1 - prior) * N, so for any set of rows U / P is at least the prior, and near it for a set without
     negatives. The sets are those above a score that tells positives from unlabelled rows, fitted on half of the
     positives and read on the other half, both ways. Each holds 40 to 80 % of the positives, so that its sampling error
-    is small, and of the ratios of these sets the least counts, less twice that error: too high a prior lets negatives pass,
-    while one somewhat low costs little.
+    is small, and of the ratios of these sets the least counts, less twice that error, MARGIN at most: too high a prior lets
+    negatives pass, while one a little low costs nothing, and one far too low rejects positives.
     """
     ratios = []
     for k in range(2):
@@ -122,7 +124,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     ratio, share = np.mean(ratios, axis=0), np.linspace(0.8, 0.4, 9)
     best = int(ratio.argmin())
     error = np.sqrt((1 / share[best] - 1) / len(positive) + (1 / np.clip(ratio[best] * share[best], 1e-3, 1) - 1) / len(unlabelled))
-    return float(np.clip(ratio[best] * (1 - 2 * error), 0.02, 0.98))
+    return float(np.clip(ratio[best] * (1 - min(2 * error, MARGIN)), 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:

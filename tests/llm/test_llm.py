@@ -433,6 +433,25 @@ def test_lcs():
         assert D.lcs_length([x.encode() for x in a], [x.encode() for x in b]) == t[-1][-1]
 
 
+# --- extra columns
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named as what the operators use inside change nothing."""
+    rows = [(i, f"{'word ' * 30}{i} " + "xy " * 40, "s", 1, 2, 3, 4, "p", "q") for i in range(6)] + [(None, None, None, None, None, None, None, None, None)]
+    names = "doc_id long, text string, source string, key int, digest int, fp int, doc int, runs string, component_id string"
+    wide, narrow = spark.createDataFrame(rows, names), spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, "word " * 12, 1, "x")], "item_id long, text string, id int, size string")
+    both = lambda f: [sorted(map(str, f(d).collect())) for d in (wide, narrow)]
+    for f in (lambda d: B.remove_repeats(d).drop("kept"), S.near_duplicates, lambda d: D.leaks(d, bench)):
+        a, b = both(f)
+        assert a == b
+    assert S.keep_first(wide).columns == wide.columns and D.remove_leaks(wide, bench).columns == wide.columns and D.remove_leaks(wide, bench.limit(0)).count() == 7
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], 7, 8) for i in range(60)], "vec_id long, embedding array<float>, rank int, score int")
+    plain = vectors.select("vec_id", "embedding")
+    assert sorted(T.top_k(vectors, vectors.filter("vec_id % 50 = 0")).collect()) == sorted(T.top_k(plain, plain.filter("vec_id % 50 = 0")).collect())
+
+
 # --- licences
 
 
