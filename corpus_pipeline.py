@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm import decontaminate, mixing, quality, sharding, simhash
-from attestor.llm.common import table
+from attestor.llm.common import shared_root, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table. Each result is written as Parquet in the shared checkpoint folder and read
     again as the next stage's input, so a lost executor never costs more than a stage."""
     docs = table(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="attestor-")
-    root = f"{root}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
