@@ -88,7 +88,7 @@ def _link_block(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.nda
         if same:
             a, b = a[b > a], b[b > a]
         for k in range(1, len(PIVOTS)):
-            if not len(a) or k > 8 and len(a) < 256:
+            if not len(a):
                 break
             near = np.abs(table[a, k] - other[b, k]) <= LIMIT
             a, b = a[near], b[near]
