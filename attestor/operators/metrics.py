@@ -43,12 +43,16 @@ def dvaa(claims: DataFrame, harmful: DataFrame, adopted: DataFrame) -> DataFrame
 
 def bootstrap_mean(values: DataFrame, column: str, iterations: int = 2000, seed: int = 1) -> DataFrame:
     """(mean, low, high): 95 % percentile bootstrap by the Poisson scheme: each row counts Poisson(1) times in each of
-    the iterations, drawn from a hash, so no resample is gathered anywhere."""
-    rows = values.select(F.col(column).cast("double").alias("v"), F.xxhash64(*values.columns).alias("k")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    u = (F.pmod(F.xxhash64("k", "i", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    the iterations, drawn from a digest of its other columns and the iteration, so no resample is gathered anywhere.
+    Rows meet their iterations inside the aggregation, which combines in each task: what is shuffled is one row per
+    iteration and task. Null values take no part."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in values.columns if c != column])
+    rows = values.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), key.alias("k")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    draw = F.md5(F.concat_ws("|", "k", F.col("i").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / float(1 << 32)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    n = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = rows.withColumn("n", n).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    n = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    means = rows.withColumn("u", u).withColumn("n", n).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     bounds = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return values.agg(F.avg(column).alias("mean")).crossJoin(bounds)  # two tables of one row each
 

@@ -850,9 +850,15 @@ def wilson(spark, sf_dir):
     return g.select("category", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query()
+_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)  # of Poisson(1)
+
+
+@query(sql(SRC, RETRIEVED, body=f""", d AS (SELECT relevance AS v, i, CAST(('0x' || substr(md5(query_id || '|' || vec_id || '|' || i || '|1'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM retrieved, range(1, 201) t(i))
+, m AS (SELECT i, sum(v * n) / sum(n) AS m FROM (SELECT v, i, {' + '.join(f'CASE WHEN u > {c} THEN 1 ELSE 0 END' for c in _CUTS)} AS n FROM d) GROUP BY i)
+SELECT round((SELECT avg(relevance) FROM retrieved), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m"""))
 def bootstrap_mean(spark, sf_dir):
-    return M.bootstrap_mean(V.retrieved(spark, sf_dir).select("query_id", "vec_id", "relevance"), "relevance", iterations=200)
+    b = M.bootstrap_mean(V.retrieved(spark, sf_dir).select("query_id", "vec_id", "relevance"), "relevance", iterations=200)
+    return b.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("""WITH r AS (SELECT event_type AS s, value AS x, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
