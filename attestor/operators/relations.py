@@ -10,56 +10,79 @@ from ..functions import text as X
 from ..schemas import DIMENSIONS
 from . import claims as CL
 
-#: purpose, source type, source status, kind, position, target type, target status
+#: What the purpose of a dossier requires: purpose, source types, source status, kind, position, target types, target
+#: status, and headings under which source and target say so.
 SLOTS = [
-    ("technical_spec", "specification_amendment", None, "amends", "dominates", "technical_specification", None),
-    ("technical_spec", "test_record", None, "records_execution_of", "non_effective", "specification_amendment", None),
-    ("technical_spec", "technical_draft", None, "proposes_change_to", "non_effective", "technical_specification", None),
-    ("operations", "work_instruction", None, "applies_to", "conditional", "operating_procedure", None),
-    ("operations", "temporary_deviation", None, "exception_to", "conditional", "operating_procedure", None),
-    ("operations", "execution_log", None, "records_execution_of", "non_effective", "temporary_deviation", None),
-    ("incident_change", "incident_report", "closed", "supersedes", "dominates", "incident_report", "open"),
-    ("incident_change", "change_request", None, "derived_from", "non_effective", "incident_report", "closed"),
-    ("incident_change", "release_record", None, "records_execution_of", "non_effective", "change_request", None),
-    ("planning", "analysis", None, "evaluates", "non_effective", "proposal", None),
-    ("planning", "options_analysis", None, "evaluates", "non_effective", "proposal", None),
-    ("planning", "decision_minutes", None, "approves", "non_effective", "implementation_plan", None),
-    ("planning", "implementation_plan", None, "implements_decision", "non_effective", "decision_minutes", None),
-    ("commercial_compliance", "statement_of_work", None, "order_of_precedence", "dominates", "master_agreement", None),
-    ("commercial_compliance", "statement_of_work", None, "order_of_precedence", "dominates", "master_contract", None),
-    ("commercial_compliance", "vendor_proposal", None, "proposes_change_to", "non_effective", "master_agreement", None),
-    ("commercial_compliance", "vendor_proposal", None, "proposes_change_to", "non_effective", "master_contract", None),
-    ("commercial_compliance", "audit_record", None, "records_execution_of", "non_effective", "statement_of_work", None),
-    ("governance", "policy", "current", "supersedes", "dominates", "policy", "superseded"),
-    ("governance", "faq", None, "conflicts_with", "non_effective", "policy", "current"),
-    ("governance", "approval_record", None, "approves", "non_effective", "policy", "current"),
-]
+    ("commercial_compliance", "audit_record", None, "records_execution_of", "non_effective", "statement_of_work", None, "監査対象 評価基準", "個別条件 対象"),
+    ("commercial_compliance", "statement_of_work", None, "order_of_precedence", "dominates", "master_agreement master_contract", None, "優先 個別条件", "優先順位 標準条件"),
+    ("commercial_compliance", "vendor_proposal", None, "proposes_change_to", "non_effective", "master_agreement master_contract", None, "契約状態 提案", "契約対象 標準条件"),
+    ("governance", "approval_record", None, "approves", "non_effective", "policy", "current", "承認対象 決定", "現行規則 目的"),
+    ("governance", "faq", None, "conflicts_with", "non_effective", "policy", "current", "旧案内 更新状況", "現行規則"),
+    ("governance", "policy", "current", "supersedes", "dominates", "policy", "superseded", "旧版の扱い 現行規則", "承認規則 旧版"),
+    ("incident_change", "change_request", None, "derived_from", "non_effective", "incident_report", "closed", "変更理由 変更内容", "確定原因"),
+    ("incident_change", "incident_report", "closed", "supersedes", "dominates", "incident_report", "open", "終結 確定原因", "初報 発生 概要"),
+    ("incident_change", "release_record", None, "records_execution_of", "non_effective", "change_request", None, "実施内容 位置づけ", "承認 変更内容"),
+    ("operations", "execution_log", None, "records_execution_of", "non_effective", "temporary_deviation", None, "位置づけ 実施結果", "適用対象 例外規則"),
+    ("operations", "temporary_deviation", None, "exception_to", "conditional", "operating_procedure", None, "適用対象 例外規則", "例外 対象"),
+    ("operations", "work_instruction", None, "applies_to", "conditional", "operating_procedure", None, "上位手順 実施", "対象 頻度"),
+    ("planning", "analysis options_analysis", None, "evaluates", "non_effective", "proposal", None, "比較対象 評価", "初期案 提案"),
+    ("planning", "decision_minutes", None, "approves", "non_effective", "implementation_plan", None, "決定", "採用方式 実施方式"),
+    ("planning", "implementation_plan", None, "implements_decision", "non_effective", "decision_minutes", None, "採用方式 実施方式", "決定"),
+    ("technical_spec", "specification_amendment", None, "amends", "dominates", "technical_specification", None, "対象条項 変更値", "変更管理 基準値"),
+    ("technical_spec", "technical_draft", None, "proposes_change_to", "non_effective", "technical_specification", None, "検討目的 候補値", "変更管理 基準値"),
+    ("technical_spec", "test_record", None, "records_execution_of", "non_effective", "specification_amendment", None, "試験対象 判定 記録性", "対象条項 変更値"),
+]
+PURPOSES = sorted({s[0] for s in SLOTS})
 
 
 def slot_table(spark) -> DataFrame:
     """The rule table: a fixed few rows, hence broadcast."""
-    return F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(SLOTS)], "rule int, purpose string, source_type string, source_status string, kind string, position string, target_type string, target_status string"))
+    rows = [(i, p, st.split(), ss, kind, pos, tt.split(), ts, sh.split(), th.split()) for i, (p, st, ss, kind, pos, tt, ts, sh, th) in enumerate(SLOTS)]
+    return F.broadcast(spark.createDataFrame(rows, "rule int, purpose string, source_types array<string>, source_status string, kind string, position string, target_types array<string>, target_status string, source_headings array<string>, target_headings array<string>"))
 
 
 def _slot_pairs(docs: DataFrame) -> DataFrame:
-    """Documents (source_id, scenario, purpose, document_type, status, tokens) to every rule's source beside every
-    target of its dossier, with the number of shared scope tokens."""
-    d = docs.select("source_id", "scenario", "purpose", "document_type", "status", "tokens")
-    s = d.join(slot_table(docs.sparkSession), "purpose").filter((F.col("document_type") == F.col("source_type")) & (F.col("source_status").isNull() | (F.col("status") == F.col("source_status"))))
-    t = d.select(F.col("source_id").alias("target_id"), "scenario", "purpose", F.col("document_type").alias("target_type"), F.col("status").alias("t_status"), F.col("tokens").alias("t_tokens"))
-    pairs = s.join(t, ["scenario", "purpose", "target_type"], "left").filter((F.col("target_status").isNull() | (F.col("t_status") == F.col("target_status")) | F.col("target_id").isNull()) & ~F.coalesce(F.col("source_id") == F.col("target_id"), F.lit(False)))
-    return pairs.withColumn("shared", F.coalesce(F.size(F.array_intersect("tokens", "t_tokens")), F.lit(0)))
-
-
-def required_slots(docs: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, position, id): a dossier's only target takes every source; of several, the one that
-    alone shares most scope tokens; else none."""
+    """Documents (source_id, scenario, purpose, document_type, status, tokens; document_id and names, if there) to every
+    rule's source beside every target of its dossier, with the number of shared scope tokens, and whether the source names
+    the target: one of its names (scope values and document ids in its text) is an id that no other target has."""
+    extra = {"document_id": F.lit(None).cast("string"), "names": F.array().cast("array<string>")}
+    docs = docs.withColumns({c: v for c, v in extra.items() if c not in docs.columns})
+    d = docs.select("source_id", "scenario", "purpose", "document_type", "status", "tokens", X.normalized_key(F.col("document_id")).alias("document_id"), "names")
+    s = d.drop("document_id").join(slot_table(docs.sparkSession), "purpose").filter(F.array_contains("source_types", F.col("document_type")) & (F.col("source_status").isNull() | (F.col("status") == F.col("source_status"))))
+    t = d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("t_scenario"), F.col("purpose").alias("t_purpose"), F.col("document_type").alias("target_type"), F.col("status").alias("t_status"), F.col("tokens").alias("t_tokens"), F.col("document_id").alias("t_document"))
+    fits = F.array_contains("target_types", F.col("target_type")) & (F.col("target_status").isNull() | (F.col("t_status") == F.col("target_status"))) & (F.col("source_id") != F.col("target_id"))
+    pairs = s.join(t, (F.col("scenario") == F.col("t_scenario")) & (F.col("purpose") == F.col("t_purpose")) & fits, "left").drop("t_scenario", "t_purpose")
+    alone = F.count("target_id").over(Window.partitionBy("source_id", "rule", "scenario", "t_document")) == 1
+    direct = F.coalesce(F.array_contains("names", F.col("t_document")) & alone, F.lit(False))
+    return pairs.withColumn("direct", direct).withColumn("shared", F.coalesce(F.size(F.array_intersect("tokens", "t_tokens")), F.lit(0)))
+
+
+def _required(docs: DataFrame) -> DataFrame:
     p = _slot_pairs(docs).filter("target_id IS NOT NULL")
     w = Window.partitionBy("source_id", "kind", "scenario", "purpose")
-    p = p.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("best", F.max("shared").over(w))
+    p = p.withColumns({"n": F.count(F.lit(1)).over(w), "best": F.max("shared").over(w), "named": F.sum(F.col("direct").cast("int")).over(w)})
     p = p.withColumn("ties", F.sum((F.col("shared") == F.col("best")).cast("int")).over(w))
-    hit = p.filter("n = 1 OR (shared = best AND best > 0 AND ties = 1)")
-    return hit.select("source_id", "target_id", "kind", "position", F.concat(F.lit("slot_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind", F.lit("required-slot")), 256), 1, 16)).alias("id")).distinct()
+    hit = p.filter("n = 1 OR (named = 1 AND direct) OR (named <> 1 AND shared = best AND best > 0 AND ties = 1)")
+    key = F.concat(F.lit("slot_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind", F.lit("required-slot")), 256), 1, 16))
+    return first_wins(hit.withColumn("id", key), ["source_id", "target_id", "kind"], "rule")
+
+
+def required_slots(docs: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, position, id): a dossier's only target takes every source; of several, the only one
+    that the source names, else the one that alone shares most scope tokens; else none."""
+    return _required(docs).select("source_id", "target_id", "kind", "position", "id")
+
+
+def slot_relations(docs: DataFrame, profiles: DataFrame, units: DataFrame) -> DataFrame:
+    """Required edges as relations: evidence of both ends from under the slot's headings, or from front matter, edges
+    with less being left out; clauses are the first headings, scope and dates the source document's."""
+    e = _required(docs)
+    wanted = e.select("source_id", F.concat(F.lit("s"), "id").alias("slot"), F.col("source_headings").alias("headings")).unionByName(e.select(F.col("target_id").alias("source_id"), F.concat(F.lit("t"), "id").alias("slot"), F.col("target_headings").alias("headings")))
+    found = slot_evidence(wanted, units)
+    side = lambda c: found.filter(F.col("slot").startswith(c)).select(F.substr("slot", F.lit(2)).alias("id"), F.struct("source_id", "evidence_id").alias(f"{c}_ref"))
+    rows = e.join(side("s"), "id").join(side("t"), "id").join(profiles.select("source_id", "scope", "valid_from", "valid_to"), "source_id")
+    first = lambda c: F.slice(c, 1, 1)
+    return rows.select("id", "kind", "position", "source_id", "target_id", first("source_headings").alias("source_clauses"), first("target_headings").alias("target_clauses"), "scope", "valid_from", "valid_to", F.array("s_ref", "t_ref").alias("evidence"))
 
 
 def slot_tokens(scope):
@@ -80,10 +103,13 @@ def slot_evidence(wanted: DataFrame, units: DataFrame) -> DataFrame:
     return best.filter("b IS NOT NULL").select("source_id", "slot", "b.evidence_id")
 
 
-def unresolved_slots(docs: DataFrame) -> DataFrame:
-    """(source_id, purpose, kind, code) of required slots without an edge."""
-    wanted = _slot_pairs(docs).select("source_id", "purpose", "kind").distinct()
-    return wanted.join(required_slots(docs).select("source_id", "kind").distinct(), ["source_id", "kind"], "left_anti").select("source_id", "purpose", "kind", F.lit("REL-UNRESOLVED-REQUIRED-SLOT").alias("code"))
+def unresolved_slots(docs: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """(source_id, purpose, kind, code) of slots whose source has no relation of the kind: none of ``relations``, or
+    without them none that is required. A slot is open whether or not its dossier has a target."""
+    found = required_slots(docs) if relations is None else relations
+    s = docs.select("source_id", "purpose", "document_type", "status").join(slot_table(docs.sparkSession), "purpose")
+    wanted = s.filter(F.array_contains("source_types", F.col("document_type")) & (F.col("source_status").isNull() | (F.col("status") == F.col("source_status")))).select("source_id", "purpose", "kind").distinct()
+    return wanted.join(found.select("source_id", "kind").distinct(), ["source_id", "kind"], "left_anti").select("source_id", "purpose", "kind", F.lit("REL-UNRESOLVED-REQUIRED-SLOT").alias("code"))
 
 
 def slot_fallback_pairs(docs: DataFrame, limit: int = 32) -> DataFrame:
@@ -192,6 +218,9 @@ def refine_stale_guidance(relations: DataFrame, profiles: DataFrame, incompatibl
     return r.withColumn("kind", F.when(hit, "conflicts_with").otherwise(F.col("kind"))).select(*relations.columns)
 
 
+_INCIDENT = {"open_report": "incident_report/open", "closed_report": "incident_report/closed", "change": "change_request", "release": "release_record"}
+
+
 def incident_pivot(docs: DataFrame) -> DataFrame:
     """(scenario, open_report, closed_report, change, release): the last document of each kind in a scenario."""
     t, s = F.col("document_type"), F.col("status")
@@ -199,21 +228,50 @@ def incident_pivot(docs: DataFrame) -> DataFrame:
     return docs.groupBy("scenario").agg(last((t == "incident_report") & (s == "open")).alias("open_report"), last((t == "incident_report") & (s == "closed")).alias("closed_report"), last(t == "change_request").alias("change"), last(t == "release_record").alias("release"))
 
 
-def incident_change(docs: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, position) of complete incident dossiers: the closed report supersedes the open one, the
-    change derives from the closed report, the release records the change's execution."""
-    p = incident_pivot(docs).filter("open_report IS NOT NULL AND closed_report IS NOT NULL AND change IS NOT NULL AND release IS NOT NULL")
-    edge = lambda a, b, kind, pos: F.struct(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("kind"), F.lit(pos).alias("position"))
-    edges = F.array(edge("closed_report", "open_report", "supersedes", "dominates"), edge("change", "closed_report", "derived_from", "non_effective"), edge("release", "change", "records_execution_of", "non_effective"))
-    return p.select(F.explode(edges).alias("e")).select("e.*")
+def incident_change(docs: DataFrame, relations: DataFrame, profiles: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations that stay, relations to add) for incidents, by scenario. Between two of a scenario's incident documents
+    only these relations stay: the closed report supersedes the open one, the release records the change's execution, the
+    change derives from the closed report. In a complete dossier the first two are added where the source's text says so:
+    final and first report and an update; change request and proof of execution; the shortest such unit is the evidence."""
+    kinds = (F.col("document_type") == "incident_report") & F.col("status").isin("open", "closed") | F.col("document_type").isin("change_request", "release_record")
+    d = docs.filter(kinds & F.col("scenario").isNotNull())
+    p = incident_pivot(d)
+    edge = lambda a, b, kind: F.struct(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("kind"))
+    expected = p.select(F.explode(F.array(edge("closed_report", "open_report", "supersedes"), edge("release", "change", "records_execution_of"), edge("change", "closed_report", "derived_from"))).alias("e")).select("e.*").filter("source_id IS NOT NULL AND target_id IS NOT NULL").withColumn("expected", F.lit(True))
+    inside = d.select("source_id", F.col("scenario").alias("__s")).join(d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("__s")), "__s").select("source_id", "target_id").distinct().withColumn("inside", F.lit(True))
+    kept = relations.join(inside, ["source_id", "target_id"], "left").join(expected, ["source_id", "target_id", "kind"], "left").filter("inside IS NULL OR expected").select(*relations.columns)
+    whole = p.filter("open_report IS NOT NULL AND closed_report IS NOT NULL AND change IS NOT NULL AND release IS NOT NULL")
+    says = lambda *words: F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("text"), w))
+    proof = lambda cond: units.filter(cond).groupBy("source_id").agg(F.min(F.struct(F.char_length("text").alias("n"), "line_start", "evidence_id")).alias("u"))
+    closed = whole.select(F.col("closed_report").alias("source_id"), F.col("open_report").alias("target_id"), F.lit("supersedes").alias("kind"), F.lit("dominates").alias("position")).join(proof(says("最終報", "初報", "更新")), "source_id")
+    release = whole.select(F.col("release").alias("source_id"), F.col("change").alias("target_id"), F.lit("records_execution_of").alias("kind"), F.lit("non_effective").alias("position")).join(proof(says("変更申請", "実施証跡")), "source_id")
+    none = F.array().cast("array<string>")
+    made = closed.unionByName(release).join(kept.select("source_id", "target_id", "kind").distinct(), ["source_id", "target_id", "kind"], "left_anti").join(profiles.select("source_id", "scope", "valid_from", "valid_to"), "source_id")
+    key = F.concat(F.lit("coverage_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind"), 256), 1, 16))
+    return kept, made.select(key.alias("id"), "kind", "position", "source_id", "target_id", none.alias("source_clauses"), none.alias("target_clauses"), "scope", "valid_from", "valid_to", F.array(F.struct(F.col("source_id").alias("source_id"), F.col("u.evidence_id").alias("evidence_id"))).alias("evidence"))
 
 
 def slot_shape_filter(relations: DataFrame, docs: DataFrame) -> DataFrame:
-    """Relations without those inside a dossier whose kind and document types no slot of its purpose allows; positions
-    declared in front matter stay."""
-    d = docs.select("source_id", "scenario", "purpose", "document_type")
-    r = relations.join(d, "source_id", "left").join(d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("ts"), F.col("purpose").alias("tp"), F.col("document_type").alias("tt")), "target_id", "left")
-    shapes = slot_table(relations.sparkSession).select("purpose", F.col("source_type").alias("document_type"), "kind", F.col("target_type").alias("tt"), F.lit(True).alias("fits")).distinct()
+    """Relations of documents in dossiers whose purpose has slots stay only inside the dossier: those that a slot
+    requires, and, where none is required of that source and kind, those that fit a slot by types and states. Positions
+    declared in front matter stay, as do relations of other documents."""
+    d = docs.select("source_id", "scenario", "purpose", "document_type", "status")
+    r = relations.join(d, "source_id", "left").join(d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("ts"), F.col("purpose").alias("tp"), F.col("document_type").alias("tt"), F.col("status").alias("t_status")), "target_id", "left")
+    need = required_slots(docs).select("source_id", "target_id", "kind").distinct()
+    shapes = slot_table(relations.sparkSession).select("purpose", "kind", "source_types", "source_status", "target_types", "target_status")
+    state = lambda want, have: F.col(want).isNull() | F.coalesce(F.col(want) == F.col(have), F.lit(False))
+    shaped = r.join(shapes, ["purpose", "kind"]).filter(F.array_contains("source_types", F.col("document_type")) & F.array_contains("target_types", F.col("tt")) & state("source_status", "status") & state("target_status", "t_status"))
+    r = r.join(shaped.select("id", F.lit(True).alias("fits")).distinct(), "id", "left").join(need.withColumn("wanted", F.lit(True)), ["source_id", "target_id", "kind"], "left").join(need.select("source_id", "kind", F.lit(True).alias("other")).distinct(), ["source_id", "kind"], "left")
+    free = F.col("id").startswith("position_") | ~F.coalesce(F.col("purpose").isin(*PURPOSES), F.lit(False))
     inside = F.coalesce((F.col("scenario") == F.col("ts")) & (F.col("purpose") == F.col("tp")), F.lit(False))
-    r = r.join(shapes, ["purpose", "document_type", "kind", "tt"], "left")
-    return r.filter(~inside | F.col("fits") | F.col("id").startswith("position_")).select(*relations.columns)
+    return r.filter(free | inside & (F.col("wanted").isNotNull() | F.col("other").isNull() & F.col("fits").isNotNull())).select(*relations.columns)
+
+
+def slot_dedup(relations: DataFrame, docs: DataFrame) -> DataFrame:
+    """One relation of a kind between two documents, the first by id, where the source's dossier has a slot of that kind;
+    others, and positions declared in front matter, stay as they are."""
+    slots = slot_table(relations.sparkSession).select("purpose", "kind", F.lit(True).alias("slotted")).distinct()
+    r = relations.join(docs.select("source_id", "purpose"), "source_id", "left").join(slots, ["purpose", "kind"], "left")
+    single = F.col("slotted").isNotNull() & ~F.col("id").startswith("position_")
+    n = F.row_number().over(Window.partitionBy("source_id", "target_id", "kind", single).orderBy("id"))
+    return r.withColumn("n", n).filter(~single | (F.col("n") == 1)).select(*relations.columns)

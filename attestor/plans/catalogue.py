@@ -723,12 +723,28 @@ def claim_pair_join(spark, sf_dir):
 
 
 @query(sql(SRC, body=""", d AS (SELECT lang || '/' || (doc_id // 200) AS sc, source_id, doc_id, doc_id % 4 AS k FROM src)
-, p AS (SELECT sc, arg_max(source_id, doc_id) FILTER (k = 0) AS o, arg_max(source_id, doc_id) FILTER (k = 1) AS c, arg_max(source_id, doc_id) FILTER (k = 2) AS ch, arg_max(source_id, doc_id) FILTER (k = 3) AS r FROM d GROUP BY sc), q AS (SELECT * FROM p WHERE o IS NOT NULL AND c IS NOT NULL AND ch IS NOT NULL AND r IS NOT NULL)
-SELECT c AS source_id, o AS target_id, 'supersedes' AS kind, 'dominates' AS position FROM q UNION ALL SELECT ch, c, 'derived_from', 'non_effective' FROM q UNION ALL SELECT r, ch, 'records_execution_of', 'non_effective' FROM q"""))
-def incident_change(spark, sf_dir):
+SELECT sc AS scenario, arg_max(source_id, doc_id) FILTER (k = 0) AS open_report, arg_max(source_id, doc_id) FILTER (k = 1) AS closed_report, arg_max(source_id, doc_id) FILTER (k = 2) AS change, arg_max(source_id, doc_id) FILTER (k = 3) AS release FROM d GROUP BY sc"""))
+def incident_pivot(spark, sf_dir):
     k = F.col("doc_id")
     d = V.sources(spark, sf_dir).select("source_id", F.concat_ws("/", "lang", F.floor(k / 200).cast("string")).alias("scenario"), V._pick(("incident_report", "incident_report", "change_request", "release_record"), k).alias("document_type"), V._pick(("open", "closed", "x", "x"), k).alias("status"), k.alias("ordinal"))
-    return R.incident_change(d)
+    return R.incident_pivot(d)
+
+
+@query(FX.values(FX.INCIDENT_EDGES, "kind, source_id, target_id, evidence"))
+def incident_change(spark, sf_dir):
+    kept, added = R.incident_change(*FX.incident(spark))
+    return kept.unionByName(added).select("kind", "source_id", "target_id", F.array_join(F.col("evidence.evidence_id"), ",").alias("evidence"))
+
+
+@query(FX.values(FX.DOSSIER_SLOTS, "source_id, target_id, kind"))
+def named_slots(spark, sf_dir):
+    return R.required_slots(FX.dossier(spark)[0]).select("source_id", "target_id", "kind")
+
+
+@query(FX.values(FX.DOSSIER_KEPT, "id"))
+def dossier_shapes(spark, sf_dir):
+    docs, relations = FX.dossier(spark)
+    return R.slot_dedup(R.slot_shape_filter(relations, docs), docs).select("id")
 
 
 @query(sql(SRC, PROF, REL, body="""SELECT r.id, CASE WHEN r.kind = 'operational_position' AND position = 'non_effective' AND s.role = 'communication' AND t.role = 'normative' AND t.approved AND r.doc_id % 2 = 0 THEN 'conflicts_with' ELSE r.kind END AS kind
@@ -739,7 +755,9 @@ def refine_stale_guidance(spark, sf_dir):
     return R.refine_stale_guidance(r, V.profiles(spark, sf_dir), r.filter("doc_id % 2 = 0").select("source_id", "target_id")).select("id", "kind")
 
 
-@query(sql(SRC, REL, body=_SLOT_DOCS + """SELECT r.id FROM rel r JOIN sd s ON s.source_id = r.source_id JOIN sd t ON t.source_id = r.target_id WHERE s.scenario <> t.scenario OR (s.dt, r.kind, t.dt) IN (('specification_amendment', 'amends', 'technical_specification'), ('test_record', 'records_execution_of', 'specification_amendment'), ('technical_draft', 'proposes_change_to', 'technical_specification'))"""))
+@query(sql(SRC, REL, body=_SLOT_DOCS + """SELECT r.id FROM rel r JOIN sd s ON s.source_id = r.source_id JOIN sd t ON t.source_id = r.target_id WHERE s.scenario = t.scenario
+  AND ((r.source_id, r.target_id, r.kind) IN (SELECT (source_id, target_id, kind) FROM hit) OR (r.source_id, r.kind) NOT IN (SELECT (source_id, kind) FROM hit)
+    AND (s.dt, r.kind, t.dt) IN (('specification_amendment', 'amends', 'technical_specification'), ('test_record', 'records_execution_of', 'specification_amendment'), ('technical_draft', 'proposes_change_to', 'technical_specification')))"""))
 def slot_shape_filter(spark, sf_dir):
     return R.slot_shape_filter(V.relations(spark, sf_dir), _slot_docs(spark, sf_dir)).select("id")
 

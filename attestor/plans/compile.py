@@ -29,7 +29,7 @@ from ..operators import packets as P
 from ..operators import parse as PA
 from ..operators import relations as R
 from ..operators import rerank as RR
-from ..schemas import CLAIM, SCHEMA_VERSION
+from ..schemas import CLAIM, DIMENSIONS, SCHEMA_VERSION
 from ..sources import scan as SC
 from ..sources.tables import materialise
 from ..sources.workspace import Workspace, WorkspaceError, content_hash, publish, staging, table_hash
@@ -192,8 +192,8 @@ def _bare(edges: DataFrame, docs: DataFrame, units: DataFrame) -> DataFrame:
 
 def derive_relations(profiles: DataFrame, units: DataFrame, claims: DataFrame, extracted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(relations, candidate edges, unresolved slots): extracted relations and positions of front matter; stale guidance
-    refined; coverage of document families; incident changes and required slots; of relations inside a dossier those that
-    its purpose allows; one of each kind between two documents, the first by id, sorted by id."""
+    refined; coverage of document families; incident changes; of relations of a dossier those that its purpose allows,
+    one of a kind between two documents; and the slots that it requires."""
     graph = materialise(C.candidate_graph(postings(units, profiles, claims)))
     pos = R.front_matter_positions(profiles.select("source_id", "position", "position_target_document_id", "position_target_revision"), profiles.withColumn("ordinal", F.col("source_id")))
     first = _bare(pos.select("id", "kind", "position", "source_id", "target_id"), profiles, units)
@@ -203,15 +203,18 @@ def derive_relations(profiles: DataFrame, units: DataFrame, claims: DataFrame, e
     ends = first.select("source_id", "target_id")
     refined = R.refine_stale_guidance(first, profiles, R.claim_pairs(ends, claims, False))
     covered = materialise(CV.family_coverage(materialise(refined), profiles, claims, units, materialise(CV.coverage_pairs(graph, first))))
-    tail = F.concat_ws(":", "source_id", "target_id", "kind")
-    docs = profiles.filter("scenario IS NOT NULL AND purpose IS NOT NULL").select("source_id", "scenario", "purpose", "document_type", "status", R.slot_tokens(F.col("scope")).alias("tokens"), F.col("source_id").alias("ordinal"))
-    docs = materialise(docs)
-    incident = R.incident_change(docs.filter("purpose = 'incident_change'")).withColumn("id", F.concat(F.lit("incident_"), F.substring(F.sha2(tail, 256), 1, 16)))
-    slots = R.required_slots(docs)
-    made = _bare(incident.select("id", "kind", "position", "source_id", "target_id").unionByName(slots.select("id", "kind", "position", "source_id", "target_id")), profiles, units)
-    shaped = R.slot_shape_filter(covered.unionByName(made), docs)
-    relations = R.first_wins(shaped, ["source_id", "target_id", "kind"], "id")
-    return relations, graph, R.unresolved_slots(docs)
+    names = F.concat(*[F.transform(S.dim(F.col("scope"), d), X.normalized_key) for d in DIMENSIONS])
+    told = C.body_references(units.filter("kind <> 'metadata'"), profiles).join(profiles.select(F.col("source_id").alias("target_id"), X.normalized_key(F.col("document_id")).alias("d")), "target_id").groupBy("source_id").agg(F.collect_set("d").alias("told"))
+    docs = profiles.filter("scenario IS NOT NULL AND purpose IS NOT NULL").join(told, "source_id", "left")
+    docs = materialise(docs.select("source_id", "scenario", "purpose", "document_type", F.coalesce("status", F.lit("")).alias("status"), R.slot_tokens(F.col("scope")).alias("tokens"), "document_id", F.concat(names, F.coalesce("told", F.array().cast("array<string>"))).alias("names"), F.col("source_id").alias("ordinal")))
+    incidents = profiles.filter("scenario IS NOT NULL").select("source_id", "scenario", "document_type", F.coalesce("status", F.lit("")).alias("status"), F.col("source_id").alias("ordinal"))
+    covered, added = R.incident_change(incidents, covered, profiles, units)
+    shaped = R.slot_dedup(R.slot_shape_filter(materialise(covered.unionByName(added)), docs), docs)
+    shaped = materialise(shaped)
+    slots = R.slot_relations(docs, profiles, units).join(shaped.select("source_id", "target_id", "kind").distinct(), ["source_id", "target_id", "kind"], "left_anti").select(*shaped.columns)
+    relations = materialise(shaped.unionByName(slots))
+    asked = profiles.filter("purpose IS NOT NULL").select("source_id", "purpose", "document_type", F.coalesce("status", F.lit("")).alias("status"))
+    return relations, graph, R.unresolved_slots(asked, relations)
 
 
 def build(spark: SparkSession, units: DataFrame, intent: Intent, output: str | Path, extract: Callable[[DataFrame], DataFrame] | None = None, profiles: DataFrame | None = None, relations: DataFrame | None = None, settings: CorpusSettings | None = None, sources: DataFrame | None = None, refresh: bool = False) -> dict:

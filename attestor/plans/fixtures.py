@@ -200,3 +200,36 @@ JUDGED = [
 def candidate_relations(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rows = spark.createDataFrame([(*c[:7], _refs(c[7])) for c in CANDIDATES], f"ordinal int, id string, kind string, source_id string, target_id string, source_clauses array<string>, target_clauses array<string>, evidence {_REF}")
     return rows, spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "b"), ("b", "ghost")], "a string, b string")
+
+
+#: An incident: source, type, status, scenario; units (source, line, text); relations before; and what comes of them
+INCIDENT = [("old", "incident_report", "open", "x"), ("open", "incident_report", "open", "x"), ("shut", "incident_report", "closed", "x"), ("change", "change_request", "", "x"), ("release", "release_record", "", "x"), ("half", "incident_report", "closed", "y"), ("start", "incident_report", "open", "y"), ("rule", "policy", "current", "x")]
+INCIDENT_UNITS = [("shut", 1, "最終報として初報の内容を更新し、全体を改める"), ("shut", 2, "最終報で初報を更新する"), ("shut", 3, "初報を更新する"), ("release", 1, "変更申請と実施証跡"), ("half", 1, "最終報で初報を更新する"), ("change", 1, "変更申請")]
+INCIDENT_RELATIONS = [("1", "supersedes", "shut", "old"), ("2", "derived_from", "change", "shut"), ("3", "conflicts_with", "open", "shut"), ("4", "applies_to", "rule", "open"), ("5", "supersedes", "shut", "half")]
+INCIDENT_EDGES = [("derived_from", "change", "shut", ""), ("applies_to", "rule", "open", ""), ("supersedes", "shut", "half", ""), ("supersedes", "shut", "open", "shut/2"), ("records_execution_of", "release", "change", "release/1")]
+
+
+def incident(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    docs = spark.createDataFrame([(*d, n) for n, d in enumerate(INCIDENT)], "source_id string, document_type string, status string, scenario string, ordinal int")
+    units = spark.createDataFrame([(s, f"{s}/{n}", n, t) for s, n, t in INCIDENT_UNITS], "source_id string, evidence_id string, line_start int, text string")
+    r = spark.createDataFrame(INCIDENT_RELATIONS, "id string, kind string, source_id string, target_id string").withColumns({"position": F.lit("unresolved"), "source_clauses": empty, "target_clauses": empty, "scope": S.scope_of(), "valid_from": none, "valid_to": none, "evidence": F.array().cast(_REF)})
+    return docs, r, docs.select("source_id").withColumns({"scope": S.scope_of(), "valid_from": none, "valid_to": none}), units
+
+
+#: Dossiers: source, purpose, type, status, document id, names that it tells, tokens; and relations (id, kind, source, target)
+DOSSIER = [
+    ("rule1", "governance", "policy", "current", "P-1", [], ["a"]), ("rule2", "governance", "policy", "current", "P-2", [], ["a", "b"]), ("past", "governance", "policy", "superseded", "P-0", [], []), ("faq", "governance", "faq", "", "F", ["p-1"], ["a", "b"]),
+    ("note", "governance", "approval_record", "", "N", [], ["a", "b"]), ("lone", "governance", "approval_record", "", "L", [], ["z"]), ("plan", "planning", "implementation_plan", "", "I", [], []), ("other", "reading", "policy", "current", "O", [], []),
+]
+DOSSIER_RELATIONS = [
+    ("1", "conflicts_with", "faq", "rule1"), ("2", "conflicts_with", "faq", "rule2"), ("3", "approves", "note", "rule2"), ("3b", "approves", "note", "rule2"), ("4", "approves", "lone", "rule1"), ("5", "approves", "lone", "past"), ("6", "evaluates", "note", "rule1"), ("7", "approves", "note", "plan"), ("position_8", "amends", "note", "plan"),
+    ("9", "amends", "other", "rule1"), ("9b", "amends", "other", "rule1"), ("10", "supersedes", "rule1", "past"), ("11", "supersedes", "rule2", "rule1"), ("12", "implements_decision", "plan", "note"),
+]
+DOSSIER_KEPT = [("1",), ("3",), ("4",), ("position_8",), ("9",), ("9b",), ("10",)]
+DOSSIER_SLOTS = [("faq", "rule1", "conflicts_with"), ("note", "rule2", "approves"), ("rule1", "past", "supersedes"), ("rule2", "past", "supersedes")]
+
+
+def dossier(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    docs = spark.createDataFrame(DOSSIER, "source_id string, purpose string, document_type string, status string, document_id string, names array<string>, tokens array<string>").withColumn("scenario", F.lit("s"))
+    return docs, spark.createDataFrame(DOSSIER_RELATIONS, "id string, kind string, source_id string, target_id string")

@@ -101,7 +101,10 @@ def test_compile(spark, built):
     # two objects in one slot: the record does not rule
     (conflict,) = t("conflicts").collect()
     assert (conflict.kind, conflict.status, conflict.winner) == ("explicit_override", "resolved", claims[ids["B"]].id)
-    assert t("packets").count() == 1 and one["status"] == "completed" and "board" in (base / "one" / "retrieval_profile.yaml").read_text()
+    # the policy has no superseded version beside it, so the slot for it stays open
+    assert [(r.code, r.target) for r in t("diagnostics").collect()] == [("REL-UNRESOLVED-REQUIRED-SLOT", ids["B"])] and one["status"] == "completed_with_warnings"
+    assert [[e.source_id for e in r.evidence] for r in t("relations").collect()] == [[ids["A"], ids["B"]]]
+    assert t("packets").count() == 1 and "board" in (base / "one" / "retrieval_profile.yaml").read_text()
     with pytest.raises(WorkspaceError):
         C.build(spark, t("units"), C.Intent("Bad Id", "", [], [], []), base / "two")
 
@@ -111,8 +114,8 @@ def test_recompile_export_and_delta(spark, built):
     two = C.recompile(spark, one["path"], C.load_intent(base / "intent.yaml"), base / "again")
     assert two["status"] == one["status"] and {k: v for k, v in two["metrics"].items() if k != "duration_ms"} == {k: v for k, v in one["metrics"].items() if k != "duration_ms"}
     n = C.export_jsonl(spark, one["path"], str(base / "out"))
-    assert n == spark.read.parquet(f"{one['path']}/evidence").count() + 1
-    assert C.report(spark, one["path"])["diagnostics"] == []
+    assert n == spark.read.parquet(f"{one['path']}/evidence").count() + 2  # a packet and a diagnostic
+    assert [d["count"] for d in C.report(spark, one["path"])["diagnostics"]] == [1]
     row = C.export_delta(spark, one["path"], two["path"], str(base / "delta"))
     assert row["deletes"] == 0 and row["unchanged"] > 0
 
