@@ -31,6 +31,14 @@ def candidate_graph(postings: DataFrame, per_source: int = PER_SOURCE) -> DataFr
     return top.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "weight").distinct()
 
 
+def dossier_keys(sources: DataFrame) -> DataFrame:
+    """(source_id, dossier) of sources (source_id, path; scenario and purpose of their front matter, null if there is
+    none): scenario and purpose, or scenario alone, else the folder, else the source itself."""
+    folder = F.regexp_extract(F.translate("path", "\\", "/"), r"^(.+)/[^/]*$", 1)
+    named = F.when(F.col("scenario").isNotNull(), F.concat_ws(":", F.lit("scenario"), "scenario", F.when(F.col("purpose").isNotNull(), F.concat(F.lit("purpose:"), "purpose"))))
+    return sources.select("source_id", F.coalesce(named, F.when(folder != "", F.concat(F.lit("path:"), folder)), F.concat(F.lit("source:"), "source_id")).alias("dossier"))
+
+
 def dossier_plan(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(dossier, a, b): all pairs of dossiers of at most DOSSIER_DOCS documents, else their candidate edges; edges
     across dossiers only where an end is in none (dossier null)."""

@@ -980,3 +980,75 @@ def structured_evidence(spark, sf_dir):
     e = spark.createDataFrame([("s", i, t, h) for i, h, t in _CAUSES] + [("t", "e7", "他", ["原因"]), ("s", "e9", "始", [])], "source_id string, evidence_id string, text string, heading_path array<string>")
     c = spark.createDataFrame([(i, p, [("s", "e9")]) for i, p in (("1", "incident_cause"), ("2", "temporary_remediation"), ("3", "permanent_remediation"), ("4", "other"))], "id string, predicate string, evidence array<struct<source_id:string,evidence_id:string>>")
     return CL.structured_evidence(c, e).select("id", F.array_join(F.array_sort(F.col("evidence.evidence_id")), ",").alias("evidence"))
+
+
+@query(FX.values([("a", "scenario:x:purpose:p"), ("b", "scenario:x"), ("c", "path:docs/sub"), ("d", "source:d"), ("e", "path:docs")], "source_id, dossier"))
+def dossier_keys(spark, sf_dir):
+    rows = [("a", "docs/a.md", "x", "p"), ("b", "docs/b.md", "x", None), ("c", "docs/sub/c.md", None, "p"), ("d", "d.md", None, None), ("e", "docs\\e.md", None, None)]
+    return C.dossier_keys(spark.createDataFrame(rows, "source_id string, path string, scenario string, purpose string"))
+
+
+_TEXTS = [(1, " a ", None, "a"), (2, None, "b ", "b"), (3, "a", " a", "a"), (4, "a", "b", "a; b"), (5, " ", None, None), (6, "null", "x", "null; x")]
+
+
+@query(FX.values([(1, "a", "a"), (2, "b", None), (3, "a", "a"), (4, "a; b", "a"), (5, None, None), (6, "null; x", None)], "id, condition, text"))
+def conditions(spark, sf_dir):
+    d = spark.createDataFrame([t[:3] for t in _TEXTS], "id int, a string, b string")
+    return d.select("id", X.append_condition(F.col("a"), F.col("b")).alias("condition"), X.blank_to_null(F.col("a")).alias("text"))
+
+
+@query(FX.values([("\\\\?\\C:\\docs\\a.md", "C:/docs/a.md"), ("a/./b//c.md", "a/b/c.md"), ("x.md", "x.md")], "raw, path"))
+def normalize_path(spark, sf_dir):
+    return spark.createDataFrame([("\\\\?\\C:\\docs\\a.md",), ("a/./b//c.md",), ("x.md",)], "raw string").select("raw", X.normalize_path(F.col("raw")).alias("path"))
+
+
+@query(sql(SRC, REL, body="SELECT kind, min(id) AS id FROM rel GROUP BY kind"))
+def first_wins_dedup(spark, sf_dir):
+    return R.first_wins(V.relations(spark, sf_dir).select("kind", "id"), ["kind"], "id")
+
+
+@query(FX.values([("p1", "relations: r1, r2\n[verifier] v\n[excluded] \n[governing] g1\n[governing] g2")], "id, text"))
+def render_packets(spark, sf_dir):
+    p = spark.createDataFrame([("p1", ["r1", "r2"], [("a", "governing", ["e1", "e2"]), ("v", "verifier", ["e3"]), ("0", "excluded", [])])], "id string, relation_ids array<string>, materials array<struct<source_id:string,role:string,evidence_ids:array<string>>>")
+    return P.render(p, spark.createDataFrame([("e1", "g1"), ("e2", "g2"), ("e3", "v")], "evidence_id string, text string"))
+
+
+@query(sql(SRC, RETRIEVED, body=f""", d AS (SELECT relevance - round(relevance * relevance, 9) AS v, i, CAST(('0x' || substr(md5(query_id || '|' || vec_id || '|' || i || '|1'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM retrieved, range(1, 101) t(i))
+, m AS (SELECT i, sum(v * n) / sum(n) AS m FROM (SELECT v, i, {' + '.join(f'CASE WHEN u > {c} THEN 1 ELSE 0 END' for c in _CUTS)} AS n FROM d) GROUP BY i)
+SELECT round((SELECT avg(relevance - round(relevance * relevance, 9)) FROM retrieved), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m"""))
+def paired_bootstrap(spark, sf_dir):
+    r = V.retrieved(spark, sf_dir).select("query_id", "vec_id", "relevance", F.round(F.col("relevance") * F.col("relevance"), 9).alias("other"))
+    return M.paired_bootstrap(r, "relevance", "other", iterations=100).select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(sql(SRC, body="SELECT 'unit:' || source_id AS id, content_hash AS payload FROM src WHERE doc_id % 3 = 0"))
+def apply_delta(spark, sf_dir):
+    s = V.sources(spark, sf_dir).select(F.concat(F.lit("unit:"), "source_id").alias("id"), F.col("content_hash").alias("payload"), "doc_id")
+    old = s.filter("doc_id % 2 = 0").select("id", F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.col("payload")).alias("payload"))
+    new = s.filter("doc_id % 3 = 0").select("id", "payload")
+    return EX.apply_delta(old, EX.delta(old, new))
+
+
+@query(sql(SRC, MD, body=_MD_UNITS + "SELECT source_id, count(*) AS units FROM unit GROUP BY source_id"))
+def rendered_markdown(spark, sf_dir):
+    r = PA.render_markdown(PA.parse_markdown(V.markdown(spark, sf_dir)))
+    heads = F.regexp_extract_all("markdown", F.lit(r"(?m)^(## [a-z]+ \[[0-9]+-[0-9]+\])$"), F.lit(1))
+    return r.select("source_id", F.size(heads).cast("long").alias("units"))
+
+
+@query(sql(SRC, body="SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'r' || doc_id END AS response FROM src"))
+def cache_lookup(spark, sf_dir):
+    from ..sources.workspace import cache_lookup as lookup
+
+    asked = V.sources(spark, sf_dir).select(F.concat(F.lit("k"), "doc_id").alias("key"), "doc_id")
+    kept = asked.filter("doc_id % 3 = 0").select("key", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("version"), F.concat(F.lit("r"), "doc_id").alias("response"))
+    hits, misses = lookup(asked.select("key"), kept, 1)
+    return hits.select("key", "response").unionByName(misses.select("key", F.lit(None).cast("string").alias("response")))
+
+
+@query(FX.values([("ok", "", False), ("bad", "id_invalid,goal_required,users_required,tasks_blank,questions_repeated", False), ("list", "", True)], "name, problems, checklist"))
+def intents(spark, sf_dir):
+    from .compile import Intent
+
+    made = [("ok", Intent("review", "goal", ["u"], ["t"], ["q"])), ("bad", Intent("Bad", " ", [], ["t", " "], ["q", "q"])), ("list", Intent("r-1", "リリース前の確認", ["u"], ["t"], ["q"]))]
+    return spark.createDataFrame([(n, ",".join(i.validate()), i.wants_checklist()) for n, i in made], "name string, problems string, checklist boolean")

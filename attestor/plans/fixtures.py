@@ -66,6 +66,17 @@ CASES = {
     "official_record_without_copy": ("record", [], [("a", "record", True, True, 1), ("b", "record", True, None, 3)], []),
     "copy_of_official": ("normative", [], [("a", "normative", True, False, 1), ("b", "normative", True, True, 2)], [("derived_from", "non_effective", "a", "b", [], None)]),
     "copy_of_historical": ("normative", [], [("a", "normative", True, False, 1), ("b", "normative", True, True, 2), ("c", "normative", True, None, 1)], [("supersedes", "dominates", "c", "b", [], None), ("derived_from", "non_effective", "a", "b", [], None)]),
+    "dominates": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('operational_position', 'dominates', 'a', 'b', [], None)]),
+    "conditional": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('operational_position', 'conditional', 'a', 'b', [], None)]),
+    "non_effective": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('operational_position', 'non_effective', 'a', 'b', [], None)]),
+    "evaluates": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('evaluates', 'unresolved', 'a', 'b', [], None)]),
+    "approves": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('approves', 'unresolved', 'a', 'b', [], None)]),
+    "implements_decision": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('implements_decision', 'unresolved', 'a', 'b', [], None)]),
+    "conflicts_with": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('conflicts_with', 'unresolved', 'a', 'b', [], None)]),
+    "derived_from_other": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('derived_from', 'non_effective', 'a', 'b', [], None)]),
+    "applies_to": ("normative", [], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('applies_to', 'conditional', 'a', 'b', [], None)]),
+    "precedence_other_clause": ("normative", ['c9'], [('a', 'normative', True, None, 1), ('b', 'normative', True, None, 2)], [('order_of_precedence', 'dominates', 'a', 'b', ['c1'], None)]),
+    "supersedes_other_role": ("normative", [], [('a', 'instruction', True, None, 1), ('b', 'normative', True, None, 2)], [('supersedes', 'dominates', 'a', 'b', [], None)]),
     "records_execution": ("instruction", [], [("a", "record", True, None, 1), ("b", "instruction", True, None, 2)], [("records_execution_of", "non_effective", "a", "b", [], None)]),
 }
 #: case, candidate, disposition, reasons behind those of the filters, relation path
@@ -81,6 +92,7 @@ OUTCOMES = [
     ("official_record", "a", "execution_record", "", ""), ("official_record", "b", "canonical", "official_record", ""), ("official_record", "c", "excluded", "non_official_copy", ""), ("official_record_tie", "a", "canonical", "official_record", ""), ("official_record_tie", "b", "execution_record", "", ""),
     ("official_record_tie", "c", "excluded", "non_official_copy", ""), ("official_record_not_asked", "a", "execution_record", "", ""), ("official_record_not_asked", "c", "execution_record", "", ""), ("official_record_without_copy", "a", "execution_record", "", ""), ("official_record_without_copy", "b", "execution_record", "", ""),
     ("copy_of_official", "a", "excluded", "non_official_copy", "1"), ("copy_of_official", "b", "canonical", "official_record", "1"), ("copy_of_historical", "a", "excluded", "non_official_copy", "2"), ("copy_of_historical", "b", "historical", "superseded", "1,2"), ("copy_of_historical", "c", "canonical", "superseded", "1"),
+    ('dominates', 'a', 'canonical', 'contract_precedence', '1'), ('dominates', 'b', 'reference', 'contract_precedence', '1'), ('conditional', 'a', 'instance_exception', 'applicable_exception', '1'), ('conditional', 'b', 'canonical', 'applicable_exception', '1'), ('non_effective', 'a', 'excluded', 'not_approved', '1'), ('non_effective', 'b', 'canonical', '', '1'), ('evaluates', 'a', 'reference', '', '1'), ('evaluates', 'b', 'canonical', '', '1'), ('approves', 'a', 'reference', '', '1'), ('approves', 'b', 'canonical', '', '1'), ('implements_decision', 'a', 'reference', '', '1'), ('implements_decision', 'b', 'canonical', '', '1'), ('conflicts_with', 'a', 'reference', '', '1'), ('conflicts_with', 'b', 'canonical', '', '1'), ('derived_from_other', 'a', 'reference', '', '1'), ('derived_from_other', 'b', 'canonical', '', '1'), ('applies_to', 'a', 'canonical', '', '1'), ('applies_to', 'b', 'canonical', '', ''), ('precedence_other_clause', 'a', 'reference', 'contract_precedence', ''), ('precedence_other_clause', 'b', 'canonical', '', ''), ('supersedes_other_role', 'a', 'reference', 'superseded', '1'), ('supersedes_other_role', 'b', 'historical', 'superseded', '1'),
     ("records_execution", "a", "execution_record", "execution_evidence", "1"), ("records_execution", "b", "canonical", "", ""),
 ]
 

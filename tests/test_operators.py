@@ -107,3 +107,15 @@ def test_suffix_subjects_conflict(spark):
 def test_greedy_batches(spark):
     e = spark.createDataFrame([("d", f"a{i:02}", f"b{i:02}") for i in range(20)], "dossier string, a string, b string")
     assert [r.n for r in C.bounded_batches(e).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [6, 6, 6, 2]
+
+
+@pytest.mark.parametrize(("documents", "edges"), [(320, 4960), (5000, 77404)])
+def test_candidate_edges_stay_linear(spark, documents, edges):
+    """Scopes of 32 documents each: all pairs inside them, and no others."""
+    p = spark.range(documents).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source_id"), F.lit("scope").alias("key_kind"), F.floor(F.col("id") / 32).cast("string").alias("key"))
+    assert C.candidate_graph(p).count() == edges
+
+
+def test_a_common_scope_makes_no_edges(spark):
+    p = spark.range(100).select(F.col("id").cast("string").alias("source_id"), F.lit("scope").alias("key_kind"), F.lit("all").alias("key"))
+    assert C.candidate_graph(p).count() == 0
