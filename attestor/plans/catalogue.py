@@ -22,6 +22,7 @@ from ..operators import parse as PA
 from ..operators import relations as R
 from ..operators import rerank as RR
 from ..operators import resolve as RE
+from ..sources import providers as PV
 from ..sources import scan as SC
 from . import fixtures as FX
 from . import views as V
@@ -1052,3 +1053,21 @@ def intents(spark, sf_dir):
 
     made = [("ok", Intent("review", "goal", ["u"], ["t"], ["q"])), ("bad", Intent("Bad", " ", [], ["t", " "], ["q", "q"])), ("list", Intent("r-1", "リリース前の確認", ["u"], ["t"], ["q"]))]
     return spark.createDataFrame([(n, ",".join(i.validate()), i.wants_checklist()) for n, i in made], "name string, problems string, checklist boolean")
+
+
+@query(sql(SRC, LINES, body="""SELECT 'linear' AS strategy, source_id AS batch_id, CAST(least(8, count(*)) AS BIGINT) AS units FROM lines GROUP BY source_id
+UNION ALL SELECT 'dossier', d || ':' || p, CAST(sum(n) AS BIGINT) FROM (SELECT lang AS d, (row_number() OVER (PARTITION BY lang ORDER BY source_id) - 1) // 12 AS p, source_id FROM src) JOIN (SELECT source_id, least(8, count(*)) AS n FROM lines GROUP BY source_id) USING (source_id) GROUP BY d, p"""))
+def profile_requests(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    u = PA.evidence_lines(s).withColumn("heading_path", F.array().cast("array<string>"))
+    size = F.size(F.from_json("request", "array<struct<evidence_id:string>>")).cast("long").alias("units")
+    made = lambda name, *more: PV.profile_requests(u, "fixed", name, *more).select(F.lit(name).alias("strategy"), "batch_id", size)
+    return made("linear").unionByName(made("dossier", s.select("source_id", F.col("lang").alias("dossier"))))
+
+
+@query(sql(SRC, REL, LINES, body=""", e AS (SELECT DISTINCT lang AS d, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM rel JOIN src USING (source_id)), c AS (SELECT d, a, b, (row_number() OVER (PARTITION BY d ORDER BY a, b) - 1) // 8 AS k FROM e)
+, s AS (SELECT DISTINCT d, k, unnest([a, b]) AS source_id FROM c) SELECT d || ':' || k AS batch_id, CAST(sum(n) AS BIGINT) AS units FROM s JOIN (SELECT source_id, least(3, count(*)) AS n FROM lines GROUP BY source_id) USING (source_id) GROUP BY d, k"""))
+def relation_requests(spark, sf_dir):
+    u = PA.evidence_lines(V.sources(spark, sf_dir)).withColumn("heading_path", F.array().cast("array<string>"))
+    e = V.relations(spark, sf_dir).join(V.sources(spark, sf_dir).select("source_id", "lang"), "source_id").select(F.col("lang").alias("dossier"), F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    return PV.relation_requests(e, u, "fixed").select("batch_id", F.size(F.from_json("request", "array<struct<evidence_id:string>>")).cast("long").alias("units"))

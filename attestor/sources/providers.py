@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,8 +11,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.evidence import sliding_batches
+from ..operators.candidates import bounded_batches, edge_chunks
+from ..operators.evidence import profile_score, sliding_batches, top_evidence
 from ..schemas import CLAIM, SCOPE
 
 RESPONSE = "batch_id string, response string"
@@ -117,14 +120,98 @@ def save_cache(answers: DataFrame, folder: str, identity: str) -> None:
     fresh.join(load_cache(answers.sparkSession, folder).select("key"), "key", "left_anti").write.mode("append").parquet(folder)
 
 
+def response_schema(kind: str) -> dict:
+    """The JSON schema that an answer of a kind must meet: the same fields that are read from it, nothing else."""
+    fields = CLAIM if kind == "claims" else T.StructType.fromDDL(SHAPES[kind])
+
+    def of(t: T.DataType) -> dict:
+        if isinstance(t, T.StructType):
+            return {"type": "object", "additionalProperties": False, "properties": {f.name: of(f.dataType) for f in t.fields if not (t is fields and kind == "claims" and f.name == "id")}}
+        if isinstance(t, T.ArrayType):
+            return {"type": "array", "items": of(t.elementType)}
+        return {"type": {"boolean": ["boolean", "null"], "integer": ["integer", "null"], "float": ["number", "null"]}.get(t.typeName(), ["string", "null"])}
+
+    return {"type": "object", "required": [kind], "additionalProperties": False, "properties": {kind: {"type": "array", "items": of(fields)}}}
+
+
+#: Version and instruction of each contract; both, and the schema, are in its fingerprint.
+CONTRACTS = {
+    "claims": ("1", "List what the units state as claims, each with the units that state it."),
+    "profiles": ("1", "Describe each document by role, force, scope and time, with the units that show it."),
+    "relations": ("1", "State how the two documents of each pair stand to each other, with the units that show it, or nothing."),
+}
+
+
+def contract(kind: str) -> str:
+    """The fingerprint of a kind's contract."""
+    version, prompt = CONTRACTS[kind]
+    return fingerprint(version, prompt, json.dumps(response_schema(kind), sort_keys=True))
+
+
+STRATEGIES, GLOBAL_UNITS = ("global", "linear", "dossier"), 512
+
+
+def _request(rows: DataFrame, by: list[str], kind: str, identity: str) -> DataFrame:
+    """(batch_id, request, key) of rows with ``by``, ordinal, source_id, evidence_id and text."""
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "ordinal", "evidence_id", "text"))), lambda x: F.struct(x["source_id"].alias("source_id"), x["evidence_id"].alias("evidence_id"), x["text"].alias("text"))))
+    asked = rows.groupBy(*by).agg(body.alias("request")).select(F.concat_ws(":", *by).alias("batch_id"), "request")
+    return asked.withColumn("key", F.sha2(F.concat(F.lit(f"{kind}{identity}{contract(kind)}\0"), "request"), 256))
+
+
+def profile_requests(units: DataFrame, identity: str, strategy: str = "linear", dossiers: DataFrame | None = None) -> DataFrame:
+    """(batch_id, request, key): what profiles are asked from, the eight best units of each source. linear asks for one
+    source at a time, dossier for the sources of a dossier (source_id, dossier) in parts of 12, by id, and global for all
+    at once, which is an error for more than GLOBAL_UNITS units."""
+    best = top_evidence(units, profile_score(F.col("text"), F.col("heading_path")), 8).withColumn("ordinal", F.col("rank"))
+    if strategy == "linear":
+        return _request(best, ["source_id"], "profiles", identity)
+    if strategy == "dossier":
+        w = Window.partitionBy("dossier").orderBy("source_id")
+        parts = dossiers.select("source_id", "dossier").distinct().withColumn("part", F.floor((F.row_number().over(w) - 1) / 12).cast("string"))
+        return _request(best.join(parts, "source_id"), ["dossier", "part"], "profiles", identity)
+    if strategy != "global":
+        raise ValueError(f"no such strategy: {strategy}")
+    if best.limit(GLOBAL_UNITS + 1).count() > GLOBAL_UNITS:
+        raise ValueError("too many units for a single request")
+    return _request(best.withColumn("all", F.lit("all")), ["all"], "profiles", identity)
+
+
+def relation_requests(edges: DataFrame, units: DataFrame, identity: str, strategy: str = "linear") -> DataFrame:
+    """(batch_id, request, key): what relations are asked from: batches of edges (dossier, a, b) with the three best units
+    of each of their documents. linear takes 8 edges at a time, dossier up to 32 edges of at most 12 documents."""
+    if strategy not in ("linear", "dossier"):
+        raise ValueError(f"no such strategy for relations: {strategy}")
+    whole = edges.withColumn("dossier", F.coalesce("dossier", F.lit("")))
+    batched = edge_chunks(whole).withColumnRenamed("chunk", "batch") if strategy == "linear" else bounded_batches(whole)
+    ends = batched.select("dossier", F.col("batch").cast("string").alias("batch"), F.explode(F.array("a", "b")).alias("source_id")).distinct()
+    best = top_evidence(units, profile_score(F.col("text"), F.col("heading_path")), 3).withColumn("ordinal", F.col("rank"))
+    return _request(ends.join(best, "source_id"), ["dossier", "batch"], "relations", identity)
+
+
 def answered(evidence: DataFrame, provider: Extractor, folder: str | None = None) -> DataFrame:
-    """(batch_id, key, response) of all batches: kept answers are used, others are asked for and then kept, once."""
-    asked = requests(evidence, provider.identity)
+    """(batch_id, key, response) of all batches of claims: kept answers are used, others are asked for and then kept."""
+    return answers(requests(evidence, provider.identity), provider, folder)
+
+
+def answers(asked: DataFrame, provider: Extractor, folder: str | None = None) -> DataFrame:
+    """(batch_id, key, response) of requests (batch_id, request, key). With a folder, kept answers are used, and others
+    are asked for and then kept, once."""
     if folder is None:
         return answer(asked, provider)
-    cache = load_cache(evidence.sparkSession, folder).select("key", "response")
+    spark = asked.sparkSession
+    cache = load_cache(spark, folder).select("key", "response")
     save_cache(answer(asked.join(cache, "key", "left_anti"), provider), folder, provider.identity)
-    return asked.join(load_cache(evidence.sparkSession, folder).select("key", "response"), "key").select("batch_id", "key", "response")
+    return asked.join(load_cache(spark, folder).select("key", "response"), "key").select("batch_id", "key", "response")
+
+
+def profile_executor(provider: Extractor, folder: str | None = None, strategy: str = "linear") -> Callable[..., DataFrame]:
+    """Evidence (and dossiers) to extracted profiles, as ``validate_profiles`` takes them."""
+    return lambda units, dossiers=None: entities_of(answers(profile_requests(units, provider.identity, strategy, dossiers), provider, folder), "profiles")
+
+
+def relation_executor(provider: Extractor, folder: str | None = None, strategy: str = "linear") -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Candidate edges and evidence to extracted relations, as ``validate_relations`` takes them."""
+    return lambda edges, units: entities_of(answers(relation_requests(edges, units, provider.identity, strategy), provider, folder), "relations")
 
 
 def extractor(provider: Extractor, folder: str | None = None) -> Callable[[DataFrame], DataFrame]:

@@ -168,6 +168,25 @@ def test_answers_are_kept_by_kind(spark, tmp_path):
         PV.cache_folder("x", "others")
 
 
+def test_executors_and_contracts(spark):
+    from pyspark.sql import functions as F
+
+    from attestor.sources import providers as PV
+
+    none = F.array().cast("array<string>")
+    units = spark.createDataFrame([(s, f"{s}{i}", i, f"text {i}") for s in "abc" for i in range(10)], "source_id string, evidence_id string, line_start int, text string").withColumn("heading_path", none)
+    asked = {n: PV.profile_requests(units, "fixed", n, spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "e")], "source_id string, dossier string")).count() for n in PV.STRATEGIES}
+    assert asked == {"global": 1, "linear": 3, "dossier": 2}
+    edges = spark.createDataFrame([("d", "a", "b"), (None, "a", "c")], "dossier string, a string, b string")
+    assert PV.relation_requests(edges, units, "fixed", "dossier").count() == 2
+    found = PV.relation_executor(PV.FixedProvider('{"relations": [{"id": "r", "kind": "amends", "source_id": "a", "target_id": "b", "evidence": []}]}'))(edges, units).collect()
+    assert [(r.ordinal, r.kind) for r in found] == [(1, "amends"), (2, "amends")]
+    assert PV.profile_executor(PV.FixedProvider('{"profiles": [{"source_id": "a"}]}'), strategy="global")(units).count() == 1
+    with pytest.raises(ValueError):
+        PV.relation_requests(edges, units, "fixed", "global")
+    assert len({PV.contract(k) for k in PV.KINDS}) == 3 and "id" not in PV.response_schema("claims")["properties"]["claims"]["items"]["properties"]
+
+
 def test_provider_and_cache(spark):
     from pyspark.sql import functions as F
 
