@@ -135,6 +135,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         return Model(mean, scale, np.zeros(_expand(np.zeros((1, N_FEATURES))).shape[1]), 0.5)
     p, u = (_expand((rows - mean) / scale) for rows in (positive, unlabelled))
     prior = estimate_prior(p, u)
+    # the estimate is on the low side: what a model fitted with it takes for positive is nearer, and fits the final one
+    prior = float(np.clip((u @ fit_nnpu(p, u, prior) >= 0).mean(), prior, 0.98))
     return Model(mean, scale, fit_nnpu(p, u, prior), prior)
 
 
