@@ -18,7 +18,7 @@ SINGLE_NAMES = "access_approver allows_self_approval has_formal_owner incident_c
 #: Predicates whose values exclude each other under one condition only, besides those that speak of a deadline.
 CONDITIONAL_NAMES = "access_approver access_duration allows_review_omission allows_self_approval incident_commander is_approved_as notification_approver requires_approval requires_review".split()
 #: What makes a date a span of time.
-RELATIVE = "分以内|時間以内|日以内|営業日|週間以内|週以内|か月以内|ヶ月以内|月以内|年以内|minutes|hours|days|weeks|months|years"
+RELATIVE = "営業日|年以内|月以内|週以内|日以内|分以内|時間以内|週間以内|years|months|weeks|days|hours|minutes"
 DENIALS = "なし|不可|禁止|認めない|false"
 #: Headings under which a source's units support a predicate.
 HEADINGS = {

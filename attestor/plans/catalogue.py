@@ -201,7 +201,7 @@ def checklist_gaps(spark, sf_dir):
     return E.checklist_gaps(PA.parse_markdown(V.markdown(spark, sf_dir)))
 
 
-_PROFILE_TERMS = "置き換 改訂 修正 例外 優先 食い違 矛盾 反映していない 正式 現行 旧版 適用 終了 承認 決定 実施 記録 準拠 由来 参照 更新 supersed amend conflict precedence exception derived uncontrolled".split() + ["system of record"]
+_PROFILE_TERMS = "amend 例外 conflict 修正 supersed 優先 derived 決定 旧版 準拠 参照 反映していない exception 実施 更新 改訂 precedence 承認 uncontrolled 現行 終了 正式 由来 適用 矛盾 食い違 置き換 記録".split() + ["system of record"]
 _SIGNALS = " + ".join(f"CAST(contains(lower(line), '{t}') AS INTEGER)" for t in _PROFILE_TERMS)
 
 
@@ -313,10 +313,10 @@ def scalar_equivalence(spark, sf_dir):
 
 
 @query(FX.values([
-    *[(t, "normative") for t in ("policy", "standard", "master_contract", "specification", "master_agreement", "amendment", "technical_specification", "specification_amendment")],
-    *[(t, "instruction") for t in ("procedure", "site_work_instruction", "operating_procedure", "work_instruction", "temporary_deviation", "implementation_plan", "sow", "statement_of_work")],
-    *[(t, "record") for t in ("approval_record", "decision_record", "test_record", "decision_minutes", "execution_log", "audit_record", "release_record", "final_report")],
-    *[(t, "analysis") for t in ("analysis", "initial_report", "options_analysis")], *[(t, "proposal") for t in ("proposal", "technical_draft", "draft", "change_request", "vendor_proposal")], ("faq", "communication"),
+    *[(t, "instruction") for t in ("sow", "work_instruction", "procedure", "temporary_deviation", "implementation_plan", "site_work_instruction", "statement_of_work", "operating_procedure")],
+    *[(t, "proposal") for t in ("vendor_proposal", "draft", "change_request", "proposal", "technical_draft")], ("faq", "communication"), *[(t, "analysis") for t in ("initial_report", "options_analysis", "analysis")],
+    *[(t, "normative") for t in ("specification_amendment", "amendment", "master_agreement", "standard", "technical_specification", "policy", "specification", "master_contract")],
+    *[(t, "record") for t in ("final_report", "release_record", "audit_record", "execution_log", "test_record", "decision_minutes", "approval_record", "decision_record")],
     *[(t, "reference") for t in ("incident_report", "manual", "notice", "Policy", "")],
 ], "document_type, role"))
 def role_from_type(spark, sf_dir):
