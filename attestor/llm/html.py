@@ -40,9 +40,10 @@ _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html
 _SCOPE = frozenset("html body table td th ul ol dl div section article main nav aside footer header form blockquote button".split())
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[a-z]+")
-_BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe signup popup modal overlay promo widget pagination pager".split())
+_BOILER = frozenset("ad ads adsbygoogle paywall skiplink advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe signup popup modal overlay promo widget pagination pager".split())
 #: Words that stand beside those in a class or id of the same kind: "site-footer", "related-posts", but not "related-work".
 _BESIDE = frozenset("site page top bottom left right main box bar list links link buttons button area wrapper wrap container section block item items posts articles header primary secondary inner outer slot unit form thread reader user js global mobile desktop fixed sticky icons icon media content body inline row col".split())
+_HEADER = frozenset("global header main page site top wrapper".split())
 #: Elements in which an article has its text; their ids are the author's.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
@@ -136,6 +137,11 @@ def parse(html: str) -> Element:
     return root
 
 
+def _names_header(value: str) -> bool:
+    """Whether a class or id has a token that names the page's header."""
+    return any("header" in words and _HEADER.issuperset(words) for words in map(_WORDS.findall, value.lower().split()))
+
+
 def _told(value: str) -> bool:
     """Whether a class or id has a token that is of boilerplate words alone."""
     for token in value.lower().split():
@@ -155,6 +161,8 @@ def boilerplate(node: Element, in_article: bool) -> bool:
             name = name.lower()
             if (name == "class" or name == "id" and not (in_article and node.tag in _PROSE)) and _told(a or b or c):
                 return True
+            if name in ("class", "id") and not in_article and node.tag not in _PROSE and _names_header(a or b or c) and not _has(node, "h1"):
+                return True
             if name == "role" and (a or b or c).lower() in _ROLES:
                 return True
             if name == "aria-hidden" and (a or b or c).lower() == "true":

@@ -692,6 +692,11 @@ def test_page_structure():
     kept = "<article><h2 id='social-policy'>a</h2><section id=related-work><p>b</section><p id=notice>c<div class='menu-engineering'>d</div></article>"
     assert text(kept) == ["a", "b", "c", "d"]
     assert text("<article><div class='related-posts'>x</div><p class=ad>y<p>z<div class='x site-footer'>w</div></article>") == ["z"]
+    assert text("<div id='site-header'>Name<div>x</div></div><div class=header><h1>T</h1></div><div class='table-header'>y</div>") == ["T", "y"]
+    for told in ("ad_box", "adsbygoogle", "user-comments", "comment-list", "cookie-consent", "alert notice", "newsletter-signup", "share-buttons", "breadcrumbs", "promo"):
+        assert text(f"<article><p>a</p><div class='x {told}'>no</div></article>") == ["a"], told
+    for kept in ("commentary", "adverse", "navy-blue", "noticed", "social-history", "banner-of-war", "shared"):
+        assert text(f"<article><p>a</p><div class='{kept}'>yes</div></article>") == ["a", "yes"], kept
     assert H.host_of("HTTP://User@Host:80/x") == "host" and H.host_of("nothing") == ""
 
 
