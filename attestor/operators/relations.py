@@ -41,28 +41,38 @@ def slot_table(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "rule int, purpose string, source_types array<string>, source_status string, kind string, position string, target_types array<string>, target_status string, source_headings array<string>, target_headings array<string>"))
 
 
-def _slot_pairs(docs: DataFrame) -> DataFrame:
-    """Documents (source_id, scenario, purpose, document_type, status, tokens; document_id and names, if there) to every
-    rule's source beside every target of its dossier, with the number of shared scope tokens, and whether the source names
-    the target: one of its names (scope values and document ids in its text) is an id that no other target has."""
+def _slot_ends(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (source_id, scenario, purpose, document_type, status, tokens; document_id and names, if there) as sources
+    and as targets of every rule whose types and states they have. A document has one row in a dossier, and no rule takes
+    it for both ends. ``tokens`` are distinct and sorted, so equal sets are equal keys."""
     extra = {"document_id": F.lit(None).cast("string"), "names": F.array().cast("array<string>")}
-    docs = docs.withColumns({c: v for c, v in extra.items() if c not in docs.columns})
-    d = docs.select("source_id", "scenario", "purpose", "document_type", "status", "tokens", X.normalized_key(F.col("document_id")).alias("document_id"), "names")
-    s = d.drop("document_id").join(slot_table(docs.sparkSession), "purpose").filter(F.array_contains("source_types", F.col("document_type")) & (F.col("source_status").isNull() | (F.col("status") == F.col("source_status"))))
-    t = d.select(F.col("source_id").alias("target_id"), F.col("scenario").alias("t_scenario"), F.col("purpose").alias("t_purpose"), F.col("document_type").alias("target_type"), F.col("status").alias("t_status"), F.col("tokens").alias("t_tokens"), F.col("document_id").alias("t_document"))
-    fits = F.array_contains("target_types", F.col("target_type")) & (F.col("target_status").isNull() | (F.col("t_status") == F.col("target_status"))) & (F.col("source_id") != F.col("target_id"))
-    pairs = s.join(t, (F.col("scenario") == F.col("t_scenario")) & (F.col("purpose") == F.col("t_purpose")) & fits, "left").drop("t_scenario", "t_purpose")
-    alone = F.count("target_id").over(Window.partitionBy("source_id", "rule", "scenario", "t_document")) == 1
-    direct = F.coalesce(F.array_contains("names", F.col("t_document")) & alone, F.lit(False))
-    return pairs.withColumn("direct", direct).withColumn("shared", F.coalesce(F.size(F.array_intersect("tokens", "t_tokens")), F.lit(0)))
+    docs = docs.withColumns({c: v for c, v in extra.items() if c not in docs.columns}).filter("source_id IS NOT NULL")
+    tokens = F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))))
+    d = docs.select("source_id", "scenario", "purpose", "document_type", "status", tokens.alias("tokens"), X.normalized_key(F.col("document_id")).alias("document_id"), "names").join(slot_table(docs.sparkSession), "purpose")
+    end = lambda x: d.filter(F.array_contains(f"{x}_types", F.col("document_type")) & (F.col(f"{x}_status").isNull() | (F.col("status") == F.col(f"{x}_status"))))
+    s = end("source").select("source_id", "scenario", "purpose", "rule", "kind", "position", "source_headings", "target_headings", "tokens", "names")
+    return s, end("target").select(F.col("source_id").alias("target_id"), "scenario", "rule", F.col("tokens").alias("t_tokens"), F.col("document_id").alias("t_document"))
 
 
 def _required(docs: DataFrame) -> DataFrame:
-    p = _slot_pairs(docs).filter("target_id IS NOT NULL")
-    w = Window.partitionBy("source_id", "kind", "scenario", "purpose")
-    p = p.withColumns({"n": F.count(F.lit(1)).over(w), "best": F.max("shared").over(w), "named": F.sum(F.col("direct").cast("int")).over(w)})
-    p = p.withColumn("ties", F.sum((F.col("shared") == F.col("best")).cast("int")).over(w))
-    hit = p.filter("n = 1 OR (named = 1 AND direct) OR (named <> 1 AND shared = best AND best > 0 AND ties = 1)")
+    """A dossier's sources and targets meet as sets of tokens, each set once with the number of its targets and the least
+    of them: only a target that is alone is ever taken, so no source has to meet every target. A source names a target if
+    one of its names (scope values and document ids in its text) is an id that no other target has."""
+    s, t = _slot_ends(docs)
+    dossier = ["rule", "scenario"]
+    sets = t.groupBy(*dossier, "t_tokens").agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("least"))
+    met = s.select(*dossier, "tokens").distinct().join(sets, dossier).withColumn("shared", F.size(F.array_intersect("tokens", "t_tokens")))
+    level = met.groupBy(*dossier, "tokens", "shared").agg(F.sum("n").alias("ties"), F.min("least").alias("least"))
+    best = level.groupBy(*dossier, "tokens").agg(F.sum("ties").alias("n"), F.max(F.struct("shared", "ties", "least")).alias("top"))
+    p = s.join(best, [*dossier, "tokens"])
+    if "names" in docs.columns:
+        alone = t.filter("t_document IS NOT NULL").groupBy(*dossier, "t_document").agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("direct")).filter("n = 1").drop("n")
+        said = s.select("source_id", *dossier, F.explode(F.array_distinct("names")).alias("t_document")).join(alone, [*dossier, "t_document"])
+        p = p.join(said.groupBy("source_id", *dossier).agg(F.count(F.lit(1)).alias("named"), F.min("direct").alias("direct")), ["source_id", *dossier], "left")
+    else:
+        p = p.withColumns({"named": F.lit(0), "direct": F.lit(None).cast("string")})
+    target = F.when(F.col("n") == 1, F.col("top.least")).when(F.col("named") == 1, F.col("direct")).when((F.col("top.shared") > 0) & (F.col("top.ties") == 1), F.col("top.least"))
+    hit = p.withColumn("target_id", target).filter("target_id IS NOT NULL").drop("top", "n", "named", "direct", "tokens", "names")
     key = F.concat(F.lit("slot_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "kind", F.lit("required-slot")), 256), 1, 16))
     return first_wins(hit.withColumn("id", key), ["source_id", "target_id", "kind"], "rule")
 
@@ -115,9 +125,13 @@ def unresolved_slots(docs: DataFrame, relations: DataFrame | None = None) -> Dat
 def slot_fallback_pairs(docs: DataFrame, limit: int = 32) -> DataFrame:
     """(source_id, kind, target_id): up to ``limit`` possible targets of each unresolved slot, by id."""
     open_ = unresolved_slots(docs).select("source_id", "kind")
-    w = Window.partitionBy("source_id", "kind").orderBy("target_id")
-    pairs = _slot_pairs(docs).filter("target_id IS NOT NULL").select("source_id", "kind", "target_id").distinct().join(open_, ["source_id", "kind"], "left_semi")
-    return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit).select("source_id", "kind", "target_id")
+    s, t = _slot_ends(docs)
+    w = Window.partitionBy("rule", "scenario").orderBy("target_id")
+    first = t.select("rule", "scenario", "target_id").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit)
+    lists = first.groupBy("rule", "scenario").agg(F.collect_list("target_id").alias("targets"))
+    asked = s.select("source_id", "kind", "rule", "scenario").join(open_, ["source_id", "kind"], "left_semi").join(lists, ["rule", "scenario"])
+    near = asked.groupBy("source_id", "kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("targets"))  # of all its dossiers
+    return near.select("source_id", "kind", F.explode(F.slice("targets", 1, limit)).alias("target_id"))
 
 
 def front_matter_positions(sources: DataFrame, profiles: DataFrame) -> DataFrame:
