@@ -137,10 +137,16 @@ def slot_fallback_pairs(docs: DataFrame, limit: int = 32) -> DataFrame:
 def front_matter_positions(sources: DataFrame, profiles: DataFrame) -> DataFrame:
     """operational_position edges that front matter (position, position_target_document_id, …_revision) declares: the
     target is the first profile of that document id, of that revision if one is given."""
+    # a source can be its own first target and never its second, so two targets of a name are all that may be asked for
     t = profiles.filter("document_id IS NOT NULL").select(F.col("source_id").alias("target_id"), "document_id", "revision", "ordinal")
-    j = sources.filter("position IS NOT NULL AND position_target_document_id IS NOT NULL").join(t, F.col("position_target_document_id") == F.col("document_id")).filter((F.col("position_target_revision").isNull() | (F.col("revision") == F.col("position_target_revision"))) & (F.col("source_id") != F.col("target_id")))
-    first = j.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))).filter("n = 1")
-    return first.select(F.concat(F.lit("position_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "position_target_document_id", "position"), 256), 1, 16)).alias("id"), F.lit("operational_position").alias("kind"), "position", "source_id", "target_id")
+    named = t.withColumn("of", F.lit(None).cast("string")).unionByName(t.filter("revision IS NOT NULL").withColumn("of", F.col("revision")))
+    each = named.groupBy("document_id", "of", "target_id").agg(F.min("ordinal").alias("ordinal"))
+    order = Window.partitionBy("document_id", "of").orderBy("ordinal", "target_id")
+    two = each.withColumn("n", F.row_number().over(order)).filter("n <= 2").groupBy("document_id", "of").agg(F.min_by("target_id", "n").alias("one"), F.max_by("target_id", "n").alias("two"))
+    asked = sources.filter("position IS NOT NULL AND position_target_document_id IS NOT NULL")
+    j = asked.join(two, (F.col("position_target_document_id") == F.col("document_id")) & F.col("position_target_revision").eqNullSafe(F.col("of")))
+    j = j.withColumn("target_id", F.when(F.col("one") != F.col("source_id"), F.col("one")).otherwise(F.col("two"))).filter("source_id <> target_id").drop("document_id")
+    return j.select(F.concat(F.lit("position_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "target_id", "position_target_document_id", "position"), 256), 1, 16)).alias("id"), F.lit("operational_position").alias("kind"), "position", "source_id", "target_id")
 
 
 def first_wins(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_slots_of_a_large_dossier(spark):
     rel = docs.filter("document_type = 'test_record'").select(F.concat(F.lit("r"), "source_id").alias("id"), F.lit("records_execution_of").alias("kind"), "source_id", F.regexp_replace("source_id", "^a.*", "a000001").alias("target_id"))
     kept, most = most_rows(R.slot_shape_filter(rel, docs))
     assert len(kept) == 1500 and most < 10 * 3010
+
+
+def test_positions_on_a_common_document_id(spark):
+    """All profiles share one document id; the first two are targets, each revision's first of those that ask for it."""
+    k = F.col("id")
+    p = spark.range(2000).select(F.format_string("s%05d", k).alias("source_id"), k.alias("ordinal"), F.lit("D").alias("document_id"), (k % 3).cast("string").alias("revision"))
+    s = p.select("source_id", F.lit("dominates").alias("position"), F.lit("D").alias("position_target_document_id"), F.when(F.col("ordinal") % 2 == 1, F.col("revision")).alias("position_target_revision"))
+    rows, most = most_rows(R.front_matter_positions(s, p))
+    want = {f"s{i:05}": f"s{(i % 3 if i != i % 3 else i + 3) if i % 2 else int(i == 0):05}" for i in range(2000)}
+    assert {r.source_id: r.target_id for r in rows} == want and len(rows) == 2000
+    assert most < 10 * 2000
