@@ -99,10 +99,10 @@ def state_rank(status: Column) -> Column:
 def conflict_pairs(claims: DataFrame) -> DataFrame:
     """Pairs of claims (l before r by id) that fill one slot with objects that are neither equivalent nor compatible.
 
-    Subjects are equal, or one is a suffix of 4 characters or more of the other: each claim is posted by its id under its
-    whole subject and under those of its suffixes that are another claim's whole subject, and wholes meet postings in an
-    equi-join that also holds predicate and, where the predicate needs it, condition. Objects that agree are dropped
-    inside the join, so they make no rows; the claims' other columns come after it, in two joins by id."""
+    Subjects are equal, or one is a suffix of 4 characters or more of the other. Equal ones meet in an equi-join that also
+    holds predicate and, where the predicate needs it, condition. Of the distinct subjects, those that end in another whole
+    subject are found by their suffixes, and their claims meet the other's. Claims go whole into these joins, which drop
+    objects that agree: no pair is shuffled, only claims are."""
     c = claims.filter(single_valued(F.col("predicate")))
     c = c.withColumn("k", X.normalized_key(F.col("subject"))).withColumn("p", X.normalized_key(F.col("predicate")))
     c = c.withColumn("slot", F.when(needs_condition(F.col("p")), F.coalesce(X.normalized_condition(F.col("condition")), F.lit(""))).otherwise(F.lit("")))
@@ -111,22 +111,22 @@ def conflict_pairs(claims: DataFrame) -> DataFrame:
     c = c.withColumn("sources", F.array_sort(F.array_distinct(F.col("evidence.source_id"))))
     n = F.char_length("k")
     suffixes = F.when(n > 4, F.transform(F.sequence(F.lit(2), F.greatest(n - 3, F.lit(2))), lambda i: F.substr(F.col("k"), i))).otherwise(F.array().cast("array<string>"))
-    carried = ["id", "object", "norm", "span", "condition", "sources"]
-    whole = c.select("p", "slot", "k", *[F.col(x).alias(f"a_{x}") for x in carried])
-    posted = c.select("p", "slot", F.explode(suffixes).alias("k"), "id").join(c.select("p", "slot", "k").distinct(), ["p", "slot", "k"], "left_semi")
-    posted = posted.select("p", "slot", "k", "id", F.lit(False).alias("equal")).unionByName(c.select("p", "slot", "k", "id", F.lit(True).alias("equal")))
-    posted = posted.join(c.select(*carried), "id").select("p", "slot", "k", "equal", *[F.col(x).alias(f"b_{x}") for x in carried])
+    cols = ["id", "subject", "object", "condition", "valid_from", "valid_to", "authority", "status", "evidence"]
+    carried = [*cols, "norm", "span", "sources"]
+    side = lambda x, k="k": c.select("p", "slot", F.col("k").alias(k), *[F.col(y).alias(f"{x}_{y}") for y in carried])
     agree = (F.col("a_object") == F.col("b_object")) | F.coalesce(F.col("a_norm") == F.col("b_norm"), F.lit(False)) | F.coalesce(F.col("a_span") == F.col("b_span"), F.lit(False))
     agree |= X.objects_compatible(F.col("p"), F.col("a_object"), F.col("b_object"), F.coalesce(F.arrays_overlap("a_sources", "b_sources"), F.lit(False)))
     ca, cb = X.normalized_condition(F.col("a_condition")), X.normalized_condition(F.col("b_condition"))
     alternatives = F.coalesce((F.col("a_sources") == F.col("b_sources")) & (F.size("a_sources") > 0) & (ca != cb), F.lit(False))
-    # equal subjects are met from both sides: keep the ordered one; suffix pairs are met once
-    met = whole.join(posted, ["p", "slot", "k"]).filter((F.col("a_id") != F.col("b_id")) & (~F.col("equal") | (F.col("a_id") < F.col("b_id"))) & ~agree & ~alternatives)
-    met = met.select(F.least("a_id", "b_id").alias("l_id"), F.greatest("a_id", "b_id").alias("r_id"), F.col("p").alias("predicate"))
-    cols = ["id", "subject", "object", "condition", "valid_from", "valid_to", "authority", "status", "evidence"]
-    side = lambda x: c.select(*[F.col(y).alias(f"{x}_{y}") for y in cols])
-    both = met.join(side("l"), "l_id").join(side("r"), "r_id")
-    return both.select(*[f"{x}_{y}" for y in cols for x in "lr"], "predicate")
+    equal = side("a").join(side("b"), ["p", "slot", "k"]).filter((F.col("a_id") < F.col("b_id")) & ~agree & ~alternatives)
+    subjects = c.select("p", "slot", "k").distinct()
+    tails = subjects.select("p", "slot", F.col("k").alias("whole"), F.explode(suffixes).alias("k")).join(subjects, ["p", "slot", "k"], "left_semi")
+    longer = side("b", "whole").join(tails, ["p", "slot", "whole"]).drop("whole")
+    tail = side("a").join(longer, ["p", "slot", "k"]).filter((F.col("a_id") != F.col("b_id")) & ~agree & ~alternatives)
+    first = F.col("a_id") < F.col("b_id")
+    order = lambda left: [F.when(left, F.col(f"{x}_{y}")).otherwise(F.col(f"{z}_{y}")).alias(f"{w}_{y}") for y in cols for w, x, z in (("l", "a", "b"), ("r", "b", "a"))]
+    plain = [F.col(f"{x}_{y}").alias(f"{w}_{y}") for y in cols for w, x in (("l", "a"), ("r", "b"))]
+    return equal.select(*plain, F.col("p").alias("predicate")).unionByName(tail.select(*order(first), F.col("p").alias("predicate")))
 
 
 def resolve_conflicts(pairs: DataFrame, as_of: str, precedence: list[str]) -> DataFrame:

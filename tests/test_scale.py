@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attestor.operators import claims as CL
 from attestor.operators import relations as R
 
 
@@ -53,3 +54,14 @@ def test_positions_on_a_common_document_id(spark):
     want = {f"s{i:05}": f"s{(i % 3 if i != i % 3 else i + 3) if i % 2 else int(i == 0):05}" for i in range(2000)}
     assert {r.source_id: r.target_id for r in rows} == want and len(rows) == 2000
     assert most < 10 * 2000
+
+
+def test_conflicts_post_subjects_and_not_claims(spark):
+    """50 subjects of 12 claims each, and one claim whose subject ends in the first of them."""
+    k, none = F.col("id"), F.lit(None).cast("string")
+    c = spark.range(601).select(k.cast("string").alias("id"), F.when(k == 600, "of the refund window number 000").otherwise(F.format_string("refund window number %03d", k % 50)).alias("subject"), F.lit("retention_period").alias("predicate"), F.when(k < 50, "5日").otherwise("7日").alias("object"))
+    c = c.withColumns({**{x: none for x in ("condition", "valid_from", "valid_to", "authority", "status")}, "evidence": F.array(F.struct(F.lit("s").alias("source_id"), F.col("id").alias("evidence_id")))})
+    rows, most = most_rows(CL.conflict_pairs(c))
+    assert len(rows) == len({(r.l_id, r.r_id) for r in rows}) == 50 * 11 + 1 and all(r.l_id < r.r_id and r.l_object != r.r_object for r in rows)
+    assert {(r.l_id, r.l_object, r.r_id, r.r_object) for r in rows if "600" in (r.l_id, r.r_id)} == {("0", "5日", "600", "7日")}
+    assert most < 3 * 601
