@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def export_units(evidence: DataFrame, claims: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id, source_id, text, claim_ids, conflict_ids) for each evidence unit, lists sorted, empty if none."""
     refs = claims.select(F.col("id").alias("claim_id"), F.explode("evidence").alias("r")).select("claim_id", "r.source_id", "r.evidence_id")
-    con = conflicts.select("conflict_id", F.explode(F.array("l_id", "r_id")).alias("claim_id"))
-    of = refs.join(con, "claim_id", "left").groupBy("source_id", "evidence_id").agg(F.sort_array(F.collect_set("claim_id")).alias("claim_ids"), F.sort_array(F.collect_set("conflict_id")).alias("conflict_ids"))
+    con = conflicts.select("conflict_id", F.explode(F.array("l_id", "r_id")).alias("claim_id")).groupBy("claim_id").agg(F.collect_set("conflict_id").alias("c"))
+    of = refs.join(con, "claim_id", "left").groupBy("source_id", "evidence_id").agg(F.sort_array(F.collect_set("claim_id")).alias("claim_ids"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("c")))).alias("conflict_ids"))
     none = F.array().cast("array<string>")
     return evidence.join(of, ["source_id", "evidence_id"], "left").select(F.concat(F.lit("unit:"), "evidence_id").alias("id"), "source_id", "text", F.coalesce("claim_ids", none).alias("claim_ids"), F.coalesce("conflict_ids", none).alias("conflict_ids"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestor.operators import claims as CL
+from attestor.operators import export as EX
 from attestor.operators import relations as R
 
 
@@ -65,3 +66,16 @@ def test_conflicts_post_subjects_and_not_claims(spark):
     assert len(rows) == len({(r.l_id, r.r_id) for r in rows}) == 50 * 11 + 1 and all(r.l_id < r.r_id and r.l_object != r.r_object for r in rows)
     assert {(r.l_id, r.l_object, r.r_id, r.r_object) for r in rows if "600" in (r.l_id, r.r_id)} == {("0", "5日", "600", "7日")}
     assert most < 3 * 601
+
+
+def test_units_meet_claims_and_not_conflicts(spark):
+    """50 claims on 40 units each; every claim is in 20 conflicts."""
+    k = F.col("id")
+    refs = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda u: F.struct(F.lit("s").alias("source_id"), F.concat_ws("-", k.cast("string"), u.cast("string")).alias("evidence_id")))
+    claims = spark.range(50).select(k.cast("string").alias("id"), refs.alias("evidence"))
+    units = claims.select(F.explode("evidence").alias("r")).select("r.*", F.lit("t").alias("text"))
+    con = spark.range(500).select(F.format_string("c%03d", k).alias("conflict_id"), (k % 50).cast("string").alias("l_id"), ((k + 1 + F.floor(k / 50)) % 50).cast("string").alias("r_id"))
+    rows, most = most_rows(EX.export_units(units, claims, con))
+    want = {c: sorted(f"c{i:03}" for i in range(500) if c in (i % 50, (i + 1 + i // 50) % 50)) for c in range(50)}
+    assert len(rows) == 2000 and all(r.conflict_ids == want[int(r.id[5:].split("-")[0])] and len(r.claim_ids) == 1 for r in rows)
+    assert most <= 2000
