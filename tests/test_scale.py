@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attestor.operators import candidates as C
 from attestor.operators import claims as CL
 from attestor.operators import export as EX
 from attestor.operators import relations as R
@@ -79,3 +80,24 @@ def test_units_meet_claims_and_not_conflicts(spark):
     want = {c: sorted(f"c{i:03}" for i in range(500) if c in (i % 50, (i + 1 + i // 50) % 50)) for c in range(50)}
     assert len(rows) == 2000 and all(r.conflict_ids == want[int(r.id[5:].split("-")[0])] and len(r.claim_ids) == 1 for r in rows)
     assert most <= 2000
+
+
+def test_references_shuffle_ids_and_not_words(spark):
+    """500 texts of 400 words, most of them one word; each names 70 ids in falling order, its own and an ambiguous one."""
+    k, name = F.col("id"), lambda i: F.format_string("D-%03d", i)
+    p = spark.range(500).select(F.format_string("s%03d", k).alias("source_id"), F.when(k < 490, name(F.least(k, F.lit(480)))).alias("document_id"))
+    told = F.array_join(F.transform(F.sequence(F.lit(70), F.lit(0), F.lit(-1)), lambda j: name((k + j) % 490)), ", ")
+    common = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.when(i % 2 == 0, "the").otherwise(F.concat(F.lit("w"), i.cast("string"))))
+    first = spark.range(500).select(F.format_string("s%03d", k).alias("source_id"), F.lit(1).cast("long").alias("line_start"), F.array_join(common, " ").alias("text"))
+    units = first.unionByName(first.select("source_id", F.lit(2).cast("long").alias("line_start"), F.lit(None).cast("string").alias("text"))).unionByName(
+        spark.range(500).select(F.format_string("s%03d", k).alias("source_id"), F.lit(3).cast("long").alias("line_start"), told.alias("text"))
+    )
+    refs = C.body_references(units, p)
+    told_by = {i: [(i + j) % 490 for j in range(70, -1, -1)] for i in range(500)}
+    want = {(f"s{i:03}", f"s{x:03}") for i in told_by for x in [x for x in told_by[i] if x < 480 and x != i][:64]}
+    rows = refs.collect()
+    assert len(rows) == len(want) and {(r.source_id, r.target_id) for r in rows} == want
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    passed = C.maybe_ids(units.select("source_id", "line_start", F.posexplode(F.split("text", "[ ,]+")).alias("p", "document_id")), p.select("document_id"))
+    assert passed.filter("document_id LIKE 'D-%'").count() > 500 * 60 and passed.filter("document_id NOT LIKE 'D-%'").count() < 500 * 400 / 100
