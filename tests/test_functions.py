@@ -58,3 +58,21 @@ def test_text(spark):
 def test_conflict_ids_ignore_order(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string").select(X.conflict_id(F.col("x"), F.col("y")).alias("i"))
     assert len({r.i for r in df.collect()}) == 1
+
+
+def test_shingle_count(spark):
+    """As many as shingles has, for ASCII and other texts, white space, case that depends on place, and over 256 letters;
+    a filter on it leaves one pass, and no window is made as a string."""
+    han = "".join(chr(0x4E00 + i * 7 % 900) for i in range(3000))
+    texts = [None, "", "ab", "abcd-efgh", "abcd-efghi", "ABC def\x00GHI, 12 34\n" * 3, "Straße über Ärger: ÀÉ\u0300", "ΟΔΟΣ ΣΟΦΟΣ, ΣΑΣ ΟΔΟΣ", "İstanbul İzmir ISPARTA", "😀 abcdefgh 😀 ijk", "𠮷野家𠮷野家𠮷野家𠮷野家", "٣٤٥ ½ Ⅷ x² 一二三四五六", han + han, "aaaaaaaaaaaaaaaa", "x" * 7]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.size(X.shingles(F.col("t"))).alias("a"), X.shingle_count(F.col("t")).alias("b"))
+    rows = {r.id: (r.a, r.b) for r in df.collect()}
+    assert rows.pop(0)[1] is None and all(a == b for a, b in rows.values()) and rows[10] == (3, 3) and rows[12][1] > 900 and rows[13][1] == 1
+    assert X.distinct_windows("abcabcabcd", 3) == 4 and X.distinct_windows("abcabc", 7) == 0
+
+
+def test_shingles_are_counted_once(spark):
+    from attestor.plans.catalogue import char_shingles
+
+    plan = char_shingles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
